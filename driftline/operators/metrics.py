@@ -126,13 +126,6 @@ def step_sums(df: DataFrame, keys: Sequence[str], ts: str, step: int, sums: Mapp
     return df.groupBy(*keys, step_of(F.col(ts), step).alias("at")).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
 
 
-def on_grid(steps: DataFrame, keys: Sequence[str], step: int, sums: Sequence[str], extra: int = 0) -> DataFrame:
-    """Fill the steps between the first and last of a key with zeros, ``extra`` seconds beyond the last."""
-    span = steps.groupBy(*keys).agg(F.min("at").alias("__from"), (F.max("at") + extra).alias("__to"))
-    grid = span.select(*keys, F.explode(F.sequence("__from", "__to", F.lit(step).cast("bigint"))).alias("at"))
-    return grid.join(steps, [*keys, "at"], "left").fillna(0, subset=list(sums))
-
-
 def moving_sums(steps: DataFrame, keys: Sequence[str], sums: Sequence[str], window: int, step: int) -> DataFrame:
     """Sums of the trailing ``window`` seconds at each step. Input has one row per key and step."""
     trailing = W.partitionBy(*keys).orderBy("at").rangeBetween(-(window - step), 0)

@@ -7,7 +7,7 @@ measured seconds.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -98,98 +98,144 @@ RULES = (
 )
 
 
-def _gauge(samples: DataFrame, step: int) -> DataFrame:
-    """Last level per step, carried over steps without a sample."""
+# Points are step functions: a value holds from ``at`` up to the next point of its key. That keeps
+# one row per change of a signal instead of one per evaluation step.
+
+EXACT = "decimal(28,6)"
+
+
+def _levels(samples: DataFrame, keys: Sequence[str], step: int) -> DataFrame:
+    """Gauges: last level of every step that has a sample."""
     newest = F.max_by("value", F.struct("ts", "value"))
-    levels = samples.groupBy("series", metrics.step_of(F.col("ts"), step).alias("at")).agg(newest.alias("value"))
-    span = levels.groupBy("series").agg(F.min("at").alias("__from"), F.max("at").alias("__to"))
-    grid = span.select("series", F.explode(F.sequence("__from", "__to", F.lit(step).cast("bigint"))).alias("at"))
-    so_far = W.partitionBy("series").orderBy("at").rowsBetween(W.unboundedPreceding, W.currentRow)
-    filled = grid.join(levels, ["series", "at"], "left")
-    return filled.select("series", "at", F.last("value", ignorenulls=True).over(so_far).alias("value"))
+    return samples.groupBy(*keys, metrics.step_of(F.col("ts"), step).alias("at")).agg(newest.alias("value"))
+
+
+def _running(deltas: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """Add up changes per key over time. Changes are exact numbers, so sums return to zero."""
+    merged = deltas.groupBy(*keys, "at").agg(*[F.sum(n).alias(n) for n in names])
+    so_far = W.partitionBy(*keys).orderBy("at").rowsBetween(W.unboundedPreceding, W.currentRow)
+    return merged.select(*keys, "at", *[F.sum(n).over(so_far).alias(n) for n in names])
+
+
+def _total_level(levels: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Sum of the levels of all series of a metric."""
+    before = F.lag("value", 1).over(W.partitionBy(*keys, "series").orderBy("at"))
+    change = F.col("value").cast(EXACT) - F.coalesce(before, F.lit(0.0)).cast(EXACT)
+    return _running(levels.select(*keys, "at", change.alias("value")), keys, ["value"]).withColumn("series", F.lit(""))
+
+
+def _trailing(samples: DataFrame, keys: Sequence[str], sums: Mapping[str, Column], window: int, step: int) -> DataFrame:
+    """Sums over the trailing ``window``: what enters at a step leaves again ``window`` later."""
+    names = list(sums)
+    steps = metrics.step_sums(samples, keys, "ts", step, sums)
+    sign = F.explode(F.array(*[F.struct(F.lit(d).alias("d"), F.lit(s).alias("s")) for d, s in ((0, 1), (window, -1))]))
+    both = steps.withColumn("__e", sign)
+    moved = [(F.col(n) * F.col("__e.s")).alias(n) for n in names]
+    return _running(both.select(*keys, (F.col("at") + F.col("__e.d")).alias("at"), *moved), keys, names)
+
+
+def _expression(rule: Rule) -> tuple:
+    """Rules with the same expression are evaluated from one set of points."""
+    if rule.signal in ("gauge", "gauge_sum"):
+        return (rule.signal,)
+    if rule.signal == "rate":
+        return (rule.signal, rule.window, rule.per_series)
+    return (rule.signal, rule.metric, rule.base_metric, rule.outcome, rule.window, rule.quantile, rule.per_series)
 
 
-def signal(samples: DataFrame, rule: Rule, step: int = STEP_SECONDS) -> DataFrame:
-    """``(series, at, value)`` of a rule's expression on the evaluation grid."""
-    wanted = samples.where(F.col("metric").isin(*{rule.metric, rule.base_metric or rule.metric}))
+def signal(samples: DataFrame, rules: Sequence[Rule], step: int = STEP_SECONDS) -> DataFrame:
+    """Points ``(metric, series, at, value)`` of rules that share an expression."""
+    rule = rules[0]
+    wanted = samples.where(F.col("metric").isin(*{m for r in rules for m in (r.metric, r.base_metric) if m}))
     if rule.signal == "gauge":
-        return _gauge(wanted, step).withColumn("value", F.col("value") / F.lit(rule.scale))
+        return _levels(wanted, ["metric", "series"], step)
     if rule.signal == "gauge_sum":
-        return _gauge(wanted, step).groupBy(F.lit("").alias("series"), "at").agg(F.sum("value").alias("value"))
+        return _total_level(_levels(wanted, ["metric", "series"], step), ["metric"])
 
-    keyed = wanted if rule.per_series else wanted.withColumn("series", F.lit(""))
-    keys = ["series"]
+    if not rule.per_series:
+        wanted = wanted.withColumn("series", F.lit(""))
+    keys = ["metric", "series"] if rule.signal == "rate" else ["series"]
+    amount = F.col("value").cast(EXACT)
+    none = F.lit(0).cast(EXACT)
     if rule.signal == "rate":
-        sums = {"total": F.col("value")}
-    elif rule.signal == "ratio":
+        moved = _trailing(wanted, keys, {"total": amount}, rule.window, step)
+        return moved.select(*keys, "at", (F.col("total").cast("double") / F.lit(float(rule.window))).alias("value"))
+    if rule.signal == "ratio":
         part = F.col("metric") == rule.metric
         if rule.outcome is not None:
             part = part & (F.col("outcome") == rule.outcome)
         base = F.col("metric") == (rule.base_metric or rule.metric)
-        sums = {
-            "part": F.when(part, F.col("value")).otherwise(0.0),
-            "total": F.when(base, F.col("value")).otherwise(0.0),
-        }
+        sums = {"part": F.when(part, amount).otherwise(none), "total": F.when(base, amount).otherwise(none)}
+        moved = _trailing(wanted, keys, sums, rule.window, step)
+        value = F.try_divide(F.col("part").cast("double"), F.col("total").cast("double"))
     elif rule.signal == "quantile":
         bounds = metrics.STAGE_LATENCY_BOUNDS
-        one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
-        sums = {
-            c: F.when(F.col("value") <= F.lit(b), one).otherwise(none)
-            for b, c in zip(bounds, metrics.bucket_columns(bounds))
-        }
-        sums["total"] = one
+        cells = metrics.bucket_columns(bounds)
+        one, zero = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+        sums = {c: F.when(F.col("value") <= F.lit(b), one).otherwise(zero) for b, c in zip(bounds, cells)}
+        moved = _trailing(wanted, keys, {**sums, "total": one}, rule.window, step)
+        value = metrics.histogram_quantile(rule.quantile, bounds, [F.col(c) for c in cells], F.col("total"))
     else:
         raise ValueError(f"unknown signal: {rule.signal}")
-
-    names = list(sums)
-    steps = metrics.step_sums(keyed, keys, "ts", step, sums)
-    moved = metrics.moving_sums(metrics.on_grid(steps, keys, step, names, rule.window), keys, names, rule.window, step)
-    if rule.signal == "rate":
-        value = F.col("total") / F.lit(float(rule.window))
-    elif rule.signal == "ratio":
-        value = F.try_divide(F.col("part"), F.col("total"))
-    else:
-        cells = [F.col(c) for c in metrics.bucket_columns(bounds)]
-        value = metrics.histogram_quantile(rule.quantile, bounds, cells, F.col("total"))
-    return moved.select("series", "at", value.alias("value"))
-
-
-def _test(value: Column, rule: Rule) -> Column:
-    limit = F.lit(float(rule.threshold))
-    test = {">": value > limit, "<": value < limit, "=": value == limit}[rule.op]
-    return F.coalesce(test, F.lit(False))
+    return moved.select(F.lit(rule.metric).alias("metric"), "series", "at", value.alias("value"))
+
+
+def _rule_rows(rules: Sequence[Rule]) -> Column:
+    return F.array(
+        *[
+            F.struct(
+                F.lit(r.name).alias("alert"),
+                F.lit(r.severity).alias("severity"),
+                F.lit(r.metric).alias("metric"),
+                F.lit(r.op).alias("op"),
+                F.lit(float(r.threshold)).alias("threshold"),
+                F.lit(r.scale).alias("scale"),
+                F.lit(r.hold_seconds).cast("bigint").alias("hold"),
+            )
+            for r in rules
+        ]
+    )
 
 
-def episodes(points: DataFrame, keys: Sequence[str], at: str, condition: Column, hold_seconds: int) -> DataFrame:
-    """Runs of samples on which ``condition`` held for at least ``hold_seconds``.
+def episodes(
+    points: DataFrame,
+    keys: Sequence[str],
+    at: str,
+    condition: Column,
+    hold_seconds: int | Column,
+    last_step: Column | None = None,
+) -> DataFrame:
+    """Runs of points on which ``condition`` held for at least ``hold_seconds``.
 
-    Points are one per key and evaluation step, so a key's window is bounded by time.
+    ``last_step`` is the last moment a point stands for (its own time by default). Points are at
+    most one per key and evaluation step, so a key's window is bounded by time, not by rows.
     """
     by_time = W.partitionBy(*keys).orderBy(at)
-    rows = points.withColumn("__on", condition)
+    rows = points.withColumns({"__on": F.coalesce(condition, F.lit(False)), "__end": F.col(at) if last_step is None else last_step})
     starts = F.col("__on") & ~F.coalesce(F.lag("__on").over(by_time), F.lit(False))
     rows = rows.withColumn("__start", F.when(starts, F.col(at)))
     rows = rows.withColumn("since", F.last("__start", ignorenulls=True).over(by_time)).where("__on")
-    return (
-        rows.groupBy(*keys, "since")
-        .agg(F.max(at).alias("until"), F.count(F.lit(1)).alias("samples"))
-        .where(F.col("until") - F.col("since") >= hold_seconds)
-    )
+    runs = rows.groupBy(*keys, "since").agg(F.max("__end").alias("until"), F.count(F.lit(1)).alias("samples"))
+    hold = F.lit(hold_seconds) if isinstance(hold_seconds, int) else hold_seconds
+    return runs.where(F.col("until") - F.col("since") >= hold)
 
 
 def evaluate(samples: DataFrame, rules: Sequence[Rule] = RULES, step: int = STEP_SECONDS) -> DataFrame:
     """Firing episodes of all rules: ``alert, severity, series, since, until, fires_at``."""
-    parts = []
+    groups: dict[tuple, list[Rule]] = {}
     for rule in rules:
-        found = episodes(signal(samples, rule, step), ["series"], "at", _test(F.col("value"), rule), rule.hold_seconds)
-        parts.append(
-            found.select(
-                F.lit(rule.name).alias("alert"),
-                F.lit(rule.severity).alias("severity"),
-                "series",
-                "since",
-                "until",
-                (F.col("since") + rule.hold_seconds).alias("fires_at"),
-            )
-        )
-    return reduce(DataFrame.unionByName, parts)
+        groups.setdefault(_expression(rule), []).append(rule)
+    parts = []
+    for group in groups.values():
+        points = signal(samples, group, step)
+        following = F.lead("at").over(W.partitionBy("metric", "series").orderBy("at"))
+        points = points.withColumn("__last", F.coalesce(following - step, F.col("at")))
+        own = F.filter(_rule_rows(group), lambda r: r.getField("metric") == F.col("metric"))
+        parts.append(points.select("series", "at", "value", "__last", F.explode(own).alias("rule")))
+    rows = reduce(DataFrame.unionByName, [p.withColumn("value", F.col("value").cast("double")) for p in parts])
+    rows = rows.select("series", "at", "value", "__last", "rule.*")
+    value, limit = F.col("value") / F.col("scale"), F.col("threshold")
+    test = F.when(F.col("op") == ">", value > limit).when(F.col("op") == "<", value < limit).otherwise(value == limit)
+    keys = ["alert", "severity", "hold", "series"]
+    found = episodes(rows, keys, "at", test, F.col("hold"), F.col("__last"))
+    return found.select("alert", "severity", "series", "since", "until", (F.col("since") + F.col("hold")).alias("fires_at"))
