@@ -1 +1,203 @@
+"""Streaming jobs (section I), drained over the event log and read back."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from driftline.config import Convert, SyncTask, Transforms
+from driftline.operators import LSN, OP, dedup
+from driftline.session import scratch_path
+from driftline.sources.deadletter_table import DeadLetterTable
+from driftline.sources.keyed_table import KeyedTable
+from driftline.streaming import jobs
+from driftline.workload.base import LOG, SNAPSHOT, Tables, op_of_event, query
+
+
+def event_stream(t: Tables) -> DataFrame:
+    return jobs.read_log(t.spark, t.path, t.events.schema, glob="events.parquet", max_files=1)
+
+
+def drained(df: DataFrame, name: str) -> DataFrame:
+    """Run a stream to its end into files and read them."""
+    home = scratch_path(df.sparkSession, name)
+    jobs.write_stream(df, f"{home}/out", f"{home}/checkpoint").awaitTermination()
+    return df.sparkSession.read.schema(df.schema).parquet(f"{home}/out")
+
+
+@query("i01_micro_batches", "SELECT event_id, event_type, value FROM events WHERE value > 10")
+def micro_batches(t: Tables) -> DataFrame:
+    return drained(event_stream(t).where("value > 10").select("event_id", "event_type", "value"), "batches")
+
+
+@query("i02_stateful_dedup", "SELECT event_id, user_id, value FROM events")
+def stateful_dedup(t: Tables) -> DataFrame:
+    """Every change delivered once or twice, in one stream; each key comes out once."""
+    twice = F.when(F.col("event_id") % 5 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    stream = event_stream(t).withColumn("at", F.col("ts").cast("timestamp")).withColumn("copy", F.explode(twice))
+    rows = dedup.stream_first_seen(stream, ["event_id", "user_id"], "at", "1 hour")
+    return drained(rows.select("event_id", "user_id", "value"), "dedup")
+
+
+LOG_TASK = SyncTask("items", "public.items", "items", ("k",), transform=Transforms(fields=(Convert("code", "number"),)))
+
+
+def change_stream(t: Tables) -> DataFrame:
+    return event_stream(t).select(
+        op_of_event().alias(OP),
+        F.col("event_id").alias(LSN),
+        F.col("ts").alias("__ts"),
+        F.col("user_id").alias("k"),
+        "value",
+        "props",
+    )
+
+
+MERGED = f"""WITH {LOG}, {SNAPSHOT},
+    last AS (SELECT * FROM chg QUALIFY row_number() OVER (PARTITION BY k ORDER BY event_id DESC) = 1)
+    SELECT k, value, props FROM snap WHERE k NOT IN (SELECT k FROM last)
+    UNION ALL SELECT k, value, props FROM last WHERE op <> 'delete'"""
+
+
+@query("i03_idempotent_apply", MERGED)
+def idempotent_apply(t: Tables) -> DataFrame:
+    """Stream the log onto the snapshot, then drain it again: nothing is applied twice."""
+    home = scratch_path(t.spark, "apply")
+    task = SyncTask("items", "public.items", "items", ("k",))
+    target = KeyedTable(t.spark, f"{home}/items", ["k"], t.snapshot.schema)
+    jobs.full_copy(t.snapshot, task, target)
+    for _ in range(2):
+        jobs.apply_changes(change_stream(t), task, target, f"{home}/checkpoint").awaitTermination()
+    return target.current()
+
+
+@query(
+    "i05_streaming_counts",
+    f"""WITH {LOG}, w AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, op, count(*) AS events FROM chg GROUP BY ALL)
+    SELECT * FROM w WHERE window_start + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)""",
+)
+def streaming_counts(t: Tables) -> DataFrame:
+    """Hourly counts of closed windows."""
+    stream = event_stream(t).withColumn("at", F.col("ts").cast("timestamp"))
+    counts = jobs.window_counts(stream, "at", "10 minutes", "1 hour", [F.col("event_type"), op_of_event()])
+    start = F.col("window.start").cast("timestamp_ntz").alias("window_start")
+    return drained(counts.select(start, "event_type", "op", "events"), "counts")
+
+
+@query(
+    "i05_sliding_counts",
+    """WITH s AS (SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts) - to_minutes(30 * i) + CASE WHEN minute(ts) >= 30 THEN INTERVAL 30 MINUTE ELSE INTERVAL 0 MINUTE END AS window_start
+        FROM events, (VALUES (0), (1)) v(i))
+    SELECT window_start, event_type, count(*) AS events FROM s
+    WHERE window_start + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events) GROUP BY ALL""",
+)
+def sliding_counts(t: Tables) -> DataFrame:
+    stream = event_stream(t).withColumn("at", F.col("ts").cast("timestamp"))
+    counts = jobs.window_counts(stream, "at", "10 minutes", "1 hour", [F.col("event_type")], slide="30 minutes")
+    start = F.col("window.start").cast("timestamp_ntz").alias("window_start")
+    return drained(counts.select(start, "event_type", "events"), "sliding")
+
+
+@query(
+    "i06_late_rows",
+    """SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, event_type, count(*) AS events FROM events
+    WHERE ts >= TIMESTAMP '2024-01-15' AND time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)
+    GROUP BY ALL""",
+)
+def late_rows(t: Tables) -> DataFrame:
+    """The second half of the month lands first: rows of the first half come too late and are dropped."""
+    landing = f"{scratch_path(t.spark, 'late')}/landing"
+    newer = F.col("ts") >= F.lit("2024-01-15").cast("timestamp_ntz")
+    for part in (newer, ~newer):
+        t.events.where(part).coalesce(1).write.mode("append").parquet(landing)
+    stream = jobs.read_log(t.spark, landing, t.events.schema, max_files=1)
+    stream = stream.withColumn("at", F.col("ts").cast("timestamp"))
+    counts = jobs.window_counts(stream, "at", "10 minutes", "1 day", [F.col("event_type")])
+    start = F.col("window.start").cast("timestamp_ntz").alias("window_start")
+    return drained(counts.select(start, "event_type", "events"), "late")
+
+
+@query(
+    "i07_latest_state",
+    f"""WITH {LOG} SELECT k, max(event_id) AS lsn, arg_max(value, event_id) AS value, arg_max(op, event_id) AS op, count(*) AS changes FROM chg GROUP BY k""",
+)
+def latest_state(t: Tables) -> DataFrame:
+    """Newest image per key as running state, written by key on every change."""
+    stream = event_stream(t).select(F.col("user_id").alias("k"), F.col("event_id").alias("lsn"), "value", op_of_event())
+    state = jobs.latest_state(stream, ["k"], "lsn", ["value", "op"])
+    home = scratch_path(t.spark, "state")
+    flat = state.select("k", "lsn", "doc.value", "doc.op", "changes")
+    table = KeyedTable(t.spark, f"{home}/state", ["k"], flat.schema)
+    jobs.each_batch(
+        flat, lambda batch, number: table.upsert(batch, number + 1), f"{home}/checkpoint", mode="update"
+    ).awaitTermination()
+    return table.current()
+
+
+@query(
+    "i07_streak_state",
+    """WITH r AS (SELECT user_id, event_id, value < 20 AS ok, row_number() OVER w AS rn FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+    s AS (SELECT user_id, event_id, ok, rn - coalesce(max(CASE WHEN NOT ok THEN rn END) OVER w, 0) AS good, rn - coalesce(max(CASE WHEN ok THEN rn END) OVER w, 0) AS bad FROM r
+      WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
+    SELECT user_id, ok, CASE WHEN ok THEN good ELSE bad END AS length FROM s QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1""",
+)
+def streak_state(t: Tables) -> DataFrame:
+    home = scratch_path(t.spark, "streaks")
+    state = KeyedTable(t.spark, f"{home}/state", ["user_id"], "user_id bigint, ok boolean, length bigint")
+    ok = F.col("value") < 20
+    jobs.track_streaks(event_stream(t), ["user_id"], "event_id", ok, state, f"{home}/checkpoint").awaitTermination()
+    return state.current()
+
+
+@query("i08_backfill_handover", MERGED)
+def backfill_handover(t: Tables) -> DataFrame:
+    """Full copy as of position 400, then the stream from behind that position."""
+    home = scratch_path(t.spark, "handover")
+    task = SyncTask("items", "public.items", "items", ("k",))
+    target = KeyedTable(t.spark, f"{home}/items", ["k"], t.snapshot.schema)
+    early = t.log.where("event_id <= 400").select("k", "value", "props", F.col("op").alias(OP), F.col("event_id").alias(LSN))
+    as_of_400 = KeyedTable(t.spark, f"{home}/copy", ["k"], t.snapshot.schema)
+    as_of_400.write_base(t.snapshot)
+    as_of_400.write_batch(early, 1)
+    jobs.full_copy(as_of_400.current(), task, target)
+    jobs.apply_changes(change_stream(t), task, target, f"{home}/checkpoint", start_after=400).awaitTermination()
+    return target.current()
+
+
+def coded_stream(t: Tables) -> DataFrame:
+    code = F.when(F.col("value") > 100, F.col("props")).otherwise(F.col("value").cast("string"))
+    return change_stream(t).withColumn("code", code).drop("value", "props")
+
+
+def run_coded(t: Tables, name: str):
+    home = scratch_path(t.spark, name)
+    target = KeyedTable(t.spark, f"{home}/items", ["k"], "k bigint, code double")
+    letters = DeadLetterTable(t.spark, f"{home}/dead")
+    progress = KeyedTable(t.spark, f"{home}/progress", ["task_id"], jobs.PROGRESS_SCHEMA)
+    query = jobs.apply_changes(coded_stream(t), LOG_TASK, target, f"{home}/checkpoint", letters, progress)
+    query.awaitTermination()
+    return target, letters, progress
+
+
+@query(
+    "i09_dead_letter_branch",
+    f"""WITH {LOG}, good AS (SELECT * FROM chg WHERE value <= 100 QUALIFY row_number() OVER (PARTITION BY k ORDER BY event_id DESC) = 1)
+    SELECT 'item' AS kind, k, CAST(value AS VARCHAR) AS detail FROM good WHERE op <> 'delete'
+    UNION ALL SELECT 'dead', k, 'Cannot convert ''' || props || ''' to number' FROM chg WHERE value > 100""",
+)
+def dead_letter_branch(t: Tables) -> DataFrame:
+    target, letters, _ = run_coded(t, "branch")
+    items = target.current().select(F.lit("item").alias("kind"), "k", F.col("code").cast("string").alias("detail"))
+    failed = letters.read().select(
+        F.lit("dead").alias("kind"), F.get_json_object("event", "$.k").cast("bigint").alias("k"), F.col("error").alias("detail")
+    )
+    return items.unionByName(failed)
+
+
+@query(
+    "i10_progress_rows",
+    f"""WITH {LOG} SELECT 'items' AS task_id, 'default' AS source_name, 0 AS batch_id, max(event_id) AS position,
+      count(CASE WHEN value <= 100 THEN 1 END) AS events_processed, count(CASE WHEN value > 100 THEN 1 END) AS events_failed, max(ts) AS last_event_at FROM chg""",
+)
+def progress_rows(t: Tables) -> DataFrame:
+    return run_coded(t, "progress")[2].current()
