@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from driftline.functions.values import NUMBER_TEXT, double_text
+from driftline.functions.values import NUMBER_TEXT, double_text, let, quote_json
 
 # Type ids of the database catalogue.
 OIDS = {
@@ -153,23 +153,32 @@ def decode(c: Column, oid: int) -> Column:
 
 def unquote(raw: Column) -> Column:
     """Log value without its quotes, doubled quotes undone."""
-    trimmed = F.trim(raw)
-    quoted = trimmed.startswith("'") & trimmed.endswith("'") & (F.length(trimmed) >= 2)
-    body = F.substring(trimmed, F.lit(2), F.length(trimmed) - 2)
-    return F.when(quoted, F.replace(body, F.lit("''"), F.lit("'"))).otherwise(trimmed)
+
+    def strip(v: Column) -> Column:
+        quoted = v.startswith("'") & v.endswith("'") & (F.length(v) >= 2)
+        body = F.substring(v, F.lit(2), F.length(v) - 2)
+        return F.when(quoted, F.replace(body, F.lit("''"), F.lit("'"))).otherwise(v)
+
+    return let(F.trim(raw), strip)
 
 
 def infer_json(text: Column) -> Column:
     """JSON token of an untyped value: null, integer, float, boolean, else a string."""
-    t = F.trim(text)
-    integer = F.when(t.rlike(r"^[+-]?\d+$"), t).try_cast("bigint")
-    number = F.when(t.rlike(NUMBER_TEXT), t).try_cast("double")
-    lowered = F.lower(t)
-    quoted = F.to_json(F.array(t))
-    return (
-        F.when(t.isNull() | (t == ""), F.lit("null"))
-        .when(integer.isNotNull(), integer.cast("string"))
-        .when(number.isNotNull() & (F.abs(number) < float("inf")), double_text(number))
-        .when(lowered.isin("true", "false", "null"), lowered)
-        .otherwise(F.substring(quoted, F.lit(2), F.length(quoted) - 2))
-    )
+
+    def number(t: Column) -> Column:
+        integer = F.when(t.rlike(r"^[+-]?\d+$"), t).try_cast("bigint").cast("string")
+        fraction = let(
+            t.try_cast("double"), lambda n: F.when(F.abs(n) < float("inf"), double_text(n)).otherwise(quote_json(t))
+        )
+        return F.coalesce(integer, fraction)
+
+    def token(t: Column) -> Column:
+        word = F.lower(t)
+        return (
+            F.when(t.isNull() | (t == ""), F.lit("null"))
+            .when(t.rlike(NUMBER_TEXT), number(t))
+            .when(t.rlike(r"(?i)^(true|false|null)$"), word)
+            .otherwise(quote_json(t))
+        )
+
+    return let(F.trim(text), token)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import Column
@@ -16,6 +17,18 @@ FRACTIONAL = (T.FloatType, T.DoubleType)
 NESTED = (T.StructType, T.ArrayType, T.MapType, T.VariantType)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Use ``value`` several times in ``body`` but compute it once, also inside lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def quote_json(text: Column) -> Column:
+    """JSON string token of a text."""
+    plain = ~text.rlike(r'["\\\x00-\x1f]')
+    escaped = let(F.to_json(F.array(text)), lambda a: F.substring(a, F.lit(2), F.length(a) - 2))
+    return F.when(plain, F.concat(F.lit('"'), text, F.lit('"'))).otherwise(escaped)
+
+
 def is_numeric(dtype: T.DataType) -> bool:
     return isinstance(dtype, T.NumericType)
 

@@ -8,83 +8,97 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftline.functions.pgtypes import decode_scalar, infer_json, unquote
+from driftline.functions.values import let, quote_json
 
 # Shape of one text line of the log.
-HEADER = r"(?s)^table\s+(?:([^:]*)\.)?([^.:]+):\s*(INSERT|UPDATE|DELETE):\s*(.*)$"
-FIELD = r"([^\s\[]++)\[([^\[\]]*+(?:\[\][^\[\]]*+)*+)\]:('[^']*+(?:''[^']*+)*+'|\S*+)"
-IMAGE_MARK = r"old-key:|new-tuple:|new-key:"
+HEADER = r"^table\s+(?:([^:]*)\.)?([^.:]+):\s*(INSERT|UPDATE|DELETE):\s*"
+FIELD = r"[^\s\[]++\[[^\[\]]*+(?:\[\][^\[\]]*+)*+\]:(?:'[^']*+(?:''[^']*+)*+'|\S*+)"
+OLD_MARK, NEW_MARKS = "old-key:", ("new-tuple:", "new-key:")
 OPS = {"INSERT": "create", "UPDATE": "update", "DELETE": "delete"}
 
 
-def _images(body: Column) -> tuple[Column, Column]:
-    """Field tokens of the new and of the old image.
+def _entry(token: Column) -> Column:
+    """``struct<name, struct<type, text, quoted, unchanged>>`` of one ``name[type]:value`` token."""
+    name = F.substring_index(token, "[", 1)
+    start = F.length(name) + 2
+    end = F.instr(token, F.lit("]:"))
+    raw = F.substring(token, end + 2, F.length(token))
+    return F.struct(
+        name.alias("name"),
+        let(
+            raw,
+            lambda v: F.struct(
+                F.substring(token, start, end - start).alias("type"),
+                F.when(v != "null", unquote(v)).alias("text"),
+                v.startswith("'").alias("quoted"),
+                (v == "unchanged-toast-datum").alias("unchanged"),
+            ),
+        ).alias("value"),
+    )
 
-    Marks are found as tokens between fields, so the same words inside a quoted value do not count.
-    """
-    tokens = F.regexp_extract_all(body, F.lit(f"(?s)({IMAGE_MARK}|{FIELD})"), F.lit(1))
-    mark = F.greatest(F.array_position(tokens, "new-tuple:"), F.array_position(tokens, "new-key:")).cast("int")
-    has_old = F.array_position(tokens, "old-key:") > 0
-    new = F.when(mark > 0, F.slice(tokens, mark + 1, F.size(tokens))).otherwise(tokens)
-    old = F.when(mark > 1, F.slice(tokens, F.lit(1), mark - 1))
-    fields_only = lambda t: ~t.rlike(f"^({IMAGE_MARK})$")
-    return F.filter(new, fields_only), F.when(has_old, F.filter(old, fields_only))
-
-
-def _field_map(tokens: Column) -> Column:
-    """``map<name, struct<type, text>>``; a name that repeats keeps its last value."""
-
-    def parts(token: Column) -> Column:
-        raw = F.regexp_extract(token, f"(?s)^{FIELD}$", 3)
-        return F.struct(
-            F.regexp_extract(token, f"(?s)^{FIELD}$", 1).alias("name"),
-            F.struct(
-                F.regexp_extract(token, f"(?s)^{FIELD}$", 2).alias("type"),
-                F.when(raw != "null", unquote(raw)).alias("text"),
-                raw.startswith("'").alias("quoted"),
-                (raw == "unchanged-toast-datum").alias("unchanged"),
-            ).alias("value"),
-        )
-
-    entries = F.transform(tokens, parts)
-    names = F.transform(entries, lambda e: e.getField("name"))
-    last = F.filter(
+
+def _last_wins(entries: Column) -> Column:
+    return F.filter(
         entries,
         lambda e, i: ~F.exists(
             F.slice(entries, i + 2, F.size(entries)), lambda later: later.getField("name") == e.getField("name")
         ),
     )
+
+
+def _to_map(df: DataFrame, tokens: str, result: str) -> DataFrame:
+    """Tokens to a map by name; a name that repeats keeps its last value.
+
+    One column per step, so that no step is computed twice.
+    """
+    entries, names = F.col("__entries"), F.col("__names")
+    df = df.withColumn("__entries", F.transform(tokens, _entry))
+    df = df.withColumn("__names", F.transform(entries, lambda e: e.getField("name")))
     unique = F.size(F.array_distinct(names)) == F.size(names)
-    return F.when(unique, F.map_from_entries(entries)).otherwise(F.map_from_entries(last))
+    df = df.withColumn("__entries", F.when(unique, entries).otherwise(_last_wins(entries)))
+    return df.withColumn(result, F.map_from_entries("__entries")).drop("__entries", "__names", tokens)
 
 
 def decode_lines(df: DataFrame, line: str = "data") -> DataFrame:
     """Log lines to ``op, schema_name, table_name, fields, old_fields`` next to the other columns.
 
-    Lines that are not row changes (BEGIN, COMMIT, other operations) give no row.
+    Lines that are not row changes (BEGIN, COMMIT, other operations) give no row. The marks
+    between the images of an update are tokens like the fields, so the same words inside a quoted
+    value do not count.
     """
     text = F.col(line)
     part = lambda i: F.regexp_extract(text, HEADER, i)
     ops = F.create_map(*[F.lit(x) for pair in OPS.items() for x in pair])
-    rows = df.where(text.startswith("table ") & text.rlike(HEADER))
     others = [F.col(f"`{c}`") for c in df.columns if c != line]
-    head = rows.select(
+    rows = df.where(text.startswith("table ") & text.rlike(HEADER)).select(
         *others,
         F.try_element_at(ops, part(3)).alias("op"),
-        F.when(part(1) == "", "public").otherwise(part(1)).alias("schema_name"),
+        F.coalesce(F.nullif(part(1), F.lit("")), F.lit("public")).alias("schema_name"),
         part(2).alias("table_name"),
-        part(4).alias("__body"),
-    )
-    new, old = _images(F.col("__body"))
-    return head.withColumns({"fields": _field_map(new), "old_fields": F.when(old.isNotNull(), _field_map(old))}).drop(
-        "__body"
+        F.regexp_extract_all(
+            F.regexp_replace(text, HEADER, ""), F.lit("|".join([OLD_MARK, *NEW_MARKS, FIELD])), F.lit(0)
+        ).alias("__tokens"),
     )
+    tokens, mark = F.col("__tokens"), F.col("__mark")
+    rows = rows.withColumn("__mark", F.greatest(*[F.array_position(tokens, m) for m in NEW_MARKS]).cast("int"))
+    is_field = lambda x: ~x.isin(OLD_MARK, *NEW_MARKS)
+    has_old = (mark > 1) & (F.array_position(tokens, OLD_MARK) > 0)
+    rows = rows.withColumns(
+        {
+            "__new": F.when(
+                mark > 0, F.filter(F.slice(tokens, mark + 1, F.greatest(F.lit(0), F.size(tokens) - mark)), is_field)
+            ).otherwise(F.filter(tokens, is_field)),
+            "__old": F.when(has_old, F.filter(F.slice(tokens, F.lit(1), mark - 1), is_field)),
+        }
+    ).drop("__tokens", "__mark")
+    return _to_map(_to_map(rows, "__new", "fields"), "__old", "old_fields")
 
 
 def undecodable_lines(df: DataFrame, line: str = "data") -> DataFrame:
     """Lines that start like a row change but cannot be decoded; these belong in the dead letters."""
     text = F.col(line)
     header = text.rlike(HEADER)
-    other_op = text.rlike(r"(?s)^table\s+[^:]+:\s*[A-Z]+:")
+    other_op = text.rlike(r"^table\s+[^:]+:\s*[A-Z]+:")
     error = F.lit("Cannot decode change line")
     return df.where(text.startswith("table ") & ~header & ~other_op).withColumn("error", error)
 
@@ -102,12 +116,10 @@ def typed_fields(df: DataFrame, types: Mapping[str, str], fields: str = "fields"
 def inferred_json(fields: Column) -> Column:
     """Document text with untyped values inferred: quoted digits become numbers, blanks null."""
 
-    def token(k: Column, v: Column) -> Column:
-        quoted = F.to_json(F.array(k))
-        key = F.substring(quoted, F.lit(2), F.length(quoted) - 2)
-        return F.concat(key, F.lit(":"), infer_json(v.getField("text")))
+    def token(e: Column) -> Column:
+        return F.concat(quote_json(e.getField("key")), F.lit(":"), infer_json(e.getField("value").getField("text")))
 
-    pairs = F.transform(F.map_entries(fields), lambda e: token(e.getField("key"), e.getField("value")))
+    pairs = F.transform(F.map_entries(fields), token)
     return F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))
 
 
