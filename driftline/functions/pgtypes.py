@@ -86,6 +86,10 @@ LOG_TYPES = {
 # Fixed value: one element of an array literal, braces removed.
 ARRAY_ELEMENT = r'("[^"\\]*+(?:\\.[^"\\]*+)*+"|[^,]++)'
 
+# Fixed value: text that parses as an integer. Casts are only tried on text of the right shape: a
+# cast that fails costs far more than the pattern.
+INTEGER_TEXT = r"^[+-]?\d+$"
+
 _INTEGERS = {"int2": "smallint", "int4": "int", "int8": "bigint"}
 _OID_NAMES = {oid: name for name, oid in OIDS.items()}
 _ARRAY_OID_NAMES = {oid: name for name, oid in ARRAY_OIDS.items()}
@@ -100,7 +104,8 @@ def type_of_oid(oid: int) -> tuple[str, bool]:
 
 def money(c: Column) -> Column:
     cleaned = F.replace(F.regexp_replace(c, r"^\$+", ""), F.lit(","), F.lit(""))
-    return F.coalesce(cleaned.try_cast("decimal(18,2)"), F.lit(0).cast("decimal(18,2)"))
+    amount = let(cleaned, lambda v: F.when(v.rlike(NUMBER_TEXT), v).try_cast("decimal(18,2)"))
+    return F.coalesce(amount, F.lit(0).cast("decimal(18,2)"))
 
 
 def decode_scalar(c: Column, type_name: str, numeric_type: str = "decimal(38,10)") -> Column:
@@ -108,19 +113,19 @@ def decode_scalar(c: Column, type_name: str, numeric_type: str = "decimal(38,10)
     if type_name == "bool":
         value = c.isin("t", "true")
     elif type_name in _INTEGERS:
-        exact = F.when(c.rlike(r"^[+-]?\d+$"), c).try_cast(_INTEGERS[type_name])
+        exact = F.when(c.rlike(INTEGER_TEXT), c).try_cast(_INTEGERS[type_name])
         value = F.coalesce(exact, F.lit(0).cast(_INTEGERS[type_name]))
     elif type_name in ("float4", "float8"):
         special = F.when(F.lower(c).rlike(r"^[+-]?(inf|infinity|nan)$"), c)
         value = F.coalesce(F.coalesce(F.when(c.rlike(NUMBER_TEXT), c), special).try_cast("double"), F.lit(0.0))
     elif type_name == "numeric":
-        value = c.try_cast(numeric_type)
+        value = F.when(c.rlike(NUMBER_TEXT), c).try_cast(numeric_type)
     elif type_name == "money":
         value = money(c)
     elif type_name in ("json", "jsonb"):
         value = F.coalesce(F.try_parse_json(c), F.to_variant_object(F.struct(c.alias("raw"))))
     else:
-        value = c
+        return c
     return F.when(c.isNotNull(), value)
 
 
@@ -165,19 +170,20 @@ def unquote(raw: Column) -> Column:
 def infer_json(text: Column) -> Column:
     """JSON token of an untyped value: null, integer, float, boolean, else a string."""
 
+    def fraction(t: Column) -> Column:
+        plain = lambda n: F.when(F.abs(n) < float("inf"), double_text(n)).otherwise(quote_json(t))
+        return let(t.try_cast("double"), plain)
+
     def number(t: Column) -> Column:
-        integer = F.when(t.rlike(r"^[+-]?\d+$"), t).try_cast("bigint").cast("string")
-        fraction = let(
-            t.try_cast("double"), lambda n: F.when(F.abs(n) < float("inf"), double_text(n)).otherwise(quote_json(t))
+        return F.when(t.rlike(INTEGER_TEXT), F.coalesce(t.try_cast("bigint").cast("string"), fraction(t))).otherwise(
+            fraction(t)
         )
-        return F.coalesce(integer, fraction)
 
     def token(t: Column) -> Column:
-        word = F.lower(t)
         return (
             F.when(t.isNull() | (t == ""), F.lit("null"))
             .when(t.rlike(NUMBER_TEXT), number(t))
-            .when(t.rlike(r"(?i)^(true|false|null)$"), word)
+            .when((F.length(t) <= 5) & F.lower(t).isin("true", "false", "null"), F.lower(t))
             .otherwise(quote_json(t))
         )
 

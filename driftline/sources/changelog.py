@@ -109,8 +109,9 @@ def field_text(fields: Column, name: str) -> Column:
 
 def typed_fields(df: DataFrame, types: Mapping[str, str], fields: str = "fields") -> DataFrame:
     """One column per entry of ``types`` (name to database type name)."""
-    made = {name: decode_scalar(field_text(F.col(fields), name), kind) for name, kind in types.items()}
-    return df.withColumns(made)
+    # Look every field up once, then decode: the decoders use their input several times.
+    df = df.withColumns({name: field_text(F.col(fields), name) for name in types})
+    return df.withColumns({name: decode_scalar(F.col(name), kind) for name, kind in types.items()})
 
 
 def inferred_json(fields: Column) -> Column:
