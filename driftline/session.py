@@ -16,6 +16,9 @@ DEFAULTS = {
     "spark.ui.enabled": "false",
 }
 
+# Folders made for local sessions without spark.checkpoint.dir, by application.
+_LOCAL: dict[str, str] = {}
+
 
 def build_session(app: str = "driftline", master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
@@ -39,9 +42,10 @@ def shared_dir(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    path = tempfile.mkdtemp(prefix="driftline-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    application = spark.sparkContext.applicationId
+    if application not in _LOCAL:
+        _LOCAL[application] = tempfile.mkdtemp(prefix="driftline-")
+    return _LOCAL[application]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -5,9 +5,10 @@
 
 A batch writes only its own changes and reading merges them, so applying a batch costs as much as
 the batch, not as the table. ``compact`` folds the batches into a new base now and then. A batch
-directory is named after its id: running a batch again replaces it. Directories without a
-success mark (a job that died) are not read. Nothing is ever changed in place, so a reader keeps a
-consistent set of files. Where a table format with MERGE is at hand, that is the better home.
+directory is named after its id: running a batch again (a stream does that after a failure)
+replaces it, and only that makes a reader plan again. Directories without a success mark (a job
+that died) are not read. New batches and new bases leave all earlier files alone, so a reader
+keeps the set it started with. Where a table format with MERGE is at hand, that is the better home.
 """
 
 from __future__ import annotations
