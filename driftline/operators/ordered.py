@@ -3,8 +3,9 @@
 A plain window puts all rows of a key in one task, which fails when one key holds a large share
 of a log. These operators cut every key into chunks by a function of the order column (a log
 segment, an hour). Windows run inside a chunk; what a chunk needs from the chunks before it is
-one small summary row per key and chunk, carried forward over those rows only. Rows are shuffled
-once, by key and chunk.
+one small summary row per key and chunk, carried forward over those rows only. Whole rows are
+shuffled and sorted once, by key and chunk; the summaries come from partial aggregates, or from a
+second pass over the few columns they need.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ _KEY, _CHUNK = "__key", "__chunk"
 
 
 def log_chunk(position: Column, size: int = LOG_SEGMENT) -> Column:
-    return F.floor(position / F.lit(size)).cast("bigint")
+    return position - F.pmod(position, F.lit(size))
 
 
 def time_chunk(ts: Column, unit: str = "hour") -> Column:
@@ -54,34 +55,39 @@ def running(
     """
     rows = _chunked(df, keys, chunk)
     newest = F.struct(*[F.col(o) for o in order])
-    summary, carried, final = [], [], []
+    summary, carried, inside, final = [], [], {}, []
     local = _local(order)
     so_far = local.rowsBetween(W.unboundedPreceding, W.currentRow)
     earlier = _earlier_chunks()
     for name, (kind, value) in specs.items():
-        held, into = F.col(f"__s_{name}"), F.col(f"__c_{name}")
+        held, into, here = F.col(f"__s_{name}"), F.col(f"__c_{name}"), F.col(f"__l_{name}")
         boxed = F.struct(value.alias("v"))
         if kind == "sum":
-            part, carry = F.sum(value), F.sum(held).over(earlier)
-            result = F.coalesce(F.sum(value).over(so_far), F.lit(0)) + F.coalesce(into, F.lit(0))
+            part, carry, own = F.sum(value), F.sum(held).over(earlier), F.sum(value).over(so_far)
+            result = F.coalesce(here, F.lit(0)) + F.coalesce(into, F.lit(0))
         elif kind == "max":
-            part, carry = F.max(value), F.max(held).over(earlier)
-            result = F.greatest(F.max(value).over(so_far), into)
+            part, carry, own = F.max(value), F.max(held).over(earlier), F.max(value).over(so_far)
+            result = F.greatest(here, into)
         elif kind == "last":
             known = F.when(value.isNotNull(), boxed)
             part = F.max_by(known, F.when(value.isNotNull(), newest))
             carry = F.last(held, ignorenulls=True).over(earlier)
-            result = F.coalesce(F.last(known, ignorenulls=True).over(so_far), into).getField("v")
+            own = F.last(known, ignorenulls=True).over(so_far)
+            result = F.coalesce(here, into).getField("v")
         elif kind == "prev":
             part, carry = F.max_by(boxed, newest), F.last(held, ignorenulls=True).over(earlier)
-            result = F.coalesce(F.lag(boxed).over(local), into).getField("v")
+            own = F.lag(boxed).over(local)
+            result = F.coalesce(here, into).getField("v")
         else:
             raise ValueError(f"unknown running value: {kind}")
         summary.append(part.alias(f"__s_{name}"))
         carried.append(carry.alias(f"__c_{name}"))
+        inside[f"__l_{name}"] = own
         final.append(result.alias(name))
     carry_rows = rows.groupBy(_KEY, _CHUNK).agg(*summary).select(_KEY, _CHUNK, *carried)
-    return rows.join(carry_rows, [_KEY, _CHUNK], "left").select(*[F.col(f"`{c}`") for c in df.columns], *final)
+    # Windows before the join: the join then finds its rows sorted.
+    joined = rows.withColumns(inside).join(carry_rows, [_KEY, _CHUNK], "left")
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns], *final)
 
 
 def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, name: str = "rn") -> DataFrame:

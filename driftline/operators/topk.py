@@ -19,32 +19,65 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n
     return df.withColumn("__rank", F.row_number().over(spec)).where(F.col("__rank") <= n).drop("__rank")
 
 
+# Up to this many rows per key Spark cuts every task's share before the shuffle.
+EARLY_CUT = 1000
+
+# Hash buckets for rows that share one time.
+TIE_BUCKETS = 1 << 16
+
+
 def newest_per_key(df: DataFrame, keys: Sequence[str], n: int, created: str, tiebreak: str) -> DataFrame:
+    if n > EARLY_CUT:
+        return cut_by_time(df, keys, n, created, tiebreak)
     return first_per_key(df, keys, [F.col(created).desc(), F.col(tiebreak).desc()], n)
 
 
 def oldest_per_key(df: DataFrame, keys: Sequence[str], n: int, created: str, tiebreak: str) -> DataFrame:
+    if n > EARLY_CUT:
+        return cut_by_time(df, keys, n, created, tiebreak, newest=False)
     return first_per_key(df, keys, [F.col(created).asc(), F.col(tiebreak).asc()], n)
 
 
 def keep_newest(df: DataFrame, n: int, created: str, tiebreak: str, unit: str = "minute") -> DataFrame:
-    """The newest ``n`` rows overall, for any ``n``.
+    """The newest ``n`` rows overall, for any ``n``."""
+    return cut_by_time(df, [], n, created, tiebreak, unit=unit)
+
+
+def _split(df: DataFrame, keys: Sequence[str], bucket: Column, room: Column, newest: bool) -> tuple[DataFrame, DataFrame]:
+    """Rows of buckets that fit as a whole, and rows of the one bucket per key that is cut.
+
+    Only bucket counts are sorted; ``room`` (rows a key may keep) goes down along them.
+    """
+    rows = df.withColumns({"__bucket": bucket, "__room": room})
+    counts = rows.groupBy(*keys, "__bucket").agg(F.count(F.lit(1)).alias("__count"), F.first("__room").alias("__room"))
+    order = F.col("__bucket").desc() if newest else F.col("__bucket").asc()
+    before = W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    left = F.col("__room") - F.coalesce(F.sum("__count").over(before), F.lit(0))
+    kept = counts.select(*keys, "__bucket", "__count", left.alias("__left")).where(F.col("__left") > 0)
+    joined = rows.drop("__room").join(kept, [*keys, "__bucket"])
+    whole = joined.where(F.col("__count") <= F.col("__left")).select(*df.columns)
+    cut = joined.where(F.col("__count") > F.col("__left")).drop("__bucket", "__count")
+    return whole, cut
+
+
+def cut_by_time(
+    df: DataFrame, keys: Sequence[str], n: int, created: str, tiebreak: str, newest: bool = True, unit: str = "minute"
+) -> DataFrame:
+    """The newest (or oldest) ``n`` rows per key, for any ``n`` and any number of rows per key.
 
-    Counts per time unit tell which units are kept whole and which one is cut, so no task has to
-    sort more than the rows of one unit.
+    Counts per time unit tell which units stay whole and which one is cut; that unit is cut the
+    same way by exact time and a hash of ``tiebreak``, and only the rows of the last such bucket
+    are sorted. Among rows of one time the hash comes before ``tiebreak``.
     """
-    unit_of = F.date_trunc(unit, F.col(created)).cast("timestamp_ntz")
-    counts = df.groupBy(unit_of.alias("__unit")).agg(F.count(F.lit(1)).alias("__count"))
-    newer = W.orderBy(F.col("__unit").desc()).rowsBetween(W.unboundedPreceding, -1)
-    room = counts.select(
-        "__unit", "__count", (F.lit(n) - F.coalesce(F.sum("__count").over(newer), F.lit(0))).alias("__room")
-    ).where(F.col("__room") > 0)
-    rows = df.withColumn("__unit", unit_of).join(room, "__unit")
-    whole = rows.where(F.col("__count") <= F.col("__room"))
-    cut = rows.where(F.col("__count") > F.col("__room"))
-    spec = W.partitionBy("__unit").orderBy(F.col(created).desc(), F.col(tiebreak).desc())
-    cut = cut.withColumn("__rank", F.row_number().over(spec)).where(F.col("__rank") <= F.col("__room")).drop("__rank")
-    return whole.unionByName(cut).drop("__unit", "__count", "__room")
+    unit_of = F.date_trunc(unit, F.col(created))
+    whole, rest = _split(df, keys, unit_of, F.lit(n).cast("bigint"), newest)
+    fine = F.struct(F.col(created), F.pmod(F.xxhash64(tiebreak), F.lit(TIE_BUCKETS)))
+    rest = rest.withColumnRenamed("__left", "__unit_left")
+    fitting, last = _split(rest, keys, fine, F.col("__unit_left"), newest)
+    side = F.col(tiebreak).desc() if newest else F.col(tiebreak).asc()
+    spec = W.partitionBy(*keys).orderBy(side)
+    last = last.withColumn("__rank", F.row_number().over(spec)).where(F.col("__rank") <= F.col("__left"))
+    return whole.unionByName(fitting.select(*df.columns)).unionByName(last.select(*df.columns))
 
 
 def sample_rows(df: DataFrame, key: str, k: int, seed: int) -> DataFrame:

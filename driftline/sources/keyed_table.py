@@ -36,15 +36,10 @@ class KeyedTable:
     # --- files ------------------------------------------------------------------------------
 
     def _finished(self, kind: str, prefix: str) -> list[int]:
-        jvm = self.spark._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{kind}")
-        fs = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(folder):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(folder)]
-        numbers = [int(n[len(prefix) :]) for n in names if n.startswith(prefix)]
-        mark = lambda n: jvm.org.apache.hadoop.fs.Path(f"{self.path}/{kind}/{prefix}{n}/_SUCCESS")
-        return sorted(n for n in numbers if fs.exists(mark(n)))
+        """Numbers of the directories of a kind that hold a success mark; one listing."""
+        marks = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{kind}/{prefix}*/_SUCCESS")
+        found = marks.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(marks)
+        return sorted(int(s.getPath().getParent().getName()[len(prefix) :]) for s in found or [])
 
     def version(self) -> int:
         """Batch id of the newest base; -1 before the first."""
@@ -73,12 +68,19 @@ class KeyedTable:
     def upsert(self, rows: DataFrame, batch_id: int) -> None:
         self.write_batch(rows.withColumns({OP: F.lit("update"), LSN: F.lit(batch_id).cast("bigint")}), batch_id)
 
-    def compact(self) -> int:
-        """Fold all finished batches into a new base; returns its version."""
-        version = self.last_batch()
-        if version > self.version():
-            self.write_base(self.current(), version)
-        return version
+    def compact(self, until: int | None = None) -> int:
+        """Fold finished batches (up to ``until``) into a new base; returns its version."""
+        base = self.version()
+        batches = [b for b in self._finished("changes", "batch=") if b > base and (until is None or b <= until)]
+        if not batches:
+            return base
+        self.write_base(self.as_of(batches[-1]), batches[-1])
+        return batches[-1]
+
+    def compact_every(self, batches: int | None, before: int) -> None:
+        """Called ahead of batch ``before``: fold what came earlier once enough batches have piled up."""
+        if batches and before - 1 - max(self.version(), 0) >= batches:
+            self.compact(until=before - 1)
 
     # --- reading ----------------------------------------------------------------------------
 

@@ -19,6 +19,9 @@ from driftline.sources.keyed_table import KeyedTable
 # Fixed value: how long a batch waits for more rows by default.
 BATCH_INTERVAL = "1 second"
 
+# Batches between two compactions of the tables a stream writes.
+COMPACT_EVERY = 100
+
 
 def read_log(
     spark: SparkSession,
@@ -111,17 +114,22 @@ def apply_changes(
     ts: str = "__ts",
     start_after: int | None = None,
     once: bool = True,
+    compact_every: int | None = COMPACT_EVERY,
 ) -> StreamingQuery:
     """Run a task over a change stream and keep ``target`` up to date.
 
     Every table a batch writes stores it under the batch id, and the offsets are committed after
     that: a batch that is run again after a failure replaces what it wrote before. With
-    ``start_after`` the stream continues behind a full copy taken at that position.
+    ``start_after`` the stream continues behind a full copy taken at that position. Every
+    ``compact_every`` batches the earlier ones are folded into a new base.
     """
+    tables = [target, *([dead_letters.table] if dead_letters else []), *([progress] if progress else [])]
     if start_after is not None:
         stream = stream.where(F.col(LSN) > F.lit(start_after))
 
     def handle(batch: DataFrame, batch_id: int) -> None:
+        for table in tables:
+            table.compact_every(compact_every, batch_id + 1)
         # The batch feeds several writes. Lost cached blocks are computed again from its files.
         outcome = run_task(batch, task)
         rows = outcome.all_rows.persist()
@@ -183,12 +191,19 @@ def carry_streaks(before: DataFrame, batch: DataFrame, keys: Sequence[str]) -> D
 
 
 def track_streaks(
-    stream: DataFrame, keys: Sequence[str], order: str, success: Column, state: KeyedTable, checkpoint: str
+    stream: DataFrame,
+    keys: Sequence[str],
+    order: str,
+    success: Column,
+    state: KeyedTable,
+    checkpoint: str,
+    compact_every: int | None = COMPACT_EVERY,
 ) -> StreamingQuery:
     """Keep success and failure streaks per key in ``state`` (keys, ``ok``, ``length``)."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         number = batch_id + 1
+        state.compact_every(compact_every, number)
         earlier = state.as_of(number - 1)
         state.upsert(carry_streaks(earlier, batch_streaks(batch, keys, order, success), keys), number)
 

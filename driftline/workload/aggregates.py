@@ -125,12 +125,12 @@ def batch_size_histogram(t: Tables) -> DataFrame:
 
 def _quantile_sql(q: float) -> str:
     """Interpolated quantile over rows ``b(table_name, stage, bound, low, cum, prev, n)``."""
-    return f"""coalesce(min(CASE WHEN cum >= {q} * n THEN
-        struct_pack(bound := bound, v := CASE WHEN cum > prev THEN low + (bound - low) * (({q} * n - prev) / (cum - prev)) ELSE bound END) END).v, 5.0)"""
+    return f"""coalesce(min(CASE WHEN cum >= {q}::DOUBLE * n THEN
+        struct_pack(bound := bound, v := CASE WHEN cum > prev THEN low + (bound - low) * (({q}::DOUBLE * n - prev) / (cum - prev)) ELSE bound END) END).v, 5.0)"""
 
 
 BOUND_VALUES = ", ".join(
-    f"({low}, {high})"
+    f"({low}::DOUBLE, {high}::DOUBLE)"
     for low, high in zip((0.0, *metrics.STAGE_LATENCY_BOUNDS[:-1]), metrics.STAGE_LATENCY_BOUNDS)
 )
 
@@ -141,7 +141,7 @@ BOUND_VALUES = ", ".join(
     b AS (SELECT table_name, stage, high AS bound, low, CAST(sum(CASE WHEN seconds <= high THEN 1 ELSE 0 END) AS BIGINT) AS cum,
         CAST(sum(CASE WHEN seconds <= low AND low > 0 THEN 1 ELSE 0 END) AS BIGINT) AS prev, count(*) AS n
       FROM s, (VALUES {BOUND_VALUES}) v(low, high) GROUP BY table_name, stage, low, high)
-    SELECT table_name, stage, any_value(n) AS count, round({_quantile_sql(0.95)}, 6) AS p95, round({_quantile_sql(0.99)}, 6) AS p99
+    SELECT table_name, stage, any_value(n) AS count, round({_quantile_sql(0.95)}, 9) AS p95, round({_quantile_sql(0.99)}, 9) AS p99
     FROM b GROUP BY table_name, stage""",
 )
 def latency_quantiles(t: Tables) -> DataFrame:
@@ -152,7 +152,7 @@ def latency_quantiles(t: Tables) -> DataFrame:
     found = metrics.quantiles(
         rows, ["table_name", "stage"], F.col("seconds"), metrics.STAGE_LATENCY_BOUNDS, wanted
     )
-    return found.withColumns({n: F.round(n, 6) for n in wanted})
+    return found.withColumns({n: F.round(n, 9) for n in wanted})
 
 
 @query(

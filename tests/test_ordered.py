@@ -129,6 +129,24 @@ def test_keep_newest(spark):
         assert sorted(r.id for r in topk.keep_newest(df, n, "at", "id").collect()) == want
 
 
+def test_many_rows_per_key(spark):
+    """More rows than are cut early, with many rows of one time in a hot key."""
+    rng = random.Random(4)
+    rows = [("hot" if i % 3 else rng.choice("abc"), i, rng.choice([5, 5, 5, 6, 7, 100, 200])) for i in range(9000)]
+    df = spark.createDataFrame(rows, "k string, id int, s int").select(
+        "k", "id", (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(secs=F.col("s"))).alias("at"), "s"
+    )
+    for newest, cut in ((True, topk.newest_per_key), (False, topk.oldest_per_key)):
+        for n in (1001, 2500, 5999):
+            got = {}
+            for r in cut(df, ["k"], n, "at", "id").collect():
+                got.setdefault(r.k, []).append((r.s, r.id))
+            for key in ("hot", "a", "b", "c"):
+                times = sorted((s for k, _, s in rows if k == key), reverse=newest)[:n]
+                assert sorted((s for s, _ in got[key]), reverse=newest) == times
+                assert len(set(got[key])) == len(got[key])
+
+
 def test_histogram_quantile(spark):
     bounds = (1.0, 2.0, 4.0)
     rows = spark.createDataFrame([("a", v) for v in (0.5, 0.5, 1.5, 3.0, 3.5, 9.0)] + [("b", 9.0), ("c", None)], "k string, v double")

@@ -52,9 +52,10 @@ def test_apply(spark, landing, folder):
     dead = DeadLetterTable(spark, f"{folder}/d")
     progress = KeyedTable(spark, f"{folder}/p", ["task_id"], jobs.PROGRESS_SCHEMA)
     for _ in range(2):
-        jobs.apply_changes(stream(spark, landing), TASK, target, f"{folder}/c", dead, progress).awaitTermination()
+        query = jobs.apply_changes(stream(spark, landing), TASK, target, f"{folder}/c", dead, progress, compact_every=2)
+        query.awaitTermination()
     assert rows(target.current()) == expected(spark, landing, base)
-    assert target.last_batch() == 6 and dead.read().count() == 60
+    assert target.last_batch() == 6 and target.version() == 4 and dead.read().count() == 60
     found = progress.current().first()
     assert (found.batch_id, found.position, found.events_processed, found.events_failed) == (5, 599, 90, 10)
 
@@ -107,7 +108,7 @@ def test_window_counts(spark, landing, folder):
 def test_streak_state(spark, landing, folder):
     ok = F.col("code") != "bad"
     state = KeyedTable(spark, f"{folder}/s", ["k"], "k bigint, ok boolean, length bigint")
-    jobs.track_streaks(stream(spark, landing), ["k"], LSN, ok, state, f"{folder}/c").awaitTermination()
+    jobs.track_streaks(stream(spark, landing), ["k"], LSN, ok, state, f"{folder}/c", 2).awaitTermination()
     log = spark.read.parquet(landing)
     full = streaks(log, ["k"], [LSN], log_chunk(F.col(LSN), 32), ok)
     last = merge.latest_per_key(full, ["k"], [LSN])
