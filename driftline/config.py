@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Any
 
 # --- conditions -----------------------------------------------------------------------------
@@ -268,7 +268,12 @@ class SoftDelete:
 
 @dataclass(frozen=True)
 class SyncTask:
-    """What to read (``table``), what to do with each row, and where it goes (``index``)."""
+    """What to read (``table``), what to do with each row, and where it goes (``index``).
+
+    ``primary_key`` names document fields, as they are called after the task's own mapping.
+    Options: ``batch_timeout_ms`` (time between micro-batches) and ``deduplicate`` (drop repeated
+    deliveries within ``deduplicate_within``, ten minutes by default).
+    """
 
     id: str
     table: str
@@ -292,6 +297,11 @@ class SyncTask:
             value = _for_table(spec.get(name), spec["table"])
             return None if value is None else parser.parse(value)
 
+        event_filter = part("filter", EventFilter)
+        if only.get("expressions"):
+            extra = tuple(Condition.parse(e) for e in only["expressions"])
+            event_filter = event_filter or EventFilter()
+            event_filter = replace(event_filter, conditions=(*event_filter.conditions, *extra))
         return SyncTask(
             id=spec["id"],
             table=spec["table"],
@@ -300,7 +310,7 @@ class SyncTask:
             source_name=spec.get("source_name", "default"),
             include=only.get("include"),
             exclude=only.get("exclude"),
-            filter=part("filter", EventFilter),
+            filter=event_filter,
             transform=part("transform", Transforms),
             mapping=part("mapping", FieldMap),
             soft_delete=part("soft_delete", SoftDelete),

@@ -64,7 +64,7 @@ def retry(picked: DataFrame, at: Column) -> DataFrame:
 
 
 def without(df: DataFrame, removed: DataFrame, key: str = "id") -> DataFrame:
-    return df.join(removed.select(key), key, "left_anti")
+    return df.join(removed.select(key).distinct(), key, "left_anti")
 
 
 def retained(df: DataFrame, max_entries: int, now: Column, hours: int | None = None) -> DataFrame:

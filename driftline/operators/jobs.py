@@ -43,4 +43,4 @@ def update_picked(df: DataFrame, picked: DataFrame, key: str, changes: Mapping[s
 
 
 def picked_rows(df: DataFrame, picked: DataFrame, key: str) -> DataFrame:
-    return df.join(picked.select(key), key, "left_semi")
+    return df.join(picked.select(key).distinct(), key, "left_semi")

@@ -35,7 +35,7 @@ def keep_recent(df: DataFrame, n: int = KEEP_PER_TASK, created: str = "created_a
 
 def orphans(progress: DataFrame, active: DataFrame, key: str = "task_id") -> DataFrame:
     """Progress rows whose task is no longer active."""
-    return progress.join(active.select(key), key, "left_anti")
+    return progress.join(active.select(key).distinct(), key, "left_anti")
 
 
 def resume_points(tasks: DataFrame, progress: DataFrame, position: str = "position") -> DataFrame:

@@ -10,7 +10,8 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from driftline.config import SyncTask
-from driftline.operators import LSN, OP, deadletters
+from driftline.operators import LSN, OP, TABLE, deadletters
+from driftline.operators.dedup import stream_first_seen
 from driftline.operators.merge import latest_per_key
 from driftline.plans.sync import run_task
 from driftline.sources.deadletter_table import DeadLetterTable
@@ -19,6 +20,10 @@ from driftline.sources.keyed_table import KeyedTable
 # Fixed value: how long a batch waits for more rows by default.
 BATCH_INTERVAL = "1 second"
 
+# What tells deliveries apart, next to the key of the row.
+DELIVERY_COLUMNS = (LSN, "__xid", TABLE)
+DEDUP_DELAY = "10 minutes"
+
 # Batches between two compactions of the tables a stream writes.
 COMPACT_EVERY = 100
 
@@ -126,6 +131,11 @@ def apply_changes(
     tables = [target, *([dead_letters.table] if dead_letters else []), *([progress] if progress else [])]
     if start_after is not None:
         stream = stream.where(F.col(LSN) > F.lit(start_after))
+    if task.options.get("deduplicate"):
+        keys = [c for c in DELIVERY_COLUMNS if c in stream.columns]
+        timed = stream.withColumn("__seen", F.col(ts).cast("timestamp"))
+        delay = task.options.get("deduplicate_within", DEDUP_DELAY)
+        stream = stream_first_seen(timed, [*keys, *_row_keys(stream, task)], "__seen", delay).drop("__seen")
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         for table in tables:
@@ -150,7 +160,15 @@ def apply_changes(
         finally:
             rows.unpersist()
 
-    return each_batch(stream, handle, checkpoint, once)
+    interval = task.options.get("batch_timeout_ms")
+    return each_batch(
+        stream, handle, checkpoint, once, interval=f"{interval} milliseconds" if interval else BATCH_INTERVAL
+    )
+
+
+def _row_keys(stream: DataFrame, task: SyncTask) -> list[str]:
+    """Key fields of a task that the stream itself has (a mapping may make the others)."""
+    return [c for c in task.primary_key if c in stream.columns]
 
 
 def full_copy(table: DataFrame, task: SyncTask, target: KeyedTable, clock: Column | None = None) -> None:

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftline.config import SyncTask
-from driftline.operators import jobs, metrics, progress, routing, topk
+from driftline.operators import deadletters, jobs, metrics, progress, routing, topk
+from driftline.operators.asof import asof_join
 from driftline.sources import tables
 from driftline.workload.base import LOG, Tables, query
 
@@ -56,8 +57,9 @@ def task_fan_out(t: Tables) -> DataFrame:
     f"""WITH {LOG} SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT k FROM chg WHERE value > 150)""",
 )
 def untouched_rows(t: Tables) -> DataFrame:
-    changed = t.log.where("value > 150").select(F.col("k").alias("c_custkey"))
-    return t.customer.join(changed, "c_custkey", "left_anti").select("c_custkey", "c_name")
+    changed = t.log.where("value > 150").select(F.col("k").alias("task_id"))
+    customers = t.customer.select(F.col("c_custkey").alias("task_id"), "c_name")
+    return progress.orphans(customers, changed).withColumnRenamed("task_id", "c_custkey")
 
 
 @query(
@@ -68,8 +70,6 @@ def untouched_rows(t: Tables) -> DataFrame:
 )
 def asof_latest_label(t: Tables) -> DataFrame:
     """Each answer with the newest question before it in its conversation."""
-    from driftline.operators.asof import asof_join
-
     answers = t.conversations.where("role <> 'user'").select("conv_id", "turn")
     questions = t.conversations.where("role = 'user'").select(
         "conv_id", "turn", F.col("turn").alias("asked_at"), F.md5("text").alias("question")
@@ -180,4 +180,4 @@ def count_report(t: Tables) -> DataFrame:
     "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
 )
 def key_difference(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id").join(t.labels.select("doc_id"), "doc_id", "left_anti")
+    return deadletters.without(t.documents.select("doc_id"), t.labels, "doc_id")

@@ -193,7 +193,7 @@ def field_lists(t: Tables) -> DataFrame:
     "b16_filter_expressions",
     r"""SELECT o_orderkey, o_orderpriority FROM orders WHERE o_totalprice >= 50000 AND o_totalprice <= 400000
     AND o_orderstatus <> 'P' AND o_custkey NOT IN (1, 2, 3) AND o_orderpriority LIKE '%-%I%' AND regexp_matches(o_orderpriority, '^[1-4]-')
-    AND o_orderkey > 10 AND o_orderkey < 1000000000""",
+    AND o_orderkey > 10 AND o_orderkey < 1000000000000000""",
 )
 def filter_expressions(t: Tables) -> DataFrame:
     specs = [
@@ -204,7 +204,7 @@ def filter_expressions(t: Tables) -> DataFrame:
         ("o_orderpriority", "like", "%-%I%"),
         ("o_orderpriority", "regex", "^[1-4]-"),
         ("o_orderkey", "gt", 10),
-        ("o_orderkey", "lt", 1000000000),
+        ("o_orderkey", "lt", 10**15),
     ]
     rules = [{"field": f, "operator": o, "value": v} for f, o, v in specs]
     return where(t.orders, *rules).select("o_orderkey", "o_orderpriority")

@@ -21,10 +21,10 @@ def oldest_entries(t: Tables) -> DataFrame:
 
 @query(
     "f02_newest_first",
-    "SELECT event_id, ts FROM events WHERE user_id = 5 ORDER BY ts DESC",
+    "SELECT event_id, ts FROM events ORDER BY ts DESC, event_id DESC",
 )
 def newest_first(t: Tables) -> DataFrame:
-    return t.events.where("user_id = 5").orderBy(F.col("ts").desc(), F.col("event_id").desc()).select("event_id", "ts")
+    return t.events.orderBy(F.col("ts").desc(), F.col("event_id").desc()).select("event_id", "ts")
 
 
 @query("f03_task_ids", f"WITH {LETTERS} SELECT DISTINCT task_id FROM letters ORDER BY task_id")
@@ -35,14 +35,14 @@ def task_ids(t: Tables) -> DataFrame:
 @query(
     "f04_position_order",
     """SELECT to_hex(event_id % 300) || '/' || to_hex(event_id * 977) AS lsn, (event_id % 300) * 4294967296 + event_id * 977 AS lsn_num
-    FROM events ORDER BY lsn_num DESC LIMIT 300""",
+    FROM events ORDER BY lsn_num DESC""",
 )
 def position_order(t: Tables) -> DataFrame:
     """Numeric order of positions: 10/0 comes after F/0."""
     n = (F.col("event_id") % 300) * F.lit(4294967296) + F.col("event_id") * 977
     rows = t.events.select(lsn_text(n).alias("lsn"))
     rows = rows.withColumn("lsn_num", lsn_number(F.col("lsn")).cast("bigint"))
-    return rows.orderBy(F.col("lsn_num").desc()).limit(300)
+    return rows.orderBy(F.col("lsn_num").desc())
 
 
 @query("f05_sample", "SELECT p_partkey, p_name FROM part ORDER BY md5(p_partkey || ':42'), p_partkey LIMIT 25")

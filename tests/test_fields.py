@@ -167,3 +167,16 @@ def test_step_order(spark):
     assert run_task(rows, task).accepted.first()[OP] == "delete"
     late = run_task(rows, task, order=("filter", "transform", "map", "soft_delete"))
     assert late.accepted.first()[OP] == "update"
+
+
+def test_task_with_field_filters(people):
+    """Filter expressions of a task join the conditions of its filter."""
+    spec = {
+        "id": "t",
+        "table": "people",
+        "index": "p",
+        "filter": {"conditions": [{"op": "is_not_null", "field": "name"}]},
+        "field_filters": {"include": ["id", "name", "score"], "expressions": [{"field": "score", "operator": "gte", "value": 5}]},
+    }
+    done = run_task(people, SyncTask.from_dict(spec), full_sync=True).accepted
+    assert done.columns == ["id", "name", "score"] and ids(done) == [1]

@@ -1,5 +1,7 @@
 """Streams drained in several batches give what the batch plans give, also after a restart."""
 
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,6 +83,20 @@ def test_handover(spark, landing, folder):
     assert rows(target.current()) == everything
 
 
+def test_deduplicating_task(spark, landing, folder):
+    """The same files landed twice: progress counts every change once."""
+    again = f"{folder}/again"
+    for _ in range(2):
+        spark.read.parquet(landing).coalesce(1).write.mode("append").parquet(again)
+    target = KeyedTable(spark, f"{folder}/t", ["k"], ROW)
+    progress = KeyedTable(spark, f"{folder}/p", ["task_id"], jobs.PROGRESS_SCHEMA)
+    task = replace(TASK, options={"deduplicate": True, "deduplicate_within": "1 hour", "batch_timeout_ms": 500})
+    jobs.apply_changes(stream(spark, again), task, target, f"{folder}/c", progress=progress).awaitTermination()
+    assert rows(target.current()) == expected(spark, landing, spark.createDataFrame([], ROW))
+    seen = spark.read.parquet(f"{folder}/p/changes")
+    assert seen.agg(F.sum(F.col("events_processed") + F.col("events_failed"))).first()[0] == 600
+
+
 def test_dedup_across_batches(spark, landing, folder):
     twice = stream(spark, landing).withColumn("__ts", F.col("__ts").cast("timestamp"))
     twice = twice.withColumn("n", F.explode(F.array(F.lit(1), F.lit(2))))
