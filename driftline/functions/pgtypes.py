@@ -160,9 +160,8 @@ def unquote(raw: Column) -> Column:
     """Log value without its quotes, doubled quotes undone."""
 
     def strip(v: Column) -> Column:
-        quoted = v.startswith("'") & v.endswith("'") & (F.length(v) >= 2)
-        body = F.substring(v, F.lit(2), F.length(v) - 2)
-        return F.when(quoted, F.replace(body, F.lit("''"), F.lit("'"))).otherwise(v)
+        body = F.replace(F.substring(v, F.lit(2), F.length(v) - 2), F.lit("''"), F.lit("'"))
+        return F.when(v.startswith("'") & v.endswith("'") & (F.length(v) >= 2), body).otherwise(v)
 
     return let(F.trim(raw), strip)
 

@@ -8,41 +8,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftline.functions.pgtypes import decode_scalar, infer_json, unquote
-from driftline.functions.values import let, quote_json
+from driftline.functions.values import quote_json
 
 # Shape of one text line of the log.
 HEADER = r"^table\s+(?:([^:]*)\.)?([^.:]+):\s*(INSERT|UPDATE|DELETE):\s*"
 FIELD = r"[^\s\[]++\[[^\[\]]*+(?:\[\][^\[\]]*+)*+\]:(?:'[^']*+(?:''[^']*+)*+'|\S*+)"
 OLD_MARK, NEW_MARKS = "old-key:", ("new-tuple:", "new-key:")
+UNCHANGED = "unchanged-toast-datum"
 OPS = {"INSERT": "create", "UPDATE": "update", "DELETE": "delete"}
 
 
-def _entry(token: Column) -> Column:
-    """``struct<name, struct<type, text, quoted, unchanged>>`` of one ``name[type]:value`` token."""
-    name = F.substring_index(token, "[", 1)
-    start = F.length(name) + 2
-    end = F.instr(token, F.lit("]:"))
-    raw = F.substring(token, end + 2, F.length(token))
-    return F.struct(
-        name.alias("name"),
-        let(
-            raw,
-            lambda v: F.struct(
-                F.substring(token, start, end - start).alias("type"),
-                F.when(v != "null", unquote(v)).alias("text"),
-                v.startswith("'").alias("quoted"),
-                (v == "unchanged-toast-datum").alias("unchanged"),
-            ),
-        ).alias("value"),
-    )
+def _name(token: Column) -> Column:
+    return F.substring_index(token, "[", 1)
 
 
-def _last_wins(entries: Column) -> Column:
-    return F.filter(
-        entries,
-        lambda e, i: ~F.exists(
-            F.slice(entries, i + 2, F.size(entries)), lambda later: later.getField("name") == e.getField("name")
-        ),
+def _value(token: Column) -> Column:
+    """``struct<type, raw>`` of one ``name[type]:raw`` token."""
+    head = F.substring_index(token, "]:", 1)
+    return F.struct(
+        F.substring(head, F.length(_name(token)) + 2, F.length(head)).alias("type"),
+        F.substring(token, F.length(head) + 3, F.length(token)).alias("raw"),
     )
 
 
@@ -51,18 +36,21 @@ def _to_map(df: DataFrame, tokens: str, result: str) -> DataFrame:
 
     One column per step, so that no step is computed twice.
     """
-    entries, names = F.col("__entries"), F.col("__names")
-    df = df.withColumn("__entries", F.transform(tokens, _entry))
-    df = df.withColumn("__names", F.transform(entries, lambda e: e.getField("name")))
+    names, values = F.col("__names"), F.col("__values")
+    df = df.withColumns({"__names": F.transform(tokens, _name), "__values": F.transform(tokens, _value)})
     unique = F.size(F.array_distinct(names)) == F.size(names)
-    df = df.withColumn("__entries", F.when(unique, entries).otherwise(_last_wins(entries)))
-    return df.withColumn(result, F.map_from_entries("__entries")).drop("__entries", "__names", tokens)
+    entries = F.arrays_zip(names.alias("key"), values.alias("value"))
+    last = F.filter(
+        entries, lambda e, i: ~F.array_contains(F.slice(names, i + 2, F.size(names)), e.getField("key"))
+    )
+    made = F.when(unique, F.map_from_arrays(names, values)).otherwise(F.map_from_entries(last))
+    return df.withColumn(result, made).drop("__names", "__values", tokens)
 
 
 def decode_lines(df: DataFrame, line: str = "data") -> DataFrame:
     """Log lines to ``op, schema_name, table_name, fields, old_fields`` next to the other columns.
 
-    Lines that are not row changes (BEGIN, COMMIT, other operations) give no row. The marks
+    Fields are a map from name to ``struct<type, raw>``; see :func:`field_text`. Lines that are not row changes (BEGIN, COMMIT, other operations) give no row. The marks
     between the images of an update are tokens like the fields, so the same words inside a quoted
     value do not count.
     """
@@ -81,15 +69,11 @@ def decode_lines(df: DataFrame, line: str = "data") -> DataFrame:
     )
     tokens, mark = F.col("__tokens"), F.col("__mark")
     rows = rows.withColumn("__mark", F.greatest(*[F.array_position(tokens, m) for m in NEW_MARKS]).cast("int"))
-    is_field = lambda x: ~x.isin(OLD_MARK, *NEW_MARKS)
-    has_old = (mark > 1) & (F.array_position(tokens, OLD_MARK) > 0)
+    has_old = (mark > 1) & F.array_contains(tokens, OLD_MARK)
+    new = F.when(mark > 0, F.slice(tokens, mark + 1, F.greatest(F.lit(0), F.size(tokens) - mark))).otherwise(tokens)
+    old = F.when(has_old, F.slice(tokens, F.lit(1), mark - 1))
     rows = rows.withColumns(
-        {
-            "__new": F.when(
-                mark > 0, F.filter(F.slice(tokens, mark + 1, F.greatest(F.lit(0), F.size(tokens) - mark)), is_field)
-            ).otherwise(F.filter(tokens, is_field)),
-            "__old": F.when(has_old, F.filter(F.slice(tokens, F.lit(1), mark - 1), is_field)),
-        }
+        {"__new": F.array_remove(new, OLD_MARK), "__old": F.array_remove(old, OLD_MARK)}
     ).drop("__tokens", "__mark")
     return _to_map(_to_map(rows, "__new", "fields"), "__old", "old_fields")
 
@@ -103,14 +87,27 @@ def undecodable_lines(df: DataFrame, line: str = "data") -> DataFrame:
     return df.where(text.startswith("table ") & ~header & ~other_op).withColumn("error", error)
 
 
+def _text(raw: Column) -> Column:
+    """Unquoted text; null for a bare ``null``."""
+    return F.when(raw != "null", unquote(raw))
+
+
 def field_text(fields: Column, name: str) -> Column:
-    return F.try_element_at(fields, F.lit(name)).getField("text")
+    """Text of a field, null when it is null or not in the line."""
+    return _text(F.try_element_at(fields, F.lit(name)).getField("raw"))
+
+
+def unchanged_fields(fields: Column) -> Column:
+    """Names of the fields whose value the line leaves out because it did not change."""
+    return F.map_keys(F.map_filter(fields, lambda k, v: v.getField("raw") == UNCHANGED))
 
 
 def typed_fields(df: DataFrame, types: Mapping[str, str], fields: str = "fields") -> DataFrame:
     """One column per entry of ``types`` (name to database type name)."""
-    # Look every field up once, then decode: the decoders use their input several times.
-    df = df.withColumns({name: field_text(F.col(fields), name) for name in types})
+    # Look every field up once, then unquote, then decode: each step uses its input several times.
+    raw = {name: F.try_element_at(fields, F.lit(name)).getField("raw") for name in types}
+    df = df.withColumns(raw)
+    df = df.withColumns({name: _text(F.col(name)) for name in types})
     return df.withColumns({name: decode_scalar(F.col(name), kind) for name, kind in types.items()})
 
 
@@ -118,7 +115,7 @@ def inferred_json(fields: Column) -> Column:
     """Document text with untyped values inferred: quoted digits become numbers, blanks null."""
 
     def token(e: Column) -> Column:
-        return F.concat(quote_json(e.getField("key")), F.lit(":"), infer_json(e.getField("value").getField("text")))
+        return F.concat(quote_json(e.getField("key")), F.lit(":"), infer_json(_text(e.getField("value").getField("raw"))))
 
     pairs = F.transform(F.map_entries(fields), token)
     return F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))

@@ -42,21 +42,19 @@ def explode_array(df: DataFrame, raw: str) -> DataFrame:
     does not parse as a whole yields the objects in it that do.
     """
     text = F.col(raw)
-    whole = F.from_json(F.when(F.ltrim(text).startswith("["), text), "array<variant>", {"mode": "PERMISSIVE"})
-    parses = F.try_parse_json(text).isNotNull()
-    salvaged = F.transform(F.regexp_extract_all(text, F.lit(_object_pattern(SALVAGE_DEPTH)), F.lit(0)), F.try_parse_json)
-    is_array = F.ltrim(text).startswith("[")
-    items = F.when(is_array & parses, whole).when(is_array, salvaged)
-    keep = F.filter(items, lambda v: F.schema_of_variant(v).startswith("OBJECT"))
-    exploded = df.withColumn("__items", keep).select("*", F.posexplode("__items").alias("pos", "__item"))
-    return exploded.withColumn("item", F.to_json("__item")).drop("__items", "__item")
+    whole = F.from_json(text, "array<variant>", {"mode": "PERMISSIVE"})
+    found = F.regexp_extract_all(text, F.lit(_object_pattern(SALVAGE_DEPTH)), F.lit(0))
+    items = F.coalesce(F.col("__whole"), F.transform(found, F.try_parse_json))
+    is_object = lambda item: item.startswith("{")
+    arrays = df.where(F.ltrim(text).startswith("[")).withColumn("__whole", whole)
+    texts = F.filter(F.transform(items, lambda v: F.to_json(v)), is_object)
+    return arrays.withColumn("__texts", texts).select(*df.columns, F.posexplode("__texts").alias("pos", "item"))
 
 
 def skipped_items(raw: Column) -> Column:
     """How many items of a JSON array :func:`explode_array` leaves out."""
     whole = F.from_json(raw, "array<variant>", {"mode": "PERMISSIVE"})
-    objects = F.filter(whole, lambda v: F.schema_of_variant(v).startswith("OBJECT"))
-    return F.size(whole) - F.size(objects)
+    return F.size(F.filter(F.transform(whole, lambda v: F.to_json(v)), lambda item: ~item.startswith("{")))
 
 
 def route_by_field(df: DataFrame, raw: str, field: str = "table") -> DataFrame:

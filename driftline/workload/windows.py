@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from driftline.operators import dedup, merge, metrics, ordered, progress, topk
 from driftline.plans import alerts
+from driftline.session import scratch_path
 from driftline.workload.base import DELIVERIES, LOG, Tables, query
 from driftline.workload.scans import LETTERS, letters
 
@@ -113,7 +114,7 @@ def condition_held(t: Tables) -> DataFrame:
 
 
 def metric_samples(t: Tables) -> DataFrame:
-    """Samples for all alert rules, derived from the events of each type."""
+    """Samples for all alert rules, derived from the events of each type and stored by metric."""
     k = F.get_json_object("props", "$.k").cast("double")
     value = F.col("value")
     one = F.lit(1.0)
@@ -138,7 +139,10 @@ def metric_samples(t: Tables) -> DataFrame:
     rows = t.events.select(
         F.explode(items).alias("s"), F.col("event_type").alias("series"), outcome.alias("outcome"), "ts"
     )
-    return rows.where("s.value IS NOT NULL").select("s.metric", "series", "outcome", "ts", "s.value")
+    rows = rows.where("s.value IS NOT NULL").select("s.metric", "series", "outcome", "ts", "s.value")
+    path = scratch_path(t.spark, "samples")
+    rows.write.partitionBy("metric").parquet(path)
+    return t.spark.read.schema(alerts.SAMPLE_SCHEMA).parquet(path)
 
 
 @query(
