@@ -8,9 +8,11 @@ filters and projections on document fields reach the file scan:
 ``__lsn``     sortable position in the log
 ``__old``     image before an update, where the log has one (struct)
 ``__errors``  messages of the steps this row failed
+``__unchanged``  names of the fields an update left out because they did not change
 """
 
 OP, TABLE, SCHEMA, LSN, OLD, ERRORS = "__op", "__table", "__schema", "__lsn", "__old", "__errors"
+UNCHANGED = "__unchanged"
 
 
 def is_meta(name: str) -> bool:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import or_
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -32,7 +34,7 @@ from driftline.functions.values import (
     to_number,
     walk_path,
 )
-from driftline.operators import ERRORS, TABLE, is_meta
+from driftline.operators import ERRORS, OP, TABLE, UNCHANGED, is_meta
 
 
 def _doc_fields(df: DataFrame) -> dict[str, T.DataType]:
@@ -43,9 +45,20 @@ def _col(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
-def _rebuild(df: DataFrame, doc: dict[str, Column], errors: Sequence[Column] = ()) -> DataFrame:
-    """Select reserved columns, the new document columns and the grown error list."""
-    meta = [_col(c) for c in df.columns if is_meta(c) and c != ERRORS]
+def _rebuild(
+    df: DataFrame, doc: dict[str, Column], errors: Sequence[Column] = (), renamed: Mapping[str, str] | None = None
+) -> DataFrame:
+    """Select reserved columns, the new document columns and the grown error list.
+
+    Names of unchanged fields follow ``renamed``.
+    """
+    meta = [_col(c) for c in df.columns if is_meta(c) and c not in (ERRORS, UNCHANGED)]
+    if UNCHANGED in df.columns:
+        names = _col(UNCHANGED)
+        if renamed:
+            to = F.create_map(*[F.lit(x) for pair in renamed.items() for x in pair])
+            names = F.transform(names, lambda n: F.coalesce(F.try_element_at(to, n), n))
+        meta.append(names.alias(UNCHANGED))
     if errors:
         found = F.array_compact(F.array(*errors))
         earlier = [_col(ERRORS)] if ERRORS in df.columns else []
@@ -55,6 +68,16 @@ def _rebuild(df: DataFrame, doc: dict[str, Column], errors: Sequence[Column] = (
     return df.select(*meta, *[c.alias(name) for name, c in doc.items()])
 
 
+def _absent(df: DataFrame, name: str) -> Column | None:
+    """Whether a row does not carry a field at all: deletes hold only their key, updates may leave fields out."""
+    tests = []
+    if OP in df.columns:
+        tests.append((F.col(OP) == "delete") & _col(name).isNull())
+    if UNCHANGED in df.columns:
+        tests.append(F.array_contains(UNCHANGED, name))
+    return reduce(or_, [F.coalesce(t, F.lit(False)) for t in tests]) if tests else None
+
+
 def select_fields(
     df: DataFrame, include: Sequence[str] | None = None, exclude: Sequence[str] | None = None
 ) -> DataFrame:
@@ -90,25 +113,27 @@ def _convert(name: str, dtype: T.DataType, to_type: str) -> tuple[Column, Column
 def transform_fields(df: DataFrame, rules: Sequence[Any]) -> DataFrame:
     """Field rules in order. Every rule reads the input row; renamed fields lose their old name.
 
-    A conversion that fails adds its message to ``__errors`` and leaves the value null.
+    A conversion that fails adds its message to ``__errors`` and leaves the value null. Fields a
+    row does not carry are not converted.
     """
     if not rules:
         return df
     fields = _doc_fields(df)
     made: dict[str, Column] = {}
     errors: list[Column] = []
-    renamed: set[str] = set()
+    renamed: dict[str, str] = {}
     for rule in rules:
         if isinstance(rule, Rename):
             if rule.source in fields:
                 made[rule.to] = _col(rule.source)
-                renamed.add(rule.source)
+                renamed[rule.source] = rule.to
         elif isinstance(rule, Convert):
             if rule.field in fields:
                 value, error = _convert(rule.field, fields[rule.field], rule.to_type)
-                made[rule.field] = value
+                absent = _absent(df, rule.field)
+                made[rule.field] = value if absent is None else F.when(~absent, value)
                 if error is not None:
-                    errors.append(error)
+                    errors.append(error if absent is None else F.when(~absent, error))
         elif isinstance(rule, Extract):
             found = walk_path(_col(rule.source), fields[rule.source], rule.path) if rule.source in fields else None
             if found is not None:
@@ -120,7 +145,7 @@ def transform_fields(df: DataFrame, rules: Sequence[Any]) -> DataFrame:
         else:
             raise TypeError(f"not a field transform: {rule!r}")
     kept = {n: _col(n) for n in fields if n not in renamed and n not in made}
-    return _rebuild(df, {**kept, **made}, errors)
+    return _rebuild(df, {**kept, **made}, errors, renamed)
 
 
 def apply_globals(df: DataFrame, rules: Sequence[Any], clock: Column | None = None) -> DataFrame:
@@ -161,6 +186,7 @@ def map_fields(df: DataFrame, spec: FieldMap) -> DataFrame:
     fields = _doc_fields(df)
     made: dict[str, Column] = {}
     used: set[str] = set()
+    renamed: dict[str, str] = {}
     for rule in spec.fields:
         present = rule.source in fields
         if rule.to is None:
@@ -169,6 +195,7 @@ def map_fields(df: DataFrame, spec: FieldMap) -> DataFrame:
             if present:
                 made[rule.to] = _col(rule.source)
                 used.add(rule.source)
+                renamed[rule.source] = rule.to
         elif rule.sources is not None:
             parts = [s for s in rule.sources if s in fields]
             used.update(parts)
@@ -179,14 +206,17 @@ def map_fields(df: DataFrame, spec: FieldMap) -> DataFrame:
             if found is not None:
                 made[rule.to] = found[0]
                 used.add(rule.source)
+                renamed[rule.source] = rule.to
         else:
             made[rule.to] = _col(rule.source) if present else literal(rule.default)
             used.add(rule.source)
+            renamed[rule.source] = rule.to
     rest = [n for n in fields if n not in used]
     if spec.unmapped == "exclude":
         extra: dict[str, Column] = {}
     elif spec.unmapped == "prefix":
         extra = {f"{spec.prefix}{n}": _col(n) for n in rest}
+        renamed |= {n: f"{spec.prefix}{n}" for n in rest}
     else:
         extra = {n: _col(n) for n in rest if n not in made}
-    return _rebuild(df, {**made, **extra})
+    return _rebuild(df, {**made, **extra}, renamed=renamed)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftline.functions.values import INTEGRAL
-from driftline.operators import OP, is_meta
+from driftline.operators import OP, UNCHANGED, is_meta
 from driftline.operators.topk import first_per_key
 
 
@@ -46,7 +46,7 @@ def document_actions(df: DataFrame, primary_key: str | None, op: str = OP) -> Da
 
 
 def fold_unchanged(
-    changes: DataFrame, keys: Sequence[str], order: str, columns: Sequence[str], unchanged: str = "unchanged"
+    changes: DataFrame, keys: Sequence[str], order: str, columns: Sequence[str], unchanged: str = UNCHANGED
 ) -> DataFrame:
     """Last change per key in which columns marked as unchanged hold their newest known value.
 
@@ -68,7 +68,7 @@ def fold_unchanged(
     )
 
 
-def fill_unchanged(latest: DataFrame, snapshot: DataFrame, keys: Sequence[str], unchanged: str = "unchanged") -> DataFrame:
+def fill_unchanged(latest: DataFrame, snapshot: DataFrame, keys: Sequence[str], unchanged: str = UNCHANGED) -> DataFrame:
     """Take columns still marked as unchanged from the snapshot row of the same key."""
     shared = [c for c in snapshot.columns if c in latest.columns and c not in keys]
     before = snapshot.select(*keys, F.struct(*shared).alias("__before"))

@@ -19,19 +19,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftline.operators import LSN, OP
-from driftline.operators.merge import latest_per_key, merge_snapshot
+from driftline.operators import LSN, OP, UNCHANGED
+from driftline.operators.merge import fill_unchanged, fold_unchanged, latest_per_key, merge_snapshot
 
 
 class KeyedTable:
-    def __init__(self, spark: SparkSession, path: str, keys: Sequence[str], schema: T.StructType | str):
-        """``schema`` is that of the rows, without the reserved columns."""
+    def __init__(
+        self, spark: SparkSession, path: str, keys: Sequence[str], schema: T.StructType | str, unchanged: bool = False
+    ):
+        """``schema`` is that of the rows, without the reserved columns.
+
+        With ``unchanged``, changes may name fields they leave out in ``__unchanged``: these keep the
+        newest value known from earlier changes or the base. It costs a join with the base when
+        reading.
+        """
         if isinstance(schema, str):
             schema = T.StructType.fromDDL(schema)
         self.spark, self.path, self.keys, self.schema = spark, path.rstrip("/"), list(keys), schema
-        self.change_schema = T.StructType(
-            [*schema.fields, T.StructField(OP, T.StringType()), T.StructField(LSN, T.LongType())]
-        )
+        self.unchanged = unchanged
+        reserved = [T.StructField(OP, T.StringType()), T.StructField(LSN, T.LongType())]
+        if unchanged:
+            reserved.append(T.StructField(UNCHANGED, T.ArrayType(T.StringType())))
+        self.change_schema = T.StructType([*schema.fields, *reserved])
 
     # --- files ------------------------------------------------------------------------------
 
@@ -61,9 +70,17 @@ class KeyedTable:
 
     def write_batch(self, changes: DataFrame, batch_id: int) -> None:
         """Store the last change per key. ``changes`` has the rows plus ``__op`` and ``__lsn``."""
+        if self.unchanged and UNCHANGED not in changes.columns:
+            changes = changes.withColumn(UNCHANGED, F.array())
         wanted = changes.select(*[F.col(f.name).cast(f.dataType) for f in self.change_schema.fields])
-        rows = latest_per_key(wanted.where(F.col(OP).isin("create", "update", "delete")), self.keys, [LSN])
-        rows.write.mode("overwrite").parquet(f"{self.path}/changes/batch={batch_id}")
+        rows = self._last(wanted.where(F.col(OP).isin("create", "update", "delete")))
+        rows.select(*self.change_schema.fieldNames()).write.mode("overwrite").parquet(f"{self.path}/changes/batch={batch_id}")
+
+    def _last(self, changes: DataFrame) -> DataFrame:
+        if self.unchanged:
+            columns = [c for c in self.schema.fieldNames() if c not in self.keys]
+            return fold_unchanged(changes, self.keys, LSN, columns)
+        return latest_per_key(changes, self.keys, [LSN])
 
     def upsert(self, rows: DataFrame, batch_id: int) -> None:
         self.write_batch(rows.withColumns({OP: F.lit("update"), LSN: F.lit(batch_id).cast("bigint")}), batch_id)
@@ -99,8 +116,10 @@ class KeyedTable:
 
         Only batches after the newest base can be told apart.
         """
-        latest = latest_per_key(self.changes(batch), self.keys, [LSN])
-        return merge_snapshot(self.base(), latest.drop(LSN), self.keys).select(*self.schema.fieldNames())
+        base, latest = self.base(), self._last(self.changes(batch))
+        if self.unchanged:
+            latest = fill_unchanged(latest, base, self.keys)
+        return merge_snapshot(base, latest.drop(LSN), self.keys).select(*self.schema.fieldNames())
 
     def current(self) -> DataFrame:
         return self.as_of(None)

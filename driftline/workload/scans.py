@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from driftline.config import Convert, SyncTask, Transforms
 from driftline.functions.positions import lsn_number, lsn_text
 from driftline.functions.sizes import document_size
-from driftline.operators import LSN, OP, asof, deadletters, dedup, merge, progress
+from driftline.operators import LSN, OP, UNCHANGED, asof, deadletters, merge, progress
 from driftline.plans.sync import run_task
 from driftline.session import scratch_path
 from driftline.sources import changelog, documents, tables
@@ -356,9 +356,11 @@ def document_actions(t: Tables) -> DataFrame:
     UNION ALL SELECT k, value, props FROM last WHERE op <> 'delete'""",
 )
 def snapshot_merge(t: Tables) -> DataFrame:
-    """Repeated deliveries out, last change per key, then onto the snapshot."""
-    once = dedup.first_seen(t.deliveries, ["lsn", "k"], [F.col("arrival")])
-    changes = once.select("k", "value", "props", F.col("op").alias(OP), F.col("event_id").alias(LSN))
+    """Last change per key onto the snapshot.
+
+    A change that was delivered twice needs no pass of its own: both copies have one position.
+    """
+    changes = t.deliveries.select("k", "value", "props", F.col("op").alias(OP), F.col("event_id").alias(LSN))
     return merge.fan_in(t.snapshot, changes, ["k"], [LSN])
 
 
@@ -375,7 +377,7 @@ def merge_unchanged(t: Tables) -> DataFrame:
     """Updates that leave out ``props`` keep the newest known text."""
     left_out = F.when(F.col("op") == "update", F.array(F.lit("props"))).otherwise(F.array().cast("array<string>"))
     changes = t.log.select(
-        "k", "value", "props", F.col("op").alias(OP), F.col("event_id").alias(LSN), left_out.alias("unchanged")
+        "k", "value", "props", F.col("op").alias(OP), F.col("event_id").alias(LSN), left_out.alias(UNCHANGED)
     )
     latest = merge.fold_unchanged(changes, ["k"], LSN, ["value", "props"])
     return merge.merge_snapshot(t.snapshot, merge.fill_unchanged(latest, t.snapshot, ["k"]), ["k"])

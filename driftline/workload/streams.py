@@ -199,7 +199,7 @@ def dead_letter_branch(t: Tables) -> DataFrame:
 
 @query(
     "i10_progress_rows",
-    f"""WITH {LOG} SELECT 'items' AS task_id, 'default' AS source_name, 0 AS batch_id, max(event_id) AS position,
+    f"""WITH {LOG} SELECT 'items' AS task_id, 'default' AS source_name, CAST(0 AS BIGINT) AS batch_id, max(event_id) AS position,
       count(CASE WHEN value <= 100 THEN 1 END) AS events_processed, count(CASE WHEN value > 100 THEN 1 END) AS events_failed, max(ts) AS last_event_at FROM chg""",
 )
 def progress_rows(t: Tables) -> DataFrame:

@@ -180,3 +180,22 @@ def test_task_with_field_filters(people):
     }
     done = run_task(people, SyncTask.from_dict(spec), full_sync=True).accepted
     assert done.columns == ["id", "name", "score"] and ids(done) == [1]
+
+
+def test_fields_a_row_does_not_carry(spark):
+    """Deletes hold only their key and updates may leave fields out: nothing to convert there."""
+    rows = spark.createDataFrame(
+        [(1, None, "delete", None), (2, None, "update", ["n"]), (3, None, "update", []), (4, "5", "update", ["x"])],
+        "id int, n string, __op string, __unchanged array<string>",
+    )
+    spec = {
+        "id": "t",
+        "table": "t",
+        "index": "t",
+        "transform": {"fields": [{"type": "convert", "field": "n", "to_type": "number"}]},
+        "mapping": {"fields": {"n": "amount"}, "unmapped_fields_strategy": "include"},
+    }
+    outcome = run_task(rows, SyncTask.from_dict(spec))
+    got = sorted((r.id, r.amount, r["__unchanged"]) for r in outcome.accepted.collect())
+    assert got == [(1, None, None), (2, None, ["amount"]), (4, 5.0, ["x"])]
+    assert [r.error for r in outcome.rejected.collect()] == ["Cannot convert value to number"]

@@ -53,7 +53,7 @@ def test_unchanged_columns(spark):
             (3, "n", "m", "create", 4, []),
             (3, None, "m2", "update", 5, ["a"]),
         ],
-        "k int, a string, b string, __op string, __lsn bigint, unchanged array<string>",
+        "k int, a string, b string, __op string, __lsn bigint, __unchanged array<string>",
     )
     latest = merge.fill_unchanged(merge.fold_unchanged(log, ["k"], LSN, ["a", "b"]), base, ["k"])
     got = merge.merge_snapshot(base, latest, ["k"])
@@ -111,6 +111,19 @@ def test_unfinished_writes_are_not_read(spark, base, folder):
     assert table.version() == 0 and pairs(table.current()) == pairs(base)
 
 
+def test_left_out_fields_across_batches(spark, folder):
+    base = spark.createDataFrame([(1, "a0", "b0"), (2, "c0", "d0")], "k int, a string, b string")
+    table = KeyedTable(spark, f"{folder}/t", ["k"], base.schema, unchanged=True)
+    table.write_base(base)
+    schema = "k int, a string, b string, __op string, __lsn bigint, __unchanged array<string>"
+    table.write_batch(spark.createDataFrame([(1, None, "b1", "update", 1, ["a"]), (3, "e", "f", "create", 2, [])], schema), 1)
+    table.write_batch(spark.createDataFrame([(1, "a2", None, "update", 3, ["b"]), (3, None, "g", "update", 4, ["a"])], schema), 2)
+    want = [(1, "a2", "b1"), (2, "c0", "d0"), (3, "e", "g")]
+    assert sorted(map(tuple, table.current().collect())) == want
+    table.compact()
+    assert sorted(map(tuple, table.current().collect())) == want
+
+
 def test_publish(spark, base, folder):
     table = KeyedTable(spark, f"{folder}/t", ["k"], base.schema)
     table.write_base(base)
