@@ -8,13 +8,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftline.functions.pgtypes import decode_scalar, infer_json, unquote
+from driftline.functions.positions import lsn_number
 from driftline.functions.values import quote_json
+from driftline.operators import ERRORS, LSN, OP, SCHEMA, TABLE, UNCHANGED
 
 # Shape of one text line of the log.
 HEADER = r"^table\s+(?:([^:]*)\.)?([^.:]+):\s*(INSERT|UPDATE|DELETE):\s*"
 FIELD = r"[^\s\[]++\[[^\[\]]*+(?:\[\][^\[\]]*+)*+\]:(?:'[^']*+(?:''[^']*+)*+'|\S*+)"
 OLD_MARK, NEW_MARKS = "old-key:", ("new-tuple:", "new-key:")
-UNCHANGED = "unchanged-toast-datum"
+LEFT_OUT = "unchanged-toast-datum"
 OPS = {"INSERT": "create", "UPDATE": "update", "DELETE": "delete"}
 
 
@@ -99,7 +101,7 @@ def field_text(fields: Column, name: str) -> Column:
 
 def unchanged_fields(fields: Column) -> Column:
     """Names of the fields whose value the line leaves out because it did not change."""
-    return F.map_keys(F.map_filter(fields, lambda k, v: v.getField("raw") == UNCHANGED))
+    return F.map_keys(F.map_filter(fields, lambda k, v: v.getField("raw") == LEFT_OUT))
 
 
 def typed_fields(df: DataFrame, types: Mapping[str, str], fields: str = "fields") -> DataFrame:
@@ -111,6 +113,28 @@ def typed_fields(df: DataFrame, types: Mapping[str, str], fields: str = "fields"
     return df.withColumns({name: decode_scalar(F.col(name), kind) for name, kind in types.items()})
 
 
+def change_rows(
+    df: DataFrame, types: Mapping[str, str], line: str = "data", lsn: str = "lsn", ts: str | None = None
+) -> DataFrame:
+    """Log lines as rows a task takes: reserved columns and one typed column per entry of ``types``.
+
+    Rows without a position cannot be ordered; they carry an error and end as rejected rows.
+    """
+    rows = typed_fields(decode_lines(df, line), types)
+    no_position = F.when(F.col(LSN).isNull(), F.lit("Missing position"))
+    made = {
+        OP: F.col("op"),
+        SCHEMA: F.col("schema_name"),
+        TABLE: F.col("table_name"),
+        LSN: lsn_number(F.col(lsn)).cast("bigint"),
+        UNCHANGED: unchanged_fields(F.col("fields")),
+    }
+    if ts is not None:
+        made["__ts"] = F.col(ts)
+    wanted = [F.when(~F.array_contains(UNCHANGED, n), F.col(n)).alias(n) for n in types]
+    return rows.withColumns(made).select(*made, F.array_compact(F.array(no_position)).alias(ERRORS), *wanted)
+
+
 def inferred_json(fields: Column) -> Column:
     """Document text with untyped values inferred: quoted digits become numbers, blanks null."""
 

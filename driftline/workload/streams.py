@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from driftline.config import Convert, SyncTask, Transforms
 from driftline.operators import LSN, OP, dedup
 from driftline.session import scratch_path
+from driftline.sources import changelog
 from driftline.sources.deadletter_table import DeadLetterTable
 from driftline.sources.keyed_table import KeyedTable
 from driftline.streaming import jobs
 from driftline.workload.base import LOG, SNAPSHOT, Tables, op_of_event, query
+from driftline.workload.scans import document_lines
 
 
 def event_stream(t: Tables) -> DataFrame:
@@ -71,6 +73,25 @@ def idempotent_apply(t: Tables) -> DataFrame:
     return target.current()
 
 
+@query(
+    "i03_lines_to_table",
+    """SELECT doc_id, md5(text) AS text_md5, CASE WHEN lang <> 'es' THEN source END AS source, n_chars FROM documents WHERE lang <> 'de'""",
+)
+def lines_to_table(t: Tables) -> DataFrame:
+    """From text lines of the log to a table: decode, run the task, merge."""
+    home = scratch_path(t.spark, "lines")
+    lsn = F.concat(F.lit("0/"), F.hex(F.monotonically_increasing_id()))
+    document_lines(t).select(lsn.alias("lsn"), "data").write.parquet(f"{home}/landing")
+    landed = jobs.read_log(t.spark, f"{home}/landing", t.spark.read.parquet(f"{home}/landing").schema)
+    types = {"doc_id": "int8", "text": "text", "source": "text", "n_chars": "int8"}
+    target = KeyedTable(
+        t.spark, f"{home}/items", ["doc_id"], "doc_id bigint, text string, source string, n_chars bigint", unchanged=True
+    )
+    task = SyncTask("documents", "app.documents", "documents", ("doc_id",))
+    jobs.apply_changes(changelog.change_rows(landed, types), task, target, f"{home}/checkpoint").awaitTermination()
+    return target.current().select("doc_id", F.md5("text").alias("text_md5"), "source", "n_chars")
+
+
 @query(
     "i05_streaming_counts",
     f"""WITH {LOG}, w AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, op, count(*) AS events FROM chg GROUP BY ALL)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from driftline.config import SyncTask
 from driftline.operators import routing
+from driftline.plans.sync import run_task
 from driftline.sources import changelog, documents, tables
 
 LINES = [
@@ -68,6 +69,21 @@ def test_typed_fields(spark):
     assert (r.id, r.name, r.live) == (2, "007", True)
 
 
+def test_change_rows(spark):
+    """Types, left-out fields and missing positions on the way into a task."""
+    lines = [
+        ("0/10", "table public.u: UPDATE: id[integer]:1 big[text]:unchanged-toast-datum n[integer]:5"),
+        (None, "table public.u: INSERT: id[integer]:2 big[text]:'x' n[integer]:6"),
+        ("0/11", "table public.u: DELETE: id[integer]:3"),
+    ]
+    df = spark.createDataFrame(lines, "lsn string, data string")
+    rows = changelog.change_rows(df, {"id": "int4", "big": "text", "n": "int4"})
+    outcome = run_task(rows, SyncTask("t", "public.u", "u"))
+    got = sorted((r.id, r.big, r.n, r["__op"], r["__lsn"], r["__unchanged"]) for r in outcome.accepted.collect())
+    assert got == [(1, None, 5, "update", 16, ["big"]), (3, None, None, "delete", 17, [])]
+    assert [r.error for r in outcome.rejected.collect()] == ["Missing position"]
+
+
 def test_undecodable(spark):
     rows = changelog.undecodable_lines(spark.createDataFrame(LINES, "lsn string, data string"))
     assert [r.lsn for r in rows.collect()] == ["0/8"]
