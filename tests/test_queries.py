@@ -29,6 +29,7 @@ def test_plan_has_no_pairwise_join_and_no_python(spark, data, name):
 
 
 def test_filters_reach_the_scan(spark, data):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
     plan = QUERIES["b13_conditions_anded"](spark, data)._jdf.queryExecution().executedPlan().toString()
     for part in ("EqualTo(o_orderstatus,O)", "GreaterThan(o_totalprice,100000.0)", "StringContains(o_orderpriority,HIGH)"):
         assert part in plan
