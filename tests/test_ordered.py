@@ -28,6 +28,14 @@ def case(spark, request):
     return rows, spark.createDataFrame(rows, SCHEMA).repartition(5)
 
 
+@pytest.fixture(scope="module", autouse=True, params=["10m", "-1"])
+def joins(spark, request):
+    """Both ways the summaries can meet their rows: broadcast, and shuffled and sorted."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", request.param)
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def by_key(rows):
     groups = {}
     for r in sorted(rows, key=lambda r: r[1]):

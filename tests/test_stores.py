@@ -6,7 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from driftline.operators import LSN, OP, deadletters, dedup, merge, progress
+from driftline.operators import LSN, deadletters, dedup, merge, progress
 from driftline.sources import tables
 from driftline.sources.deadletter_table import DeadLetterTable
 from driftline.sources.keyed_table import KeyedTable
