@@ -231,11 +231,11 @@ def evaluate(samples: DataFrame, rules: Sequence[Rule] = RULES, step: int = STEP
         following = F.lead("at").over(W.partitionBy("metric", "series").orderBy("at"))
         points = points.withColumn("__last", F.coalesce(following - step, F.col("at")))
         own = F.filter(_rule_rows(group), lambda r: r.getField("metric") == F.col("metric"))
-        parts.append(points.select("series", "at", "value", "__last", F.explode(own).alias("rule")))
-    rows = reduce(DataFrame.unionByName, [p.withColumn("value", F.col("value").cast("double")) for p in parts])
-    rows = rows.select("series", "at", "value", "__last", "rule.*")
-    value, limit = F.col("value") / F.col("scale"), F.col("threshold")
-    test = F.when(F.col("op") == ">", value > limit).when(F.col("op") == "<", value < limit).otherwise(value == limit)
-    keys = ["alert", "severity", "hold", "series"]
-    found = episodes(rows, keys, "at", test, F.col("hold"), F.col("__last"))
+        rows = points.select("series", "at", "value", "__last", F.explode(own).alias("rule"))
+        rows = rows.select("series", "at", "value", "__last", "rule.*")
+        value, limit = F.col("value").cast("double") / F.col("scale"), F.col("threshold")
+        test = F.when(F.col("op") == ">", value > limit).when(F.col("op") == "<", value < limit).otherwise(value == limit)
+        keys = ["alert", "severity", "hold", "series"]
+        parts.append(episodes(rows, keys, "at", test, F.col("hold"), F.col("__last")))
+    found = reduce(DataFrame.unionByName, parts)
     return found.select("alert", "severity", "series", "since", "until", (F.col("since") + F.col("hold")).alias("fires_at"))
