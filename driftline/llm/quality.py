@@ -39,7 +39,7 @@ _KIND[[9, 11, 12, 13, 32]] = 5
 _KIND[10] = 6
 _KIND[[ord(c) for c in ".,;:?'\"()-"]] = 7
 _KINDS = 8
-FEATURES = 256 + _KINDS + 3 * _KINDS + 8
+FEATURES = 256 + _KINDS + 3 * _KINDS + 13
 
 
 def features(block: Block) -> np.ndarray:
@@ -74,14 +74,16 @@ def features(block: Block) -> np.ndarray:
     distinct = np.bincount(of[order][fresh], minlength=n) / words
     mean = np.bincount(of, weights=long, minlength=n) / words
     spread = np.sqrt(np.maximum(np.bincount(of, weights=long.astype(float) ** 2, minlength=n) / words - mean**2, 0))
+    again = share(repeated)
     parts = (
         np.sqrt(bytes_ / size),
         kinds / size,
         kinds_at(starts),
         kinds_at(ends - 1),
         kinds_at((starts + ends) // 2),
-        np.stack([share(repeated), distinct, share(long == 1), share(long > 20), mean / 10, spread / 10,
-                  np.log1p(count) / 10, np.sqrt(kinds[:, 6] / words)], axis=1),
+        np.stack([again, distinct, share(long == 1), share(long > 20), mean / 10, spread / 10,
+                  np.log1p(count) / 10, np.sqrt(kinds[:, 6] / words),
+                  again > 0.1, again > 0.25, again > 0.5, np.sqrt(again), distinct < 0.3], axis=1),
     )
     return np.concatenate(parts, axis=1)
 
@@ -183,6 +185,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
 def score_column(model: Model, text: str = "text") -> Column:
     """The model's score of a text column, in numpy batches; null counts as empty."""
+
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:

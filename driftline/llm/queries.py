@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from driftline.llm import exact_dedup, mixing, packing, quality, simhash
+from driftline.llm import embed_dedup, exact_dedup, langid, license_scan, mixing, packing, pii, quality, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -99,3 +101,109 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_packing")
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op6_warc",
+    r"""
+    WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+    d AS (
+        SELECT page_id, octet_length(encode(body))::BIGINT AS payload_bytes, sha1(body) AS hex,
+               min(page_id) OVER (PARTITION BY body) AS first
+        FROM p),
+    b AS (
+        SELECT *, list_transform(range(0, 8), lambda g: ('0x' || substr(hex, 5 * g::INT + 1, 5))::BIGINT) AS parts FROM d)
+    SELECT page_id, payload_bytes,
+           array_to_string(list_transform(range(0, 32), lambda i:
+               substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                      1 + ((parts[1 + i // 4] >> (15 - 5 * (i % 4))) & 31)::INT, 1)), '') AS payload_digest,
+           CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN page_id <> first THEN first END AS refers_to
+    FROM b""",
+)
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    headers, payloads = warc.archive(table(spark, sf_dir, "pages"))
+    back = warc.parsed(warc.records(headers, payloads))
+    sound = F.when(F.col("intact"), F.col("record_type")).otherwise(F.raise_error(F.lit("a record's bytes differ from its header")))
+    return back.select("page_id", "payload_bytes", "payload_digest", sound.alias("record_type"), "refers_to")
+
+
+def _license_sql() -> str:
+    """The scan without its filters: every line's words against every notice's."""
+
+    def text(value: str) -> str:
+        return "'" + value.replace("'", "''") + "'"
+
+    sets = [(n, label, sorted(set(license_scan.words_of(t)))) for n, (label, t) in enumerate(license_scan.NOTICES)]
+    needed = [math.ceil(license_scan.CONTAINMENT * len(words) - 1e-9) for _, _, words in sets]
+    notices = ", ".join(f"({n}, {text(label)}, {len(w)}, {k}, {w})" for (n, label, w), k in zip(sets, needed, strict=True))
+    spots, labels = [], []
+    for phrase, label in license_scan.PHRASES.items():
+        tests = " AND ".join(f"w[i + {k}] = {text(x)}" for k, x in enumerate(phrase.split(" "), 1))
+        spots.append(f"list_filter(range(0, len(w)), lambda i: {tests})")
+        labels.append(text(label))
+    each = ", ".join(f"{s} AS p{i}" for i, s in enumerate(spots))
+    every = " || ".join(f"p{i}" for i in range(len(spots)))
+    named = ", ".join(f"CASE WHEN len(p{i}) > 0 THEN {x} END" for i, x in enumerate(labels))
+    return rf"""
+    WITH t AS (
+        SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+        FROM documents),
+    b AS (SELECT doc_id, t, regexp_extract_all(t, '{license_scan.WORD}') AS w FROM t),
+    p AS (SELECT doc_id, len(w) AS n_words, {each} FROM b),
+    q AS (
+        SELECT doc_id, n_words, {every} AS spots,
+               list_filter([{named}], lambda x: x IS NOT NULL) AS base
+        FROM p),
+    lines AS (
+        SELECT doc_id, list_distinct(regexp_extract_all(line, '{license_scan.WORD}')) AS w
+        FROM (SELECT doc_id, unnest(regexp_split_to_array(t, '[\n\r]+')) AS line FROM t)
+        WHERE regexp_matches(line, '[a-z]')),
+    notices(n, label, size, needed, words) AS (VALUES {notices}),
+    found AS (
+        SELECT doc_id, label, len(list_intersect(w, words)) / size AS contained
+        FROM lines, notices WHERE len(w) >= needed AND len(list_intersect(w, words)) >= needed),
+    more AS (SELECT doc_id, list(DISTINCT label) AS labels, max(contained) AS score FROM found GROUP BY doc_id)
+    SELECT q.doc_id, n_words::BIGINT AS n_words, len(spots)::BIGINT AS n_base,
+           list_min(spots)::BIGINT AS first_word, list_max(spots)::BIGINT AS last_word,
+           array_to_string(list_sort(list_distinct(base)), ',') AS base_labels,
+           array_to_string(list_sort(list_distinct(base || coalesce(more.labels, []))), ',') AS labels,
+           coalesce(more.score, 0)::DOUBLE AS score
+    FROM q LEFT JOIN more USING (doc_id)"""
+
+
+@query("op3_license_scan", _license_sql())
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op8_embed_dedup",
+    """
+    WITH RECURSIVE v AS (
+        SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+    ok AS (
+        SELECT * FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        AND len(list_filter(e, lambda x: x <> 0)) > 0),
+    link AS (
+        SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+        WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+    reach(a, b) AS (SELECT a, b FROM link UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a)
+    SELECT vec_id, (SELECT count(*) FROM link WHERE a = vec_id) AS n_links,
+           least(vec_id, coalesce((SELECT min(b) FROM reach WHERE a = vec_id), vec_id)) AS component_id,
+           vec_id = least(vec_id, coalesce((SELECT min(b) FROM reach WHERE a = vec_id), vec_id)) AS kept
+    FROM v""",
+)
+def op8_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.mark(table(spark, sf_dir, "embeddings"))
+
+
+@query("op9_langid")
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.classified(docs, langid.train(docs)).drop("confident")
+
+
+@query("op7_pii")
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan(table(spark, sf_dir, "documents"))
