@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from driftline.llm.common import stored
 from driftline.session import scratch_path
@@ -30,7 +31,7 @@ DATE = "1970-01-01T00:00:00Z"
 FILE_RECORDS = 500
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def base32(hex_digest: pd.Series) -> pd.Series:
     """Upper-case base32 of hex digits, without a prefix."""
     return hex_digest.map(lambda h: None if h is None else base64.b32encode(bytes.fromhex(h)).decode("ascii"))
