@@ -84,8 +84,8 @@ def softmax(logits: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def fit(texts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, languages: list[str], epochs: int = 12, rate: float = 20.0) -> Model:
-    """Trains on ``(buckets, counts)`` per text; every fifth text calibrates."""
+def fit(texts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, languages: list[str], steps: int = 300, rate: float = 300.0) -> Model:
+    """Trains on ``(buckets, counts)`` per text, at least ``steps`` batches of 64; every fifth text calibrates."""
     rng = np.random.default_rng(SEED)
     embedding = rng.normal(0, 0.1, (BUCKETS, WIDTH)).astype(np.float32)
     weights = rng.normal(0, 0.1, (WIDTH, len(languages))).astype(np.float32)
@@ -102,6 +102,7 @@ def fit(texts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, language
     if len(texts) < 20:
         held[:] = False
     learn, check = np.flatnonzero(~held), np.flatnonzero(held)
+    epochs = max(4, -(-steps * 64 // max(1, len(learn))))
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
         order = rng.permutation(learn)
@@ -127,11 +128,11 @@ def fit(texts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, language
         def loss(t: float) -> float:
             return -np.log(np.maximum(softmax(logits / t)[np.arange(len(check)), right], 1e-12)).mean()
 
-        temperature = float(min(np.geomspace(0.1, 10, 41), key=loss))
+        temperature = float(min(np.geomspace(0.25, 10, 41), key=loss))
         best = softmax(logits / temperature)
         # One in a hundred of the right answers scores less.
         hits = best.max(1)[best.argmax(1) == right]
-        floor = float(np.quantile(hits, 0.01)) if len(hits) else 0.0
+        floor = min(0.95, float(np.quantile(hits, 0.01))) if len(hits) else 0.0
     return Model(languages, table, bias, temperature, floor)
 
 
