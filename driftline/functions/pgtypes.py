@@ -90,6 +90,13 @@ ARRAY_ELEMENT = r'("[^"\\]*+(?:\\.[^"\\]*+)*+"|[^,]++)'
 # cast that fails costs far more than the pattern.
 INTEGER_TEXT = r"^[+-]?\d+$"
 
+# 64-bit cents fit.
+MONEY = "decimal(20,2)"
+
+# Numbers that NUMERIC holds digit for digit.
+NUMERIC = "decimal(38,10)"
+_NUMERIC_TEXT = r"^\s*[+-]?0*+\d{0,28}(?:\.\d{0,10}0*)?\s*$"
+
 _INTEGERS = {"int2": "smallint", "int4": "int", "int8": "bigint"}
 _OID_NAMES = {oid: name for name, oid in OIDS.items()}
 _ARRAY_OID_NAMES = {oid: name for name, oid in ARRAY_OIDS.items()}
@@ -104,12 +111,25 @@ def type_of_oid(oid: int) -> tuple[str, bool]:
 
 def money(c: Column) -> Column:
     cleaned = F.replace(F.regexp_replace(c, r"^\$+", ""), F.lit(","), F.lit(""))
-    amount = let(cleaned, lambda v: F.when(v.rlike(NUMBER_TEXT), v).try_cast("decimal(18,2)"))
-    return F.coalesce(amount, F.lit(0).cast("decimal(18,2)"))
+    amount = let(cleaned, lambda v: F.when(v.rlike(NUMBER_TEXT), v).try_cast(MONEY))
+    return F.coalesce(amount, F.lit(0).cast(MONEY))
+
 
+def misfit(c: Column, type_name: str) -> Column:
+    """Whether a text is a number that its column type would cut (more digits, NaN): keep the text and report it."""
+    if type_name != "numeric":
+        return F.lit(False)
+    # An exponent moves the point: such a text fits when it comes out as the same number.
+    same = F.when(c.rlike(NUMBER_TEXT), c).try_cast(NUMERIC).cast("double") == F.when(c.rlike(NUMBER_TEXT), c).try_cast("double")
+    fits = c.rlike(_NUMERIC_TEXT) | (F.contains(F.lower(c), F.lit("e")) & F.coalesce(same, F.lit(False)))
+    return F.coalesce(c.isNotNull() & ~fits, F.lit(False))
 
-def decode_scalar(c: Column, type_name: str, numeric_type: str = "decimal(38,10)") -> Column:
-    """Typed column of a text value; a null text stays null."""
+
+def decode_scalar(c: Column, type_name: str, numeric_type: str = NUMERIC) -> Column:
+    """Typed column of a text value; a null text stays null.
+
+    A numeric that its type would cut is null, see :func:`misfit`.
+    """
     if type_name == "bool":
         value = c.isin("t", "true")
     elif type_name in _INTEGERS:
@@ -119,7 +139,8 @@ def decode_scalar(c: Column, type_name: str, numeric_type: str = "decimal(38,10)
         special = F.when(F.lower(c).rlike(r"^[+-]?(inf|infinity|nan)$"), c)
         value = F.coalesce(F.coalesce(F.when(c.rlike(NUMBER_TEXT), c), special).try_cast("double"), F.lit(0.0))
     elif type_name == "numeric":
-        value = F.when(c.rlike(NUMBER_TEXT), c).try_cast(numeric_type)
+        whole = F.when(~misfit(c, type_name), c) if numeric_type == NUMERIC else F.when(c.rlike(NUMBER_TEXT), c)
+        value = whole.try_cast(numeric_type)
     elif type_name == "money":
         value = money(c)
     elif type_name in ("json", "jsonb"):

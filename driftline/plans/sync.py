@@ -32,15 +32,22 @@ class Outcome:
 
     @property
     def rejected(self) -> DataFrame:
-        """Failed rows: reserved columns, the row as JSON (``event``) and ``error``."""
+        """Failed rows: reserved columns, the row as JSON (``event``) and ``error``.
+
+        A row that still has its log line (``__line``) shows that as ``event``.
+        """
         rows = self.all_rows
         if ERRORS not in rows.columns:
             rows = rows.withColumn(ERRORS, F.array().cast("array<string>"))
         doc = [F.col(f"`{c}`") for c in rows.columns if not is_meta(c)]
         meta = [c for c in rows.columns if is_meta(c) and c != ERRORS]
+        event = F.to_json(F.struct(*doc), {"ignoreNullFields": "false"})
+        if "__line" in rows.columns:
+            line = F.to_json(F.struct(F.col("__line").alias("line")))
+            event = F.when(F.col("__line").isNotNull(), line).otherwise(event)
         return rows.where(F.size(ERRORS) > 0).select(
             *meta,
-            F.to_json(F.struct(*doc), {"ignoreNullFields": "false"}).alias("event"),
+            event.alias("event"),
             F.array_join(ERRORS, "\n").alias("error"),
         )
 

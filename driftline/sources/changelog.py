@@ -2,21 +2,27 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftline.functions.pgtypes import decode_scalar, infer_json, unquote
+from driftline.functions.pgtypes import decode_scalar, infer_json, misfit, unquote
 from driftline.functions.positions import lsn_number
 from driftline.functions.values import quote_json
-from driftline.operators import ERRORS, LSN, OP, SCHEMA, TABLE, UNCHANGED
+from driftline.operators import ERRORS, LSN, OLD, OP, SCHEMA, TABLE, UNCHANGED
 
 # Shape of one text line of the log.
 HEADER = r"^table\s+(?:([^:]*)\.)?([^.:]+):\s*(INSERT|UPDATE|DELETE):\s*"
 FIELD = r"[^\s\[]++\[[^\[\]]*+(?:\[\][^\[\]]*+)*+\]:(?:'[^']*+(?:''[^']*+)*+'|\S*+)"
 OLD_MARK, NEW_MARKS = "old-key:", ("new-tuple:", "new-key:")
 LEFT_OUT = "unchanged-toast-datum"
+# Fixed value: what stands for the fields of a delete whose table has no key.
+NO_FIELDS = "(no-tuple-data)"
+OTHER_OPERATION = r"^table\s+[^:]+:\s*[A-Z]+:"
+UNDECODABLE, LEFT_OVER = "Cannot decode change line", "Cannot decode all fields of the change line"
 OPS = {"INSERT": "create", "UPDATE": "update", "DELETE": "delete"}
 
 
@@ -49,27 +55,38 @@ def _to_map(df: DataFrame, tokens: str, result: str) -> DataFrame:
     return df.withColumn(result, made).drop("__names", "__values", tokens)
 
 
-def decode_lines(df: DataFrame, line: str = "data") -> DataFrame:
-    """Log lines to ``op, schema_name, table_name, fields, old_fields`` next to the other columns.
+def decode_lines(df: DataFrame, line: str = "data", keep_undecodable: bool = False) -> DataFrame:
+    """Log lines to ``op, schema_name, table_name, fields, old_fields, decode_error`` next to the other columns.
 
-    Fields are a map from name to ``struct<type, raw>``; see :func:`field_text`. Lines that are not row changes (BEGIN, COMMIT, other operations) give no row. The marks
-    between the images of an update are tokens like the fields, so the same words inside a quoted
-    value do not count.
+    Fields are a map from name to ``struct<type, raw>``; see :func:`field_text`. Lines that are not
+    row changes (BEGIN, COMMIT, other operations) give no row. The marks between the images of an
+    update are tokens like the fields, so the same words inside a quoted value do not count. Text
+    between the tokens is no field, and the row says so in ``decode_error``. Lines that start like a
+    row change but have no readable header are left out, or kept with that error alone.
     """
     text = F.col(line)
     part = lambda i: F.regexp_extract(text, HEADER, i)
     ops = F.create_map(*[F.lit(x) for pair in OPS.items() for x in pair])
     others = [F.col(f"`{c}`") for c in df.columns if c != line]
-    rows = df.where(text.startswith("table ") & text.rlike(HEADER)).select(
+    header = text.rlike(HEADER)
+    wanted = header | ~text.rlike(OTHER_OPERATION) if keep_undecodable else header
+    pattern = "|".join([OLD_MARK, *NEW_MARKS, FIELD])
+    rows = df.where(text.startswith("table ") & wanted).select(
         *others,
+        F.when(~header, F.lit(UNDECODABLE)).alias("__no_header"),
+        F.regexp_replace(text, HEADER, "").alias("__body"),
         F.try_element_at(ops, part(3)).alias("op"),
-        F.coalesce(F.nullif(part(1), F.lit("")), F.lit("public")).alias("schema_name"),
-        part(2).alias("table_name"),
-        F.regexp_extract_all(
-            F.regexp_replace(text, HEADER, ""), F.lit("|".join([OLD_MARK, *NEW_MARKS, FIELD])), F.lit(0)
-        ).alias("__tokens"),
+        F.when(header, F.coalesce(F.nullif(part(1), F.lit("")), F.lit("public"))).alias("schema_name"),
+        F.when(header, part(2)).alias("table_name"),
     )
-    tokens, mark = F.col("__tokens"), F.col("__mark")
+    tokens, mark, body = F.col("__tokens"), F.col("__mark"), F.col("__body")
+    rows = rows.withColumn("__tokens", F.when(F.col("__no_header").isNull(), F.regexp_extract_all(body, F.lit(pattern), F.lit(0))))
+    # Tokens that fill the body with single spaces between them leave nothing over.
+    leftover = F.trim(F.regexp_replace(body, pattern, ""))
+    filled = F.array_join(tokens, " ") == F.trim(body)
+    rows = rows.withColumn(
+        "decode_error", F.coalesce("__no_header", F.when(~filled & ~leftover.isin("", NO_FIELDS), F.lit(LEFT_OVER)))
+    ).drop("__no_header", "__body")
     rows = rows.withColumn("__mark", F.greatest(*[F.array_position(tokens, m) for m in NEW_MARKS]).cast("int"))
     has_old = (mark > 1) & F.array_contains(tokens, OLD_MARK)
     new = F.when(mark > 0, F.slice(tokens, mark + 1, F.greatest(F.lit(0), F.size(tokens) - mark))).otherwise(tokens)
@@ -83,10 +100,8 @@ def decode_lines(df: DataFrame, line: str = "data") -> DataFrame:
 def undecodable_lines(df: DataFrame, line: str = "data") -> DataFrame:
     """Lines that start like a row change but cannot be decoded; these belong in the dead letters."""
     text = F.col(line)
-    header = text.rlike(HEADER)
-    other_op = text.rlike(r"^table\s+[^:]+:\s*[A-Z]+:")
-    error = F.lit("Cannot decode change line")
-    return df.where(text.startswith("table ") & ~header & ~other_op).withColumn("error", error)
+    lost = text.startswith("table ") & ~text.rlike(HEADER) & ~text.rlike(OTHER_OPERATION)
+    return df.where(lost).withColumn("error", F.lit(UNDECODABLE))
 
 
 def _text(raw: Column) -> Column:
@@ -104,35 +119,64 @@ def unchanged_fields(fields: Column) -> Column:
     return F.map_keys(F.map_filter(fields, lambda k, v: v.getField("raw") == LEFT_OUT))
 
 
-def typed_fields(df: DataFrame, types: Mapping[str, str], fields: str = "fields") -> DataFrame:
-    """One column per entry of ``types`` (name to database type name)."""
+def typed_fields(df: DataFrame, types: Mapping[str, str], fields: str = "fields", errors: str | None = None) -> DataFrame:
+    """One column per entry of ``types`` (name to database type name); ``errors`` lists values that do not fit."""
     # Look every field up once, then unquote, then decode: each step uses its input several times.
     raw = {name: F.try_element_at(fields, F.lit(name)).getField("raw") for name in types}
     df = df.withColumns(raw)
     df = df.withColumns({name: _text(F.col(name)) for name in types})
+    if errors is not None:
+        cut = [F.when(misfit(F.col(n), kind), F.lit(f"Value of field {n} does not fit {kind}")) for n, kind in types.items()]
+        df = df.withColumn(errors, F.array_compact(F.array(*cut)))
     return df.withColumns({name: decode_scalar(F.col(name), kind) for name, kind in types.items()})
 
 
 def change_rows(
-    df: DataFrame, types: Mapping[str, str], line: str = "data", lsn: str = "lsn", ts: str | None = None
+    df: DataFrame,
+    types: Mapping[str, str],
+    line: str = "data",
+    lsn: str = "lsn",
+    ts: str | None = None,
+    keys: Sequence[str] = (),
 ) -> DataFrame:
     """Log lines as rows a task takes: reserved columns and one typed column per entry of ``types``.
 
-    Rows without a position cannot be ordered; they carry an error and end as rejected rows.
+    ``__old`` holds the image before an update where the line has one. An update that changes one of
+    ``keys`` also gives a delete of the old key. Lines that cannot be decoded as a whole, or have no
+    (or no readable) position and cannot be ordered, carry their errors and their text in ``__line``
+    and end as rejected rows; without a readable header they have no table.
     """
-    rows = typed_fields(decode_lines(df, line), types)
+    rows = decode_lines(df.withColumn("__line", F.col(line)), line, keep_undecodable=True)
+    rows = typed_fields(rows, types, errors="__misfits").withColumn(LSN, lsn_number(F.col(lsn)).try_cast("bigint"))
+    before = {n: decode_scalar(field_text(F.col("old_fields"), n), kind).alias(n) for n, kind in types.items()}
+    rows = rows.withColumn(OLD, F.when(F.col("old_fields").isNotNull(), F.struct(*before.values())))
     no_position = F.when(F.col(LSN).isNull(), F.lit("Missing position"))
     made = {
-        OP: F.col("op"),
         SCHEMA: F.col("schema_name"),
         TABLE: F.col("table_name"),
-        LSN: lsn_number(F.col(lsn)).cast("bigint"),
         UNCHANGED: unchanged_fields(F.col("fields")),
+        ERRORS: F.concat(F.array_compact(F.array(no_position, F.col("decode_error"))), "__misfits"),
     }
     if ts is not None:
         made["__ts"] = F.col(ts)
-    wanted = [F.when(~F.array_contains(UNCHANGED, n), F.col(n)).alias(n) for n in types]
-    return rows.withColumns(made).select(*made, F.array_compact(F.array(no_position)).alias(ERRORS), *wanted)
+    rows = rows.withColumns(made).withColumn("__line", F.when(F.size(ERRORS) > 0, F.col("__line")))
+    shown = [F.when(~F.coalesce(F.array_contains(UNCHANGED, n), F.lit(False)), F.col(n)).alias(n) for n in types]
+    reserved = [SCHEMA, TABLE, LSN, UNCHANGED, OLD, *(["__ts"] if ts is not None else []), "__line", ERRORS]
+    rows = rows.select(F.col("op").alias(OP), *reserved, *shown)
+    if not keys:
+        return rows
+    old = {k: F.col(OLD).getField(k) for k in keys}
+    moved = reduce(or_, [F.coalesce(v.isNotNull() & ~v.eqNullSafe(F.col(k)), F.lit(False)) for k, v in old.items()])
+    moved = (F.col(OP) == "update") & (F.size(ERRORS) == 0) & moved
+    images = F.when(moved, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))
+    rows = rows.withColumn("__gone", F.explode(images))
+    gone = F.col("__gone")
+    nothing = F.array().cast("array<string>")
+    return rows.select(
+        F.when(gone, "delete").otherwise(F.col(OP)).alias(OP),
+        *[F.when(gone, nothing).otherwise(F.col(c)).alias(c) if c == UNCHANGED else F.col(c) for c in reserved],
+        *[F.when(gone, F.col(OLD).getField(n)).otherwise(F.col(n)).alias(n) for n in types],
+    )
 
 
 def inferred_json(fields: Column) -> Column:

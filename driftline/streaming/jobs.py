@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,10 +12,10 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from driftline.config import SyncTask
-from driftline.operators import LSN, OP, TABLE, deadletters
+from driftline.operators import ERRORS, LSN, OP, SCHEMA, TABLE, deadletters
 from driftline.operators.dedup import stream_first_seen
 from driftline.operators.merge import latest_per_key
-from driftline.plans.sync import run_task
+from driftline.plans.sync import Outcome, run_task
 from driftline.sources.deadletter_table import DeadLetterTable
 from driftline.sources.keyed_table import KeyedTable
 
@@ -90,25 +92,85 @@ def each_batch(
     return writer.trigger(**trigger_options(once, **trigger)).start()
 
 
-def progress_rows(rows: DataFrame, task: SyncTask, batch_id: int, ts: str, failed: Column) -> DataFrame:
-    """One progress row of a micro-batch."""
-    return rows.agg(
-        F.lit(task.id).alias("task_id"),
+def progress_rows(
+    rows: DataFrame, task: SyncTask, batch_id: int, ts: str, failed: Column, read: DataFrame, earlier: DataFrame
+) -> DataFrame:
+    """One progress row of a micro-batch.
+
+    Position and time are those of all rows that were ``read``, filtered ones included; a batch that
+    read none keeps the ``earlier`` row's. Totals go on from the earlier row.
+    """
+    seen = read.agg(F.max(LSN).alias("__position"), F.max(ts).cast("timestamp_ntz").alias("__at"))
+    done = rows.agg(F.count_if(~failed).alias("events_processed"), F.count_if(failed).alias("events_failed"))
+    names = {"task_id": F.lit(task.id)}
+    before = earlier.where(F.col("task_id") == task.id).select(
+        "task_id", *[F.col(c).alias(f"__{c}") for c in ("position", "last_event_at", "total_processed", "total_failed")]
+    )
+    row = seen.withColumns(names).join(done.withColumns(names), "task_id").join(before.withColumnRenamed("__position", "__old"), "task_id", "left")
+    total = lambda c: F.coalesce(F.col(f"__total_{c}"), F.lit(0)) + F.col(f"events_{c}")
+    return row.select(
+        "task_id",
         F.lit(task.source_name).alias("source_name"),
         F.lit(batch_id).cast("bigint").alias("batch_id"),
-        F.max(LSN).alias("position"),
-        F.count_if(~failed).alias("events_processed"),
-        F.count_if(failed).alias("events_failed"),
-        F.max(ts).cast("timestamp_ntz").alias("last_event_at"),
+        F.coalesce(F.greatest("__position", "__old"), "__position", "__old").alias("position"),
+        "events_processed",
+        "events_failed",
+        F.coalesce(F.greatest("__at", "__last_event_at"), "__at", "__last_event_at").alias("last_event_at"),
+        total("processed").alias("total_processed"),
+        total("failed").alias("total_failed"),
     )
 
 
 PROGRESS_SCHEMA = (
     "task_id string, source_name string, batch_id bigint, position bigint,"
-    " events_processed bigint, events_failed bigint, last_event_at timestamp_ntz"
+    " events_processed bigint, events_failed bigint, last_event_at timestamp_ntz,"
+    " total_processed bigint, total_failed bigint"
 )
 
 
+@dataclass(frozen=True)
+class Route:
+    """A task and where its rows go."""
+
+    task: SyncTask
+    target: KeyedTable
+    dead_letters: DeadLetterTable | None = None
+    progress: KeyedTable | None = None
+
+    @property
+    def tables(self) -> list[KeyedTable]:
+        letters = [self.dead_letters.table] if self.dead_letters else []
+        return [self.target, *letters, *([self.progress] if self.progress else [])]
+
+
+def writer_name(checkpoint: str, task: SyncTask) -> str:
+    """A stream's name among the writers of a table: its checkpoint and task tell it from every other."""
+    return hashlib.sha256(f"{checkpoint.rstrip('/')}\n{task.id}".encode()).hexdigest()[:12]
+
+
+def own_rows(rows: DataFrame, task: SyncTask, unnamed: bool = False) -> DataFrame:
+    """Rows of the task's table, registered as ``schema.table`` or as ``table``; all rows of a log without table names.
+
+    ``unnamed`` adds the rejected lines that name no table.
+    """
+    if TABLE not in rows.columns or not task.table:
+        return rows
+    schema, _, table = task.table.rpartition(".")
+    mine = F.col(TABLE) == table
+    if schema and SCHEMA in rows.columns:
+        mine = mine & (F.col(SCHEMA) == schema)
+    if unnamed and ERRORS in rows.columns:
+        mine = mine | (F.col(TABLE).isNull() & (F.size(ERRORS) > 0))
+    return rows.where(mine)
+
+
+def with_key_errors(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Adds an error to rows that lack a part of their key: they cannot be stored or found again."""
+    known = F.col(ERRORS) if ERRORS in rows.columns else F.array().cast("array<string>")
+    lacking = [F.when(F.col(f"`{k}`").isNull() if k in rows.columns else F.lit(True), F.lit(f"No value for key field {k}")) for k in keys]
+    return rows.withColumn(ERRORS, F.concat(F.coalesce(known, F.array().cast("array<string>")), F.array_compact(F.array(*lacking))))
+
+
 def apply_changes(
     stream: DataFrame,
     task: SyncTask,
@@ -121,49 +183,84 @@ def apply_changes(
     once: bool = True,
     compact_every: int | None = COMPACT_EVERY,
 ) -> StreamingQuery:
-    """Run a task over a change stream and keep ``target`` up to date.
+    """Run a task over a change stream and keep ``target`` up to date; see :func:`apply_log`."""
+    return apply_log(stream, [Route(task, target, dead_letters, progress)], checkpoint, ts, start_after, once, compact_every)
 
-    Every table a batch writes stores it under the batch id, and the offsets are committed after
-    that: a batch that is run again after a failure replaces what it wrote before. With
-    ``start_after`` the stream continues behind a full copy taken at that position. Every
-    ``compact_every`` batches the earlier ones are folded into a new base.
+
+def apply_log(
+    stream: DataFrame,
+    routes: Sequence[Route],
+    checkpoint: str,
+    ts: str = "__ts",
+    start_after: int | None = None,
+    once: bool = True,
+    compact_every: int | None = COMPACT_EVERY,
+) -> StreamingQuery:
+    """Run many tasks over one change stream, which is read once, and keep their targets up to date.
+
+    A task takes the rows of its own table; rows of tables without a task are dropped, and lines
+    that could not be read at all become dead letters of the first task that keeps any. Every table
+    a batch writes stores it under this stream's name and the batch id, and the offsets are
+    committed after that: a batch that is run again after a failure replaces what it wrote before.
+    Rows that lack their key are rejected. With ``start_after`` the stream continues behind a full
+    copy taken at that position. Every ``compact_every`` batches the earlier ones are folded into a
+    new base. Repeated deliveries are dropped where a task asks for it, for a time after they
+    first arrived; how old a change is does not matter.
     """
-    tables = [target, *([dead_letters.table] if dead_letters else []), *([progress] if progress else [])]
+    writers = [writer_name(checkpoint, r.task) for r in routes]
+    catch_all = next((i for i, r in enumerate(routes) if r.dead_letters), None)
     if start_after is not None:
         stream = stream.where(F.col(LSN) > F.lit(start_after))
-    if task.options.get("deduplicate"):
+    repeated = [r.task for r in routes if r.task.options.get("deduplicate")]
+    if repeated:
         keys = [c for c in DELIVERY_COLUMNS if c in stream.columns]
-        timed = stream.withColumn("__seen", F.col(ts).cast("timestamp"))
-        delay = task.options.get("deduplicate_within", DEDUP_DELAY)
-        stream = stream_first_seen(timed, [*keys, *_row_keys(stream, task)], "__seen", delay).drop("__seen")
+        parts = sorted({k for task in repeated for k in _row_keys(stream, task)})
+        delay = max((str(t.options.get("deduplicate_within", DEDUP_DELAY)) for t in repeated), key=lambda d: (len(d), d))
+        # The time of arrival, which never lags behind the watermark: a late change is no repeated one.
+        timed = stream.withColumn("__seen", F.current_timestamp())
+        stream = stream_first_seen(timed, [*keys, *parts], "__seen", delay).drop("__seen")
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        for table in tables:
-            table.compact_every(compact_every, batch_id + 1)
+        # Batch 0 of the stream is batch 1 of the tables, behind the base version 0.
+        number = batch_id + 1
+        for route, writer in zip(routes, writers, strict=True):
+            for table in route.tables:
+                table.compact_every(compact_every, table.place_of(number, writer))
         # The batch feeds several writes. Lost cached blocks are computed again from its files.
-        outcome = run_task(batch, task)
-        rows = outcome.all_rows.persist()
+        batch = batch.persist()
         try:
-            done = type(outcome)(rows)
-            # Batch 0 of the stream is batch 1 of the tables, behind the base version 0.
-            target.write_batch(done.accepted, batch_id + 1)
-            if dead_letters is not None:
-                at = F.col(ts) if ts in rows.columns else None
-                failed = done.rejected
-                dead_letters.store(
-                    deadletters.entries(failed, F.lit(task.id), at, identity=F.col(LSN)), batch_id + 1
-                )
-            if progress is not None:
-                errors = "__errors"
-                bad = F.size(errors) > 0 if errors in rows.columns else F.lit(False)
-                progress.upsert(progress_rows(rows, task, batch_id, ts, bad), batch_id + 1)
+            for i, route in enumerate(routes):
+                _apply(own_rows(batch, route.task, i == catch_all), route, number, writers[i], ts)
         finally:
-            rows.unpersist()
-
-    interval = task.options.get("batch_timeout_ms")
-    return each_batch(
-        stream, handle, checkpoint, once, interval=f"{interval} milliseconds" if interval else BATCH_INTERVAL
-    )
+            batch.unpersist()
+
+    waits = [r.task.options.get("batch_timeout_ms") for r in routes if r.task.options.get("batch_timeout_ms")]
+    return each_batch(stream, handle, checkpoint, once, interval=f"{min(waits)} milliseconds" if waits else BATCH_INTERVAL)
+
+
+def _apply(read: DataFrame, route: Route, number: int, writer: str, ts: str) -> None:
+    """One task's share of a micro-batch into its tables."""
+    task = route.task
+    good = read
+    if ERRORS in read.columns:  # rows that failed before take no part in filters
+        good = read.where(F.size(ERRORS) == 0)
+    rows = with_key_errors(run_task(good, task).all_rows, route.target.keys)
+    if ERRORS in read.columns:
+        rows = rows.unionByName(read.where(F.size(ERRORS) > 0), allowMissingColumns=True).select(*rows.columns)
+    rows = rows.persist()
+    try:
+        done = Outcome(rows)
+        route.target.write_batch(done.accepted, number, writer)
+        if route.dead_letters is not None:
+            at = F.col(ts) if ts in rows.columns else None
+            entries = deadletters.entries(done.rejected, F.lit(task.id), at, identity=F.coalesce(F.col(LSN).cast("string"), "event"))
+            route.dead_letters.store(entries, number, writer)
+        if route.progress is not None:
+            earlier = route.progress.as_of(route.progress.place_of(number, writer) - 1)
+            bad = F.size(ERRORS) > 0
+            route.progress.upsert(progress_rows(rows, task, number - 1, ts, bad, read, earlier), number, writer)
+    finally:
+        rows.unpersist()
 
 
 def _row_keys(stream: DataFrame, task: SyncTask) -> list[str]:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftline.config import Convert, SyncTask, Transforms
+from driftline.config import Condition, Convert, EventFilter, SoftDelete, SyncTask, Transforms
 from driftline.operators import LSN, OP, dedup
 from driftline.session import scratch_path
 from driftline.sources import changelog
@@ -87,11 +87,150 @@ def lines_to_table(t: Tables) -> DataFrame:
     target = KeyedTable(
         t.spark, f"{home}/items", ["doc_id"], "doc_id bigint, text string, source string, n_chars bigint", unchanged=True
     )
-    task = SyncTask("documents", "app.documents", "documents", ("doc_id",))
-    jobs.apply_changes(changelog.change_rows(landed, types), task, target, f"{home}/checkpoint").awaitTermination()
+    # One table per language, registered in both ways.
+    names = ["app.en_documents", "fr_documents", "app.de_documents", "es_documents"]
+    routes = [jobs.Route(SyncTask(n, n, "documents", ("doc_id",)), target) for n in names]
+    jobs.apply_log(changelog.change_rows(landed, types), routes, f"{home}/checkpoint").awaitTermination()
     return target.current().select("doc_id", F.md5("text").alias("text_md5"), "source", "n_chars")
 
 
+def landed(t: Tables, name: str, parts: list[DataFrame]) -> tuple[str, DataFrame]:
+    """Frames as files that arrive one after another, and the stream over them, one file per batch."""
+    home = scratch_path(t.spark, name)
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(f"{home}/landing")
+    return home, jobs.read_log(t.spark, f"{home}/landing", parts[0].schema, max_files=1)
+
+
+def change_events(t: Tables) -> DataFrame:
+    return t.events.select(
+        op_of_event().alias(OP),
+        F.col("event_id").alias(LSN),
+        F.col("ts").alias("__ts"),
+        F.col("event_type").alias("__table"),
+        F.lit("public").alias("__schema"),
+        F.col("user_id").alias("k"),
+        "value",
+        "props",
+    )
+
+
+@query("i03_new_checkpoint", MERGED)
+def new_checkpoint(t: Tables) -> DataFrame:
+    """Half the log, a compaction, then a stream that lost its checkpoint and reads all of it."""
+    rows = change_events(t).drop("__table", "__schema")
+    home, stream = landed(t, "again", [rows.where("__lsn < 300")])
+    task = SyncTask("items", "public.items", "items", ("k",))
+    target = KeyedTable(t.spark, f"{home}/items", ["k"], t.snapshot.schema)
+    jobs.full_copy(t.snapshot, task, target)
+    jobs.apply_changes(stream, task, target, f"{home}/first").awaitTermination()
+    target.compact()
+    rows.where("__lsn >= 300").coalesce(1).write.mode("append").parquet(f"{home}/landing")
+    jobs.apply_changes(stream, task, target, f"{home}/second").awaitTermination()
+    return target.current()
+
+
+@query(
+    "i03_keyless_rows",
+    f"""WITH {LOG}, keyed AS (SELECT * FROM chg WHERE event_id % 10 <> 0),
+    last AS (SELECT * FROM keyed QUALIFY row_number() OVER (PARTITION BY k ORDER BY event_id DESC) = 1)
+    SELECT 'item' AS kind, k, event_id AS position FROM last WHERE op <> 'delete'
+    UNION ALL SELECT 'dead: No value for key field k', NULL, event_id FROM chg WHERE event_id % 10 = 0""",
+)
+def keyless_rows(t: Tables) -> DataFrame:
+    """Changes without a key become dead letters; no row without a key is stored."""
+    keyed = F.when(F.col(LSN) % 10 != 0, F.col("k"))
+    rows = change_events(t).withColumns({"k": keyed, "position": F.col(LSN)}).drop("__table", "__schema")
+    home, stream = landed(t, "keyless", [rows])
+    target = KeyedTable(t.spark, f"{home}/items", ["k"], "k bigint, position bigint")
+    letters = DeadLetterTable(t.spark, f"{home}/dead")
+    jobs.apply_changes(stream, SyncTask("items", "items", "items", ("k",)), target, f"{home}/checkpoint", letters).awaitTermination()
+    target.compact()
+    dead = letters.read().select(
+        F.concat(F.lit("dead: "), "error").alias("kind"),
+        F.lit(None).cast("bigint").alias("k"),
+        F.get_json_object("event", "$.position").cast("bigint").alias("position"),
+    )
+    return target.current().select(F.lit("item").alias("kind"), "k", "position").unionByName(dead)
+
+
+@query(
+    "i03_many_tasks",
+    f"""WITH {LOG}, last AS (SELECT * FROM chg WHERE event_type IN ('click', 'view')
+        QUALIFY row_number() OVER (PARTITION BY event_type, k ORDER BY event_id DESC) = 1)
+    SELECT event_type AS task_id, k, value FROM last WHERE op <> 'delete'""",
+)
+def many_tasks(t: Tables) -> DataFrame:
+    """One log for two tasks, one registered with its schema; tables without a task are dropped."""
+    home, stream = landed(t, "tasks", [change_events(t).where("__lsn < 300"), change_events(t).where("__lsn >= 300")])
+    routes = [
+        jobs.Route(SyncTask(name, table, name, ("k",)), KeyedTable(t.spark, f"{home}/{name}", ["k"], "k bigint, value double"))
+        for name, table in (("click", "public.click"), ("view", "view"))
+    ]
+    jobs.apply_log(stream, routes, f"{home}/checkpoint").awaitTermination()
+    first, second = (r.target.current().select(F.lit(r.task.id).alias("task_id"), "k", "value") for r in routes)
+    return first.unionByName(second)
+
+
+@query(
+    "i02_late_first_deliveries",
+    f"""WITH {LOG}, last AS (SELECT * FROM chg QUALIFY row_number() OVER (PARTITION BY k ORDER BY event_id DESC) = 1)
+    SELECT k, value, (SELECT count(*) FROM chg) AS delivered FROM last WHERE op <> 'delete'""",
+)
+def late_first_deliveries(t: Tables) -> DataFrame:
+    """The month lands backwards in three files and a part of it twice: every change counts once, however late."""
+    rows = change_events(t).drop("__table", "__schema")
+    parts = [rows.where("__ts >= '2024-01-20'"), rows.where("__ts >= '2024-01-10' AND __ts < '2024-01-25'"), rows.where("__ts < '2024-01-10'")]
+    home, stream = landed(t, "late-first", parts)
+    task = SyncTask("items", "items", "items", ("k",), options={"deduplicate": True, "deduplicate_within": "1 hour"})
+    target = KeyedTable(t.spark, f"{home}/items", ["k"], "k bigint, value double")
+    progress = KeyedTable(t.spark, f"{home}/progress", ["task_id"], jobs.PROGRESS_SCHEMA)
+    jobs.apply_changes(stream, task, target, f"{home}/checkpoint", progress=progress).awaitTermination()
+    total = progress.current().select(F.lit(1).alias("one"), F.col("total_processed").alias("delivered"))
+    return target.current().withColumn("one", F.lit(1)).join(total, "one").drop("one")
+
+
+@query(
+    "i03_bad_lines",
+    """WITH lines(id, detail) AS (VALUES (9, 'moved'), (3, 'c2'), (NULL, 'Cannot decode all fields of the change line'),
+      (NULL, 'Cannot decode change line'), (NULL, 'Missing position'), (NULL, 'No value for key field id'))
+    SELECT c_custkey * 10 + id AS id, detail FROM customer, lines""",
+)
+def bad_lines(t: Tables) -> DataFrame:
+    """Per customer a key change, a soft delete, an update, and lines that cannot be decoded, located or keyed."""
+
+    def row(op: str, digit: int, name: str, gone: bool = False, old: int | None = None) -> Column:
+        key = lambda d: F.concat(F.lit("id[integer]:"), F.col("c_custkey") * 10 + d)
+        before = [F.lit("old-key: "), key(old), F.lit(" new-tuple: ")] if old else []
+        rest = F.lit(f" name[text]:'{name}' gone[boolean]:{str(gone).lower()}")
+        return F.concat(F.lit(f"table public.u: {op}: "), *before, key(digit), rest)
+
+    lines = [
+        row("INSERT", 1, "a"),
+        row("INSERT", 2, "b"),
+        row("INSERT", 3, "c"),
+        row("UPDATE", 9, "moved", old=1),
+        row("UPDATE", 2, "b", gone=True, old=2),
+        F.concat(row("INSERT", 4, "d"), F.lit(' "two words"[text]:\'x\'')),
+        F.lit("table nonsense"),
+        row("INSERT", 5, "far"),
+        F.lit("table public.u: DELETE: (no-tuple-data)"),
+        F.lit("table public.u: TRUNCATE: (no-flags)"),
+        row("UPDATE", 3, "c2"),
+    ]
+    far = F.when(F.col("data").contains("'far'"), F.lit("FFFFFFFF/")).otherwise(F.lit("0/"))
+    log = t.customer.select("c_custkey", F.posexplode(F.array(*lines)).alias("pos", "data"))
+    log = log.select(F.concat(far, F.hex(F.col("c_custkey") * 16 + F.col("pos"))).alias("lsn"), "data")
+    home, stream = landed(t, "bad-lines", [log])
+    rows = changelog.change_rows(stream, {"id": "int8", "name": "text", "gone": "bool"}, keys=("id",))
+    task = SyncTask("u", "public.u", "u", ("id",), soft_delete=SoftDelete("gone", (True,)))
+    target = KeyedTable(t.spark, f"{home}/u", ["id"], "id bigint, name string, gone boolean")
+    letters = DeadLetterTable(t.spark, f"{home}/dead")
+    jobs.apply_changes(rows, task, target, f"{home}/checkpoint", letters).awaitTermination()
+    dead = letters.read().select(F.lit(None).cast("bigint").alias("id"), F.col("error").alias("detail"))
+    return target.current().select("id", F.col("name").alias("detail")).unionByName(dead)
+
+
 @query(
     "i05_streaming_counts",
     f"""WITH {LOG}, w AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, op, count(*) AS events FROM chg GROUP BY ALL)
@@ -221,7 +360,46 @@ def dead_letter_branch(t: Tables) -> DataFrame:
 @query(
     "i10_progress_rows",
     f"""WITH {LOG} SELECT 'items' AS task_id, 'default' AS source_name, CAST(0 AS BIGINT) AS batch_id, max(event_id) AS position,
-      count(CASE WHEN value <= 100 THEN 1 END) AS events_processed, count(CASE WHEN value > 100 THEN 1 END) AS events_failed, max(ts) AS last_event_at FROM chg""",
+      count(CASE WHEN value <= 100 THEN 1 END) AS events_processed, count(CASE WHEN value > 100 THEN 1 END) AS events_failed, max(ts) AS last_event_at,
+      count(CASE WHEN value <= 100 THEN 1 END) AS total_processed, count(CASE WHEN value > 100 THEN 1 END) AS total_failed FROM chg""",
 )
 def progress_rows(t: Tables) -> DataFrame:
     return run_coded(t, "progress")[2].current()
+
+
+@query(
+    "a25_edit_between_batches",
+    f"""WITH {LOG} SELECT k, event_id AS position FROM chg WHERE value > 100 AND (event_id >= 300 OR event_id % 2 = 1)""",
+)
+def edit_between_batches(t: Tables) -> DataFrame:
+    """An operator removes dead letters between two batches of a stream, and the table is compacted: both stay."""
+    code = F.when(F.col("value") > 100, F.col("props")).otherwise(F.col("value").cast("string"))
+    rows = change_events(t).withColumns({"code": code, "position": F.col(LSN)}).drop("__table", "__schema", "value", "props")
+    home, stream = landed(t, "edits", [rows.where("__lsn < 300")])
+    target = KeyedTable(t.spark, f"{home}/items", ["k"], "k bigint, code double")
+    letters = DeadLetterTable(t.spark, f"{home}/dead")
+    position = F.get_json_object("event", "$.position").cast("bigint")
+    for part in (None, rows.where("__lsn >= 300")):
+        if part is not None:
+            letters.remove(letters.read().where(position % 2 == 0))
+            letters.table.compact()
+            part.coalesce(1).write.mode("append").parquet(f"{home}/landing")
+        jobs.apply_changes(stream, LOG_TASK, target, f"{home}/checkpoint", letters).awaitTermination()
+    return letters.read().select(F.get_json_object("event", "$.k").cast("bigint").alias("k"), position.alias("position"))
+
+
+@query(
+    "i10_filtered_batch",
+    f"""WITH {LOG} SELECT 'items' AS task_id, CAST(1 AS BIGINT) AS batch_id, max(event_id) AS position, CAST(0 AS BIGINT) AS events_processed,
+      max(ts) AS last_event_at, count(CASE WHEN event_id < 300 THEN 1 END) AS total_processed FROM chg""",
+)
+def filtered_batch(t: Tables) -> DataFrame:
+    """A batch whose rows are all filtered out moves the position on and keeps the totals."""
+    rows = change_events(t).withColumn("n", F.col(LSN)).drop("__table", "__schema")
+    home, stream = landed(t, "filtered", [rows.where("__lsn < 300"), rows.where("__lsn >= 300")])
+    only = EventFilter(conditions=(Condition("less_than", "n", 300),))
+    task = SyncTask("items", "items", "items", ("k",), filter=only)
+    target = KeyedTable(t.spark, f"{home}/items", ["k"], "k bigint, value double")
+    progress = KeyedTable(t.spark, f"{home}/progress", ["task_id"], jobs.PROGRESS_SCHEMA)
+    jobs.apply_changes(stream, task, target, f"{home}/checkpoint", progress=progress).awaitTermination()
+    return progress.current().select("task_id", "batch_id", "position", "events_processed", "last_event_at", "total_processed")

@@ -155,3 +155,13 @@ def test_json_editing(spark):
     assert column(spark, ['{"k":1.5,"p":1}'], lambda c: jsondocs.json_object_add(c, p=F.lit(5))) == ['{"k":1.5,"p":5}']
     at = spark.createDataFrame([(dt.datetime(2024, 1, 2, 3, 4, 5, 600),)], "x timestamp_ntz")
     assert at.select(jsondocs.rfc3339(F.col("x"))).first()[0] == "2024-01-02T03:04:05.000600+00:00"
+
+
+def test_numbers_are_not_cut(spark):
+    texts = ["1.5", "0.12345678901234", "123456789012345678901234567890", "NaN", "-7.25000000000000", "1e3", None, "0012"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, c string")
+    got = df.select(pgtypes.decode_scalar(F.col("c"), "numeric").alias("v"), pgtypes.misfit(F.col("c"), "numeric").alias("m"))
+    got = [(None if r.v is None else float(r.v), r.m) for r in got.collect()]
+    assert got == [(1.5, False), (None, True), (None, True), (None, True), (-7.25, False), (1000.0, False), (None, False), (12.0, False)]
+    largest = spark.range(1).select(pgtypes.money(F.lit("$92,233,720,368,547,758.07")).alias("m")).first().m
+    assert str(largest) == "92233720368547758.07"

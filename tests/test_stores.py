@@ -228,3 +228,49 @@ def test_task_status(spark):
     now = F.lit("2024-01-01 00:16:00").cast("timestamp_ntz")
     assert progress.stale_failures(status, now).count() == 0
     assert progress.stale_failures(status, now + F.expr("INTERVAL 61 SECOND")).first().minutes_failed == 6
+
+
+def test_writers_share_a_table(spark, base, folder):
+    table = KeyedTable(spark, f"{folder}/t", ["k"], base.schema)
+    table.write_base(base)
+    one = lambda k, v, lsn: spark.createDataFrame([(k, v, "update", lsn)], CHANGES)
+    table.write_batch(one(1, "s1", 10), 1, "stream")
+    table.write_batch(one(2, "e1", 11), 1, "edits")
+    table.write_batch(one(1, "s1", 10), 1, "stream")  # run again: the same place
+    assert table.place_of(1, "stream") == 1 and table.place_of(1, "edits") == 2 and table.place_of(2, "stream") == 3
+    assert table.compact() == 2
+    table.write_batch(one(3, "s2", 12), 1, "other")  # a stream that starts over
+    assert pairs(table.current()) == [(1, "s1"), (2, "e1"), (3, "s2")]
+    assert table.compact() == 3 and table.changes().count() == 0
+    assert pairs(table.current()) == [(1, "s1"), (2, "e1"), (3, "s2")]
+
+
+def test_late_batch_below_the_base_is_not_lost(spark, base, folder):
+    table = KeyedTable(spark, f"{folder}/t", ["k"], base.schema)
+    table.write_base(base)
+    slow = spark.createDataFrame([(7, "slow", "create", 1)], CHANGES)
+    table.write_batch(spark.createDataFrame([(8, "fast", "create", 2)], CHANGES), 2)
+    table.compact()
+    table.write_batch(slow, 1)  # place 1, finished after the base at place 2
+    assert (7, "slow") in pairs(table.current()) and table.compact() == 3
+    assert (7, "slow") in pairs(table.current())
+
+
+def test_keyless_changes_are_refused(spark, base, folder):
+    table = KeyedTable(spark, f"{folder}/t", ["k"], base.schema)
+    with pytest.raises(Exception, match="change without a key"):
+        table.write_batch(spark.createDataFrame([(None, "x", "update", 1)], CHANGES), 1)
+
+
+def test_failed_send_leaves_the_entries(spark, folder):
+    store = DeadLetterTable(spark, f"{folder}/d")
+    store.store(letters(spark))
+
+    def broken(rows):
+        raise OSError("down")
+
+    with pytest.raises(OSError):
+        store.take_for_retry("t1", 2, F.lit("2024-02-01 00:00:00"), broken)
+    assert store.read().count() == 6
+    store.take_for_retry("t1", 2, F.lit("2024-02-01 00:00:00"), lambda rows: rows.where("id = '2'"))
+    assert sorted((r.id, r.retry_count) for r in store.read().where("task_id = 't1'").collect()) == [("2", 1), ("3", 0)]
