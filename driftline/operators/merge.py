@@ -31,9 +31,9 @@ def document_actions(df: DataFrame, primary_key: str | None, op: str = OP) -> Da
     if present and isinstance(df.schema[primary_key].dataType, (T.StringType, *INTEGRAL)):
         doc_id = F.col(primary_key).cast("string")
     if primary_key is None:
-        error = F.when(delete, F.lit("No primary key configured for delete operations"))
+        error = F.when(delete, F.lit("A delete needs a primary key, and the task names none"))
     elif not present:
-        error = F.when(delete, F.lit(f"Missing primary key field '{primary_key}' in delete event"))
+        error = F.when(delete, F.lit(f"The deleted row has no field '{primary_key}' to find it by"))
     else:
         error = F.lit(None).cast("string")
     action = (

@@ -4,21 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftline.config import Condition, SyncTask
 from driftline.functions.identifiers import canonical, split_schema, split_table, table_key
 from driftline.operators.conditions import predicate
 
-# Routing tables come from configuration. Up to this many entries they are broadcast; a larger
-# one is left to the planner's own size check.
-BROADCAST_ENTRIES = 100_000
-
-
-def _lookup(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    df = spark.createDataFrame(rows, schema)
-    return F.broadcast(df) if len(rows) <= BROADCAST_ENTRIES else df
+# Characters of a routing table up to which it is part of the expression, as one map. A larger one
+# is a table that the planner joins by its measured size.
+LITERAL_CHARS = 200_000
 
 
 def index_map(tasks: Sequence[SyncTask]) -> dict[str, str]:
@@ -52,9 +47,15 @@ def route_to_index(
         table_key(split_table(other)),
     ]
     entries = list(index_map(tasks).items())
+    if sum(len(k) + len(v) for k, v in entries) <= LITERAL_CHARS:
+        found = [other]
+        if entries:
+            lookup = F.create_map(*[F.lit(x) for entry in entries for x in entry])
+            found = [*[F.try_element_at(lookup, p) for p in probes], other]
+        return df.withColumn("index", F.coalesce(*found))
     hits = []
     for i, probe in enumerate(probes):
-        lookup = _lookup(df.sparkSession, entries, f"__key{i} string, __index{i} string")
+        lookup = df.sparkSession.createDataFrame(entries, f"__key{i} string, __index{i} string")
         df = df.join(lookup, probe == F.col(f"__key{i}"), "left").drop(f"__key{i}")
         hits.append(f"__index{i}")
     return df.withColumn("index", F.coalesce(*hits, other)).drop(*hits)
@@ -67,7 +68,7 @@ def fan_out(
 
     Rows of tables without a task are dropped. The log is read once.
     """
-    lookup = _lookup(df.sparkSession, [(t.table, t.id) for t in tasks], "__table string, task_id string")
+    lookup = df.sparkSession.createDataFrame([(t.table, t.id) for t in tasks], "__table string, task_id string")
     bare = F.substring_index(F.col(table), ".", -1)
     blank = F.coalesce(F.col(schema) == "", F.lit(True))
     names = F.when(blank, F.array(F.col(table))).otherwise(F.array(F.concat_ws(".", schema, table), bare))

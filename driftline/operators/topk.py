@@ -19,12 +19,10 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n
     return df.withColumn("__rank", F.row_number().over(spec)).where(F.col("__rank") <= n).drop("__rank")
 
 
-# Up to this many rows per key Spark cuts every task's share before the shuffle.
+# Up to this many rows per key Spark cuts every task's share before the shuffle; beyond it the cut
+# goes by counts. Both keep the same rows.
 EARLY_CUT = 1000
 
-# Hash buckets for rows that share one time.
-TIE_BUCKETS = 1 << 16
-
 
 def newest_per_key(df: DataFrame, keys: Sequence[str], n: int, created: str, tiebreak: str) -> DataFrame:
     if n > EARLY_CUT:
@@ -43,41 +41,46 @@ def keep_newest(df: DataFrame, n: int, created: str, tiebreak: str, unit: str =
     return cut_by_time(df, [], n, created, tiebreak, unit=unit)
 
 
-def _split(df: DataFrame, keys: Sequence[str], bucket: Column, room: Column, newest: bool) -> tuple[DataFrame, DataFrame]:
-    """Rows of buckets that fit as a whole, and rows of the one bucket per key that is cut.
-
-    Only bucket counts are sorted; ``room`` (rows a key may keep) goes down along them.
-    """
-    rows = df.withColumns({"__bucket": bucket, "__room": room})
-    counts = rows.groupBy(*keys, "__bucket").agg(F.count(F.lit(1)).alias("__count"), F.first("__room").alias("__room"))
-    order = F.col("__bucket").desc() if newest else F.col("__bucket").asc()
-    before = W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    left = F.col("__room") - F.coalesce(F.sum("__count").over(before), F.lit(0))
-    kept = counts.select(*keys, "__bucket", "__count", left.alias("__left")).where(F.col("__left") > 0)
-    joined = rows.drop("__room").join(kept, [*keys, "__bucket"])
-    whole = joined.where(F.col("__count") <= F.col("__left")).select(*df.columns)
-    cut = joined.where(F.col("__count") > F.col("__left")).drop("__bucket", "__count")
-    return whole, cut
-
-
 def cut_by_time(
     df: DataFrame, keys: Sequence[str], n: int, created: str, tiebreak: str, newest: bool = True, unit: str = "minute"
 ) -> DataFrame:
-    """The newest (or oldest) ``n`` rows per key, for any ``n`` and any number of rows per key.
+    """The newest (or oldest) ``n`` rows per key by time, then ``tiebreak``, for any ``n`` and any number of rows per key.
 
-    Counts per time unit tell which units stay whole and which one is cut; that unit is cut the
-    same way by exact time and a hash of ``tiebreak``, and only the rows of the last such bucket
-    are sorted. Among rows of one time the hash comes before ``tiebreak``.
+    Counts per time unit tell which units stay whole and which one is cut, and counts per second
+    and exact time where in that unit the cut is. Only the rows of that one time are sorted by
+    ``tiebreak``. Rows without a time are the oldest.
     """
-    unit_of = F.date_trunc(unit, F.col(created))
-    whole, rest = _split(df, keys, unit_of, F.lit(n).cast("bigint"), newest)
-    fine = F.struct(F.col(created), F.pmod(F.xxhash64(tiebreak), F.lit(TIE_BUCKETS)))
-    rest = rest.withColumnRenamed("__left", "__unit_left")
-    fitting, last = _split(rest, keys, fine, F.col("__unit_left"), newest)
+    # Structs are never null themselves, so a missing time joins and sorts like any other.
+    unit_of, second_of, at = (F.struct(c.alias("t")) for c in (F.date_trunc(unit, created), F.date_trunc("second", created), F.col(created)))
+    rows = df.withColumns({"__unit": unit_of, "__at": at})
+
+    def along(column: str, *more: str) -> W:
+        order = F.col(column).desc() if newest else F.col(column).asc()
+        return W.partitionBy(*keys, *more).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+
+    def room(counts: DataFrame, column: str, *more: str) -> Column:
+        return F.col("__left") - F.coalesce(F.sum("__count").over(along(column, *more)), F.lit(0))
+
+    units = rows.groupBy(*keys, "__unit").agg(F.count(F.lit(1)).alias("__count")).withColumn("__left", F.lit(n).cast("bigint"))
+    units = units.withColumn("__left", room(units, "__unit")).where(F.col("__left") > 0)
+    split = units.where(F.col("__count") > F.col("__left")).drop("__count")
+
+    times = rows.withColumn("__second", second_of).join(split, [*keys, "__unit"])
+    times = times.groupBy(*keys, "__unit", "__second", "__at", "__left").agg(F.count(F.lit(1)).alias("__count"))
+    seconds = times.groupBy(*keys, "__second", "__left").agg(F.sum("__count").alias("__count"))
+    seconds = seconds.select(*keys, "__second", room(seconds, "__second").alias("__left"))
+    times = times.drop("__left").join(seconds, [*keys, "__second"])
+    times = times.withColumn("__left", room(times, "__at", "__second"))
+    cut = times.where((F.col("__left") > 0) & (F.col("__count") >= F.col("__left")))
+    cut = cut.select(*keys, "__unit", F.col("__at").alias("__cut"), F.col("__left").alias("__here"))
+
+    kept = rows.join(units.select(*keys, "__unit").join(cut, [*keys, "__unit"], "left"), [*keys, "__unit"])
+    beyond = F.col("__at") > F.col("__cut") if newest else F.col("__at") < F.col("__cut")
+    whole = kept.where(F.col("__cut").isNull() | beyond)
     side = F.col(tiebreak).desc() if newest else F.col(tiebreak).asc()
-    spec = W.partitionBy(*keys).orderBy(side)
-    last = last.withColumn("__rank", F.row_number().over(spec)).where(F.col("__rank") <= F.col("__left"))
-    return whole.unionByName(fitting.select(*df.columns)).unionByName(last.select(*df.columns))
+    ties = kept.where(F.col("__at") == F.col("__cut"))
+    ties = ties.withColumn("__rank", F.row_number().over(W.partitionBy(*keys, "__unit").orderBy(side)))
+    return whole.select(*df.columns).unionByName(ties.where(F.col("__rank") <= F.col("__here")).select(*df.columns))
 
 
 def sample_rows(df: DataFrame, key: str, k: int, seed: int) -> DataFrame:

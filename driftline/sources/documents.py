@@ -5,15 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Depth of nesting up to which objects are found by their braces in an array that does not parse.
-SALVAGE_DEPTH = 8
-
-
-def _object_pattern(depth: int) -> str:
-    inner = "[^{}]*+"
-    for _ in range(depth - 1):
-        inner = r"[^{}]*+(?:\{" + inner + r"\}[^{}]*+)*+"
-    return r"\{" + inner + r"\}"
+def _braced(text: Column) -> Column:
+    """The outermost ``{...}`` parts of a text, however deep their braces nest."""
+    tokens = F.regexp_extract_all(text, F.lit(r"[{}]|[^{}]++"), F.lit(0))
+    nothing = F.array().cast("array<struct<at:int,size:int>>")
+    begin = F.struct(F.lit(0).alias("depth"), F.lit(1).alias("pos"), F.lit(1).alias("start"), nothing.alias("spans"))
+
+    def step(state: Column, token: Column) -> Column:
+        depth, pos, start, spans = (state.getField(n) for n in ("depth", "pos", "start", "spans"))
+        opens, closes = token == "{", (token == "}") & (depth > 0)
+        ended = F.array(F.struct(start.alias("at"), (pos - start + 1).alias("size")))
+        return F.struct(
+            (depth + F.when(opens, 1).when(closes, -1).otherwise(0)).alias("depth"),
+            (pos + F.length(token)).alias("pos"),
+            F.when(opens & (depth == 0), pos).otherwise(start).alias("start"),
+            F.when(closes & (depth == 1), F.concat(spans, ended)).otherwise(spans).alias("spans"),
+        )
+
+    spans = F.aggregate(tokens, begin, step, lambda state: state.getField("spans"))
+    return F.transform(spans, lambda s: F.substring(text, s.getField("at"), s.getField("size")))
 
 
 def check_documents(df: DataFrame, raw: str, max_bytes: int) -> DataFrame:
@@ -43,8 +53,7 @@ def explode_array(df: DataFrame, raw: str) -> DataFrame:
     """
     text = F.col(raw)
     whole = F.from_json(text, "array<variant>", {"mode": "PERMISSIVE"})
-    found = F.regexp_extract_all(text, F.lit(_object_pattern(SALVAGE_DEPTH)), F.lit(0))
-    items = F.coalesce(F.col("__whole"), F.transform(found, F.try_parse_json))
+    items = F.coalesce(F.col("__whole"), F.transform(_braced(text), F.try_parse_json))
     is_object = lambda item: item.startswith("{")
     arrays = df.where(F.ltrim(text).startswith("[")).withColumn("__whole", whole)
     texts = F.filter(F.transform(items, lambda v: F.to_json(v)), is_object)

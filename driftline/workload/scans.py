@@ -531,3 +531,47 @@ def progress_table(t: Tables) -> DataFrame:
     return progress.overlay(
         waiting.withColumn("is_pending", F.lit(True)), stored.current().withColumn("is_pending", F.lit(False))
     )
+
+
+@query(
+    "a12_deep_objects",
+    """SELECT event_id, 0 AS pos, repeat('{"a":', 20) || event_id || repeat('}', 20) AS item FROM events
+    UNION ALL SELECT event_id, 1, '{"t":"' || event_type || '"}' FROM events""",
+)
+def deep_objects(t: Tables) -> DataFrame:
+    """Objects nested 20 deep in arrays that break off."""
+    deep = F.concat(F.repeat(F.lit('{"a":'), 20), F.col("event_id").cast("string"), F.repeat(F.lit("}"), 20))
+    raw = F.concat(F.lit("["), deep, F.lit(', {"t": "'), F.col("event_type"), F.lit('"}, {"open": {'))
+    return documents.explode_array(t.events.select("event_id", raw.alias("raw")), "raw").select("event_id", "pos", "item")
+
+
+TIED = """tied AS (SELECT event_id AS id, user_id % 3 AS task_id, date_trunc('day', ts) AS created_at FROM events)"""
+
+
+def tied_rows(t: Tables) -> DataFrame:
+    """Events as entries whose times repeat: one time per day."""
+    at = F.date_trunc("day", "ts").cast("timestamp_ntz")
+    return t.events.select(F.col("event_id").alias("id"), (F.col("user_id") % 3).alias("task_id"), at.alias("created_at"))
+
+
+@query(
+    "a26_retention_of_ties",
+    f"WITH {TIED} SELECT * FROM tied ORDER BY created_at DESC, id DESC LIMIT 1234",
+)
+def retention_of_ties(t: Tables) -> DataFrame:
+    return deadletters.retained(tied_rows(t), 1234, F.lit("2030-01-01").cast("timestamp_ntz"))
+
+
+@query(
+    "a24_reprocess_failures",
+    f"""WITH {LETTERS}, ranked AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY created_at, id) AS rn FROM letters)
+    SELECT id, task_id, CASE WHEN task_id = 'task_3' AND rn <= 6 THEN 1 ELSE 0 END AS retry_count FROM ranked
+    WHERE NOT (task_id = 'task_3' AND rn <= 6 AND error <> '')""",
+)
+def reprocess_failures(t: Tables) -> DataFrame:
+    """Six entries are sent again; those without an error text fail again and stay, counted as retried."""
+    store = DeadLetterTable(t.spark, scratch_path(t.spark, "dead"))
+    store.store(letters(t))
+    at = F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")
+    store.take_for_retry("task_3", 6, at, lambda rows: rows.where("error = ''"))
+    return store.read().select("id", "task_id", "retry_count")

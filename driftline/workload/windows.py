@@ -9,7 +9,7 @@ from driftline.operators import dedup, merge, metrics, ordered, progress, topk
 from driftline.plans import alerts
 from driftline.session import scratch_path
 from driftline.workload.base import DELIVERIES, LOG, Tables, query
-from driftline.workload.scans import LETTERS, letters
+from driftline.workload.scans import LETTERS, TIED, letters, tied_rows
 
 
 @query(
@@ -207,3 +207,19 @@ def rows_numbered(t: Tables) -> DataFrame:
 )
 def newest_overall(t: Tables) -> DataFrame:
     return topk.keep_newest(t.events.select("event_id", "ts"), 750, "ts", "event_id", "hour")
+
+
+def _tied_sql(order: str, n: int) -> str:
+    return f"WITH {TIED} SELECT * FROM tied QUALIFY row_number() OVER (PARTITION BY task_id ORDER BY {order}) <= {n}"
+
+
+# Ties are cut the same way whether or not tasks cut their share first.
+for _n in (5, 2000):
+
+    @query(f"e03_newest_of_ties_{_n}", _tied_sql("created_at DESC, id DESC", _n))
+    def newest_of_ties(t: Tables, n: int = _n) -> DataFrame:
+        return topk.newest_per_key(tied_rows(t), ["task_id"], n, "created_at", "id")
+
+    @query(f"e04_oldest_of_ties_{_n}", _tied_sql("created_at, id", _n))
+    def oldest_of_ties(t: Tables, n: int = _n) -> DataFrame:
+        return topk.oldest_per_key(tied_rows(t), ["task_id"], n, "created_at", "id")
