@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from driftline.operators import dedup, merge, metrics, ordered, progress, topk
 from driftline.plans import alerts
 from driftline.session import scratch_path
+from driftline.workload.alert_sql import rules_sql
 from driftline.workload.base import DELIVERIES, LOG, Tables, query
 from driftline.workload.scans import LETTERS, TIED, letters, tied_rows
 
@@ -94,7 +95,7 @@ def moving_average(t: Tables) -> DataFrame:
 )
 def streaks(t: Tables) -> DataFrame:
     rows = t.events.select("user_id", "event_id", "value")
-    chunk = ordered.log_chunk(F.col("event_id"))
+    chunk = ordered.log_chunk(F.col("event_id"), SEGMENT)
     return ordered.streaks(rows, ["user_id"], ["event_id"], chunk, F.col("value") < 20).drop("value")
 
 
@@ -160,7 +161,26 @@ def gauge_alerts(t: Tables) -> DataFrame:
     return alerts.evaluate(metric_samples(t).where("metric = 'cdc_lag_seconds'"), wanted)
 
 
-@query("e08_all_alert_rules")
+# The values of metric_samples over events (v: the event's value, k: the number in its properties).
+SAMPLE_SQL = {
+    "cdc_lag_seconds": "v * 3",
+    "checkpoint_lag_seconds": "v * 4",
+    "sync_lag_by_table_seconds": "v * 5",
+    "memory_usage_bytes": f"k / 100 * {alerts.GIB!r}::DOUBLE * 8",
+    "connection_pool_saturation_ratio": "k / 100",
+    "processing_latency_seconds": "v / 50",
+    "circuit_breaker_state": "CASE WHEN k < 30 THEN 1.0 ELSE 0.0 END::DOUBLE",
+    "active_sync_tasks": "CASE WHEN v < 10 THEN 0.0 ELSE 1.0 END::DOUBLE",
+    "replication_lsn": "CASE WHEN k < 10 THEN 0.0 ELSE event_id END::DOUBLE",
+    "at_least_once_violations_total": "CASE WHEN k < 5 THEN 1.0 END::DOUBLE",
+    "dead_letter_events_total": "CASE WHEN event_type = 'error' THEN 1.0 END::DOUBLE",
+    "cdc_events_total": "1.0::DOUBLE",
+    "cdc_events_failed_total": "CASE WHEN k < 8 THEN 1.0 END::DOUBLE",
+    "documents_synced_total": "1.0::DOUBLE",
+}
+
+
+@query("e08_all_alert_rules", rules_sql(SAMPLE_SQL, alerts.RULES))
 def all_alert_rules(t: Tables) -> DataFrame:
     return alerts.evaluate(metric_samples(t))
 
