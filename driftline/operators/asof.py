@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftline.functions.pgtypes import decode
-from driftline.operators.ordered import LOG_SEGMENT, log_chunk, running
+from driftline.operators.ordered import LOG_SEGMENT, LOG_SPAN, log_chunk, running
 
 
 def asof_join(
@@ -18,6 +18,7 @@ def asof_join(
     position: str,
     payload: Sequence[str],
     segment: int = LOG_SEGMENT,
+    span: int = LOG_SPAN,
 ) -> DataFrame:
     """``changes`` with ``payload`` of the last version at or before their position (null if none).
 
@@ -36,6 +37,7 @@ def asof_join(
         [position, "__rank"],
         log_chunk(F.col(position), segment),
         {"__found": ("last", F.col("__payload"))},
+        span,
     )
     rows = carried.where(F.col("__rank") == 1)
     return rows.select(

@@ -3,7 +3,9 @@
 A plain window puts all rows of a key in one task, which fails when one key holds a large share
 of a log. These operators cut every key into chunks by a function of the order column (a log
 segment, an hour). Windows run inside a chunk; what a chunk needs from the chunks before it is
-one small summary row per key and chunk, carried forward over those rows only. Whole rows are
+one small summary row per key and chunk, carried forward over those rows only, and on two levels:
+within a span of chunks, and from span to span. So no task holds more than the summaries of one
+span of a key, or one row per span. Whole rows are
 shuffled and sorted once, by key and chunk; the summaries come from partial aggregates, or from a
 second pass over the few columns they need.
 """
@@ -15,12 +17,16 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Positions per chunk. A log position is a byte offset (or a dense number), so this also bounds
 # the rows of a chunk.
 LOG_SEGMENT = 1 << 16
 
-_KEY, _CHUNK = "__key", "__chunk"
+# Positions per span of chunks: 65,536 chunks of the default size.
+LOG_SPAN = 1 << 32
+
+_KEY, _CHUNK, _SPAN = "__key", "__chunk", "__span"
 
 
 def log_chunk(position: Column, size: int = LOG_SEGMENT) -> Column:
@@ -40,12 +46,46 @@ def _local(order: Sequence[str]) -> W:
     return W.partitionBy(_KEY, _CHUNK).orderBy(*order)
 
 
-def _earlier_chunks() -> W:
-    return W.partitionBy(_KEY).orderBy(_CHUNK).rowsBetween(W.unboundedPreceding, -1)
+def _carry(summary: DataFrame, specs: Mapping[str, tuple[str, Column]], span: int) -> DataFrame:
+    """``summary`` (one row per key and chunk) with what the earlier chunks of the key hand on.
+
+    Kinds are ``sum``, ``max`` and ``last`` (the newest value that is not null); null before the
+    first chunk.
+    """
+    dtype = summary.schema[_CHUNK].dataType
+    timed = isinstance(dtype, (T.TimestampType, T.TimestampNTZType, T.DateType))
+    number = F.date_trunc("month", _CHUNK) if timed else F.floor(F.col(_CHUNK) / F.lit(span))
+    rows = summary.withColumns({_SPAN: number, **{f"__x_{n}": c for n, (_, c) in specs.items()}})
+    within = W.partitionBy(_KEY, _SPAN).orderBy(_CHUNK).rowsBetween(W.unboundedPreceding, -1)
+    across = W.partitionBy(_KEY).orderBy(_SPAN).rowsBetween(W.unboundedPreceding, -1)
+    near, far, whole, both = {}, [], [], {}
+    for name, (kind, _) in specs.items():
+        held, total, earlier, here = F.col(f"__x_{name}"), F.col(f"__t_{name}"), F.col(f"__f_{name}"), F.col(f"__n_{name}")
+        if kind == "sum":
+            of_span, inside, outside = F.sum(held), F.sum(held).over(within), F.sum(total).over(across)
+            joined = F.when(here.isNotNull() | earlier.isNotNull(), F.coalesce(here, F.lit(0)) + F.coalesce(earlier, F.lit(0)))
+        elif kind == "max":
+            of_span, inside, outside = F.max(held), F.max(held).over(within), F.max(total).over(across)
+            joined = F.greatest(here, earlier)
+        else:
+            of_span = F.max_by(held, F.when(held.isNotNull(), F.col(_CHUNK)))
+            inside, outside = F.last(held, ignorenulls=True).over(within), F.last(total, ignorenulls=True).over(across)
+            joined = F.coalesce(here, earlier)
+        whole.append(of_span.alias(f"__t_{name}"))
+        far.append(outside.alias(f"__f_{name}"))
+        near[f"__n_{name}"] = inside
+        both[name] = joined
+    spans = rows.groupBy(_KEY, _SPAN).agg(*whole).select(_KEY, _SPAN, *far)
+    return rows.withColumns(near).join(spans, [_KEY, _SPAN]).withColumns(both).select(*summary.columns, *specs)
 
 
 def running(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, specs: Mapping[str, tuple[str, Column]]
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    chunk: Column,
+    specs: Mapping[str, tuple[str, Column]],
+    span: int = LOG_SPAN,
 ) -> DataFrame:
     """Running values per key, the current row included.
 
@@ -55,63 +95,72 @@ def running(
     """
     rows = _chunked(df, keys, chunk)
     newest = F.struct(*[F.col(o) for o in order])
-    summary, carried, inside, final = [], [], {}, []
+    summary, carried, inside, final = [], {}, {}, []
     local = _local(order)
     so_far = local.rowsBetween(W.unboundedPreceding, W.currentRow)
-    earlier = _earlier_chunks()
     for name, (kind, value) in specs.items():
         held, into, here = F.col(f"__s_{name}"), F.col(f"__c_{name}"), F.col(f"__l_{name}")
         boxed = F.struct(value.alias("v"))
         if kind == "sum":
-            part, carry, own = F.sum(value), F.sum(held).over(earlier), F.sum(value).over(so_far)
+            part, carry, own = F.sum(value), "sum", F.sum(value).over(so_far)
             result = F.coalesce(here, F.lit(0)) + F.coalesce(into, F.lit(0))
         elif kind == "max":
-            part, carry, own = F.max(value), F.max(held).over(earlier), F.max(value).over(so_far)
+            part, carry, own = F.max(value), "max", F.max(value).over(so_far)
             result = F.greatest(here, into)
         elif kind == "last":
             known = F.when(value.isNotNull(), boxed)
             part = F.max_by(known, F.when(value.isNotNull(), newest))
-            carry = F.last(held, ignorenulls=True).over(earlier)
+            carry = "last"
             own = F.last(known, ignorenulls=True).over(so_far)
             result = F.coalesce(here, into).getField("v")
         elif kind == "prev":
-            part, carry = F.max_by(boxed, newest), F.last(held, ignorenulls=True).over(earlier)
+            part, carry = F.max_by(boxed, newest), "last"
             own = F.lag(boxed).over(local)
             result = F.coalesce(here, into).getField("v")
         else:
             raise ValueError(f"unknown running value: {kind}")
         summary.append(part.alias(f"__s_{name}"))
-        carried.append(carry.alias(f"__c_{name}"))
+        carried[f"__c_{name}"] = (carry, held)
         inside[f"__l_{name}"] = own
         final.append(result.alias(name))
-    carry_rows = rows.groupBy(_KEY, _CHUNK).agg(*summary).select(_KEY, _CHUNK, *carried)
+    carry_rows = _carry(rows.groupBy(_KEY, _CHUNK).agg(*summary), carried, span).select(_KEY, _CHUNK, *carried)
     # Windows before the join: the join then finds its rows sorted.
     joined = rows.withColumns(inside).join(carry_rows, [_KEY, _CHUNK], "left")
     return joined.select(*[F.col(f"`{c}`") for c in df.columns], *final)
 
 
-def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, name: str = "rn") -> DataFrame:
+def numbered(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, name: str = "rn", span: int = LOG_SPAN
+) -> DataFrame:
     """Row number within a key, from 1."""
-    return running(df, keys, order, chunk, {name: ("sum", F.lit(1).cast("bigint"))})
+    return running(df, keys, order, chunk, {name: ("sum", F.lit(1).cast("bigint"))}, span)
 
 
 def batch_numbers(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, size: int, name: str = "batch_id"
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    chunk: Column,
+    size: int,
+    name: str = "batch_id",
+    span: int = LOG_SPAN,
 ) -> DataFrame:
     """Number of the fixed-size batch a row falls in, per key, from 0."""
-    rows = numbered(df, keys, order, chunk, "__rn")
+    rows = numbered(df, keys, order, chunk, "__rn", span)
     return rows.withColumn(name, F.floor((F.col("__rn") - 1) / F.lit(size)).cast("bigint")).drop("__rn")
 
 
 def order_violations(
-    df: DataFrame, keys: Sequence[str], arrival: Sequence[str], chunk: Column, position: str
+    df: DataFrame, keys: Sequence[str], arrival: Sequence[str], chunk: Column, position: str, span: int = LOG_SPAN
 ) -> DataFrame:
     """Rows whose position is not above the position of the row that arrived before."""
-    rows = running(df, keys, arrival, chunk, {"previous": ("prev", F.col(position))})
+    rows = running(df, keys, arrival, chunk, {"previous": ("prev", F.col(position))}, span)
     return rows.where(F.col(position) <= F.col("previous"))
 
 
-def streaks(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, success: Column) -> DataFrame:
+def streaks(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, success: Column, span: int = LOG_SPAN
+) -> DataFrame:
     """``consecutive_successes`` and ``consecutive_failures`` up to each row."""
     local = _local(order)
     so_far = local.rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -122,15 +171,10 @@ def streaks(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Col
     summary = rows.groupBy(_KEY, _CHUNK).agg(
         F.count(F.lit(1)).alias("__count"), F.max(good).alias("__g"), F.max(bad).alias("__b")
     )
-    earlier = _earlier_chunks()
-    summary = summary.withColumn("__start", F.coalesce(F.sum("__count").over(earlier), F.lit(0)))
-    carry = summary.select(
-        _KEY,
-        _CHUNK,
-        "__start",
-        F.max(F.col("__start") + F.col("__g")).over(earlier).alias("__last_good"),
-        F.max(F.col("__start") + F.col("__b")).over(earlier).alias("__last_bad"),
-    )
+    summary = _carry(summary, {"__before": ("sum", F.col("__count"))}, span)
+    summary = summary.withColumn("__start", F.coalesce("__before", F.lit(0)))
+    ends = {"__last_good": ("max", F.col("__start") + F.col("__g")), "__last_bad": ("max", F.col("__start") + F.col("__b"))}
+    carry = _carry(summary, ends, span).select(_KEY, _CHUNK, "__start", *ends)
     joined = rows.join(carry, [_KEY, _CHUNK], "left")
     number = F.col("__start") + F.col("__n")
 

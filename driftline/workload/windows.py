@@ -9,7 +9,7 @@ from driftline.operators import dedup, merge, metrics, ordered, progress, topk
 from driftline.plans import alerts
 from driftline.session import scratch_path
 from driftline.workload.alert_sql import rules_sql
-from driftline.workload.base import DELIVERIES, LOG, Tables, query
+from driftline.workload.base import DELIVERIES, LOG, SEGMENT, SPAN, Tables, query
 from driftline.workload.scans import LETTERS, TIED, letters, tied_rows
 
 
@@ -79,7 +79,7 @@ def rate_30m(t: Tables) -> DataFrame:
 )
 def moving_average(t: Tables) -> DataFrame:
     rows = ordered.moving_mean(
-        t.events, ["event_type"], ["event_id"], ordered.log_chunk(F.col("event_id")), {"value": F.col("value")}
+        t.events, ["event_type"], ["event_id"], ordered.log_chunk(F.col("event_id"), SEGMENT), {"value": F.col("value")}
     )
     return rows.select(
         "event_id", "event_type", F.round(F.col("value_sum") / F.col("window_rows"), 6).alias("mean"), "window_rows"
@@ -96,7 +96,7 @@ def moving_average(t: Tables) -> DataFrame:
 def streaks(t: Tables) -> DataFrame:
     rows = t.events.select("user_id", "event_id", "value")
     chunk = ordered.log_chunk(F.col("event_id"), SEGMENT)
-    return ordered.streaks(rows, ["user_id"], ["event_id"], chunk, F.col("value") < 20).drop("value")
+    return ordered.streaks(rows, ["user_id"], ["event_id"], chunk, F.col("value") < 20, SPAN).drop("value")
 
 
 @query(
@@ -195,19 +195,21 @@ def order_check(t: Tables) -> DataFrame:
     """Arrivals whose position does not grow; every fiftieth change carries a position from the future."""
     late = F.when(F.col("event_id") % 50 == 0, 400).otherwise(0)
     rows = t.events.select("event_type", "event_id", (F.col("event_id") + late).alias("lsn_num"))
-    chunk = ordered.log_chunk(F.col("event_id"))
-    return ordered.order_violations(rows, ["event_type"], ["event_id"], chunk, "lsn_num")
+    chunk = ordered.log_chunk(F.col("event_id"), SEGMENT)
+    return ordered.order_violations(rows, ["event_type"], ["event_id"], chunk, "lsn_num", SPAN)
 
 
 @query(
     "e09_turn_order",
-    """SELECT conv_id, turn, previous FROM (SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS previous FROM conversations)
+    """WITH c AS (SELECT conv_id, turn FROM conversations WHERE (conv_id * 7 + turn) % 5 <> 0)
+    SELECT conv_id, turn, previous FROM (SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS previous FROM c)
     WHERE turn <= previous OR turn - previous > 1""",
 )
 def turn_order(t: Tables) -> DataFrame:
-    rows = t.conversations.select("conv_id", "turn")
+    """Gaps in the turns of conversations that lost every fifth message."""
+    rows = t.conversations.where("(conv_id * 7 + turn) % 5 <> 0").select("conv_id", "turn")
     found = ordered.running(
-        rows, ["conv_id"], ["turn"], ordered.log_chunk(F.col("turn")), {"previous": ("prev", F.col("turn"))}
+        rows, ["conv_id"], ["turn"], ordered.log_chunk(F.col("turn"), 2), {"previous": ("prev", F.col("turn"))}, span=4
     )
     return found.where("turn <= previous OR turn - previous > 1")
 
@@ -218,7 +220,7 @@ def turn_order(t: Tables) -> DataFrame:
 )
 def rows_numbered(t: Tables) -> DataFrame:
     rows = t.events.select("event_type", "event_id")
-    return ordered.numbered(rows, ["event_type"], ["event_id"], ordered.log_chunk(F.col("event_id")))
+    return ordered.numbered(rows, ["event_type"], ["event_id"], ordered.log_chunk(F.col("event_id"), SEGMENT), span=SPAN)
 
 
 @query(
