@@ -29,6 +29,10 @@ from driftline.operators import LSN, OP, UNCHANGED
 from driftline.operators.merge import fill_unchanged, fold_unchanged, latest_per_key, merge_snapshot
 
 
+# Batches are folded once they are this share of the base, or this many times the usual number.
+FOLD_SHARE, MOST_BATCHES = 0.1, 10
+
+
 def _place(name: str) -> int:
     return int(name.partition(".")[0])
 
@@ -134,9 +138,25 @@ class KeyedTable:
         self.write_base(self._merged(names), version, sorted(earlier | set(names)))
         return version
 
+    def _bytes(self, paths: Sequence[str]) -> int:
+        total = 0
+        for name in paths:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+            total += path.getFileSystem(self.spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+        return total
+
     def compact_every(self, batches: int | None, before: int) -> None:
-        """Called ahead of place ``before``: fold what came earlier once enough batches have piled up."""
-        if batches and len(names := self._unfolded(before - 1)) >= batches and names:
+        """Called ahead of place ``before``: fold what came earlier once enough has piled up.
+
+        That is ``batches`` batches which together are a fair share of the base, so that a large
+        base is not written again for small changes; or so many that reading them costs more.
+        """
+        names = self._unfolded(before - 1) if batches else []
+        if not names or len(names) < batches:
+            return
+        version = self.version()
+        base = self._bytes([f"base/v={version}"]) if version >= 0 else 0
+        if len(names) >= MOST_BATCHES * batches or self._bytes([f"changes/batch={n}" for n in names]) >= FOLD_SHARE * base:
             self.compact(until=before - 1)
 
     # --- reading ----------------------------------------------------------------------------
@@ -168,8 +188,18 @@ class KeyedTable:
     def current(self) -> DataFrame:
         return self.as_of(None)
 
+    def publish_version(self, view: str) -> int:
+        """Fold everything and point a view of the catalogue at the new base; returns its version.
+
+        The view is replaced in one step and every session of the catalogue sees it.
+        """
+        version = self.compact()
+        columns = ", ".join(f"`{c}`" for c in self.schema.fieldNames())
+        self.spark.sql(f"CREATE OR REPLACE VIEW `{view}` AS SELECT {columns} FROM parquet.`{self.path}/base/v={version}`")
+        return version
+
     def publish(self, view: str) -> DataFrame:
-        """Point a view at the current state; readers of the earlier plan keep their files."""
+        """Point a view of this session at the current state; readers of the earlier plan keep their files."""
         df = self.current()
         df.createOrReplaceTempView(view)
         return df

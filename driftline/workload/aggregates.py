@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -123,6 +125,33 @@ def batch_size_histogram(t: Tables) -> DataFrame:
     return metrics.histogram_rows(hist, ["event_type"], metrics.BATCH_SIZE_BOUNDS)
 
 
+LATENCIES = {
+    "event": metrics.EVENT_LATENCY_BOUNDS,
+    "store": metrics.STORE_LATENCY_BOUNDS,
+    "commit": metrics.COMMIT_LATENCY_BOUNDS,
+}
+LATENCY_CELLS = ", ".join(
+    f"('{kind}', '{le}', {bound})"
+    for kind, bounds in LATENCIES.items()
+    for le, bound in [*((repr(b), f"{b!r}::DOUBLE") for b in bounds), ("+Inf", "'Infinity'::DOUBLE")]
+)
+
+
+@query(
+    "d08_latency_histograms",
+    f"""SELECT kind, event_type, le, count(CASE WHEN value / 50 <= bound THEN 1 END) AS cumulative
+    FROM events, (VALUES {LATENCY_CELLS}) v(kind, le, bound) GROUP BY ALL""",
+)
+def latency_histograms(t: Tables) -> DataFrame:
+    """One scan per kind of latency, each with its own bounds."""
+    rows = t.events.select("event_type", (F.col("value") / 50).alias("seconds"))
+    parts = [
+        metrics.histogram_rows(metrics.histogram(rows, ["event_type"], F.col("seconds"), b), ["event_type"], b).withColumn("kind", F.lit(kind))
+        for kind, b in LATENCIES.items()
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def _quantile_sql(q: float) -> str:
     """Interpolated quantile over rows ``b(table_name, stage, bound, low, cum, prev, n)``."""
     return f"""coalesce(min(CASE WHEN cum >= {q}::DOUBLE * n THEN

@@ -408,6 +408,25 @@ def publish_versions(t: Tables) -> DataFrame:
     return table.publish("items")
 
 
+@query(
+    "a19_shared_version",
+    f"""WITH {LOG}, {SNAPSHOT},
+    last AS (SELECT * FROM chg QUALIFY row_number() OVER (PARTITION BY k ORDER BY event_id DESC) = 1)
+    SELECT k, value, props FROM snap WHERE k NOT IN (SELECT k FROM last)
+    UNION ALL SELECT k, value, props FROM last WHERE op <> 'delete'""",
+)
+def shared_version(t: Tables) -> DataFrame:
+    """Two published versions; another session reads the second."""
+    table = KeyedTable(t.spark, scratch_path(t.spark, "items"), ["k"], t.snapshot.schema)
+    table.write_base(t.snapshot)
+    changes = t.log.select("k", "value", "props", F.col("op").alias(OP), F.col("event_id").alias(LSN))
+    view = "published_items"
+    for batch, part in enumerate(("event_id < 400", "event_id >= 400"), 1):
+        table.write_batch(changes.where(part.replace("event_id", LSN)), batch)
+        table.publish_version(view)
+    return t.spark.newSession().table(view)
+
+
 def numeric_code_task(name: str = "codes") -> SyncTask:
     return SyncTask(name, "public.items", "items", ("event_id",), transform=Transforms(fields=(Convert("code", "number"),)))
 
