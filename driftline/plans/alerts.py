@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from driftline.operators import metrics
+from driftline.session import scratch_path
 
 STEP_SECONDS = 30
 SAMPLE_SCHEMA = "metric string, series string, outcome string, ts timestamp_ntz, value double"
@@ -104,10 +105,27 @@ RULES = (
 EXACT = "decimal(28,6)"
 
 
-def _levels(samples: DataFrame, keys: Sequence[str], step: int) -> DataFrame:
+def cells(samples: DataFrame, rules: Sequence[Rule] = RULES, step: int = STEP_SECONDS) -> DataFrame:
+    """Samples per metric, series, outcome and evaluation step: newest level, exact sum and bucket counts.
+
+    All that the rules need of the samples, from one aggregation; what is left is bounded by time.
+    """
+    timed = F.col("metric").isin(*{r.metric for r in rules if r.signal == "quantile"})
+    bounds = metrics.STAGE_LATENCY_BOUNDS
+    counts = [F.count_if(timed & (F.col("value") <= F.lit(b))).alias(c) for b, c in zip(bounds, metrics.bucket_columns(bounds))]
+    wanted = samples.where(F.col("metric").isin(*{m for r in rules for m in (r.metric, r.base_metric) if m}))
+    return wanted.groupBy("metric", "series", "outcome", metrics.step_of(F.col("ts"), step).alias("at")).agg(
+        F.max(F.struct("ts", "value")).alias("newest"),
+        F.coalesce(F.sum(F.col("value").cast(EXACT)), F.lit(0)).cast(EXACT).alias("amount"),
+        F.count(F.lit(1)).alias("total"),
+        *counts,
+    )
+
+
+def _levels(steps: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Gauges: last level of every step that has a sample."""
-    newest = F.max_by("value", F.struct("ts", "value"))
-    return samples.groupBy(*keys, metrics.step_of(F.col("ts"), step).alias("at")).agg(newest.alias("value"))
+    newest = F.max("newest").getField("value")
+    return steps.groupBy(*keys, "at").agg(newest.alias("value"))
 
 
 def _running(deltas: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
@@ -124,12 +142,11 @@ def _total_level(levels: DataFrame, keys: Sequence[str]) -> DataFrame:
     return _running(levels.select(*keys, "at", change.alias("value")), keys, ["value"]).withColumn("series", F.lit(""))
 
 
-def _trailing(samples: DataFrame, keys: Sequence[str], sums: Mapping[str, Column], window: int, step: int) -> DataFrame:
+def _trailing(steps: DataFrame, keys: Sequence[str], sums: Mapping[str, Column], window: int) -> DataFrame:
     """Sums over the trailing ``window``: what enters at a step leaves again ``window`` later."""
     names = list(sums)
-    steps = metrics.step_sums(samples, keys, "ts", step, sums)
     sign = F.explode(F.array(*[F.struct(F.lit(d).alias("d"), F.lit(s).alias("s")) for d, s in ((0, 1), (window, -1))]))
-    both = steps.withColumn("__e", sign)
+    both = steps.select(*keys, "at", *[c.alias(n) for n, c in sums.items()]).withColumn("__e", sign)
     moved = [(F.col(n) * F.col("__e.s")).alias(n) for n in names]
     return _running(both.select(*keys, (F.col("at") + F.col("__e.d")).alias("at"), *moved), keys, names)
 
@@ -143,22 +160,21 @@ def _expression(rule: Rule) -> tuple:
     return (rule.signal, rule.metric, rule.base_metric, rule.outcome, rule.window, rule.quantile, rule.per_series)
 
 
-def signal(samples: DataFrame, rules: Sequence[Rule], step: int = STEP_SECONDS) -> DataFrame:
-    """Points ``(metric, series, at, value)`` of rules that share an expression."""
+def signal(steps: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """Points ``(metric, series, at, value)`` of rules that share an expression, from :func:`cells`."""
     rule = rules[0]
-    wanted = samples.where(F.col("metric").isin(*{m for r in rules for m in (r.metric, r.base_metric) if m}))
+    wanted = steps.where(F.col("metric").isin(*{m for r in rules for m in (r.metric, r.base_metric) if m}))
     if rule.signal == "gauge":
-        return _levels(wanted, ["metric", "series"], step)
+        return _levels(wanted, ["metric", "series"])
     if rule.signal == "gauge_sum":
-        return _total_level(_levels(wanted, ["metric", "series"], step), ["metric"])
+        return _total_level(_levels(wanted, ["metric", "series"]), ["metric"])
 
     if not rule.per_series:
         wanted = wanted.withColumn("series", F.lit(""))
     keys = ["metric", "series"] if rule.signal == "rate" else ["series"]
-    amount = F.col("value").cast(EXACT)
-    none = F.lit(0).cast(EXACT)
+    amount, none = F.col("amount"), F.lit(0).cast(EXACT)
     if rule.signal == "rate":
-        moved = _trailing(wanted, keys, {"total": amount}, rule.window, step)
+        moved = _trailing(wanted, keys, {"total": amount}, rule.window)
         return moved.select(*keys, "at", (F.col("total").cast("double") / F.lit(float(rule.window))).alias("value"))
     if rule.signal == "ratio":
         part = F.col("metric") == rule.metric
@@ -166,15 +182,13 @@ def signal(samples: DataFrame, rules: Sequence[Rule], step: int = STEP_SECONDS)
             part = part & (F.col("outcome") == rule.outcome)
         base = F.col("metric") == (rule.base_metric or rule.metric)
         sums = {"part": F.when(part, amount).otherwise(none), "total": F.when(base, amount).otherwise(none)}
-        moved = _trailing(wanted, keys, sums, rule.window, step)
+        moved = _trailing(wanted, keys, sums, rule.window)
         value = F.try_divide(F.col("part").cast("double"), F.col("total").cast("double"))
     elif rule.signal == "quantile":
         bounds = metrics.STAGE_LATENCY_BOUNDS
-        cells = metrics.bucket_columns(bounds)
-        one, zero = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
-        sums = {c: F.when(F.col("value") <= F.lit(b), one).otherwise(zero) for b, c in zip(bounds, cells)}
-        moved = _trailing(wanted, keys, {**sums, "total": one}, rule.window, step)
-        value = metrics.histogram_quantile(rule.quantile, bounds, [F.col(c) for c in cells], F.col("total"))
+        buckets = metrics.bucket_columns(bounds)
+        moved = _trailing(wanted, keys, {c: F.col(c) for c in [*buckets, "total"]}, rule.window)
+        value = metrics.histogram_quantile(rule.quantile, bounds, [F.col(c) for c in buckets], F.col("total"))
     else:
         raise ValueError(f"unknown signal: {rule.signal}")
     return moved.select(F.lit(rule.metric).alias("metric"), "series", "at", value.alias("value"))
@@ -220,15 +234,29 @@ def episodes(
     return runs.where(F.col("until") - F.col("since") >= hold)
 
 
-def evaluate(samples: DataFrame, rules: Sequence[Rule] = RULES, step: int = STEP_SECONDS) -> DataFrame:
-    """Firing episodes of all rules: ``alert, severity, series, since, until, fires_at``."""
+def evaluate(
+    samples: DataFrame, rules: Sequence[Rule] = RULES, step: int = STEP_SECONDS, lookback: int | None = None
+) -> DataFrame:
+    """Firing episodes of all rules: ``alert, severity, series, since, until, fires_at``.
+
+    The samples are read once; their :func:`cells` are stored and every rule goes on from there. A
+    gauge keeps its level until its next sample, or for ``lookback`` seconds at most.
+    """
     groups: dict[tuple, list[Rule]] = {}
     for rule in rules:
         groups.setdefault(_expression(rule), []).append(rule)
+    path = scratch_path(samples.sparkSession, "alert-cells")
+    made = cells(samples, rules, step)
+    made.write.parquet(path)
+    steps = samples.sparkSession.read.schema(made.schema).parquet(path)
     parts = []
     for group in groups.values():
-        points = signal(samples, group, step)
+        points = signal(steps, group)
         following = F.lead("at").over(W.partitionBy("metric", "series").orderBy("at"))
+        if lookback is not None and group[0].signal == "gauge":
+            stale = points.withColumn("__next", following).where(F.col("__next").isNull() | (F.col("__next") > F.col("at") + lookback))
+            gone = stale.select("metric", "series", (F.col("at") + lookback).alias("at"), F.lit(None).cast("double").alias("value"))
+            points = points.unionByName(gone)
         points = points.withColumn("__last", F.coalesce(following - step, F.col("at")))
         own = F.filter(_rule_rows(group), lambda r: r.getField("metric") == F.col("metric"))
         rows = points.select("series", "at", "value", "__last", F.explode(own).alias("rule"))

@@ -161,6 +161,21 @@ def gauge_alerts(t: Tables) -> DataFrame:
     return alerts.evaluate(metric_samples(t).where("metric = 'cdc_lag_seconds'"), wanted)
 
 
+@query(
+    "e08_stale_gauges",
+    """WITH s AS (SELECT event_type AS series, (CAST(floor(epoch(ts) / 30) AS BIGINT) + 1) * 30 AS "at", arg_max(value * 3, (ts, value * 3)) AS v FROM events GROUP BY ALL),
+    n AS (SELECT *, least(coalesce(lead("at") OVER w, "at" + 300), "at" + 300) AS ends, lag("at") OVER w AS prior FROM s WINDOW w AS (PARTITION BY series ORDER BY "at")),
+    c AS (SELECT *, v > 60 AS hot, lag(v > 60) OVER w AND prior + 300 >= "at" AS before FROM n WINDOW w AS (PARTITION BY series ORDER BY "at")),
+    i AS (SELECT *, sum(CASE WHEN hot AND NOT coalesce(before, false) THEN 1 ELSE 0 END) OVER (PARTITION BY series ORDER BY "at") AS island FROM c),
+    e AS (SELECT series, min("at") AS since, max(ends - 30) AS until FROM i WHERE hot GROUP BY series, island)
+    SELECT 'HighCDCLag' AS alert, 'warning' AS severity, series, since, until, since + 300 AS fires_at FROM e WHERE until - since >= 300""",
+)
+def stale_gauges(t: Tables) -> DataFrame:
+    """The same rule with levels that count for five minutes at most."""
+    wanted = [r for r in alerts.RULES if r.name == "HighCDCLag"]
+    return alerts.evaluate(metric_samples(t).where("metric = 'cdc_lag_seconds'"), wanted, lookback=300)
+
+
 # The values of metric_samples over events (v: the event's value, k: the number in its properties).
 SAMPLE_SQL = {
     "cdc_lag_seconds": "v * 3",
