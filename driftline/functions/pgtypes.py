@@ -153,7 +153,7 @@ def decode_scalar(c: Column, type_name: str, numeric_type: str = NUMERIC) -> Col
 def array_elements(c: Column) -> Column:
     """Element texts of an array literal, unquoted and unescaped; ``NULL`` elements are null.
 
-    A text that is not in braces gives null: keep the raw text in that case.
+    A text that is not in braces gives null, and :func:`malformed_array` its raw text.
     """
     inner = F.substring(c, F.lit(2), F.length(c) - 2)
     raw = F.regexp_extract_all(inner, F.lit(ARRAY_ELEMENT), F.lit(1))
@@ -167,6 +167,11 @@ def array_elements(c: Column) -> Column:
     return F.when(c.startswith("{") & c.endswith("}"), F.transform(raw, element))
 
 
+def malformed_array(c: Column) -> Column:
+    """The raw text where it is no array literal, else null: what :func:`array_elements` cannot hold."""
+    return F.when(~(c.startswith("{") & c.endswith("}")), c)
+
+
 def decode_array(c: Column, type_name: str) -> Column:
     return F.transform(array_elements(c), lambda e: decode_scalar(e, type_name))
 

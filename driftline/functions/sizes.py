@@ -14,6 +14,28 @@ NUMBER_BYTES = 16
 CONTAINER_BYTES = 24
 
 
+# The parts of a compact JSON text that cost something.
+_JSON_PART = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|[\[{]|true|false|null|-?[0-9][0-9.eE+-]*+'
+
+
+def json_size(text: Column) -> Column:
+    """Size of a JSON text by the same rule. Every value and key costs on its own, so nesting does not matter."""
+
+    def part(total: Column, token: Column) -> Column:
+        plain = F.octet_length(token) - 2
+        escaped = F.octet_length(F.try_variant_get(F.try_parse_json(token), "$", "string"))
+        string = F.when(F.contains(token, F.lit("\\")), escaped).otherwise(plain) + CONTAINER_BYTES
+        size = (
+            F.when(token.startswith('"'), string)
+            .when(token.isin("[", "{"), CONTAINER_BYTES)
+            .when(token.isin("true", "false", "null"), SCALAR_BYTES)
+            .otherwise(NUMBER_BYTES)
+        )
+        return total + size.cast("bigint")
+
+    return F.aggregate(F.regexp_extract_all(text, F.lit(_JSON_PART), F.lit(0)), F.lit(0).cast("bigint"), part)
+
+
 def value_size(c: Column, dtype: T.DataType) -> Column:
     null_size = F.lit(SCALAR_BYTES).cast("bigint")
     if isinstance(dtype, T.NumericType):
@@ -41,7 +63,7 @@ def value_size(c: Column, dtype: T.DataType) -> Column:
             + value_size(e.getField("value"), dtype.valueType),
         )
     elif isinstance(dtype, T.VariantType):
-        size = F.octet_length(F.to_json(c)).cast("bigint") + CONTAINER_BYTES
+        size = json_size(F.to_json(c))
     else:
         size = F.octet_length(c.cast("string")).cast("bigint") + CONTAINER_BYTES
     return F.when(c.isNull(), null_size).otherwise(size)

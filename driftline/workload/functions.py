@@ -221,6 +221,19 @@ def array_decode(t: Tables) -> DataFrame:
     )
 
 
+@query(
+    "h11_malformed_array",
+    """SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '{' || event_type WHEN event_id % 3 = 1 THEN event_type END AS raw,
+    CASE WHEN event_id % 3 = 2 THEN 1 END AS n FROM events""",
+)
+def malformed_array(t: Tables) -> DataFrame:
+    """Two of three texts are no array literals and stay as they are."""
+    third = F.col("event_id") % 3
+    text = F.concat(F.when(third == 1, "").otherwise("{"), F.col("event_type"), F.when(third == 2, "}").otherwise(""))
+    rows = t.events.select("event_id", text.alias("text"))
+    return rows.select("event_id", pgtypes.malformed_array(F.col("text")).alias("raw"), F.size(pgtypes.decode(F.col("text"), 1009)).alias("n"))
+
+
 @query("h12_unquote", "SELECT doc_id, md5(text) AS text_md5, lang FROM documents")
 def unquote(t: Tables) -> DataFrame:
     quoted = F.concat(F.lit(" '"), F.replace("text", F.lit("'"), F.lit("''")), F.lit("' "))

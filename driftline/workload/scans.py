@@ -290,6 +290,21 @@ def document_sizes(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", document_size(t.documents.schema).alias("bytes"))
 
 
+@query(
+    "a14_variant_size",
+    """SELECT event_id, 24 + (24 + 3) + 24 + (24 + 2) + 16 + (24 + 1) + 24 + (24 + 1) + 16 + (24 + 4) + 24 + (24 + 4)
+      + (24 + strlen(event_type)) + 8 + 8 AS bytes FROM events""",
+)
+def variant_sizes(t: Tables) -> DataFrame:
+    """Nested values of every kind, one text with an escape and a letter of two bytes."""
+    raw = F.concat(
+        F.lit('{"id":'), F.col("event_id").cast("string"), F.lit(',"p":'), F.col("props"),
+        F.lit(',"tags":["\u00e9\\n!","'), F.col("event_type"), F.lit('",null,true]}'),
+    )
+    docs = t.events.select("event_id", F.parse_json(raw).alias("doc"))
+    return docs.select("event_id", document_size(docs.select("doc").schema).alias("bytes"))
+
+
 @query(
     "a14_array_document_size",
     """SELECT vec_id, 24 + (24 + 6) + 16 + (24 + 9) + 24 + 16 * len(embedding) + (24 + 5)
