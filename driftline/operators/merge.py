@@ -93,6 +93,24 @@ def merge_snapshot(snapshot: DataFrame, latest: DataFrame, keys: Sequence[str],
 
 
 def fan_in(snapshot: DataFrame, changes: DataFrame, keys: Sequence[str], order: Sequence[str], op: str = OP) -> DataFrame:
-    """Compact a log and apply it."""
+    """Compact a log and apply it to a snapshot with one row per key, reading each once.
+
+    One outer join tells untouched, replaced, new and deleted rows apart. The compacted log is
+    already spread by key, so only the snapshot is shuffled for it. For few changes next to a large
+    snapshot :func:`merge_snapshot` is the cheaper one: it can leave the snapshot where it is.
+    """
     rows = changes.where(F.col(op).isin("create", "update", "delete"))
-    return merge_snapshot(snapshot, latest_per_key(rows, keys, order).drop(*order), keys, op)
+    latest = latest_per_key(rows, keys, order).drop(*order)
+    fields = [c for c in latest.columns if c not in keys and c != op and not is_meta(c)]
+    own = [c for c in snapshot.columns if c not in keys]
+    after = latest.select(*keys, F.struct(F.col(op).alias("op"), *fields).alias("__after"))
+    before = snapshot.select(*keys, F.struct(F.lit(1).alias("is"), *own).alias("__before"))
+    joined = before.join(after, list(keys), "full_outer")
+    changed = F.col("__after").isNotNull()
+    merged = joined.where(~changed | (F.col("__after.op") != "delete"))
+    columns = []
+    for c in [*own, *[f for f in fields if f not in own]]:
+        new = F.col("__after").getField(c) if c in fields else F.lit(None)
+        old = F.col("__before").getField(c) if c in own else F.lit(None)
+        columns.append(F.when(changed, new).otherwise(old).alias(c))
+    return merged.select(*keys, *columns).select(*snapshot.columns, *[f for f in fields if f not in own])
