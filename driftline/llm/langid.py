@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 from driftline.llm.common import remainder
 from driftline.llm.textbatch import Block, blocks
 
-# Training rows per language, and languages at most.
-SAMPLE = 1200
+# Training rows in all, shared out evenly over the languages, and languages at most. A row sends at
+# most four bytes per bucket to the driver.
+SAMPLE = 3200
 LANGUAGES = 200
 BUCKETS = 1 << 15
 WIDTH = 16
@@ -139,9 +140,9 @@ def fit(texts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, language
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Model | None:
     """A model from rows with text and language outside the held-out fold (crc32 of the key mod 4 is not 2).
 
-    Up to about ``sample`` seeded rows per language are used, whole texts; rows with a null key,
-    text or language are not. The ``LANGUAGES`` most frequent languages are learned. None if no row
-    qualifies.
+    About ``sample`` seeded rows are used, as many of each language where it has them, whole texts;
+    rows with a null key, text or language are not. The ``LANGUAGES`` most frequent languages are
+    learned. None if no row qualifies.
     """
     rows = docs.select(F.col(f"`{key}`").alias("__id"), F.col(f"`{text}`").alias("__t"), F.col(f"`{lang}`").alias("__y")).where(
         (remainder(F.col("__id"), FOLDS) != HELD_OUT) & F.col("__t").isNotNull() & F.col("__y").isNotNull()
@@ -149,7 +150,8 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     counts = rows.groupBy("__y").count().orderBy(F.desc("count"), "__y").limit(LANGUAGES).collect()
     if not counts:
         return None
-    chance = [(r["__y"], int((1 << 20) * min(1.0, sample / r["count"])) + 1) for r in counts]
+    each = max(1, sample // len(counts))
+    chance = [(r["__y"], int((1 << 20) * min(1.0, each / r["count"])) + 1) for r in counts]
     rate = F.create_map(*[F.lit(x) for pair in chance for x in pair])
     rows = rows.where(F.pmod(F.xxhash64(F.lit(SEED), "__id"), F.lit(1 << 20)) < rate[F.col("__y")])
 
@@ -161,18 +163,19 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
                 place, n = np.unique(owner * BUCKETS + bucket, return_counts=True)
                 cuts = np.searchsorted(place, np.arange(len(block) + 1) * BUCKETS)
                 for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                    found.append(((place[a:b] % BUCKETS).astype(np.int32).tobytes(), n[a:b].astype(np.int32).tobytes()))
+                    held = np.minimum(n[a:b], 60_000).astype(np.float16)
+                    found.append(((place[a:b] % BUCKETS).astype(np.uint16).tobytes(), held.tobytes()))
             yield pd.DataFrame(
                 {"id": batch["__id"].astype(str), "lang": batch["__y"], "b": [x for x, _ in found], "n": [x for _, x in found]}
             )
 
-    got = rows.mapInPandas(run, "id string, lang string, b binary, n binary").limit(2 * sample * len(chance)).collect()
+    got = rows.mapInPandas(run, "id string, lang string, b binary, n binary").limit(2 * sample + len(chance)).collect()
     got = sorted((r["id"], r["lang"], bytes(r["b"]), bytes(r["n"])) for r in got)
     languages = sorted({r[1] for r in got})
     at = {name: i for i, name in enumerate(languages)}
     # Seeded, so that every fifth text is spread over the languages.
     got = [got[i] for i in np.random.default_rng(SEED).permutation(len(got))]
-    texts = [(np.frombuffer(b, np.int32), np.frombuffer(n, np.int32).astype(np.float32)) for _, _, b, n in got]
+    texts = [(np.frombuffer(b, np.uint16), np.frombuffer(n, np.float16).astype(np.float32)) for _, _, b, n in got]
     return fit(texts, np.array([at[r[1]] for r in got]), languages)
 
 
