@@ -177,6 +177,11 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
+@query("op3_license_windows")
+def op3_license_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"), windows=True)
+
+
 @query(
     "op8_embed_dedup",
     """

@@ -148,6 +148,55 @@ def test_scan_of_nothing(no_docs):
     assert license_scan.scan(no_docs).count() == 0
 
 
+def brute_windows(text):
+    """Every run of a notice's length against the notice."""
+    words = license_scan.words_of(text or "")
+    labels, best = set(), 0.0
+    for label, notice in license_scan.NOTICES:
+        want = license_scan.words_of(notice)
+        padded = lambda ws: f" {' '.join(ws)} "
+        required = [f" {v} " for v in license_scan.VARIANTS if f" {v} " in padded(want)]
+        for i in range(max(1, len(words) - len(want) + 1)):
+            run = words[i : i + len(want)]
+            n = len(set(run) & set(want))
+            if n >= math.ceil(0.8 * len(set(want)) - 1e-9) and all(v in padded(run) for v in required):
+                labels.add(label)
+                best = max(best, n / len(set(want)))
+    return labels, best
+
+
+WRAPPED = {
+    "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that": "bsd",
+    " * This Source Code Form is subject to the terms of the Mozilla Public\r\n * License, v. 2.0. If a copy": "mpl-2.0",
+    "All rights\nreserved.": "all-rights-reserved",
+    "all of us have rights here, and seats are reserved": "",
+    "Licensed under CC BY-SA 4.0.": "cc-by-sa-4.0",
+    "Licensed under CC\nBY 4.0.": "cc-by-4.0",
+    "Licensed under CC BY 3.0.": "",
+    "Released under the ISC License.": "",
+    "This work is licensed under the GNU General Public License, version 2.": "gpl-2.0",
+    "This work is licensed under the GNU Lesser General Public License, version 3.": "",
+}
+
+
+def test_scan_across_line_ends(spark, rows, no_docs):
+    texts = [*WRAPPED, *TEXTS, *(r[1] for r in rows)]
+    texts += [" ".join(["filler"] * i + license_scan.words_of(n)[: 20 - i] + ["end"] * (i % 3)) for i, (_, n) in enumerate(license_scan.NOTICES)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r["doc_id"]: (r["labels"], r["base_labels"], round(r["score"], 9)) for r in license_scan.scan(df, windows=True).collect()}
+    for i, text in enumerate(texts):
+        base, (more, best) = brute_base(text)[2], brute_windows(text)
+        assert got[i] == (",".join(sorted(base | more)), ",".join(sorted(base)), round(best, 9))
+        if text in WRAPPED:
+            assert more == ({WRAPPED[text]} - {""})
+    assert len(got) == len(texts) and license_scan.scan(no_docs, windows=True).count() == 0
+
+
+def test_native_plan_across_line_ends(spark, data):
+    plan = queries.QUERIES["op3_license_windows"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert not any(bad in plan for bad in ("Python", "Arrow", "Pandas", "CartesianProduct", "BroadcastNestedLoopJoin"))
+
+
 # ---- WARC ------------------------------------------------------------------------------------
 
 PAGES = [
