@@ -153,15 +153,19 @@ def own_rows(rows: DataFrame, task: SyncTask, unnamed: bool = False) -> DataFram
 
     ``unnamed`` adds the rejected lines that name no table.
     """
-    if TABLE not in rows.columns or not task.table:
-        return rows
+    return rows.where(_owned(rows.columns, task, unnamed))
+
+
+def _owned(columns: Sequence[str], task: SyncTask, unnamed: bool) -> Column:
+    if TABLE not in columns or not task.table:
+        return F.lit(True)
     schema, _, table = task.table.rpartition(".")
     mine = F.col(TABLE) == table
-    if schema and SCHEMA in rows.columns:
+    if schema and SCHEMA in columns:
         mine = mine & (F.col(SCHEMA) == schema)
-    if unnamed and ERRORS in rows.columns:
+    if unnamed and ERRORS in columns:
         mine = mine | (F.col(TABLE).isNull() & (F.size(ERRORS) > 0))
-    return rows.where(mine)
+    return mine
 
 
 def with_key_errors(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -205,20 +209,18 @@ def apply_log(
     Rows that lack their key are rejected. With ``start_after`` the stream continues behind a full
     copy taken at that position. Every ``compact_every`` batches the earlier ones are folded into a
     new base. Repeated deliveries are dropped where a task asks for it, for a time after they
-    first arrived; how old a change is does not matter.
+    first arrived; how old a change is does not matter. Tasks that do not ask keep all their rows, and
+    rows that cannot be told apart (failed before, or without position or key) are never dropped;
+    for these the log is read a second time.
     """
     writers = [writer_name(checkpoint, r.task) for r in routes]
     catch_all = next((i for i, r in enumerate(routes) if r.dead_letters), None)
     if start_after is not None:
         stream = stream.where(F.col(LSN) > F.lit(start_after))
-    repeated = [r.task for r in routes if r.task.options.get("deduplicate")]
-    if repeated:
-        keys = [c for c in DELIVERY_COLUMNS if c in stream.columns]
-        parts = sorted({k for task in repeated for k in _row_keys(stream, task)})
-        delay = max((str(t.options.get("deduplicate_within", DEDUP_DELAY)) for t in repeated), key=lambda d: (len(d), d))
-        # The time of arrival, which never lags behind the watermark: a late change is no repeated one.
-        timed = stream.withColumn("__seen", F.current_timestamp())
-        stream = stream_first_seen(timed, [*keys, *parts], "__seen", delay).drop("__seen")
+    decided = [_decided(stream.columns, r.task) for r in routes]
+    repeats = any(r.task.options.get("deduplicate") for r in routes)
+    if repeats:
+        stream = _first_deliveries(stream, routes, catch_all, ts)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         # Batch 0 of the stream is batch 1 of the tables, behind the base version 0.
@@ -230,7 +232,10 @@ def apply_log(
         batch = batch.persist()
         try:
             for i, route in enumerate(routes):
-                _apply(own_rows(batch, route.task, i == catch_all), route, number, writers[i], ts)
+                rows = own_rows(batch, route.task, i == catch_all)
+                if repeats:
+                    rows = rows.where(F.col("__decided") == decided[i]).drop("__decided")
+                _apply(rows, route, number, writers[i], ts)
         finally:
             batch.unpersist()
 
@@ -238,6 +243,48 @@ def apply_log(
     return each_batch(stream, handle, checkpoint, once, interval=f"{min(waits)} milliseconds" if waits else BATCH_INTERVAL)
 
 
+def _decided(columns: Sequence[str], task: SyncTask) -> Column:
+    """Whether the task wants the row told from repeated deliveries, and the row has what tells it."""
+    if not task.options.get("deduplicate"):
+        return F.lit(False)
+    known = F.lit(True)
+    for c in (LSN, *(k for k in task.primary_key if k in columns)):
+        known = known & F.col(f"`{c}`").isNotNull() if c in columns else known
+    return known & (F.coalesce(F.size(ERRORS), F.lit(0)) <= 0) if ERRORS in columns else known
+
+
+def _first_deliveries(stream: DataFrame, routes: Sequence[Route], catch_all: int | None, ts: str) -> DataFrame:
+    """Adds ``__decided``: the first deliveries of rows that a task wants told from repeated ones (true), and
+    next to them all rows of which a task takes every delivery (false). A row can be in both."""
+    asked, rest = F.lit(False), F.lit(False)
+    for i, route in enumerate(routes):
+        own = F.coalesce(_owned(stream.columns, route.task, i == catch_all), F.lit(False))
+        sound = _decided(stream.columns, route.task)
+        asked, rest = asked | (own & sound), rest | (own & ~sound)
+    repeated = [r.task for r in routes if r.task.options.get("deduplicate")]
+    keys = [c for c in DELIVERY_COLUMNS if c in stream.columns]
+    parts = sorted({k for task in repeated for k in _row_keys(stream, task)})
+    # The time of arrival, which never lags behind the watermark: a late change is no repeated one.
+    timed = stream.where(asked).withColumn("__seen", F.current_timestamp())
+    if any(k not in stream.columns for task in repeated for k in task.primary_key):
+        # A key that the task makes itself: rows of one position are told apart by all they hold.
+        held = F.struct(*[F.col(f"`{c}`") for c in stream.columns if c not in (ts, ERRORS)])
+        timed, parts = timed.withColumn("__row", F.sha2(F.to_json(held), 256)), [*parts, "__row"]
+    delay = _longest(stream.sparkSession, [str(t.options.get("deduplicate_within", DEDUP_DELAY)) for t in repeated])
+    first = stream_first_seen(timed, [*keys, *parts], "__seen", delay).select(*[F.col(f"`{c}`") for c in stream.columns])
+    return first.withColumn("__decided", F.lit(True)).unionByName(stream.where(rest).withColumn("__decided", F.lit(False)))
+
+
+def _longest(spark: SparkSession, delays: Sequence[str]) -> str:
+    """The longest of some interval texts."""
+    texts = sorted(set(delays))
+    if len(texts) == 1:
+        return texts[0]
+    start = F.lit("2000-01-01 00:00:00").cast("timestamp")
+    ends = spark.range(1).select(*[F.unix_micros(start + F.lit(d).cast("interval")) for d in texts]).first()
+    return max(zip(ends, texts, strict=True))[1]
+
+
 def _apply(read: DataFrame, route: Route, number: int, writer: str, ts: str) -> None:
     """One task's share of a micro-batch into its tables."""
     task = route.task

@@ -5,7 +5,7 @@ from dataclasses import replace
 import pytest
 from pyspark.sql import functions as F
 
-from driftline.config import Convert, SyncTask, Transforms
+from driftline.config import Convert, Rename, SyncTask, Transforms
 from driftline.operators import LSN, OP, dedup, merge
 from driftline.operators.ordered import log_chunk, streaks
 from driftline.sources.deadletter_table import DeadLetterTable
@@ -97,6 +97,47 @@ def test_deduplicating_task(spark, landing, folder):
     assert seen.agg(F.sum(F.col("events_processed") + F.col("events_failed"))).first()[0] == 600
 
 
+LOG = "k bigint, m bigint, v string, __table string, __op string, __lsn bigint, __ts timestamp_ntz, __errors array<string>"
+
+
+def test_dedup_for_the_tasks_that_ask(spark, folder):
+    """Only tasks that ask lose deliveries, only repeated ones, and no rejected row vanishes."""
+    put = lambda k, m, v, table, lsn, errors=(): (k, m, v, table, "create", lsn, None, list(errors))
+    bad = ["Missing position"]
+    log = [put(1, None, "x", "a", 1), put(2, None, "x", "a", 1), put(9, None, "p", "a", None, bad), put(9, None, "q", "a", None, bad)]
+    log += [put(None, m, "y", "b", 5) for m in (1, 2, 3)] + [put(None, m, "z", "c", 6) for m in (1, 2)]
+    log += [put(None, None, text, None, None, ["Cannot decode change line"]) for text in ("l1", "l2")]
+    for _ in range(2):
+        spark.createDataFrame(log, LOG).coalesce(1).write.mode("append").parquet(f"{folder}/log")
+    ask = {"deduplicate": True}
+    renamed = Transforms(fields=(Rename("m", "id"),))
+    tasks = [
+        SyncTask("a", "a", "a", ("k",), options=ask | {"deduplicate_within": "1 hour"}),
+        SyncTask("b", "b", "b", ("m",)),
+        SyncTask("c", "c", "c", ("id",), transform=renamed, options=ask),
+        SyncTask("every-a", "a", "a", ("k",)),
+    ]
+    progress = KeyedTable(spark, f"{folder}/p", ["task_id"], jobs.PROGRESS_SCHEMA)
+    dead = DeadLetterTable(spark, f"{folder}/d")
+    routes = []
+    for t in tasks:
+        key = t.primary_key[0]
+        target = KeyedTable(spark, f"{folder}/{t.id}", [key], f"{key} bigint, v string")
+        routes.append(jobs.Route(t, target, dead if t.id == "a" else None, progress))
+    jobs.apply_log(stream(spark, f"{folder}/log"), routes, f"{folder}/checkpoint").awaitTermination()
+    found = {r["task_id"]: (r["total_processed"], r["total_failed"]) for r in progress.current().collect()}
+    # Rejected rows are counted at every delivery; each is one dead letter.
+    assert found == {"a": (2, 8), "b": (6, 0), "c": (2, 0), "every-a": (4, 4)}
+    assert dead.read().count() == 4
+    kept = {r.task.id: sorted(x[0] for x in r.target.current().collect()) for r in routes}
+    assert kept == {"a": [1, 2], "b": [1, 2, 3], "c": [1, 2], "every-a": [1, 2]}
+
+
+def test_longest_delay(spark):
+    assert jobs._longest(spark, ["10 minutes", "1 hour", "90 seconds"]) == "1 hour"
+    assert jobs._longest(spark, ["7 days", "1 month", "10 minutes"]) == "1 month"
+
+
 def test_dedup_across_batches(spark, landing, folder):
     twice = stream(spark, landing).withColumn("__ts", F.col("__ts").cast("timestamp"))
     twice = twice.withColumn("n", F.explode(F.array(F.lit(1), F.lit(2))))
