@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftline.llm import embed_dedup, exact_dedup, langid, license_scan, mixing, packing, pii, quality, simhash, warc
+from driftline.llm.common import stored
+from driftline.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -123,7 +125,9 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     headers, payloads = warc.archive(table(spark, sf_dir, "pages"))
-    back = warc.parsed(warc.records(headers, payloads))
+    path = scratch_path(spark, "warc-files")
+    warc.write_files(warc.records(headers, payloads), path, compression="gzip")
+    back = warc.verified(stored(warc.parsed(warc.read_files(spark, path)).drop("url", "body"), "warc-parsed"))
     sound = F.when(F.col("intact"), F.col("record_type")).otherwise(F.raise_error(F.lit("a record's bytes differ from its header")))
     return back.select("page_id", "payload_bytes", "payload_digest", sound.alias("record_type"), "refers_to")
 

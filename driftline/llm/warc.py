@@ -12,6 +12,7 @@ headers and the digest but no payload bytes.
 from __future__ import annotations
 
 import base64
+import gzip
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -129,7 +130,7 @@ def parsed(read: DataFrame, key: str = "page_id", key_type: str = "bigint") -> D
     """What ``records`` say: key, ``url, record_type, refers_to, payload_bytes, payload_digest, body, intact``.
 
     Length and digest of a response are computed from its bytes, ``intact`` says whether its header
-    agrees; a revisit has what its header states, and no body.
+    agrees; a revisit has what its header states, and no body; :func:`verified` checks that.
     """
 
     def field(name: str, value: str = "(.*?)") -> Column:
@@ -155,18 +156,41 @@ def parsed(read: DataFrame, key: str = "page_id", key_type: str = "bigint") -> D
     )
 
 
-def write_files(rebuilt: DataFrame, path: str, per_file: int = FILE_RECORDS) -> None:
-    """Plain WARC files: every record followed by the two line ends that close it. Payloads are UTF-8."""
+def verified(back: DataFrame, key: str = "page_id") -> DataFrame:
+    """``back`` with ``intact`` false for revisits without an intact response of the key they refer to
+    whose own bytes have the stated length and digest.
+
+    What revisits state is made distinct first, so large groups of copies do not meet their response
+    row by row. ``back`` is read several times.
+    """
+    stated = F.struct("refers_to", "payload_digest", "payload_bytes").alias("__as")
+    own = F.struct(F.col(f"`{key}`").alias("refers_to"), "payload_digest", "payload_bytes").alias("__as")
+    answered = back.where("record_type = 'response' AND intact").select(own).distinct()
+    lost = back.where("record_type = 'revisit'").select(stated).distinct().join(answered, "__as", "left_anti")
+    if lost.isEmpty():
+        return back
+    marked = back.withColumn("__as", stated).join(lost.withColumn("__lost", F.lit(True)), "__as", "left")
+    bad = (F.col("record_type") == "revisit") & F.col("__lost").isNotNull()
+    return marked.withColumn("intact", F.col("intact") & ~bad).select(*back.columns)
+
+
+def write_files(rebuilt: DataFrame, path: str, per_file: int = FILE_RECORDS, compression: str = "none") -> None:
+    """WARC files: every record followed by the two line ends that close it. Payloads are UTF-8.
+
+    ``compression`` is ``none`` or ``gzip``.
+    """
     lines = rebuilt.select(F.col("record").cast("string").alias("value"))
-    lines.write.option("lineSep", END).option("maxRecordsPerFile", per_file).text(path)
+    lines.write.option("lineSep", END).option("maxRecordsPerFile", per_file).option("compression", compression).text(path)
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """``(record binary)`` of the WARC files below ``path``, cut by their Content-Length."""
+    """``(record binary)`` of the WARC files below ``path``, plain or gzip, cut by their Content-Length."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for data in batch["content"]:
+                if data[:2] == b"\x1f\x8b":
+                    data = gzip.decompress(data)
                 at, found = 0, []
                 while at < len(data):
                     head = data.index(END.encode(), at)
@@ -178,5 +202,5 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
                     at = stop + len(END)
                 yield pd.DataFrame({"record": found})
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt{,.gz}").load(path).select("content")
     return files.mapInPandas(run, "record binary")

@@ -247,6 +247,25 @@ def test_damage_is_noticed(spark):
     assert not any(r["intact"] for r in warc.parsed(warc.records(headers, hurt)).where("record_type = 'response'").collect())
 
 
+def test_revisits_are_checked_against_files(spark, folder):
+    headers, payloads = warc.archive(pages(spark))
+    hurt = payloads.withColumn("body", F.when(F.col("body") == F.lit("same").cast("binary"), F.lit("sane").cast("binary")).otherwise(F.col("body")))
+    for name, bodies in (("sound", payloads), ("hurt", hurt)):
+        warc.write_files(warc.records(headers, bodies), f"{folder}/{name}", per_file=2, compression="gzip")
+        back = warc.parsed(warc.read_files(spark, f"{folder}/{name}")).drop("body").persist()
+        assert back.count() == len(PAGES)
+        wrong = {r["page_id"] for r in warc.verified(back).where("NOT intact").collect()}
+        same = {key for key, _, html in PAGES if html == "same"}
+        assert wrong == (same if name == "hurt" else set())
+
+
+def test_query_reads_archive_files(spark, data, monkeypatch):
+    read, seen = warc.read_files, []
+    monkeypatch.setattr(warc, "read_files", lambda s, path: seen.append(read(s, path)) or seen[-1])
+    n = queries.QUERIES["op6_warc"](spark, data).count()
+    assert len(seen) == 1 and seen[0].count() == n > 0
+
+
 def test_archive_of_nothing(spark):
     headers, payloads = warc.archive(pages(spark, []))
     assert warc.parsed(warc.records(headers, payloads)).count() == 0
