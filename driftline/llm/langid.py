@@ -22,10 +22,10 @@ from pyspark.sql import functions as F
 from driftline.llm.common import remainder
 from driftline.llm.textbatch import Block, blocks
 
-# Training rows in all, shared out evenly over the languages, and languages at most. A row sends at
-# most four bytes per bucket to the driver.
+# Training rows in all, shared out evenly over the languages, but so many of each at least: the sample
+# grows with the number of languages. A row sends at most four bytes per bucket to the driver.
 SAMPLE = 3200
-LANGUAGES = 200
+EACH = 16
 BUCKETS = 1 << 15
 WIDTH = 16
 FOLDS, HELD_OUT = 4, 2
@@ -102,6 +102,7 @@ def fit(texts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, language
     held = np.arange(len(texts)) % 5 == 4
     if len(texts) < 20:
         held[:] = False
+    held[np.unique(labels, return_index=True)[1]] = False  # a text of every language is learned
     learn, check = np.flatnonzero(~held), np.flatnonzero(held)
     epochs = max(4, -(-steps * 64 // max(1, len(learn))))
     for epoch in range(epochs):
@@ -141,19 +142,20 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     """A model from rows with text and language outside the held-out fold (crc32 of the key mod 4 is not 2).
 
     About ``sample`` seeded rows are used, as many of each language where it has them, whole texts;
-    rows with a null key, text or language are not. The ``LANGUAGES`` most frequent languages are
-    learned. None if no row qualifies.
+    rows with a null key, text or language are not. Every language is learned, from ``EACH`` rows at
+    least where it has them, so many languages raise the number of rows. None if no row qualifies.
     """
     rows = docs.select(F.col(f"`{key}`").alias("__id"), F.col(f"`{text}`").alias("__t"), F.col(f"`{lang}`").alias("__y")).where(
         (remainder(F.col("__id"), FOLDS) != HELD_OUT) & F.col("__t").isNotNull() & F.col("__y").isNotNull()
     )
-    counts = rows.groupBy("__y").count().orderBy(F.desc("count"), "__y").limit(LANGUAGES).collect()
+    counts = rows.groupBy("__y").count().collect()
     if not counts:
         return None
-    each = max(1, sample // len(counts))
+    each = max(EACH, sample // len(counts))
     chance = [(r["__y"], int((1 << 20) * min(1.0, each / r["count"])) + 1) for r in counts]
-    rate = F.create_map(*[F.lit(x) for pair in chance for x in pair])
-    rows = rows.where(F.pmod(F.xxhash64(F.lit(SEED), "__id"), F.lit(1 << 20)) < rate[F.col("__y")])
+    rates = docs.sparkSession.createDataFrame(chance, "__y string, __rate int")
+    rows = rows.join(F.broadcast(rates), "__y").where(F.pmod(F.xxhash64(F.lit(SEED), "__id"), F.lit(1 << 20)) < F.col("__rate"))
+    rows = rows.select("__id", "__t", "__y")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -169,7 +171,7 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
                 {"id": batch["__id"].astype(str), "lang": batch["__y"], "b": [x for x, _ in found], "n": [x for _, x in found]}
             )
 
-    got = rows.mapInPandas(run, "id string, lang string, b binary, n binary").limit(2 * sample + len(chance)).collect()
+    got = rows.mapInPandas(run, "id string, lang string, b binary, n binary").limit(2 * max(sample, each * len(chance)) + len(chance)).collect()
     got = sorted((r["id"], r["lang"], bytes(r["b"]), bytes(r["n"])) for r in got)
     languages = sorted({r[1] for r in got})
     at = {name: i for i, name in enumerate(languages)}

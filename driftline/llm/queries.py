@@ -210,7 +210,7 @@ def op8_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_langid")
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return langid.classified(docs, langid.train(docs)).drop("confident")
+    return langid.classified(docs, langid.train(docs))
 
 
 @query("op7_pii")

@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from driftline.llm import langid, pii, quality, textbatch
+from driftline.llm import langid, pii, quality, queries, textbatch
 
 SF = "/root/testdata/sf0.01"
 
@@ -91,6 +91,16 @@ def test_language_of_odd_rows(spark, odd_docs, no_docs):
     assert {r["lang_pred"] for r in langid.classified(odd_docs, None).collect()} == {"und"}
 
 
+def test_every_language_is_learned(spark, data):
+    """More than two hundred languages, each with words of its own; one of them has a single row."""
+    words = [f"{chr(97 + i % 26)}{chr(97 + i // 26)}" * 4 for i in range(230)]
+    each = [(n * 230 + i, f"{w} {w}", f"l{i}") for n in range(6) for i, w in enumerate(words)]
+    docs = spark.createDataFrame([*each, (-4, "zzqqzzqq", "one")], "doc_id bigint, text string, lang string")
+    assert set(langid.train(docs).languages) == {f"l{i}" for i in range(230)} | {"one"}
+    out = queries.QUERIES["op9_langid"](spark, data)
+    assert out.columns == ["doc_id", "held_out", "lang_pred", "score", "confident"]
+
+
 def test_unlike_texts_are_rejected(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = langid.train(docs)
