@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm import embed_dedup, exact_dedup, langid, license_scan, mixing, packing, pii, quality, simhash, warc
+from driftline.llm import embed_dedup, exact_dedup, langid, license_scan, mixing, packing, periodic, pii, quality, simhash, warc
 from driftline.llm.common import stored
 from driftline.session import scratch_path
 
@@ -216,3 +216,9 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_pii")
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(table(spark, sf_dir, "documents"))
+
+
+@query("op13_periodic")
+def op13_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return periodic.summary(periodic.runs(docs, text=periodic.planted(docs)))
