@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm import embed_dedup, exact_dedup, langid, license_scan, mixing, packing, periodic, pii, quality, simhash, warc
+from driftline.llm import bpe, embed_dedup, exact_dedup, langid, license_scan, mixing, packing, periodic, pii, quality, simhash, warc
 from driftline.llm.common import stored
 from driftline.session import scratch_path
 
@@ -218,6 +218,14 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(table(spark, sf_dir, "documents"))
 
 
+@query("op12_bpe")
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    model = bpe.load(public_tokenizers.path("byte_bpe_50k.json"))
+    return bpe.summary(bpe.decoded(bpe.encoded(table(spark, sf_dir, "documents"), model), model))
+
+
 @query("op13_periodic")
 def op13_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
