@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm import bpe, embed_dedup, exact_dedup, langid, license_scan, mixing, packing, periodic, pii, quality, simhash, warc
+from driftline.llm import bpe, divergence, embed_dedup, exact_dedup, langid, license_scan, mixing, packing, periodic, pii, quality, simhash, warc
 from driftline.llm.common import stored
 from driftline.session import scratch_path
 
@@ -218,6 +218,41 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(table(spark, sf_dir, "documents"))
 
 
+@query(
+    "op11_divergence",
+    r"""
+    WITH d AS (
+        SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+               regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                  '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS words
+        FROM documents),
+    w AS (SELECT lang, source, r, unnest(words) AS term FROM d),
+    g AS (SELECT DISTINCT lang, source FROM d),
+    k AS (SELECT lang, term, count(*)::HUGEINT AS n FROM w GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+    l AS (SELECT lang, sum(n)::HUGEINT AS n, count(*)::HUGEINT AS v FROM k GROUP BY lang),
+    c AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM w SEMI JOIN k USING (lang, term) GROUP BY ALL),
+    s AS (SELECT g.lang, g.source, coalesce(sum(c.n), 0)::HUGEINT AS n FROM g LEFT JOIN c USING (lang, source) GROUP BY ALL),
+    p AS (
+        SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+               1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // (s.n + l.v) AS p,
+               1 + (1000000000::HUGEINT * (k.n + 1)) // (l.n + l.v) AS q
+        FROM g JOIN k USING (lang) JOIN l USING (lang) JOIN s USING (lang, source)
+        LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+    pairs AS (
+        SELECT a.lang, a.source, 'pair' AS part, b.source AS item,
+               coalesce((SELECT sum((x.p - y.p) * (x.p - y.p) // y.p) FROM p x JOIN p y USING (lang, term)
+                         WHERE x.lang = a.lang AND x.source = a.source AND y.source = b.source), 0)::BIGINT AS value
+        FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source),
+    terms AS (SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q) // q)::BIGINT AS value FROM p WHERE n > 0 AND p > q),
+    ranked AS (
+        SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank
+        FROM (FROM pairs UNION ALL FROM terms))
+    SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 200""",
+)
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 @query("op12_bpe")
 def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
