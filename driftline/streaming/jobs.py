@@ -18,6 +18,7 @@ from driftline.operators.merge import latest_per_key
 from driftline.plans.sync import Outcome, run_task
 from driftline.sources.deadletter_table import DeadLetterTable
 from driftline.sources.keyed_table import KeyedTable
+from driftline.streaming import keyed
 
 # Fixed value: how long a batch waits for more rows by default.
 BATCH_INTERVAL = "1 second"
@@ -323,35 +324,6 @@ def full_copy(table: DataFrame, task: SyncTask, target: KeyedTable, clock: Colum
 # --- streaks --------------------------------------------------------------------------------
 
 
-def batch_streaks(batch: DataFrame, keys: Sequence[str], order: str, success: Column) -> DataFrame:
-    """Trailing run per key of one batch: ``ok``, ``length`` and whether the run fills the batch.
-
-    Two aggregations with partial results instead of a sorted pass over each key.
-    """
-    good = F.coalesce(success, F.lit(False))
-    rows = batch.select(*keys, F.col(order).alias("__o"), good.alias("__ok"))
-    ends = rows.groupBy(*keys).agg(
-        F.max_by("__ok", "__o").alias("ok"),
-        F.max(F.when(F.col("__ok"), F.col("__o"))).alias("__last_good"),
-        F.max(F.when(~F.col("__ok"), F.col("__o"))).alias("__last_bad"),
-        F.count(F.lit(1)).alias("__rows"),
-    )
-    other = F.when(F.col("ok"), F.col("__last_bad")).otherwise(F.col("__last_good"))
-    ends = ends.select(*keys, "ok", "__rows", other.alias("__break"))
-    run = F.count_if(F.col("__break").isNull() | (F.col("__o") > F.col("__break")))
-    counted = rows.join(ends, list(keys)).groupBy(*keys, "ok", "__rows").agg(run.alias("length"))
-    return counted.select(*keys, "ok", "length", (F.col("length") == F.col("__rows")).alias("whole"))
-
-
-def carry_streaks(before: DataFrame, batch: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """State after a batch: a run that fills the batch extends the earlier run of the same kind."""
-    old = before.select(*keys, F.col("ok").alias("__ok"), F.col("length").alias("__length"))
-    joined = batch.join(old, list(keys), "left")
-    extends = F.col("whole") & (F.col("ok") == F.col("__ok"))
-    length = F.col("length") + F.when(extends, F.col("__length")).otherwise(F.lit(0))
-    return joined.select(*keys, "ok", length.cast("bigint").alias("length"))
-
-
 def track_streaks(
     stream: DataFrame,
     keys: Sequence[str],
@@ -360,16 +332,20 @@ def track_streaks(
     state: KeyedTable,
     checkpoint: str,
     compact_every: int | None = COMPACT_EVERY,
+    **options: object,
 ) -> StreamingQuery:
-    """Keep success and failure streaks per key in ``state`` (keys, ``ok``, ``length``)."""
+    """Keep success and failure streaks per key in ``state`` (keys and any columns of :func:`keyed.streaks`).
+
+    The runs live in the state store; ``state`` is only written to, with the keys of the batch.
+    """
+    rows = keyed.streaks(stream, keys, order, success, **options).select(*state.schema.fieldNames())
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         number = batch_id + 1
         state.compact_every(compact_every, number)
-        earlier = state.as_of(number - 1)
-        state.upsert(carry_streaks(earlier, batch_streaks(batch, keys, order, success), keys), number)
+        state.upsert(batch, number)
 
-    return each_batch(stream, handle, checkpoint)
+    return each_batch(rows, handle, checkpoint, mode="update")
 
 
 def compacted(changes: DataFrame, keys: Sequence[str], order: str = LSN) -> DataFrame:

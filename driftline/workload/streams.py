@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from driftline.session import scratch_path
 from driftline.sources import changelog
 from driftline.sources.deadletter_table import DeadLetterTable
 from driftline.sources.keyed_table import KeyedTable
-from driftline.streaming import jobs
+from driftline.streaming import jobs, windows
 from driftline.workload.base import LOG, SNAPSHOT, Tables, op_of_event, query
 from driftline.workload.scans import document_lines
 
@@ -94,12 +96,31 @@ def lines_to_table(t: Tables) -> DataFrame:
     return target.current().select("doc_id", F.md5("text").alias("text_md5"), "source", "n_chars")
 
 
-def landed(t: Tables, name: str, parts: list[DataFrame]) -> tuple[str, DataFrame]:
-    """Frames as files that arrive one after another, and the stream over them, one file per batch."""
+def landed(t: Tables, name: str, rows: DataFrame) -> tuple[str, DataFrame]:
+    """A frame as landed files, and the stream over them."""
+    home = scratch_path(t.spark, name)
+    rows.write.mode("append").parquet(f"{home}/landing")
+    return home, jobs.read_log(t.spark, f"{home}/landing", rows.schema)
+
+
+def in_turn(t: Tables, name: str, parts: list[DataFrame], run: Callable[[DataFrame, str], None]) -> str:
+    """Lands one part after another and lets ``run`` drain the stream after each, as a new query on the same checkpoint.
+
+    A part is written and read with its own partitions; a batch takes all of it.
+    """
     home = scratch_path(t.spark, name)
     for part in parts:
-        part.coalesce(1).write.mode("append").parquet(f"{home}/landing")
-    return home, jobs.read_log(t.spark, f"{home}/landing", parts[0].schema, max_files=1)
+        part.write.mode("append").parquet(f"{home}/landing")
+        run(jobs.read_log(t.spark, f"{home}/landing", part.schema), home)
+    return home
+
+
+def quarters(t: Tables, again: int = 0) -> list[DataFrame]:
+    """``events`` in four parts by position; each but the first brings the last ``again`` positions before it once more."""
+    last = t.events.agg(F.max("event_id")).first()[0] or 0
+    cuts = [last * k // 4 for k in range(4)]
+    bounds = zip(cuts, [*cuts[1:], last + 1], strict=True)
+    return [t.events.where(f"event_id >= {a - again if a else a} AND event_id < {b}") for a, b in bounds]
 
 
 def change_events(t: Tables) -> DataFrame:
@@ -119,13 +140,13 @@ def change_events(t: Tables) -> DataFrame:
 def new_checkpoint(t: Tables) -> DataFrame:
     """Half the log, a compaction, then a stream that lost its checkpoint and reads all of it."""
     rows = change_events(t).drop("__table", "__schema")
-    home, stream = landed(t, "again", [rows.where("__lsn < 300")])
+    home, stream = landed(t, "again", rows.where("__lsn < 300"))
     task = SyncTask("items", "public.items", "items", ("k",))
     target = KeyedTable(t.spark, f"{home}/items", ["k"], t.snapshot.schema)
     jobs.full_copy(t.snapshot, task, target)
     jobs.apply_changes(stream, task, target, f"{home}/first").awaitTermination()
     target.compact()
-    rows.where("__lsn >= 300").coalesce(1).write.mode("append").parquet(f"{home}/landing")
+    rows.where("__lsn >= 300").write.mode("append").parquet(f"{home}/landing")
     jobs.apply_changes(stream, task, target, f"{home}/second").awaitTermination()
     return target.current()
 
@@ -141,7 +162,7 @@ def keyless_rows(t: Tables) -> DataFrame:
     """Changes without a key become dead letters; no row without a key is stored."""
     keyed = F.when(F.col(LSN) % 10 != 0, F.col("k"))
     rows = change_events(t).withColumns({"k": keyed, "position": F.col(LSN)}).drop("__table", "__schema")
-    home, stream = landed(t, "keyless", [rows])
+    home, stream = landed(t, "keyless", rows)
     target = KeyedTable(t.spark, f"{home}/items", ["k"], "k bigint, position bigint")
     letters = DeadLetterTable(t.spark, f"{home}/dead")
     jobs.apply_changes(stream, SyncTask("items", "items", "items", ("k",)), target, f"{home}/checkpoint", letters).awaitTermination()
@@ -162,13 +183,16 @@ def keyless_rows(t: Tables) -> DataFrame:
 )
 def many_tasks(t: Tables) -> DataFrame:
     """One log for two tasks, one registered with its schema; tables without a task are dropped."""
-    home, stream = landed(t, "tasks", [change_events(t).where("__lsn < 300"), change_events(t).where("__lsn >= 300")])
-    routes = [
-        jobs.Route(SyncTask(name, table, name, ("k",)), KeyedTable(t.spark, f"{home}/{name}", ["k"], "k bigint, value double"))
-        for name, table in (("click", "public.click"), ("view", "view"))
-    ]
-    jobs.apply_log(stream, routes, f"{home}/checkpoint").awaitTermination()
-    first, second = (r.target.current().select(F.lit(r.task.id).alias("task_id"), "k", "value") for r in routes)
+    tasks = [SyncTask(name, table, name, ("k",)) for name, table in (("click", "public.click"), ("view", "view"))]
+
+    def target(task: SyncTask, home: str) -> KeyedTable:
+        return KeyedTable(t.spark, f"{home}/{task.id}", ["k"], "k bigint, value double")
+
+    def run(stream: DataFrame, home: str) -> None:
+        jobs.apply_log(stream, [jobs.Route(task, target(task, home)) for task in tasks], f"{home}/checkpoint").awaitTermination()
+
+    home = in_turn(t, "tasks", [change_events(t).where("__lsn < 300"), change_events(t).where("__lsn >= 300")], run)
+    first, second = (target(task, home).current().select(F.lit(task.id).alias("task_id"), "k", "value") for task in tasks)
     return first.unionByName(second)
 
 
@@ -181,11 +205,17 @@ def late_first_deliveries(t: Tables) -> DataFrame:
     """The month lands backwards in three files and a part of it twice: every change counts once, however late."""
     rows = change_events(t).drop("__table", "__schema")
     parts = [rows.where("__ts >= '2024-01-20'"), rows.where("__ts >= '2024-01-10' AND __ts < '2024-01-25'"), rows.where("__ts < '2024-01-10'")]
-    home, stream = landed(t, "late-first", parts)
     task = SyncTask("items", "items", "items", ("k",), options={"deduplicate": True, "deduplicate_within": "1 hour"})
-    target = KeyedTable(t.spark, f"{home}/items", ["k"], "k bigint, value double")
-    progress = KeyedTable(t.spark, f"{home}/progress", ["task_id"], jobs.PROGRESS_SCHEMA)
-    jobs.apply_changes(stream, task, target, f"{home}/checkpoint", progress=progress).awaitTermination()
+
+    def tables(home: str) -> tuple[KeyedTable, KeyedTable]:
+        items = KeyedTable(t.spark, f"{home}/items", ["k"], "k bigint, value double")
+        return items, KeyedTable(t.spark, f"{home}/progress", ["task_id"], jobs.PROGRESS_SCHEMA)
+
+    def run(stream: DataFrame, home: str) -> None:
+        target, progress = tables(home)
+        jobs.apply_changes(stream, task, target, f"{home}/checkpoint", progress=progress).awaitTermination()
+
+    target, progress = tables(in_turn(t, "late-first", parts, run))
     total = progress.current().select(F.lit(1).alias("one"), F.col("total_processed").alias("delivered"))
     return target.current().withColumn("one", F.lit(1)).join(total, "one").drop("one")
 
@@ -221,7 +251,7 @@ def bad_lines(t: Tables) -> DataFrame:
     far = F.when(F.col("data").contains("'far'"), F.lit("FFFFFFFF/")).otherwise(F.lit("0/"))
     log = t.customer.select("c_custkey", F.posexplode(F.array(*lines)).alias("pos", "data"))
     log = log.select(F.concat(far, F.hex(F.col("c_custkey") * 16 + F.col("pos"))).alias("lsn"), "data")
-    home, stream = landed(t, "bad-lines", [log])
+    home, stream = landed(t, "bad-lines", log)
     rows = changelog.change_rows(stream, {"id": "int8", "name": "text", "gone": "bool"}, keys=("id",))
     task = SyncTask("u", "public.u", "u", ("id",), soft_delete=SoftDelete("gone", (True,)))
     target = KeyedTable(t.spark, f"{home}/u", ["id"], "id bigint, name string, gone boolean")
@@ -231,53 +261,126 @@ def bad_lines(t: Tables) -> DataFrame:
     return target.current().select("id", F.col("name").alias("detail")).unionByName(dead)
 
 
+def watched(df: DataFrame, home: str) -> windows.Totals:
+    """Runs a stream to its end into files below ``home``."""
+    return windows.run_watched(df.sparkSession, lambda: jobs.write_stream(df, f"{home}/out", f"{home}/checkpoint"))
+
+
+def timed_events(t: Tables) -> DataFrame:
+    return event_stream(t).withColumn("at", F.col("ts").cast("timestamp"))
+
+
+def flat_windows(counts: DataFrame) -> DataFrame:
+    start = F.col("window.start").cast("timestamp_ntz").alias("window_start")
+    return counts.select(start, *[c for c in counts.columns if c != "window"])
+
+
+def closed_and_open(t: Tables, name: str, window: str, keys: list[Column], slide: str | None = None) -> DataFrame:
+    """Counts per window: closed ones from the stream, those it left open from the rows past its watermark."""
+    home = scratch_path(t.spark, name)
+    closed = flat_windows(jobs.window_counts(timed_events(t), "at", "10 minutes", window, keys, slide))
+    totals = watched(closed, home)
+    opened = windows.open_windows(t.events, "ts", totals, window, keys, slide)
+    return t.spark.read.schema(closed.schema).parquet(f"{home}/out").unionByName(flat_windows(opened))
+
+
 @query(
     "i05_streaming_counts",
-    f"""WITH {LOG}, w AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, op, count(*) AS events FROM chg GROUP BY ALL)
-    SELECT * FROM w WHERE window_start + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)""",
+    f"""WITH {LOG} SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, op, count(*) AS events FROM chg GROUP BY ALL""",
 )
 def streaming_counts(t: Tables) -> DataFrame:
-    """Hourly counts of closed windows."""
-    stream = event_stream(t).withColumn("at", F.col("ts").cast("timestamp"))
-    counts = jobs.window_counts(stream, "at", "10 minutes", "1 hour", [F.col("event_type"), op_of_event()])
-    start = F.col("window.start").cast("timestamp_ntz").alias("window_start")
-    return drained(counts.select(start, "event_type", "op", "events"), "counts")
+    """Hourly counts, the last windows included."""
+    return closed_and_open(t, "counts", "1 hour", [F.col("event_type"), op_of_event()])
 
 
 @query(
     "i05_sliding_counts",
     """WITH s AS (SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts) - to_minutes(30 * i) + CASE WHEN minute(ts) >= 30 THEN INTERVAL 30 MINUTE ELSE INTERVAL 0 MINUTE END AS window_start
         FROM events, (VALUES (0), (1)) v(i))
-    SELECT window_start, event_type, count(*) AS events FROM s
-    WHERE window_start + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events) GROUP BY ALL""",
+    SELECT window_start, event_type, count(*) AS events FROM s GROUP BY ALL""",
 )
 def sliding_counts(t: Tables) -> DataFrame:
-    stream = event_stream(t).withColumn("at", F.col("ts").cast("timestamp"))
-    counts = jobs.window_counts(stream, "at", "10 minutes", "1 hour", [F.col("event_type")], slide="30 minutes")
-    start = F.col("window.start").cast("timestamp_ntz").alias("window_start")
-    return drained(counts.select(start, "event_type", "events"), "sliding")
+    return closed_and_open(t, "sliding", "1 hour", [F.col("event_type")], slide="30 minutes")
+
+
+@query(
+    "i05_streaming_rates",
+    """WITH s AS (SELECT event_type, (CAST(floor(epoch(ts) / 30) AS BIGINT) + 1) * 30 AS "at", count(*) AS n FROM events GROUP BY ALL)
+    SELECT event_type, "at", sum(n) OVER five ::BIGINT AS total_300, round(sum(n) OVER five / 300.0, 9) AS rate_300,
+      sum(n) OVER thirty ::BIGINT AS total_1800, round(sum(n) OVER thirty / 1800.0, 9) AS rate_1800 FROM s
+    WINDOW five AS (PARTITION BY event_type ORDER BY "at" RANGE BETWEEN 270 PRECEDING AND CURRENT ROW),
+      thirty AS (PARTITION BY event_type ORDER BY "at" RANGE BETWEEN 1770 PRECEDING AND CURRENT ROW)""",
+)
+def streaming_rates(t: Tables) -> DataFrame:
+    """Rates over 5 and 30 minutes at every step with events, from a live log that lands in four parts."""
+    streamed: list[tuple[DataFrame, windows.Totals]] = []
+
+    def run(stream: DataFrame, home: str) -> None:
+        timed = stream.withColumn("time", F.col("ts").cast("timestamp"))
+        rates = windows.rates(timed, ["event_type"], "time", "10 minutes")
+        streamed.append((rates, watched(rates, home)))
+
+    home = in_turn(t, "rates", quarters(t), run)
+    rates, totals = streamed[-1]
+    rows = t.spark.read.schema(rates.schema).parquet(f"{home}/out")
+    rows = rows.unionByName(windows.open_rates(t.events, ["event_type"], "ts", totals))
+    return rows.withColumns({c: F.round(c, 9) for c in ("rate_300", "rate_1800")})
+
+
+@query(
+    "i05_streaming_alert",
+    """WITH h AS (SELECT event_type, CAST(floor(epoch(ts) / 3600) AS BIGINT) * 3600 AS "at", sum(CAST(value AS DECIMAL(18, 2))) AS total FROM events GROUP BY ALL),
+    c AS (SELECT *, total > 40 AS hot, lag(total > 40) OVER w AS before FROM h WINDOW w AS (PARTITION BY event_type ORDER BY "at")),
+    i AS (SELECT *, sum(CASE WHEN hot AND NOT coalesce(before, false) THEN 1 ELSE 0 END) OVER (PARTITION BY event_type ORDER BY "at") AS island FROM c)
+    SELECT event_type, min("at") AS since, max("at") AS until, count(*) AS samples FROM i WHERE hot GROUP BY event_type, island
+    HAVING max("at") - min("at") >= 7200""",
+)
+def streaming_alert(t: Tables) -> DataFrame:
+    """``e08_condition_held`` on the live log: hourly sums above a limit for two hours. Heartbeats close the last hours."""
+    events = t.events.select("event_type", "value", "ts")
+    beat = t.events.agg((F.max("ts") + F.expr("INTERVAL '1' DAY")).alias("ts"))
+    beat = beat.select(F.lit(None).cast("string").alias("event_type"), F.lit(None).cast("double").alias("value"), "ts")
+
+    def run(stream: DataFrame, home: str) -> None:
+        timed = stream.withColumn("time", F.col("ts").cast("timestamp"))
+        rows = windows.without_heartbeats(timed, "time", "10 minutes", F.col("event_type").isNull())
+        hours = rows.groupBy(F.window("time", "1 hour").alias("window"), "event_type").agg(F.sum(F.col("value").cast("decimal(18,2)")).alias("total"))
+        points = hours.select("event_type", F.unix_timestamp("window.start").alias("at"), "total")
+        found = windows.held(points, ["event_type"], F.col("total") > 40, 7200)
+        table = KeyedTable(t.spark, f"{home}/episodes", ["event_type", "since"], found.schema)
+        jobs.each_batch(found, lambda batch, number: table.upsert(batch, number + 1), f"{home}/checkpoint").awaitTermination()
+
+    halves = [events.where("ts < '2024-01-16'"), events.where("ts >= '2024-01-16'")]
+    home = in_turn(t, "alert", [*halves, beat], run)
+    schema = "event_type string, since bigint, until bigint, samples bigint"
+    return KeyedTable(t.spark, f"{home}/episodes", ["event_type", "since"], schema).current()
 
 
 @query(
     "i06_late_rows",
-    """SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, event_type, count(*) AS events FROM events
-    WHERE ts >= TIMESTAMP '2024-01-15' AND time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)
-    GROUP BY ALL""",
+    """SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, event_type, count(*) AS events FROM events WHERE ts >= '2024-01-10' GROUP BY ALL
+    UNION ALL SELECT NULL, 'late rows', count(*) FROM events WHERE ts < '2024-01-10'""",
 )
 def late_rows(t: Tables) -> DataFrame:
-    """The month lands backwards in three files.
-
-    Rows are compared with the watermark as it stood one batch before, so the second file is
-    still taken; the rows of the first half, in the third, come too late and are dropped.
-    """
-    landing = f"{scratch_path(t.spark, 'late')}/landing"
-    for part in ("ts >= '2024-01-20'", "ts >= '2024-01-15' AND ts < '2024-01-20'", "ts < '2024-01-15'"):
-        t.events.where(part).coalesce(1).write.mode("append").parquet(landing)
-    stream = jobs.read_log(t.spark, landing, t.events.schema, max_files=1)
-    stream = stream.withColumn("at", F.col("ts").cast("timestamp"))
-    counts = jobs.window_counts(stream, "at", "10 minutes", "1 day", [F.col("event_type")])
-    start = F.col("window.start").cast("timestamp_ntz").alias("window_start")
-    return drained(counts.select(start, "event_type", "events"), "late")
+    """Days from the tenth on land in two parts, the days before them last: these are dropped, and their number is told."""
+    parts = ["ts >= '2024-01-10' AND ts < '2024-01-20'", "ts >= '2024-01-20'", "ts < '2024-01-10'"]
+    runs: list[windows.Totals] = []
+    schemas = []
+
+    def run(stream: DataFrame, home: str) -> None:
+        timed = stream.withColumn("at", F.col("ts").cast("timestamp"))
+        closed = flat_windows(jobs.window_counts(timed, "at", "10 minutes", "1 day", [F.col("event_type")]))
+        runs.append(watched(closed, home))
+        schemas.append(closed.schema)
+
+    home = in_turn(t, "late", [t.events.where(p) for p in parts], run)
+    closed = t.spark.read.schema(schemas[0]).parquet(f"{home}/out")
+    opened = flat_windows(windows.open_windows(t.events, "ts", runs[-1], "1 day", [F.col("event_type")]))
+    total = windows.Totals(rows=sum(r.rows for r in runs))
+    late = windows.late_rows(total, closed, opened).select(
+        F.lit(None).cast("timestamp_ntz").alias("window_start"), F.lit("late rows").alias("event_type"), F.col("late_rows").alias("events")
+    )
+    return closed.unionByName(opened).unionByName(late)
 
 
 @query(
@@ -305,11 +408,51 @@ def latest_state(t: Tables) -> DataFrame:
     SELECT user_id, ok, CASE WHEN ok THEN good ELSE bad END AS length FROM s QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1""",
 )
 def streak_state(t: Tables) -> DataFrame:
-    home = scratch_path(t.spark, "streaks")
-    state = KeyedTable(t.spark, f"{home}/state", ["user_id"], "user_id bigint, ok boolean, length bigint")
-    ok = F.col("value") < 20
-    jobs.track_streaks(event_stream(t), ["user_id"], "event_id", ok, state, f"{home}/checkpoint").awaitTermination()
-    return state.current()
+    """Runs per user in the state store; the log lands in four parts, each read by a new query on the same checkpoint."""
+    return tracked(t, "streaks", quarters(t), "user_id bigint, ok boolean, length bigint")
+
+
+def tracked(t: Tables, name: str, parts: list[DataFrame], schema: str, **options: object) -> DataFrame:
+    def run(stream: DataFrame, home: str) -> None:
+        state = KeyedTable(t.spark, f"{home}/state", ["user_id"], schema)
+        ok = F.col("value") < 20
+        jobs.track_streaks(stream, ["user_id"], "event_id", ok, state, f"{home}/checkpoint", **options).awaitTermination()
+
+    home = in_turn(t, name, parts, run)
+    return KeyedTable(t.spark, f"{home}/state", ["user_id"], schema).current()
+
+
+@query(
+    "i07_recent_outcomes",
+    """WITH m AS (SELECT max(event_id) AS last FROM events),
+    again AS (SELECT user_id, count(*) AS repeated FROM events, m, (VALUES (1), (2), (3)) q(k)
+      WHERE event_id < last * k // 4 AND event_id >= last * k // 4 - 50 GROUP BY user_id),
+    l AS (SELECT user_id, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) <= 10)
+    SELECT user_id, max(event_id) AS position, count(*) AS recent_rows, round(avg(value), 6) AS recent_mean, coalesce(any_value(repeated), 0) AS repeated
+    FROM l LEFT JOIN again USING (user_id) GROUP BY user_id""",
+)
+def recent_outcomes(t: Tables) -> DataFrame:
+    """Mean of each user's last ten values, kept while the log lands in parts that bring 50 positions twice."""
+    schema = "user_id bigint, position bigint, recent_rows bigint, recent_sum double, repeated bigint"
+    rows = tracked(t, "recent", quarters(t, again=50), schema, value=F.col("value"))
+    mean = F.round(F.col("recent_sum") / F.col("recent_rows"), 6).alias("recent_mean")
+    return rows.select("user_id", "position", "recent_rows", mean, "repeated")
+
+
+@query(
+    "i07_silent_keys",
+    """WITH r AS (SELECT user_id, event_id, ts, value < 20 AS ok, lag(value < 20) OVER w AS ok_before, lag(ts) OVER w AS before FROM events
+      WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+    b AS (SELECT *, sum(CASE WHEN before IS NULL OR ok <> ok_before OR epoch_ms(ts) - epoch_ms(before) > 86400000 THEN 1 ELSE 0 END)
+      OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM r),
+    g AS (SELECT user_id, ok, run, count(*) AS length, max(ts) AS last_ts FROM b GROUP BY ALL QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY run DESC) = 1),
+    s AS (SELECT *, epoch_ms(last_ts) + 86400000 <= (SELECT epoch_ms(max(ts)) FROM events) AS silent FROM g)
+    SELECT user_id, ok, CASE WHEN silent THEN 0 ELSE length END AS length, silent FROM s""",
+)
+def silent_keys(t: Tables) -> DataFrame:
+    """A day without events ends a user's run: in the rows that follow, or by a timer once the watermark has passed it."""
+    schema = "user_id bigint, ok boolean, length bigint, silent boolean"
+    return tracked(t, "silent", quarters(t), schema, ts="ts", idle_seconds=86_400)
 
 
 @query("i08_backfill_handover", MERGED)
@@ -375,7 +518,7 @@ def edit_between_batches(t: Tables) -> DataFrame:
     """An operator removes dead letters between two batches of a stream, and the table is compacted: both stay."""
     code = F.when(F.col("value") > 100, F.col("props")).otherwise(F.col("value").cast("string"))
     rows = change_events(t).withColumns({"code": code, "position": F.col(LSN)}).drop("__table", "__schema", "value", "props")
-    home, stream = landed(t, "edits", [rows.where("__lsn < 300")])
+    home, stream = landed(t, "edits", rows.where("__lsn < 300"))
     target = KeyedTable(t.spark, f"{home}/items", ["k"], "k bigint, code double")
     letters = DeadLetterTable(t.spark, f"{home}/dead")
     position = F.get_json_object("event", "$.position").cast("bigint")
@@ -383,7 +526,7 @@ def edit_between_batches(t: Tables) -> DataFrame:
         if part is not None:
             letters.remove(letters.read().where(position % 2 == 0))
             letters.table.compact()
-            part.coalesce(1).write.mode("append").parquet(f"{home}/landing")
+            part.write.mode("append").parquet(f"{home}/landing")
         jobs.apply_changes(stream, LOG_TASK, target, f"{home}/checkpoint", letters).awaitTermination()
     return letters.read().select(F.get_json_object("event", "$.k").cast("bigint").alias("k"), position.alias("position"))
 
@@ -396,10 +539,14 @@ def edit_between_batches(t: Tables) -> DataFrame:
 def filtered_batch(t: Tables) -> DataFrame:
     """A batch whose rows are all filtered out moves the position on and keeps the totals."""
     rows = change_events(t).withColumn("n", F.col(LSN)).drop("__table", "__schema")
-    home, stream = landed(t, "filtered", [rows.where("__lsn < 300"), rows.where("__lsn >= 300")])
     only = EventFilter(conditions=(Condition("less_than", "n", 300),))
     task = SyncTask("items", "items", "items", ("k",), filter=only)
-    target = KeyedTable(t.spark, f"{home}/items", ["k"], "k bigint, value double")
+
+    def run(stream: DataFrame, home: str) -> None:
+        target = KeyedTable(t.spark, f"{home}/items", ["k"], "k bigint, value double")
+        progress = KeyedTable(t.spark, f"{home}/progress", ["task_id"], jobs.PROGRESS_SCHEMA)
+        jobs.apply_changes(stream, task, target, f"{home}/checkpoint", progress=progress).awaitTermination()
+
+    home = in_turn(t, "filtered", [rows.where("__lsn < 300"), rows.where("__lsn >= 300")], run)
     progress = KeyedTable(t.spark, f"{home}/progress", ["task_id"], jobs.PROGRESS_SCHEMA)
-    jobs.apply_changes(stream, task, target, f"{home}/checkpoint", progress=progress).awaitTermination()
     return progress.current().select("task_id", "batch_id", "position", "events_processed", "last_event_at", "total_processed")

@@ -1,16 +1,20 @@
 """Streams drained in several batches give what the batch plans give, also after a restart."""
 
+import random
+from collections import Counter
 from dataclasses import replace
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from driftline.config import Convert, Rename, SyncTask, Transforms
-from driftline.operators import LSN, OP, dedup, merge
+from driftline.operators import LSN, OP, dedup, merge, metrics
 from driftline.operators.ordered import log_chunk, streaks
+from driftline.plans import alerts
 from driftline.sources.deadletter_table import DeadLetterTable
 from driftline.sources.keyed_table import KeyedTable
-from driftline.streaming import jobs
+from driftline.streaming import jobs, windows
 
 SCHEMA = "k bigint, v string, code string, __op string, __lsn bigint, __ts timestamp_ntz"
 TASK = SyncTask("t", "public.t", "t", ("k",), transform=Transforms(fields=(Convert("code", "number"),)))
@@ -162,17 +166,129 @@ def test_window_counts(spark, landing, folder):
     assert rows(spark.read.parquet(f"{folder}/o")) == rows(want)
 
 
-def test_streak_state(spark, landing, folder):
-    ok = F.col("code") != "bad"
+def plain_streaks(found, idle=None):
+    """Runs from the sorted rows of each key: ``(k, ok, length, position, recent sum)``."""
+    state = {}
+    for k, position, ok, at, value in sorted(found, key=lambda r: r[1]):
+        old = state.get(k)
+        goes_on = old and old[0] == ok and (idle is None or at - old[3] <= idle)
+        state[k] = (ok, old[1] + 1 if goes_on else 1, position, at, ([*old[4], value] if old else [value])[-3:])
+    return sorted((k, s[0], s[1], s[2], round(sum(s[4]), 6)) for k, s in state.items())
+
+
+STREAKS = "k bigint, ok boolean, length bigint, position bigint, recent_sum double, repeated bigint, silent boolean"
+
+
+@pytest.mark.parametrize("files", [3, 20])
+def test_streaks_for_any_cut_and_restart(spark, folder, files):
+    """Files of uneven size, each with shuffled rows and some of the rows before it; a new query after every seventh."""
+    rng = random.Random(files)
+    found = [(rng.choice([None, 1, 1, 1, 2, 3]), i, rng.random() < 0.7, i * 1000, rng.random()) for i in range(400)]
+    cuts = sorted(rng.sample(range(1, 400), files - 1))
+    path, schema = f"{folder}/land", "k bigint, position bigint, ok boolean, at bigint, value double"
+    state = KeyedTable(spark, f"{folder}/s", ["k"], STREAKS)
+    repeated = Counter()
+    for n, (a, b) in enumerate(zip([0, *cuts], [*cuts, 400], strict=True)):
+        part = found[max(0, a - 5) : b]
+        repeated.update(r[0] for r in found[max(0, a - 5) : a])
+        rng.shuffle(part)
+        spark.createDataFrame(part, schema).where("k IS NOT NULL").coalesce(1).write.mode("append").parquet(path)
+        if n % 7 == 0 or n == files - 1:
+            source = jobs.read_log(spark, path, spark.read.parquet(path).schema, max_files=2)
+            jobs.track_streaks(
+                source, ["k"], "position", F.col("ok"), state, f"{folder}/c", value=F.col("value"), recent=3
+            ).awaitTermination()
+    got = state.current().collect()
+    keyed_rows = [r for r in found if r[0] is not None]
+    assert sorted((r.k, r.ok, r.length, r.position, round(r.recent_sum, 6)) for r in got) == plain_streaks(keyed_rows)
+    assert not any(r.silent for r in got)
+    assert {r.k: r.repeated for r in got} == {k: repeated[k] for k in (1, 2, 3)}
+
+
+def test_batches_read_no_state_table(spark, landing, folder, monkeypatch):
     state = KeyedTable(spark, f"{folder}/s", ["k"], "k bigint, ok boolean, length bigint")
-    jobs.track_streaks(stream(spark, landing), ["k"], LSN, ok, state, f"{folder}/c", 2).awaitTermination()
+    monkeypatch.setattr(KeyedTable, "as_of", lambda *_: pytest.fail("the state table was read"))
+    jobs.track_streaks(stream(spark, landing), ["k"], LSN, F.col("code") != "bad", state, f"{folder}/c", None).awaitTermination()
+    monkeypatch.undo()
     log = spark.read.parquet(landing)
-    full = streaks(log, ["k"], [LSN], log_chunk(F.col(LSN), 32), ok)
+    full = streaks(log, ["k"], [LSN], log_chunk(F.col(LSN), 32), F.col("code") != "bad")
     last = merge.latest_per_key(full, ["k"], [LSN])
+    ok = F.col("code") != "bad"
     want = last.select("k", ok.alias("ok"), F.when(ok, F.col("consecutive_successes")).otherwise(F.col("consecutive_failures")))
     assert rows(state.current()) == rows(want)
 
 
+def test_silence_ends_runs(spark, folder):
+    """Ten seconds of silence: shown by a later row, or by the timer when others move the watermark on."""
+    at = lambda s: datetime(2024, 1, 1) + timedelta(seconds=s)
+    parts = [[(1, 1, at(0)), (1, 2, at(5)), (2, 3, at(6))], [(1, 4, at(12)), (2, 5, at(17))], [(3, 6, at(60))], [(1, 7, at(61))]]
+    state = KeyedTable(spark, f"{folder}/s", ["k"], "k bigint, length bigint, silent boolean")
+    seen = []
+    for part in parts:
+        spark.createDataFrame(part, "k bigint, position bigint, ts timestamp_ntz").coalesce(1).write.mode("append").parquet(f"{folder}/l")
+        source = jobs.read_log(spark, f"{folder}/l", spark.read.parquet(f"{folder}/l").schema)
+        jobs.track_streaks(source, ["k"], "position", F.lit(True), state, f"{folder}/c", ts="ts", idle_seconds=10).awaitTermination()
+        seen.append({r.k: (r.length, r.silent) for r in state.current().collect()})
+    assert seen[0] == {1: (2, False), 2: (1, False)}
+    assert seen[1] == {1: (3, False), 2: (1, False)}  # key 2 was silent for eleven seconds
+    assert seen[2] == {1: (0, True), 2: (0, True), 3: (1, False)}
+    assert seen[3] == {1: (1, False), 2: (0, True), 3: (1, False)}
+
+
+# ---- windows, rates and holds ----------------------------------------------------------------
+
+
+def test_rates_with_open_steps(spark, landing, folder):
+    log = spark.read.parquet(landing)
+    timed = stream(spark, landing).withColumn("at_ts", F.col("__ts").cast("timestamp"))
+    rates = windows.rates(timed, [OP], "at_ts", "5 seconds", (60, 120), 10)
+    totals = windows.run_watched(spark, lambda: jobs.write_stream(rates, f"{folder}/o", f"{folder}/c"))
+    closed = spark.read.schema(rates.schema).parquet(f"{folder}/o")
+    opened = windows.open_rates(log, [OP], "__ts", totals, (60, 120), 10)
+    assert totals.rows == 600 and totals.batches >= 6 and opened.count() > 0 and closed.count() > 100
+    for w in (60, 120):
+        want = metrics.moving_rate(log, [OP], "__ts", w, 10).select(OP, "at", "total", F.col("rate").alias("r"))
+        assert rows(closed.unionByName(opened).select(OP, "at", f"total_{w}", f"rate_{w}")) == rows(want)
+
+
+def test_late_rows_are_counted(spark, landing, folder):
+    log = spark.read.parquet(landing)
+    again = spark.createDataFrame([(1, None, None, "late", 5, datetime(2024, 1, 1, 0, 0, 5))] * 7, SCHEMA)
+    runs = []
+    for part in (log, again):
+        part.write.mode("append").parquet(f"{folder}/l")
+        source = jobs.read_log(spark, f"{folder}/l", log.schema).withColumn("at", F.col("__ts").cast("timestamp"))
+        closed = jobs.window_counts(source, "at", "5 seconds", "1 minute", [F.col(OP)]).select(F.col("window.start").alias("s"), OP, "events")
+        runs.append(windows.run_watched(spark, lambda closed=closed: jobs.write_stream(closed, f"{folder}/o", f"{folder}/c")))
+    everything = spark.read.parquet(f"{folder}/l")
+    opened = windows.open_windows(everything, "__ts", runs[-1], "1 minute", [F.col(OP)])
+    total = windows.Totals(rows=sum(r.rows for r in runs))
+    assert windows.late_rows(total, spark.read.parquet(f"{folder}/o"), opened).first()[0] == 7
+    assert runs[0].dropped == 0 and runs[1].dropped > 0
+
+
+def test_failed_runs_are_told(spark, landing, folder):
+    broken = stream(spark, landing).select(F.raise_error(F.lit("broken row")).cast("string").alias("x"))
+    with pytest.raises(Exception, match="broken row"):
+        windows.run_watched(spark, lambda: jobs.write_stream(broken, f"{folder}/o", f"{folder}/c"))
+
+
+@pytest.mark.parametrize("files", [2, 9])
+def test_conditions_that_hold(spark, folder, files):
+    """Points of two keys in any cut into batches; the newest row per key and start is the episode."""
+    rng = random.Random(files)
+    points = [(k, at, rng.random() < 0.75) for at in range(0, 600, 10) for k in ("a", "b") if rng.random() < 0.9]
+    schema = "k string, at bigint, hot boolean"
+    table = KeyedTable(spark, f"{folder}/e", ["k", "since"], "k string, since bigint, until bigint, samples bigint")
+    for n in range(files):
+        part = [p for p in points if n * 600 // files <= p[1] < (n + 1) * 600 // files]
+        spark.createDataFrame(part, schema).write.mode("append").parquet(f"{folder}/l")
+        found = windows.held(jobs.read_log(spark, f"{folder}/l", spark.createDataFrame([], schema).schema), ["k"], F.col("hot"), 40)
+        jobs.each_batch(found, lambda batch, number: table.upsert(batch, number + 1), f"{folder}/c").awaitTermination()
+    want = alerts.episodes(spark.createDataFrame(points, schema), ["k"], "at", F.col("hot"), 40)
+    assert rows(table.current()) == rows(want) and want.count() > 2
+
+
 def test_latest_state(spark, landing, folder):
     latest = jobs.latest_state(stream(spark, landing), ["k"], LSN, ["v", OP])
     table = KeyedTable(spark, f"{folder}/s", ["k"], "k bigint, v string, changes bigint")
