@@ -36,7 +36,7 @@ BLOCK_CELLS, TILE_ROWS, TILE_COLUMNS = 1 << 14, 256, 1024
 # Prices are summed in two halves: above and below so many bits.
 HALF = 30
 # Bytes of a long text counted together; counts a task holds before it hands them on.
-PIECE_BYTES, HELD_COUNTS = 1 << 20, 1 << 18
+PIECE_BYTES, HELD_COUNTS = 1 << 20, 1 << 17
 
 # Letters A-Z are lowered and bytes of other than ASCII characters kept; all else parts terms.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -58,27 +58,28 @@ def pieces(text: bytes, limit: int = PIECE_BYTES) -> Iterator[bytes]:
         at = end
 
 
+def _filled(column: str) -> Column:
+    return F.coalesce(F.col(f"`{column}`").cast("string"), F.lit(""))
+
+
 def counted(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """``lang, source, term, n, docs``: places and documents of each term, summed over all rows of ``docs``.
 
     A term is a longest stretch of ASCII letters (A-Z lowered) and characters beyond ASCII. Null text,
-    language and source count as ''. Each (lang, source) also has a row with a null term, so that
-    groups without terms are known. An empty table gives no rows; other columns are ignored.
+    language and source count as ''. An empty table gives no rows; other columns are ignored.
     """
-    rows = docs.select(
-        *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).cast("binary").alias(n) for c, n in ((lang, "lang"), (source, "source"), (text, "text"))]
-    )
+    rows = docs.select(*[_filled(c).cast("binary").alias(n) for c, n in ((lang, "lang"), (source, "source"), (text, "text"))])
     names = ["lang", "source", "term", "n", "docs"]
 
     def handed(held: dict) -> Iterator[pa.RecordBatch]:
         for (language, origin), (places, texts) in held.items():
-            terms = [None, *places]
+            terms = list(places)
             columns = [
                 pa.array([language] * len(terms), pa.binary()),
                 pa.array([origin] * len(terms), pa.binary()),
                 pa.array(terms, pa.binary()),
-                pa.array([0, *places.values()], pa.int64()),
-                pa.array([0, *map(texts.__getitem__, places)], pa.int64()),
+                pa.array(list(places.values()), pa.int64()),
+                pa.array(list(map(texts.__getitem__, terms)), pa.int64()),
             ]
             yield pa.RecordBatch.from_arrays(columns, names=names)
         held.clear()
@@ -208,17 +209,15 @@ def audit(
     go by value descending, then item in UTF-8 order. A language with one source has no pairs, one
     without kept terms pairs of value 0 and no terms. An empty table gives no rows; other columns are ignored.
     """
-    counts = stored(counted(docs, text, lang, source), "divergence-counts")
-    groups = counts.where("term IS NULL").select("lang", "source")
-    terms = counts.where("term IS NOT NULL")
-    kept = terms.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("d")).where(F.col("d") >= least_documents)
-    cells = stored(terms.drop("docs").join(kept.drop("d"), ["lang", "term"]), "divergence-cells")
-
-    languages = (
-        cells.groupBy("lang", "term")
-        .agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("cells"))
-        .groupBy("lang")
-        .agg(F.count(F.lit(1)).alias("kept"), F.sum("n").alias("lang_total"), F.sum("cells").alias("cells"))
+    groups = docs.select(_filled(lang).alias("lang"), _filled(source).alias("source")).distinct()
+    # A term's rows, one per source, meet once more for the sums over its language.
+    of_term = W.partitionBy("lang", "term")
+    sums = {"lang_n": F.sum("n").over(of_term), "d": F.sum("docs").over(of_term), "rn": F.row_number().over(of_term.orderBy("source"))}
+    cells = counted(docs, text, lang, source).withColumns(sums).where(F.col("d") >= least_documents)
+    cells = stored(cells.select("lang", "source", "term", "n", "lang_n", (F.col("rn") == 1).alias("first")), "divergence-cells")
+
+    languages = cells.groupBy("lang").agg(
+        F.count_if("first").alias("kept"), F.sum("n").alias("lang_total"), F.count(F.lit(1)).alias("cells")
     )
     totals = cells.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     sizes = stored(
