@@ -11,6 +11,7 @@ from driftline.config import Condition, Convert, EventFilter, SoftDelete, SyncTa
 from driftline.operators import LSN, OP, dedup
 from driftline.session import scratch_path
 from driftline.sources import changelog
+from driftline.sources.bucketed_table import BucketedTable
 from driftline.sources.deadletter_table import DeadLetterTable
 from driftline.sources.keyed_table import KeyedTable
 from driftline.streaming import jobs, windows
@@ -75,6 +76,44 @@ def idempotent_apply(t: Tables) -> DataFrame:
     return target.current()
 
 
+def bucketed(t: Tables, name: str, parts: int = 8, buckets: int = 4) -> BucketedTable:
+    """The snapshot as a bucketed table of the catalogue, its files below the scratch folder."""
+    path = scratch_path(t.spark, name)
+    table = BucketedTable(t.spark, f"items_{path.rpartition('-')[2]}", ["k"], t.snapshot.schema, f"{path}/items", parts, buckets)
+    table.write_base(t.snapshot)
+    return table
+
+
+@query("a17_bucketed_merge", MERGED)
+def bucketed_merge(t: Tables) -> DataFrame:
+    """The log in ten batches, each merged into the buckets its keys hash to, the last one twice."""
+    table = bucketed(t, "bucketed")
+    changes = change_events(t).drop("__ts", "__table", "__schema")
+    last = (t.events.agg(F.max("event_id")).first()[0] or 0) + 1
+    cuts = [last * i // 10 for i in range(11)]
+    for a, b in [*zip(cuts[:-1], cuts[1:], strict=True), (cuts[-2], cuts[-1])]:
+        table.merge(changes.where(F.col(LSN).between(a, b - 1)))
+    return table.current()
+
+
+@query("i03_bucketed_target", MERGED)
+def bucketed_target(t: Tables) -> DataFrame:
+    """A stream in four parts that merges into a bucketed table, then reads its whole log again from a new checkpoint."""
+    table = bucketed(t, "bucketed-stream")
+    task = SyncTask("items", "public.items", "items", ("k",))
+
+    def changes(stream: DataFrame) -> DataFrame:
+        return stream.select(op_of_event().alias(OP), F.col("event_id").alias(LSN), F.col("ts").alias("__ts"), F.col("user_id").alias("k"), "value", "props")
+
+    def run(stream: DataFrame, home: str) -> None:
+        jobs.apply_changes(changes(stream), task, table, f"{home}/checkpoint").awaitTermination()
+
+    home = in_turn(t, "bucketed-log", quarters(t), run)
+    again = changes(jobs.read_log(t.spark, f"{home}/landing", t.events.schema))
+    jobs.apply_changes(again, task, table, f"{home}/second").awaitTermination()
+    return table.current()
+
+
 @query(
     "i03_lines_to_table",
     """SELECT doc_id, md5(text) AS text_md5, CASE WHEN lang <> 'es' THEN source END AS source, n_chars FROM documents WHERE lang <> 'de'""",
@@ -445,7 +484,7 @@ def recent_outcomes(t: Tables) -> DataFrame:
       WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
     b AS (SELECT *, sum(CASE WHEN before IS NULL OR ok <> ok_before OR epoch_ms(ts) - epoch_ms(before) > 86400000 THEN 1 ELSE 0 END)
       OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM r),
-    g AS (SELECT user_id, ok, run, count(*) AS length, max(ts) AS last_ts FROM b GROUP BY ALL QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY run DESC) = 1),
+    g AS (SELECT user_id, ok, run, count(*) AS length, max(ts) AS last_ts FROM b GROUP BY user_id, ok, run QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY run DESC) = 1),
     s AS (SELECT *, epoch_ms(last_ts) + 86400000 <= (SELECT epoch_ms(max(ts)) FROM events) AS silent FROM g)
     SELECT user_id, ok, CASE WHEN silent THEN 0 ELSE length END AS length, silent FROM s""",
 )
