@@ -20,11 +20,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Positions per chunk. A log position is a byte offset (or a dense number), so this also bounds
-# the rows of a chunk.
-LOG_SEGMENT = 1 << 16
+# the rows of a chunk, and 100 TB of log are 24 million summary rows of a key at most.
+LOG_SEGMENT = 1 << 22
 
-# Positions per span of chunks: 65,536 chunks of the default size.
-LOG_SPAN = 1 << 32
+# Positions per span of chunks, where two levels are asked for: 65,536 chunks of the default size.
+LOG_SPAN = 1 << 38
 
 _KEY, _CHUNK, _SPAN = "__key", "__chunk", "__span"
 
@@ -46,12 +46,16 @@ def _local(order: Sequence[str]) -> W:
     return W.partitionBy(_KEY, _CHUNK).orderBy(*order)
 
 
-def _carry(summary: DataFrame, specs: Mapping[str, tuple[str, Column]], span: int) -> DataFrame:
+def _carry(summary: DataFrame, specs: Mapping[str, tuple[str, Column]], span: int | None) -> DataFrame:
     """``summary`` (one row per key and chunk) with what the earlier chunks of the key hand on.
 
     Kinds are ``sum``, ``max`` and ``last`` (the newest value that is not null); null before the
     first chunk.
     """
+    if span is None:
+        before = W.partitionBy(_KEY).orderBy(_CHUNK).rowsBetween(W.unboundedPreceding, -1)
+        over = {"sum": F.sum, "max": F.max, "last": lambda c: F.last(c, ignorenulls=True)}
+        return summary.withColumns({name: over[kind](value).over(before) for name, (kind, value) in specs.items()})
     dtype = summary.schema[_CHUNK].dataType
     timed = isinstance(dtype, (T.TimestampType, T.TimestampNTZType, T.DateType))
     number = F.date_trunc("month", _CHUNK) if timed else F.floor(F.col(_CHUNK) / F.lit(span))
@@ -85,7 +89,7 @@ def running(
     order: Sequence[str],
     chunk: Column,
     specs: Mapping[str, tuple[str, Column]],
-    span: int = LOG_SPAN,
+    span: int | None = None,
 ) -> DataFrame:
     """Running values per key, the current row included.
 
@@ -130,7 +134,7 @@ def running(
 
 
 def numbered(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, name: str = "rn", span: int = LOG_SPAN
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, name: str = "rn", span: int | None = None
 ) -> DataFrame:
     """Row number within a key, from 1."""
     return running(df, keys, order, chunk, {name: ("sum", F.lit(1).cast("bigint"))}, span)
@@ -143,7 +147,7 @@ def batch_numbers(
     chunk: Column,
     size: int,
     name: str = "batch_id",
-    span: int = LOG_SPAN,
+    span: int | None = None,
 ) -> DataFrame:
     """Number of the fixed-size batch a row falls in, per key, from 0."""
     rows = numbered(df, keys, order, chunk, "__rn", span)
@@ -151,42 +155,48 @@ def batch_numbers(
 
 
 def order_violations(
-    df: DataFrame, keys: Sequence[str], arrival: Sequence[str], chunk: Column, position: str, span: int = LOG_SPAN
+    df: DataFrame, keys: Sequence[str], arrival: Sequence[str], chunk: Column, position: str, span: int | None = None
 ) -> DataFrame:
     """Rows whose position is not above the position of the row that arrived before."""
     rows = running(df, keys, arrival, chunk, {"previous": ("prev", F.col(position))}, span)
     return rows.where(F.col(position) <= F.col("previous"))
 
 
-def streaks(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, success: Column, span: int = LOG_SPAN
-) -> DataFrame:
-    """``consecutive_successes`` and ``consecutive_failures`` up to each row."""
+def streaks(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, success: Column) -> DataFrame:
+    """``consecutive_successes`` and ``consecutive_failures`` up to each row.
+
+    A chunk hands on its length, and for either outcome the run it ends with and whether the run began in the
+    chunk. Runs add up over chunks that one outcome fills, so what a chunk is handed is a running sum less
+    its value at the last break: both from one window over the summaries.
+    """
     local = _local(order)
     so_far = local.rowsBetween(W.unboundedPreceding, W.currentRow)
-    rows = _chunked(df, keys, chunk).withColumn("__ok", F.coalesce(success, F.lit(False)))
-    rows = rows.withColumn("__n", F.row_number().over(local).cast("bigint"))
-    good, bad = F.when(F.col("__ok"), F.col("__n")), F.when(~F.col("__ok"), F.col("__n"))
-    rows = rows.withColumns({"__good": F.max(good).over(so_far), "__bad": F.max(bad).over(so_far)})
-    summary = rows.groupBy(_KEY, _CHUNK).agg(
-        F.count(F.lit(1)).alias("__count"), F.max(good).alias("__g"), F.max(bad).alias("__b")
+    rows = _chunked(df, keys, chunk).withColumns(
+        {"__ok": F.coalesce(success, F.lit(False)), "__n": F.row_number().over(local).cast("bigint")}
     )
-    summary = _carry(summary, {"__before": ("sum", F.col("__count"))}, span)
-    summary = summary.withColumn("__start", F.coalesce("__before", F.lit(0)))
-    ends = {"__last_good": ("max", F.col("__start") + F.col("__g")), "__last_bad": ("max", F.col("__start") + F.col("__b"))}
-    carry = _carry(summary, ends, span).select(_KEY, _CHUNK, "__start", *ends)
+    kinds = {"__good": ("__ok", "consecutive_successes"), "__bad": ("NOT __ok", "consecutive_failures")}
+    # Place of the last row of each outcome, so far and in the whole chunk.
+    last = {k: F.when(F.expr(test), F.col("__n")) for k, (test, _) in kinds.items()}
+    rows = rows.withColumns({k: F.max(c).over(so_far) for k, c in last.items()})
+    other = {"__good": "__bad", "__bad": "__good"}
+
+    summary = rows.groupBy(_KEY, _CHUNK).agg(F.max("__n").alias("__count"), *[F.max(k).alias(f"{k}_at") for k in kinds])
+    by_chunk = W.partitionBy(_KEY).orderBy(_CHUNK)
+    upto = by_chunk.rowsBetween(W.unboundedPreceding, W.currentRow)
+    before = by_chunk.rowsBetween(W.unboundedPreceding, -1)
+    run = {k: F.col("__count") - F.coalesce(F.col(f"{other[k]}_at"), F.lit(0)) for k in kinds}
+    summary = summary.withColumns({f"{k}_sum": F.sum(c).over(upto) for k, c in run.items()})
+    broken = {k: F.when(F.col(f"{other[k]}_at").isNotNull(), F.col(f"{k}_sum") - c) for k, c in run.items()}
+    handed = {k: F.coalesce(F.max(f"{k}_sum").over(before), F.lit(0)) - F.coalesce(F.max(broken[k]).over(before), F.lit(0)) for k in kinds}
+    carry = summary.select(_KEY, _CHUNK, *[c.alias(f"{k}_in") for k, c in handed.items()])
     joined = rows.join(carry, [_KEY, _CHUNK], "left")
-    number = F.col("__start") + F.col("__n")
 
-    def since(local_last: str, carried: str) -> Column:
-        last = F.greatest(F.col("__start") + F.col(local_last), F.col(carried))
-        return number - F.coalesce(last, F.lit(0))
+    def since(k: str) -> Column:
+        """Rows since the last one of the other outcome, or since the chunk began and what came before it."""
+        broke = F.col(other[k])
+        return F.when(broke.isNotNull(), F.col("__n") - broke).otherwise(F.col("__n") + F.col(f"{k}_in"))
 
-    return joined.select(
-        *[F.col(f"`{c}`") for c in df.columns],
-        since("__bad", "__last_bad").alias("consecutive_successes"),
-        since("__good", "__last_good").alias("consecutive_failures"),
-    )
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns], *[since(k).alias(name) for k, (_, name) in kinds.items()])
 
 
 def moving_mean(

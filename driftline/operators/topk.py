@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from driftline.session import scratch_path
+
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int = 1) -> DataFrame:
     """The first ``n`` rows of every key in ``order``."""
@@ -41,46 +43,73 @@ def keep_newest(df: DataFrame, n: int, created: str, tiebreak: str, unit: str =
     return cut_by_time(df, [], n, created, tiebreak, unit=unit)
 
 
+# Rows of one key that a window may rank in one task.
+RANKED_ROWS = 200_000
+
+
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    """A small table written below the scratch folder: what it was made from is read once."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _ranked_by_range(rows: DataFrame, order: Column) -> DataFrame:
+    """``rows`` with ``__rank`` within ``__key`` by ``order``, sorted by range in as many tasks as it takes."""
+    # Number of the sorted partition in the upper bits, of the row within it below.
+    numbered = _stored(rows.orderBy("__key", order).withColumn("__id", F.monotonically_increasing_id()), "cut-rows")
+    numbered = numbered.withColumn("__task", F.shiftright("__id", 33))
+    tasks = numbered.groupBy("__key", "__task").agg(F.count(F.lit(1)).alias("__rows"), F.min("__id").alias("__first"))
+    earlier = W.partitionBy("__key").orderBy("__task").rowsBetween(W.unboundedPreceding, -1)
+    tasks = tasks.select("__key", "__task", "__first", F.coalesce(F.sum("__rows").over(earlier), F.lit(0)).alias("__start"))
+    rank = F.col("__start") + F.col("__id") - F.col("__first") + 1
+    return numbered.join(tasks, ["__key", "__task"]).withColumn("__rank", rank).drop("__id", "__task", "__first", "__start")
+
+
 def cut_by_time(
     df: DataFrame, keys: Sequence[str], n: int, created: str, tiebreak: str, newest: bool = True, unit: str = "minute"
 ) -> DataFrame:
     """The newest (or oldest) ``n`` rows per key by time, then ``tiebreak``, for any ``n`` and any number of rows per key.
 
-    Counts per time unit tell which units stay whole and which one is cut, and counts per second
-    and exact time where in that unit the cut is. Only the rows of that one time are sorted by
-    ``tiebreak``. Rows without a time are the oldest.
+    Counts per time unit tell in which unit the cut falls, and how many rows it has. Their times and
+    tiebreaks are ranked in a window where they are few (``RANKED_ROWS`` of a key). Beyond that Spark's range
+    partitioning sorts them, and numbers of rows per task and key give the rank: a time that a third of
+    all rows share is sorted by its tiebreak in many tasks. Rows without a time are the oldest.
     """
-    # Structs are never null themselves, so a missing time joins and sorts like any other.
-    unit_of, second_of, at = (F.struct(c.alias("t")) for c in (F.date_trunc(unit, created), F.date_trunc("second", created), F.col(created)))
-    rows = df.withColumns({"__unit": unit_of, "__at": at})
-
-    def along(column: str, *more: str) -> W:
-        order = F.col(column).desc() if newest else F.col(column).asc()
-        return W.partitionBy(*keys, *more).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-
-    def room(counts: DataFrame, column: str, *more: str) -> Column:
-        return F.col("__left") - F.coalesce(F.sum("__count").over(along(column, *more)), F.lit(0))
-
-    units = rows.groupBy(*keys, "__unit").agg(F.count(F.lit(1)).alias("__count")).withColumn("__left", F.lit(n).cast("bigint"))
-    units = units.withColumn("__left", room(units, "__unit")).where(F.col("__left") > 0)
-    split = units.where(F.col("__count") > F.col("__left")).drop("__count")
-
-    times = rows.withColumn("__second", second_of).join(split, [*keys, "__unit"])
-    times = times.groupBy(*keys, "__unit", "__second", "__at", "__left").agg(F.count(F.lit(1)).alias("__count"))
-    seconds = times.groupBy(*keys, "__second", "__left").agg(F.sum("__count").alias("__count"))
-    seconds = seconds.select(*keys, "__second", room(seconds, "__second").alias("__left"))
-    times = times.drop("__left").join(seconds, [*keys, "__second"])
-    times = times.withColumn("__left", room(times, "__at", "__second"))
-    cut = times.where((F.col("__left") > 0) & (F.col("__count") >= F.col("__left")))
-    cut = cut.select(*keys, "__unit", F.col("__at").alias("__cut"), F.col("__left").alias("__here"))
-
-    kept = rows.join(units.select(*keys, "__unit").join(cut, [*keys, "__unit"], "left"), [*keys, "__unit"])
-    beyond = F.col("__at") > F.col("__cut") if newest else F.col("__at") < F.col("__cut")
-    whole = kept.where(F.col("__cut").isNull() | beyond)
-    side = F.col(tiebreak).desc() if newest else F.col(tiebreak).asc()
-    ties = kept.where(F.col("__at") == F.col("__cut"))
-    ties = ties.withColumn("__rank", F.row_number().over(W.partitionBy(*keys, "__unit").orderBy(side)))
-    return whole.select(*df.columns).unionByName(ties.where(F.col("__rank") <= F.col("__here")).select(*df.columns))
+    if n <= 0:
+        return df.limit(0)
+    spark = df.sparkSession
+    # Structs are never null themselves, so a missing time compares and joins like any other.
+    unit_of = F.struct(F.date_trunc(unit, created).alias("t"))
+    place = F.struct(F.col(created).alias("t"), F.col(tiebreak).alias("b"))
+    rows = df.withColumns({"__key": F.struct(F.lit(0).alias("_"), *[F.col(f"`{k}`") for k in keys]), "__place": place})
+    side = (lambda c: F.col(c).desc()) if newest else (lambda c: F.col(c).asc())
+    before = lambda column: W.partitionBy("__key").orderBy(side(column)).rowsBetween(W.unboundedPreceding, -1)
+
+    units = rows.groupBy("__key", unit_of.alias("__unit")).agg(F.count(F.lit(1)).alias("__count"))
+    units = units.withColumn("__left", F.lit(n) - F.coalesce(F.sum("__count").over(before("__unit")), F.lit(0)))
+    split = units.where((F.col("__left") > 0) & (F.col("__count") >= F.col("__left"))).select("__key", "__unit", "__left", "__count")
+    split = _stored(split, "cut-units")
+    narrow = rows.select("__key", unit_of.alias("__unit"), "__place").join(split.drop("__count"), ["__key", "__unit"]).drop("__unit")
+    if (split.agg(F.max("__count")).first()[0] or 0) <= RANKED_ROWS:
+        ranked = narrow.withColumn("__rank", F.row_number().over(W.partitionBy("__key").orderBy(side("__place"))))
+    else:
+        ranked = _ranked_by_range(narrow, side("__place"))
+    cut = ranked.where(F.col("__rank") == F.col("__left")).select("__key", F.col("__place").alias("__cut"), F.col("__left").alias("__last"))
+    # Rows that equal the cut in time and tiebreak: how many of them there are and how many stay.
+    same = ranked.join(cut, "__key").where(F.col("__place") == F.col("__cut"))
+    cut = same.groupBy("__key", "__cut").agg(
+        F.count(F.lit(1)).alias("__equal"), (F.max("__last") - F.min("__rank") + 1).alias("__stay")
+    )
+    cut = _stored(cut, "cuts")
+    joined = rows.join(cut, "__key", "left")
+    beyond = F.col("__place") > F.col("__cut") if newest else F.col("__place") < F.col("__cut")
+    at_cut = F.col("__place") == F.col("__cut")
+    if cut.where("__equal > __stay").isEmpty():
+        return joined.where(F.col("__cut").isNull() | beyond | at_cut).select(*df.columns)
+    whole = joined.where(F.col("__cut").isNull() | beyond)
+    ties = joined.where(at_cut).withColumn("__rank", F.row_number().over(W.partitionBy("__key").orderBy("__place")))
+    return whole.select(*df.columns).unionByName(ties.where(F.col("__rank") <= F.col("__stay")).select(*df.columns))
 
 
 def sample_rows(df: DataFrame, key: str, k: int, seed: int) -> DataFrame:

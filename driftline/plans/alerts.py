@@ -106,15 +106,16 @@ EXACT = "decimal(28,6)"
 
 
 def cells(samples: DataFrame, rules: Sequence[Rule] = RULES, step: int = STEP_SECONDS) -> DataFrame:
-    """Samples per metric, series, outcome and evaluation step: newest level, exact sum and bucket counts.
-
-    All that the rules need of the samples, from one aggregation; what is left is bounded by time.
+    """Samples per metric, series, outcome (where a rule asks for it) and evaluation step: newest level, exact sum
+    and bucket counts. All that the rules need of the samples, from one aggregation; what is left is bounded by time.
     """
     timed = F.col("metric").isin(*{r.metric for r in rules if r.signal == "quantile"})
     bounds = metrics.STAGE_LATENCY_BOUNDS
     counts = [F.count_if(timed & (F.col("value") <= F.lit(b))).alias(c) for b, c in zip(bounds, metrics.bucket_columns(bounds))]
     wanted = samples.where(F.col("metric").isin(*{m for r in rules for m in (r.metric, r.base_metric) if m}))
-    return wanted.groupBy("metric", "series", "outcome", metrics.step_of(F.col("ts"), step).alias("at")).agg(
+    told_apart = F.col("metric").isin(*{r.metric for r in rules if r.outcome is not None})
+    outcome = F.when(told_apart, F.col("outcome")).alias("outcome")
+    return wanted.groupBy("metric", "series", outcome, metrics.step_of(F.col("ts"), step).alias("at")).agg(
         F.max(F.struct("ts", "value")).alias("newest"),
         F.coalesce(F.sum(F.col("value").cast(EXACT)), F.lit(0)).cast(EXACT).alias("amount"),
         F.count(F.lit(1)).alias("total"),
@@ -122,33 +123,18 @@ def cells(samples: DataFrame, rules: Sequence[Rule] = RULES, step: int = STEP_SE
     )
 
 
-def _levels(steps: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Gauges: last level of every step that has a sample."""
-    newest = F.max("newest").getField("value")
-    return steps.groupBy(*keys, "at").agg(newest.alias("value"))
-
-
-def _running(deltas: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
-    """Add up changes per key over time. Changes are exact numbers, so sums return to zero."""
-    merged = deltas.groupBy(*keys, "at").agg(*[F.sum(n).alias(n) for n in names])
-    so_far = W.partitionBy(*keys).orderBy("at").rowsBetween(W.unboundedPreceding, W.currentRow)
-    return merged.select(*keys, "at", *[F.sum(n).over(so_far).alias(n) for n in names])
+def _levels(steps: DataFrame, names: set[str]) -> DataFrame:
+    """Gauges: last level of every step that has a sample, from one cell each."""
+    return steps.where(F.col("metric").isin(*names)).select("metric", "series", "at", F.col("newest.value").alias("value"))
 
 
-def _total_level(levels: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Sum of the levels of all series of a metric."""
-    before = F.lag("value", 1).over(W.partitionBy(*keys, "series").orderBy("at"))
+def _total_level(levels: DataFrame) -> DataFrame:
+    """Sum of the levels of all series of a metric, as exact changes added up: sums return to zero."""
+    before = F.lag("value", 1).over(W.partitionBy("metric", "series").orderBy("at"))
     change = F.col("value").cast(EXACT) - F.coalesce(before, F.lit(0.0)).cast(EXACT)
-    return _running(levels.select(*keys, "at", change.alias("value")), keys, ["value"]).withColumn("series", F.lit(""))
-
-
-def _trailing(steps: DataFrame, keys: Sequence[str], sums: Mapping[str, Column], window: int) -> DataFrame:
-    """Sums over the trailing ``window``: what enters at a step leaves again ``window`` later."""
-    names = list(sums)
-    sign = F.explode(F.array(*[F.struct(F.lit(d).alias("d"), F.lit(s).alias("s")) for d, s in ((0, 1), (window, -1))]))
-    both = steps.select(*keys, "at", *[c.alias(n) for n, c in sums.items()]).withColumn("__e", sign)
-    moved = [(F.col(n) * F.col("__e.s")).alias(n) for n in names]
-    return _running(both.select(*keys, (F.col("at") + F.col("__e.d")).alias("at"), *moved), keys, names)
+    moved = levels.select("metric", "at", change.alias("value")).groupBy("metric", "at").agg(F.sum("value").alias("value"))
+    so_far = W.partitionBy("metric").orderBy("at").rowsBetween(W.unboundedPreceding, W.currentRow)
+    return moved.select("metric", F.lit("").alias("series"), "at", F.sum("value").over(so_far).cast("double").alias("value"))
 
 
 def _expression(rule: Rule) -> tuple:
@@ -156,42 +142,64 @@ def _expression(rule: Rule) -> tuple:
     if rule.signal in ("gauge", "gauge_sum"):
         return (rule.signal,)
     if rule.signal == "rate":
-        return (rule.signal, rule.window, rule.per_series)
+        return (rule.signal, rule.metric, rule.window, rule.per_series)
     return (rule.signal, rule.metric, rule.base_metric, rule.outcome, rule.window, rule.quantile, rule.per_series)
 
 
-def signal(steps: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """Points ``(metric, series, at, value)`` of rules that share an expression, from :func:`cells`."""
-    rule = rules[0]
-    wanted = steps.where(F.col("metric").isin(*{m for r in rules for m in (r.metric, r.base_metric) if m}))
-    if rule.signal == "gauge":
-        return _levels(wanted, ["metric", "series"])
-    if rule.signal == "gauge_sum":
-        return _total_level(_levels(wanted, ["metric", "series"]), ["metric"])
+def _trailing(steps: DataFrame, rules: Mapping[int, Rule]) -> DataFrame:
+    """Points ``(expression, series, at, value)`` of rates, ratios and quantiles over a trailing window, for all of them at once.
 
-    if not rule.per_series:
-        wanted = wanted.withColumn("series", F.lit(""))
-    keys = ["metric", "series"] if rule.signal == "rate" else ["series"]
-    amount, none = F.col("amount"), F.lit(0).cast(EXACT)
-    if rule.signal == "rate":
-        moved = _trailing(wanted, keys, {"total": amount}, rule.window)
-        return moved.select(*keys, "at", (F.col("total").cast("double") / F.lit(float(rule.window))).alias("value"))
-    if rule.signal == "ratio":
-        part = F.col("metric") == rule.metric
-        if rule.outcome is not None:
-            part = part & (F.col("outcome") == rule.outcome)
-        base = F.col("metric") == (rule.base_metric or rule.metric)
-        sums = {"part": F.when(part, amount).otherwise(none), "total": F.when(base, amount).otherwise(none)}
-        moved = _trailing(wanted, keys, sums, rule.window)
-        value = F.try_divide(F.col("part").cast("double"), F.col("total").cast("double"))
-    elif rule.signal == "quantile":
-        bounds = metrics.STAGE_LATENCY_BOUNDS
-        buckets = metrics.bucket_columns(bounds)
-        moved = _trailing(wanted, keys, {c: F.col(c) for c in [*buckets, "total"]}, rule.window)
-        value = metrics.histogram_quantile(rule.quantile, bounds, [F.col(c) for c in buckets], F.col("total"))
-    else:
-        raise ValueError(f"unknown signal: {rule.signal}")
-    return moved.select(F.lit(rule.metric).alias("metric"), "series", "at", value.alias("value"))
+    A cell goes to every expression its metric takes part in: it enters at its step and leaves again a
+    window later. Then all expressions share one sum per step and one running sum.
+    """
+    uses: dict[str, list[Column]] = {}
+    for number, rule in rules.items():
+        for metric in {rule.metric, rule.base_metric or rule.metric}:
+            for shift, sign in ((0, 1), (rule.window, -1)):
+                entry = F.struct(
+                    F.lit(number).alias("expression"),
+                    F.lit(rule.per_series).alias("per_series"),
+                    F.lit(metric == rule.metric).alias("part"),
+                    F.lit(metric == (rule.base_metric or rule.metric)).alias("base"),
+                    F.lit(rule.outcome).cast("string").alias("outcome"),
+                    F.lit(rule.signal == "quantile").alias("timed"),
+                    F.lit(shift).cast("bigint").alias("shift"),
+                    F.lit(sign).alias("sign"),
+                )
+                uses.setdefault(metric, []).append(entry)
+    table = F.create_map(*[c for metric, entries in uses.items() for c in (F.lit(metric), F.array(*entries))])
+    rows = steps.where(F.col("metric").isin(*uses)).withColumn("e", F.explode(F.try_element_at(table, F.col("metric"))))
+    bounds = metrics.STAGE_LATENCY_BOUNDS
+    buckets = [*metrics.bucket_columns(bounds), "total"]
+    matches = F.col("e.outcome").isNull() | F.coalesce(F.col("outcome") == F.col("e.outcome"), F.lit(False))
+    signed = (F.col("amount") * F.col("e.sign").cast("decimal(1,0)")).cast(EXACT)
+    sums = {
+        "__part": F.when(F.col("e.part") & matches, signed),
+        "__base": F.when(F.col("e.base"), signed),
+        **{c: F.when(F.col("e.timed"), F.col(c) * F.col("e.sign")) for c in buckets},
+    }
+    keys = ["expression", "series"]
+    moved = rows.select(
+        F.col("e.expression").alias("expression"),
+        F.when(F.col("e.per_series"), F.col("series")).otherwise(F.lit("")).alias("series"),
+        (F.col("at") + F.col("e.shift")).alias("at"),
+        *[c.alias(n) for n, c in sums.items()],
+    )
+    moved = moved.groupBy(*keys, "at").agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in sums])
+    so_far = W.partitionBy(*keys).orderBy("at").rowsBetween(W.unboundedPreceding, W.currentRow)
+    moved = moved.select(*keys, "at", *[F.sum(n).over(so_far).alias(n) for n in sums])
+    value = F.lit(None).cast("double")
+    for number, rule in rules.items():
+        if rule.signal == "rate":
+            found = F.col("__base").cast("double") / F.lit(float(rule.window))
+        elif rule.signal == "ratio":
+            found = F.try_divide(F.col("__part").cast("double"), F.col("__base").cast("double"))
+        elif rule.signal == "quantile":
+            found = metrics.histogram_quantile(rule.quantile, bounds, [F.col(c) for c in buckets[:-1]], F.col("total"))
+        else:
+            raise ValueError(f"unknown signal: {rule.signal}")
+        value = F.when(F.col("expression") == number, found).otherwise(value)
+    return moved.select(*keys, "at", value.alias("value"))
 
 
 def _rule_rows(rules: Sequence[Rule]) -> Column:
@@ -242,28 +250,51 @@ def evaluate(
     The samples are read once; their :func:`cells` are stored and every rule goes on from there. A
     gauge keeps its level until its next sample, or for ``lookback`` seconds at most.
     """
-    groups: dict[tuple, list[Rule]] = {}
-    for rule in rules:
-        groups.setdefault(_expression(rule), []).append(rule)
     path = scratch_path(samples.sparkSession, "alert-cells")
     made = cells(samples, rules, step)
     made.write.parquet(path)
     steps = samples.sparkSession.read.schema(made.schema).parquet(path)
+    columns = ["rule", "series", "at", "value"]
     parts = []
-    for group in groups.values():
-        points = signal(steps, group)
-        following = F.lead("at").over(W.partitionBy("metric", "series").orderBy("at"))
-        if lookback is not None and group[0].signal == "gauge":
+
+    def ruled(points: DataFrame, groups: Mapping[object, Sequence[Rule]], name: str) -> DataFrame:
+        """A row per point and rule, by what column ``name`` says."""
+        table = F.create_map(*[c for key, own in groups.items() for c in (F.lit(key), _rule_rows(own))])
+        return points.withColumn("rule", F.explode(F.try_element_at(table, F.col(name)))).select(*columns)
+
+    def by_metric(signal: str) -> dict[str, list[Rule]]:
+        found: dict[str, list[Rule]] = {}
+        for rule in rules:
+            if rule.signal == signal:
+                found.setdefault(rule.metric, []).append(rule)
+        return found
+
+    gauges, totals = by_metric("gauge"), by_metric("gauge_sum")
+    if gauges:
+        points = _levels(steps, set(gauges))
+        if lookback is not None:
+            following = F.lead("at").over(W.partitionBy("metric", "series").orderBy("at"))
             stale = points.withColumn("__next", following).where(F.col("__next").isNull() | (F.col("__next") > F.col("at") + lookback))
             gone = stale.select("metric", "series", (F.col("at") + lookback).alias("at"), F.lit(None).cast("double").alias("value"))
             points = points.unionByName(gone)
-        points = points.withColumn("__last", F.coalesce(following - step, F.col("at")))
-        own = F.filter(_rule_rows(group), lambda r: r.getField("metric") == F.col("metric"))
-        rows = points.select("series", "at", "value", "__last", F.explode(own).alias("rule"))
-        rows = rows.select("series", "at", "value", "__last", "rule.*")
-        value, limit = F.col("value").cast("double") / F.col("scale"), F.col("threshold")
-        test = F.when(F.col("op") == ">", value > limit).when(F.col("op") == "<", value < limit).otherwise(value == limit)
-        keys = ["alert", "severity", "hold", "series"]
-        parts.append(episodes(rows, keys, "at", test, F.col("hold"), F.col("__last")))
-    found = reduce(DataFrame.unionByName, parts)
+        parts.append(ruled(points, gauges, "metric"))
+    if totals:
+        parts.append(ruled(_total_level(_levels(steps, set(totals))), totals, "metric"))
+    expressions: dict[tuple, list[Rule]] = {}
+    for rule in rules:
+        if rule.signal not in ("gauge", "gauge_sum"):
+            expressions.setdefault(_expression(rule), []).append(rule)
+    if expressions:
+        numbered = dict(enumerate(expressions.values()))
+        points = _trailing(steps, {i: own[0] for i, own in numbered.items()})
+        parts.append(ruled(points, numbered, "expression"))
+
+    rows = reduce(DataFrame.unionByName, parts).select("series", "at", "value", "rule.*")
+    value, limit = F.col("value").cast("double") / F.col("scale"), F.col("threshold")
+    test = F.when(F.col("op") == ">", value > limit).when(F.col("op") == "<", value < limit).otherwise(value == limit)
+    keys = ["alert", "severity", "hold", "series"]
+    # A point stands for the steps up to the next one of its rule and series.
+    following = F.lead("at").over(W.partitionBy(*keys).orderBy("at"))
+    rows = rows.withColumn("__last", F.coalesce(following - step, F.col("at")))
+    found = episodes(rows, keys, "at", test, F.col("hold"), F.col("__last"))
     return found.select("alert", "severity", "series", "since", "until", (F.col("since") + F.col("hold")).alias("fires_at"))

@@ -11,7 +11,7 @@ from driftline.functions.jsondocs import json_array_has
 from driftline.functions.values import to_number
 from driftline.operators import deadletters, dedup, metrics, ordered, progress, softdelete
 from driftline.operators import OP
-from driftline.workload.base import DELIVERIES, LOG, SEGMENT, SPAN, Tables, query
+from driftline.workload.base import DELIVERIES, LOG, SEGMENT, Tables, query
 from driftline.workload.projections import GONE
 from driftline.workload.scans import LETTERS, letters
 
@@ -356,7 +356,7 @@ def attempts(t: Tables) -> DataFrame:
         (F.col("ts") - F.make_dt_interval(mins=F.get_json_object("props", "$.k").cast("int"))).alias("first_error"),
         F.col("ts").alias("last_error"),
     )
-    runs = ordered.streaks(rows, ["task_id"], ["event_id"], ordered.log_chunk(F.col("event_id"), SEGMENT), F.col("error").isNull(), SPAN)
+    runs = ordered.streaks(rows, ["task_id"], ["event_id"], ordered.log_chunk(F.col("event_id"), SEGMENT), F.col("error").isNull())
     return deadletters.with_error_class(runs)
 
 

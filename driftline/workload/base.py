@@ -13,9 +13,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-# Positions per chunk and per group of chunks in the queries over ordered rows: small, so that the
-# test tables fill many of both.
-SEGMENT, SPAN = 64, 1024
+# Positions per chunk in the queries over ordered rows: small, so that the test tables fill many.
+SEGMENT = 64
 
 
 class Tables:

@@ -74,7 +74,7 @@ def asof_latest_label(t: Tables) -> DataFrame:
     questions = t.conversations.where("role = 'user'").select(
         "conv_id", "turn", F.col("turn").alias("asked_at"), F.md5("text").alias("question")
     )
-    return asof_join(answers, questions, "conv_id", "turn", ["asked_at", "question"], segment=2, span=4)
+    return asof_join(answers, questions, "conv_id", "turn", ["asked_at", "question"], segment=2)
 
 
 @query(

@@ -14,7 +14,7 @@ from driftline.session import scratch_path
 from driftline.sources import changelog, documents, tables
 from driftline.sources.deadletter_table import DeadLetterTable
 from driftline.sources.keyed_table import KeyedTable
-from driftline.workload.base import DELIVERIES, LOG, SNAPSHOT, SEGMENT, SPAN, Tables, query
+from driftline.workload.base import DELIVERIES, LOG, SNAPSHOT, SEGMENT, Tables, query
 
 
 @query(
@@ -331,7 +331,7 @@ def relation_decode_plan(t: Tables) -> DataFrame:
     changes = t.log.where("op <> 'create'").select(
         F.col("k").alias("relation_id"), F.col("event_id").alias("lsn_num"), tuple_text.alias("tuple")
     )
-    joined = asof.asof_join(changes, versions, "relation_id", "lsn_num", ["version", "columns"], SEGMENT, SPAN)
+    joined = asof.asof_join(changes, versions, "relation_id", "lsn_num", ["version", "columns"], SEGMENT)
     named = asof.name_values(F.col("columns"), F.col("tuple"))
     typed = asof.decode_named(F.col("named"), RELATION)
     return joined.withColumn("named", named).select(

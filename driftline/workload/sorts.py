@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from driftline.functions.positions import lsn_number, lsn_text
 from driftline.operators import deadletters, ordered, topk
-from driftline.workload.base import SEGMENT, SPAN, Tables, query
+from driftline.workload.base import SEGMENT, Tables, query
 from driftline.workload.scans import LETTERS, letters
 
 
@@ -56,7 +56,7 @@ def sample(t: Tables) -> DataFrame:
 )
 def batch_cut(t: Tables) -> DataFrame:
     rows = t.events.select("event_type", "event_id")
-    return ordered.batch_numbers(rows, ["event_type"], ["event_id"], ordered.log_chunk(F.col("event_id"), SEGMENT), 50, span=SPAN)
+    return ordered.batch_numbers(rows, ["event_type"], ["event_id"], ordered.log_chunk(F.col("event_id"), SEGMENT), 50)
 
 
 @query(
@@ -66,7 +66,7 @@ def batch_cut(t: Tables) -> DataFrame:
 )
 def batches(t: Tables) -> DataFrame:
     rows = ordered.batch_numbers(
-        t.events.select("event_type", "event_id"), ["event_type"], ["event_id"], ordered.log_chunk(F.col("event_id"), SEGMENT), 50, span=SPAN
+        t.events.select("event_type", "event_id"), ["event_type"], ["event_id"], ordered.log_chunk(F.col("event_id"), SEGMENT), 50
     )
     return rows.groupBy("event_type", "batch_id").agg(
         F.count(F.lit(1)).alias("rows"), F.min("event_id").alias("first_lsn"), F.max("event_id").alias("last_lsn")

@@ -9,7 +9,7 @@ from driftline.operators import dedup, merge, metrics, ordered, progress, topk
 from driftline.plans import alerts
 from driftline.session import scratch_path
 from driftline.workload.alert_sql import rules_sql
-from driftline.workload.base import DELIVERIES, LOG, SEGMENT, SPAN, Tables, query
+from driftline.workload.base import DELIVERIES, LOG, SEGMENT, Tables, query
 from driftline.workload.scans import LETTERS, TIED, letters, tied_rows
 
 
@@ -96,7 +96,7 @@ def moving_average(t: Tables) -> DataFrame:
 def streaks(t: Tables) -> DataFrame:
     rows = t.events.select("user_id", "event_id", "value")
     chunk = ordered.log_chunk(F.col("event_id"), SEGMENT)
-    return ordered.streaks(rows, ["user_id"], ["event_id"], chunk, F.col("value") < 20, SPAN).drop("value")
+    return ordered.streaks(rows, ["user_id"], ["event_id"], chunk, F.col("value") < 20).drop("value")
 
 
 @query(
@@ -116,9 +116,7 @@ def condition_held(t: Tables) -> DataFrame:
 
 def metric_samples(t: Tables) -> DataFrame:
     """Samples for all alert rules, derived from the events of each type and stored by metric."""
-    k = F.get_json_object("props", "$.k").cast("double")
-    value = F.col("value")
-    one = F.lit(1.0)
+    k, value, one = F.col("k"), F.col("value"), F.lit(1.0)
     samples = {
         "cdc_lag_seconds": value * 3,
         "checkpoint_lag_seconds": value * 4,
@@ -137,7 +135,9 @@ def metric_samples(t: Tables) -> DataFrame:
     }
     items = F.array(*[F.struct(F.lit(n).alias("metric"), v.alias("value")) for n, v in samples.items()])
     outcome = F.when(F.col("event_type") == "error", "failed").otherwise("success")
-    rows = t.events.select(
+    # The number is read once per event, and dealt out before the samples are made and sorted by metric.
+    events = t.events.select("event_id", "event_type", "ts", "value", F.get_json_object("props", "$.k").cast("double").alias("k"))
+    rows = events.repartition("event_id").select(
         F.explode(items).alias("s"), F.col("event_type").alias("series"), outcome.alias("outcome"), "ts"
     )
     rows = rows.where("s.value IS NOT NULL").select("s.metric", "series", "outcome", "ts", "s.value")
@@ -211,7 +211,7 @@ def order_check(t: Tables) -> DataFrame:
     late = F.when(F.col("event_id") % 50 == 0, 400).otherwise(0)
     rows = t.events.select("event_type", "event_id", (F.col("event_id") + late).alias("lsn_num"))
     chunk = ordered.log_chunk(F.col("event_id"), SEGMENT)
-    return ordered.order_violations(rows, ["event_type"], ["event_id"], chunk, "lsn_num", SPAN)
+    return ordered.order_violations(rows, ["event_type"], ["event_id"], chunk, "lsn_num")
 
 
 @query(
@@ -224,7 +224,7 @@ def turn_order(t: Tables) -> DataFrame:
     """Gaps in the turns of conversations that lost every fifth message."""
     rows = t.conversations.where("(conv_id * 7 + turn) % 5 <> 0").select("conv_id", "turn")
     found = ordered.running(
-        rows, ["conv_id"], ["turn"], ordered.log_chunk(F.col("turn"), 2), {"previous": ("prev", F.col("turn"))}, span=4
+        rows, ["conv_id"], ["turn"], ordered.log_chunk(F.col("turn"), 2), {"previous": ("prev", F.col("turn"))}
     )
     return found.where("turn <= previous OR turn - previous > 1")
 
@@ -235,7 +235,7 @@ def turn_order(t: Tables) -> DataFrame:
 )
 def rows_numbered(t: Tables) -> DataFrame:
     rows = t.events.select("event_type", "event_id")
-    return ordered.numbered(rows, ["event_type"], ["event_id"], ordered.log_chunk(F.col("event_id"), SEGMENT), span=SPAN)
+    return ordered.numbered(rows, ["event_type"], ["event_id"], ordered.log_chunk(F.col("event_id"), SEGMENT))
 
 
 @query(
