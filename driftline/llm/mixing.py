@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from driftline.llm.common import WORD, running_before, seeded_order, stored, word_count
+from driftline.llm.common import running_before, seeded_order, stored, word_count
 
 # Rows of a partition are numbered in the low bits of this function's values.
 _PART_BITS = 33
@@ -110,27 +110,14 @@ def mix(
     )
 
 
-def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", length: str = "n_chars", **options) -> DataFrame:
-    """The mix itself, with the columns of ``docs``: every row as often as ``mix`` takes it.
+def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The mix itself, with the columns of ``docs``: every row, whole, as often as ``mix`` takes it.
 
-    A row taken in part is its leading words, joined by single spaces, and ``length`` (where
-    ``docs`` has that column) counts their code points. Rows the mix does not take are gone;
-    repetitions carry the same key.
+    The one row per source that ``mix`` takes in part is taken whole or not at all, whichever leaves
+    the source nearer its target (whole if both are as near), so texts are never cut. Rows the mix does not
+    take are gone; repetitions carry the same key.
     """
     marked = mix(docs, key, text, whole_rows=True, **options).where("taken > 0")
-    body = F.col("row").getField(text)
-    copies = F.floor(F.col("taken") / F.col("size")).cast("int")
-    rest = (F.col("taken") - copies * F.col("size")).cast("int")
-    words = F.regexp_extract_all(body, F.lit(WORD), F.lit(0))
-    partly = F.when(rest > 0, F.array(F.array_join(F.slice(words, F.lit(1), F.greatest(rest, F.lit(1))), " ")))
-    texts = F.concat(F.array_repeat(F.lit(None).cast("string"), copies), F.coalesce(partly, F.array().cast("array<string>")))
-    each = marked.select("row", F.explode(texts).alias("__part"))
-    columns = []
-    for c in docs.columns:
-        value = F.col("row").getField(c)
-        if c == text:
-            value = F.coalesce("__part", value)
-        elif c == length:
-            value = F.coalesce(F.char_length("__part").cast(docs.schema[c].dataType), value)
-        columns.append(value.alias(c))
-    return each.select(*columns)
+    copies = F.expr("(2 * taken + size) div (2 * size)").cast("int")
+    each = marked.select("row", F.explode(F.array_repeat(F.lit(0), copies)))
+    return each.select("row.*")

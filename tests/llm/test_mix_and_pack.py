@@ -1,5 +1,5 @@
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
@@ -72,19 +72,27 @@ def test_mix(spark, odd_docs, rows):
 
 
 def test_mixed_rows(odd_docs):
-    taken = defaultdict(int)
-    for r in mixing.mix(odd_docs).collect():
-        taken[r["doc_id"]] += r["taken"]
+    """Every row whole, as often as it is taken; the row taken in part goes to the nearer side."""
+    want = Counter()
+    for r in mixing.mix(odd_docs).where("taken > 0").collect():
+        want[r["doc_id"]] += (2 * r["taken"] + r["size"]) // (2 * r["size"])
     out = mixing.mixed(odd_docs)
     assert out.columns == odd_docs.columns and dict(out.dtypes) == dict(odd_docs.dtypes)
-    got = defaultdict(int)
-    whole = {(r["doc_id"], r["text"]) for r in odd_docs.collect()}
-    for r in out.collect():
-        got[r["doc_id"]] += words(r["text"])
-        if (r["doc_id"], r["text"]) not in whole:  # a part
-            assert r["n_chars"] == len(r["text"])
-            assert any(k == r["doc_id"] and " ".join(t.split()).startswith(r["text"]) for k, t in whole if t)
-    assert {k: v for k, v in taken.items() if v} == dict(got)
+    rows = out.collect()
+    assert {tuple(r) for r in rows} <= {tuple(r) for r in odd_docs.collect()}
+    assert Counter(r["doc_id"] for r in rows) == +want
+
+
+def test_sources_of_the_mix_come_near_their_targets(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    sizes = {r["doc_id"]: r for r in mixing.mix(docs).collect()}
+    taken, target, widest = defaultdict(int), {}, defaultdict(int)
+    for r in docs.collect():
+        s = sizes[r["doc_id"]]
+        target[r["source"]], widest[r["source"]] = s["target"], max(widest[r["source"]], s["size"])
+    for r in mixing.mixed(docs).collect():
+        taken[r["source"]] += words(r["text"])
+    assert all(abs(taken[s] - target[s]) <= widest[s] / 2 + 0.5 for s in target)
 
 
 def test_mix_of_nothing(no_docs):

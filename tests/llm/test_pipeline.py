@@ -41,7 +41,10 @@ def test_stages_against_brute_force(spark, data):
         taken[r["source"]] += words(r["text"])
     names = sorted(size)
     target = fill(dict(size), {s: (3, 1, 2)[i % 3] for i, s in enumerate(names)}, 1.5, 2.0)
-    assert all(abs(taken[s] - target[s]) <= 0.5 for s in names)
+    # Texts are never cut: the last document of a source is in or out, whichever is nearer.
+    widest = {s: max(words(r["text"]) for r in near if r["source"] == s) for s in names}
+    assert all(abs(taken[s] - target[s]) <= widest[s] / 2 + 0.5 for s in names)
+    assert {tuple(r) for r in mix} <= {tuple(r) for r in near}
 
     assert sum(r["n_words"] for r in packed) == sum(taken.values())
     got = Counter(r["doc_id"] for r in packed if r["piece"] == 0)
@@ -69,5 +72,5 @@ def test_entry_registers_all():
     import __spark_entry__ as entry
 
     names = set(entry.queries())
-    assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
+    assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 14))
     assert set(entry.oracle_sql()) <= names
