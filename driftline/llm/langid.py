@@ -17,6 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from driftline.llm.common import remainder
@@ -26,6 +27,8 @@ from driftline.llm.textbatch import Block, blocks
 # grows with the number of languages. A row sends at most four bytes per bucket to the driver.
 SAMPLE = 3200
 EACH = 16
+# Languages a model may have: each is a column of the score table that goes to every task.
+LANGUAGES = 1000
 BUCKETS = 1 << 15
 WIDTH = 16
 FOLDS, HELD_OUT = 4, 2
@@ -141,21 +144,28 @@ def fit(texts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, language
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Model | None:
     """A model from rows with text and language outside the held-out fold (crc32 of the key mod 4 is not 2).
 
-    About ``sample`` seeded rows are used, as many of each language where it has them, whole texts;
-    rows with a null key, text or language are not. Every language is learned, from ``EACH`` rows at
-    least where it has them, so many languages raise the number of rows. None if no row qualifies.
+    Of each language the ``sample`` / languages rows (``EACH`` at least) with the smallest seeded hashes of key and
+    text are used, whole texts, so every language is learned and reruns agree; rows equal in both count
+    once, and rows with a null key, text or language are not used. More than ``LANGUAGES`` languages
+    are a ``ValueError``: such a column holds something else. None if no row qualifies.
     """
-    rows = docs.select(F.col(f"`{key}`").alias("__id"), F.col(f"`{text}`").alias("__t"), F.col(f"`{lang}`").alias("__y")).where(
-        (remainder(F.col("__id"), FOLDS) != HELD_OUT) & F.col("__t").isNotNull() & F.col("__y").isNotNull()
-    )
-    counts = rows.groupBy("__y").count().collect()
-    if not counts:
+    key_of, body = F.col(f"`{key}`"), F.col(f"`{text}`")
+    rows = docs.select(
+        key_of.alias("__id"), body.alias("__t"), F.col(f"`{lang}`").alias("__y"), F.xxhash64(F.lit(SEED), key_of.cast("string"), body).alias("__h")
+    ).where((remainder(F.col("__id"), FOLDS) != HELD_OUT) & F.col("__t").isNotNull() & F.col("__y").isNotNull())
+    number = rows.select("__y").distinct().limit(LANGUAGES + 1).count()
+    if number > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} values of {lang}")
+    if not number:
         return None
-    each = max(EACH, sample // len(counts))
-    chance = [(r["__y"], int((1 << 20) * min(1.0, each / r["count"])) + 1) for r in counts]
-    rates = docs.sparkSession.createDataFrame(chance, "__y string, __rate int")
-    rows = rows.join(F.broadcast(rates), "__y").where(F.pmod(F.xxhash64(F.lit(SEED), "__id"), F.lit(1 << 20)) < F.col("__rate"))
-    rows = rows.select("__id", "__t", "__y")
+    each = max(EACH, sample // number)
+    # The hash at which each language's sample ends: hashes only, and each task keeps its smallest.
+    hashes = rows.select("__y", "__h").distinct()
+    smallest = hashes.withColumn("__n", F.row_number().over(W.partitionBy("__y").orderBy("__h"))).where(F.col("__n") <= each)
+    ends = smallest.groupBy("__y").agg(F.max("__h").alias("__end")).collect()
+    ends = docs.sparkSession.createDataFrame([tuple(r) for r in ends], "__y string, __end bigint")
+    rows = rows.withColumn("__y", F.col("__y").cast("string")).join(F.broadcast(ends), "__y").where(F.col("__h") <= F.col("__end"))
+    rows = rows.dropDuplicates(["__y", "__h"]).select("__id", "__t", "__y")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -171,7 +181,7 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
                 {"id": batch["__id"].astype(str), "lang": batch["__y"], "b": [x for x, _ in found], "n": [x for _, x in found]}
             )
 
-    got = rows.mapInPandas(run, "id string, lang string, b binary, n binary").limit(2 * max(sample, each * len(chance)) + len(chance)).collect()
+    got = rows.mapInPandas(run, "id string, lang string, b binary, n binary").collect()
     got = sorted((r["id"], r["lang"], bytes(r["b"]), bytes(r["n"])) for r in got)
     languages = sorted({r[1] for r in got})
     at = {name: i for i, name in enumerate(languages)}

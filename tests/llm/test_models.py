@@ -80,6 +80,28 @@ def test_held_out_language(spark):
     assert out.score.between(0, 1).all() and out.confident.mean() > 0.9
 
 
+def test_a_language_of_one_repeated_id_is_learned(spark):
+    """5,000 rows of one id beside 60 of others; the equal ones count once, the others by their texts."""
+    rows = [(4, f"le petit chat numero {i} mange une souris", "fr") for i in range(300)] + [(4, "la meme phrase", "fr")] * 4700
+    rows += [(i, f"the little dog number {i} eats a bone", "en") for i in range(60)]
+    for shift in (1, 3, 4, 5):
+        docs = spark.createDataFrame([(shift if k == 4 else k, t, y) for k, t, y in rows], "doc_id bigint, text string, lang string")
+        if docs.where(langid.remainder(F.col("doc_id"), 4) != 2).where("lang = 'fr'").isEmpty():
+            continue
+        model = langid.train(docs)
+        assert model.languages == ["en", "fr"]
+        again = langid.train(docs.repartition(7))
+        assert np.array_equal(model.table, again.table)
+
+
+def test_too_many_languages_end_early(spark, monkeypatch):
+    monkeypatch.setattr(langid, "LANGUAGES", 3)
+    docs = spark.createDataFrame([(i, "some text", f"x{i}") for i in range(40)], "doc_id bigint, text string, lang string")
+    with pytest.raises(ValueError, match="more than 3 values"):
+        langid.train(docs)
+
+
+
 def test_language_of_odd_rows(spark, odd_docs, no_docs):
     model = langid.train(odd_docs)
     out = {(r["doc_id"], r["lang_pred"], r["score"] == 0) for r in langid.classified(odd_docs, model).collect()}
