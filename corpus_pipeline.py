@@ -33,7 +33,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated, cut or left out as their source's target asks."""
+    """Documents repeated or left out, each whole, as their source's target asks."""
     return mixing.mixed(docs)
 
 
