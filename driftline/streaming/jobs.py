@@ -15,6 +15,7 @@ from driftline.config import SyncTask
 from driftline.operators import ERRORS, LSN, OP, SCHEMA, TABLE, deadletters
 from driftline.operators.dedup import stream_first_seen
 from driftline.operators.merge import latest_per_key
+from driftline.operators.ordered import LOG_SEGMENT, batch_numbers, log_chunk, numbered
 from driftline.plans.sync import Outcome, run_task
 from driftline.sources.deadletter_table import DeadLetterTable
 from driftline.sources.keyed_table import KeyedTable
@@ -321,6 +322,80 @@ def full_copy(table: DataFrame, task: SyncTask, target: KeyedTable, clock: Colum
     target.write_base(run_task(table, task, full_sync=True, clock=clock).accepted, 0)
 
 
+# --- a copy beside the running log ----------------------------------------------------------
+
+
+def copy_beside(
+    read: Callable[[Column], DataFrame],
+    ranges: Sequence[Column],
+    task: SyncTask,
+    target: KeyedTable,
+    position: Callable[[], int],
+    writer: str = "copy",
+    start: int = 0,
+) -> None:
+    """Copy a table range by range while streams apply its log to ``target``.
+
+    ``ranges`` are conditions that together hold every key once. Before a range is read, ``position`` tells how
+    far the log goes; the range, read some time after, is stored at that position. What the log
+    says about its keys behind that position wins, whether a stream applies it before or after, and
+    what it said earlier is in the range already. A range that is copied again replaces itself, so
+    a copy that broke off goes on with ``start``. While it runs, ``target`` must not be compacted (streams with
+    ``compact_every=None``): a base does not know of keys that were deleted behind the position of a range.
+    """
+    for number, condition in enumerate(ranges):
+        if number < start:
+            continue
+        low = position()
+        rows = run_task(read(condition), task, full_sync=True).accepted
+        target.write_batch(rows.withColumns({OP: F.lit("create"), LSN: F.lit(low).cast("bigint")}), number + 1, writer)
+
+
+def key_ranges(table: DataFrame, key: str, number: int) -> list[Column]:
+    """Conditions that cut a table into about ``number`` ranges of one key of like size; null keys are in the first."""
+    shares = [i / number for i in range(1, number)]
+    found = table.agg(F.percentile_approx(key, F.array(*map(F.lit, shares)), 10_000).alias("cuts")).first()["cuts"] if shares else []
+    cuts = sorted(set(found or []))
+    column = F.col(f"`{key}`")
+    if not cuts:
+        return [F.lit(True)]
+    between = [(column >= F.lit(a)) & (column < F.lit(b)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    return [(column < F.lit(cuts[0])) | column.isNull(), *between, column >= F.lit(cuts[-1])]
+
+
+# --- batches of rows ------------------------------------------------------------------------
+
+# Fixed value: rows of a batch by default.
+BATCH_ROWS = 1000
+
+
+def row_batches(
+    stream: DataFrame, order: str, path: str, checkpoint: str, size: int = BATCH_ROWS, segment: int = LOG_SEGMENT, once: bool = True, **trigger: str
+) -> StreamingQuery:
+    """Store a stream cut into batches of at most ``size`` rows in log order: a batch ends when it is full, or with its micro-batch.
+
+    The trigger's interval bounds how long rows wait. Rows go below ``path``, one folder per micro-batch, with
+    ``__piece``, the number of the batch in it; a micro-batch that is run again replaces its folder.
+    """
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.withColumn("__all", F.lit(True))
+        rows = batch_numbers(rows, ["__all"], [order], log_chunk(F.col(order), segment), size, "__piece").drop("__all")
+        rows.write.mode("overwrite").parquet(f"{path}/__micro={batch_id}")
+
+    return each_batch(stream, handle, checkpoint, once, **trigger)
+
+
+def batch_list(spark: SparkSession, path: str, order: str) -> DataFrame:
+    """The batches below ``path``: number from 0, rows, first and last position."""
+    pieces = spark.read.parquet(path).groupBy("__micro", "__piece").agg(
+        F.count(F.lit(1)).alias("rows"), F.min(order).alias("first_position"), F.max(order).alias("last_position")
+    )
+    pieces = pieces.withColumns({"__all": F.lit(True), "__micro": F.col("__micro").cast("bigint")})
+    listed = numbered(pieces, ["__all"], ["__micro", "__piece"], F.col("__micro"), "__rn")
+    return listed.select((F.col("__rn") - 1).alias("batch_number"), "rows", "first_position", "last_position")
+
+
 # --- streaks --------------------------------------------------------------------------------
 
 

@@ -8,14 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftline.config import Condition, Convert, EventFilter, SoftDelete, SyncTask, Transforms
-from driftline.operators import LSN, OP, dedup
+from driftline.operators import LSN, OP, dedup, merge
 from driftline.session import scratch_path
 from driftline.sources import changelog
 from driftline.sources.bucketed_table import BucketedTable
 from driftline.sources.deadletter_table import DeadLetterTable
 from driftline.sources.keyed_table import KeyedTable
 from driftline.streaming import jobs, windows
-from driftline.workload.base import LOG, SNAPSHOT, Tables, op_of_event, query
+from driftline.workload.base import LOG, SEGMENT, SNAPSHOT, Tables, op_of_event, query
 from driftline.workload.scans import document_lines
 
 
@@ -509,6 +509,47 @@ def backfill_handover(t: Tables) -> DataFrame:
     return target.current()
 
 
+@query("i08_copy_beside_log", MERGED)
+def copy_beside_log(t: Tables) -> DataFrame:
+    """The log is applied from its start while the table is copied in ranges of keys, two after each part that has landed.
+
+    A range is read forty changes after the position it is stored at: these are in the range and come in the log as well.
+    """
+    task = SyncTask("items", "public.items", "items", ("k",))
+    ranges = jobs.key_ranges(t.snapshot, "k", 8)
+    changes = t.log.select("k", "value", "props", F.col("op").alias(OP), F.col("event_id").alias(LSN))
+    last = t.events.agg(F.max("event_id")).first()[0] or 0
+    turns = iter(enumerate([*[last * k // 4 - 1 for k in (1, 2, 3)], last]))
+
+    def run(stream: DataFrame, home: str) -> None:
+        target = KeyedTable(t.spark, f"{home}/items", ["k"], t.snapshot.schema)
+        rows = stream.select(op_of_event().alias(OP), F.col("event_id").alias(LSN), F.col("ts").alias("__ts"), F.col("user_id").alias("k"), "value", "props")
+        jobs.apply_changes(rows, task, target, f"{home}/checkpoint", compact_every=None).awaitTermination()
+        turn, landed = next(turns)
+        table = merge.fan_in(t.snapshot, changes.where(F.col(LSN) <= landed + 40), ["k"], [LSN])
+        jobs.copy_beside(table.where, ranges[: 2 * turn + 2], task, target, lambda: landed, start=2 * turn)
+
+    home = in_turn(t, "beside", quarters(t), run)
+    return KeyedTable(t.spark, f"{home}/items", ["k"], t.snapshot.schema).current()
+
+
+@query(
+    "i01_row_batches",
+    """WITH m AS (SELECT max(event_id) AS last FROM events),
+    q AS (SELECT event_id, CASE WHEN event_id >= last * 3 // 4 THEN 3 WHEN event_id >= last * 2 // 4 THEN 2 WHEN event_id >= last // 4 THEN 1 ELSE 0 END AS part FROM events, m),
+    b AS (SELECT part, event_id, (row_number() OVER (PARTITION BY part ORDER BY event_id) - 1) // 1000 AS piece FROM q)
+    SELECT row_number() OVER (ORDER BY part, piece) - 1 AS batch_number, count(*) AS rows, min(event_id) AS first_position, max(event_id) AS last_position
+    FROM b GROUP BY part, piece""",
+)
+def row_batches(t: Tables) -> DataFrame:
+    """The log in batches of 1000 rows at most; a batch also ends with what has landed when it is read."""
+
+    def run(stream: DataFrame, home: str) -> None:
+        jobs.row_batches(stream, "event_id", f"{home}/out", f"{home}/checkpoint", segment=SEGMENT).awaitTermination()
+
+    return jobs.batch_list(t.spark, f"{in_turn(t, 'rows', quarters(t), run)}/out", "event_id")
+
+
 def coded_stream(t: Tables) -> DataFrame:
     code = F.when(F.col("value") > 100, F.col("props")).otherwise(F.col("value").cast("string"))
     return change_stream(t).withColumn("code", code).drop("value", "props")

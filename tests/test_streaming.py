@@ -289,6 +289,52 @@ def test_conditions_that_hold(spark, folder, files):
     assert rows(table.current()) == rows(want) and want.count() > 2
 
 
+@pytest.mark.parametrize("number", [1, 4, 9])
+def test_copy_beside_a_running_log(spark, landing, folder, number):
+    """Ranges are read at moments between the batches of a stream, some changes after the position they are stored at."""
+    rng = random.Random(number)
+    log = spark.read.parquet(landing).where("code <> 'bad'").withColumn("code", F.col("code").cast("double"))
+    base = spark.createDataFrame([(k, "base", float(k)) for k in range(30)], ROW)
+    target = KeyedTable(spark, f"{folder}/t", ["k"], ROW)
+    task = replace(TASK, transform=Transforms())
+    ranges = jobs.key_ranges(base, "k", number)
+    assert len(ranges) == number and sum(base.where(r).count() for r in ranges) == 30
+    copied = 0
+    for batch in range(6):
+        part = log.where(F.col(LSN).between(batch * 100, batch * 100 + 99))
+        part.write.mode("append").parquet(f"{folder}/l")
+        source = jobs.read_log(spark, f"{folder}/l", log.schema)
+        jobs.apply_changes(source, task, target, f"{folder}/c", compact_every=None).awaitTermination()
+        more = number if batch == 5 else min(number, copied + rng.randrange(3))
+        low = batch * 100 + 99
+        seen = merge.fan_in(base, log.where(F.col(LSN) <= low + rng.randrange(90)).drop("__ts"), ["k"], [LSN])
+        # The last range of a round is copied twice: it replaces itself.
+        for start in (copied, max(copied, more - 1)):
+            jobs.copy_beside(seen.where, ranges[:more], task, target, lambda low=low: low, start=start)
+        copied = more
+    assert rows(target.current()) == rows(merge.fan_in(base, log.drop("__ts"), ["k"], [LSN]))
+    target.compact()
+    assert rows(target.current()) == rows(merge.fan_in(base, log.drop("__ts"), ["k"], [LSN]))
+
+
+def test_ranges_of_keys(spark):
+    keys = spark.createDataFrame([(None, 1)] + [(7, i) for i in range(50)] + [(i, 0) for i in range(20)], "k bigint, x bigint")
+    for number in (1, 2, 10):
+        ranges = jobs.key_ranges(keys, "k", number)
+        assert sum(keys.where(r).count() for r in ranges) == 71
+    assert len(jobs.key_ranges(keys.limit(0), "k", 5)) == 1
+
+
+def test_batches_of_rows(spark, landing, folder):
+    """Two files of 100 rows per micro-batch, cut after 70 rows; a micro-batch that runs again replaces its batches."""
+    source = jobs.read_log(spark, landing, spark.read.parquet(landing).schema, max_files=2)
+    for checkpoint in ("c", "again"):
+        jobs.row_batches(source, LSN, f"{folder}/o", f"{folder}/{checkpoint}", 70, 16).awaitTermination()
+        found = jobs.batch_list(spark, f"{folder}/o", LSN).orderBy("batch_number").collect()
+        assert [(r.batch_number, r.rows) for r in found] == list(enumerate([70, 70, 60] * 3))
+        assert [r.first_position for r in found][:4] == [0, 70, 140, 200] and found[-1].last_position == 599
+
+
 def test_latest_state(spark, landing, folder):
     latest = jobs.latest_state(stream(spark, landing), ["k"], LSN, ["v", OP])
     table = KeyedTable(spark, f"{folder}/s", ["k"], "k bigint, v string, changes bigint")
