@@ -23,7 +23,7 @@ CLASS_PATTERNS = {
     "permission": r"(?i)permission|forbidden|unauthori[sz]ed|access denied|\b40[13]\b",
     "not_found": r"(?i)not found|does not exist|\b404\b",
     "network": r"(?i)network|connection|unreachable|reset by peer|dns",
-    "data_validation": r"(?i)cannot convert|invalid|parse|validation|missing .*field|exceeds",
+    "data_validation": r"(?i)cannot convert|is no |no conversion|invalid|not valid|parse|validation|missing .*field|has no field|exceeds|more than \d+ bytes",
 }
 
 

@@ -74,14 +74,14 @@ def number_from_text(c: Column) -> Column:
 def to_number(c: Column, dtype: T.DataType) -> tuple[Column, Column]:
     """Number and error text (null when the conversion worked)."""
     if is_numeric(dtype):
-        return c, F.when(c.isNull(), F.lit("Cannot convert value to number"))
+        return c, F.when(c.isNull(), F.lit("This value is no number"))
     if isinstance(dtype, T.StringType):
         number = number_from_text(c)
-        error = F.when(c.isNull(), F.lit("Cannot convert value to number")).when(
-            number.isNull(), F.concat(F.lit("Cannot convert '"), c, F.lit("' to number"))
+        error = F.when(c.isNull(), F.lit("This value is no number")).when(
+            number.isNull(), F.concat(F.lit("'"), c, F.lit("' is no number"))
         )
         return number, error
-    return F.lit(None).cast("double"), F.lit("Cannot convert value to number")
+    return F.lit(None).cast("double"), F.lit("This value is no number")
 
 
 def to_boolean(c: Column, dtype: T.DataType) -> Column:

@@ -107,7 +107,7 @@ def _convert(name: str, dtype: T.DataType, to_type: str) -> tuple[Column, Column
         return to_boolean(c, dtype), None
     if to_type == "array":
         return to_array(c, dtype), None
-    return c, F.lit(f"Unknown type conversion: {to_type}")
+    return c, F.lit(f"No conversion to type {to_type}")
 
 
 def transform_fields(df: DataFrame, rules: Sequence[Any]) -> DataFrame:

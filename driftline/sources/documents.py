@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftline.functions.values import let
+
+
 def _braced(text: Column) -> Column:
     """The outermost ``{...}`` parts of a text, however deep their braces nest."""
     tokens = F.regexp_extract_all(text, F.lit(r"[{}]|[^{}]++"), F.lit(0))
@@ -30,11 +33,11 @@ def check_documents(df: DataFrame, raw: str, max_bytes: int) -> DataFrame:
     """``error`` per JSON text: too large, not JSON, or null for a good one; ``doc`` is a VARIANT."""
     text = F.col(raw)
     size = F.octet_length(text)
-    doc = F.when(size <= max_bytes, F.try_parse_json(text))
-    error = F.when(size > max_bytes, F.concat(F.lit("Document exceeds "), F.lit(str(max_bytes)), F.lit(" bytes"))).when(
-        F.try_parse_json(text).isNull(), F.lit("Failed to parse JSON")
+    rows = df.withColumn("doc", F.when(size <= max_bytes, F.try_parse_json(text)))
+    error = F.when(size > max_bytes, F.concat(F.lit("The document has more than "), F.lit(str(max_bytes)), F.lit(" bytes"))).when(
+        F.col("doc").isNull(), F.lit("The document is not valid JSON")
     )
-    return df.withColumns({"doc": doc, "error": error})
+    return rows.withColumn("error", error)
 
 
 def good_documents(checked: DataFrame) -> DataFrame:
@@ -61,16 +64,21 @@ def explode_array(df: DataFrame, raw: str) -> DataFrame:
 
 
 def skipped_items(raw: Column) -> Column:
-    """How many items of a JSON array :func:`explode_array` leaves out."""
+    """How many items of a JSON array :func:`explode_array` leaves out; null for a text that is no array.
+
+    Of an array that does not parse as a whole these are the closed objects that do not parse.
+    """
     whole = F.from_json(raw, "array<variant>", {"mode": "PERMISSIVE"})
-    return F.size(F.filter(F.transform(whole, lambda v: F.to_json(v)), lambda item: ~item.startswith("{")))
+    others = lambda items: F.size(F.filter(F.transform(items, lambda v: F.to_json(v)), lambda item: ~item.startswith("{")))
+    broken = F.size(F.filter(F.transform(_braced(raw), F.try_parse_json), F.isnull))
+    return F.when(F.ltrim(raw).startswith("["), let(whole, lambda w: F.when(w.isNull(), broken).otherwise(others(w))))
 
 
 def route_by_field(df: DataFrame, raw: str, field: str = "table") -> DataFrame:
     """Adds ``route`` (the text at ``field``) and ``error`` without parsing whole documents."""
     text = F.col(raw)
     route = F.get_json_object(text, f"$.{field}")
-    error = F.when(~F.ltrim(text).startswith("{"), F.lit("Invalid JSON object")).when(
-        route.isNull(), F.lit(f"Missing {field} field")
+    error = F.when(~F.ltrim(text).startswith("{"), F.lit("The text is no JSON object")).when(
+        route.isNull(), F.lit(f"The object has no field {field}")
     )
     return df.withColumns({"route": F.when(error.isNull(), route), "error": error})

@@ -339,7 +339,7 @@ def earliest_position(t: Tables) -> DataFrame:
 
 ERROR_TEXTS = {
     "view": "Connection refused",
-    "error": "Cannot convert 'x' to number",
+    "error": "'x' is no number",
     "click": "Index items not found",
     "purchase": "Too many requests",
 }

@@ -233,8 +233,8 @@ def convert_string(t: Tables) -> DataFrame:
 @query(
     "b18_convert_number",
     """SELECT event_id, CASE WHEN event_type IN ('click', 'view') THEN value END AS code, value, CASE event_type
-      WHEN 'error' THEN 'Cannot convert value to number' WHEN 'click' THEN NULL WHEN 'view' THEN NULL
-      ELSE 'Cannot convert ''' || event_type || ''' to number' END AS error FROM events""",
+      WHEN 'error' THEN 'This value is no number' WHEN 'click' THEN NULL WHEN 'view' THEN NULL
+      ELSE '''' || event_type || ''' is no number' END AS error FROM events""",
 )
 def convert_number(t: Tables) -> DataFrame:
     kind = F.col("event_type")

@@ -228,8 +228,8 @@ def stream_envelope(t: Tables) -> DataFrame:
     "a11_document_ingest",
     """WITH raw AS (SELECT doc_id, lang, strlen(CAST(to_json({'doc_id': doc_id, 'text': text}) AS VARCHAR)) AS bytes FROM documents)
     SELECT doc_id, CASE WHEN lang = 'de' THEN bytes - 1 ELSE bytes END AS bytes,
-      CASE WHEN (CASE WHEN lang = 'de' THEN bytes - 1 ELSE bytes END) > 2048 THEN 'Document exceeds 2048 bytes'
-           WHEN lang = 'de' THEN 'Failed to parse JSON' END AS error,
+      CASE WHEN (CASE WHEN lang = 'de' THEN bytes - 1 ELSE bytes END) > 2048 THEN 'The document has more than 2048 bytes'
+           WHEN lang = 'de' THEN 'The document is not valid JSON' END AS error,
       CASE WHEN bytes <= 2048 AND lang <> 'de' THEN doc_id END AS parsed_id FROM raw""",
 )
 def document_ingest(t: Tables) -> DataFrame:
@@ -266,7 +266,7 @@ def json_array_explode(t: Tables) -> DataFrame:
 @query(
     "a13_route_raw_json",
     """SELECT event_id, CASE WHEN event_type IN ('signup', 'view', 'click') THEN event_type END AS route,
-    CASE event_type WHEN 'error' THEN 'Invalid JSON object' WHEN 'purchase' THEN 'Missing table field' END AS error FROM events""",
+    CASE event_type WHEN 'error' THEN 'The text is no JSON object' WHEN 'purchase' THEN 'The object has no field table' END AS error FROM events""",
 )
 def route_raw_json(t: Tables) -> DataFrame:
     kind = F.col("event_type")
@@ -454,7 +454,7 @@ def coded_events(t: Tables) -> DataFrame:
 
 @query(
     "a23_dead_letter_write",
-    """SELECT 'codes' AS task_id, event_id, event_type, 'Cannot convert ''' || props || ''' to number' AS error,
+    """SELECT 'codes' AS task_id, event_id, event_type, '''' || props || ''' is no number' AS error,
     CAST(1 AS INTEGER) AS retry_count, TIMESTAMP '2024-02-01 00:00:00' AS created_at, TIMESTAMP '2024-02-01 00:00:00' AS last_retry_at
     FROM events WHERE event_type = 'error'""",
 )
@@ -479,7 +479,7 @@ def letters(t: Tables) -> DataFrame:
     number = F.get_json_object("props", "$.k").cast("int") % 3
     error = (
         F.when(number == 0, "Connection refused\nat host a")
-        .when(number == 1, "Cannot convert 'x' to number")
+        .when(number == 1, "'x' is no number")
         .otherwise("")
     )
     return t.events.where("event_type = 'error'").select(
@@ -495,7 +495,7 @@ def letters(t: Tables) -> DataFrame:
 
 LETTERS = """letters AS (SELECT lpad(CAST(event_id AS VARCHAR), 12, '0') AS id, 'task_' || user_id AS task_id, props AS event,
     CASE CAST(json_extract_string(props, '$.k') AS INTEGER) % 3 WHEN 0 THEN 'Connection refused' || chr(10) || 'at host a'
-      WHEN 1 THEN 'Cannot convert ''x'' to number' ELSE '' END AS error,
+      WHEN 1 THEN '''x'' is no number' ELSE '' END AS error,
     0 AS retry_count, ts AS created_at, NULL::TIMESTAMP AS last_retry_at FROM events WHERE event_type = 'error')"""
 
 
@@ -579,6 +579,23 @@ def deep_objects(t: Tables) -> DataFrame:
     return documents.explode_array(t.events.select("event_id", raw.alias("raw")), "raw").select("event_id", "pos", "item")
 
 
+@query(
+    "a12_skipped_items",
+    """SELECT event_id, CASE event_type WHEN 'view' THEN NULL WHEN 'error' THEN 1 ELSE 3 END::INT AS skipped,
+      CASE event_type WHEN 'view' THEN 0 WHEN 'error' THEN 1 ELSE 2 END AS kept FROM events""",
+)
+def skipped_items(t: Tables) -> DataFrame:
+    """Items that are no objects, objects of a broken array that do not parse, and texts that are no arrays."""
+    number = F.col("event_id").cast("string")
+    mixed = F.concat(F.lit('[{"id": '), number, F.lit('}, '), number, F.lit(', "text", [{"inner": 1}], {"type": "'), F.col("event_type"), F.lit('"}]'))
+    broken = F.concat(F.lit('[{"id": '), number, F.lit('}, {"bad": }, {"open": {'))
+    raw = F.when(F.col("event_type") == "view", number).when(F.col("event_type") == "error", broken).otherwise(mixed)
+    rows = t.events.select("event_id", raw.alias("raw"))
+    kept = documents.explode_array(rows, "raw").groupBy("event_id").agg(F.count(F.lit(1)).alias("kept"))
+    counted = rows.select("event_id", documents.skipped_items(F.col("raw")).alias("skipped"))
+    return counted.join(kept, "event_id", "left").select("event_id", "skipped", F.coalesce("kept", F.lit(0)).cast("int").alias("kept"))
+
+
 TIED = """tied AS (SELECT event_id AS id, user_id % 3 AS task_id, date_trunc('day', ts) AS created_at FROM events)"""
 
 

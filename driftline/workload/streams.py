@@ -569,7 +569,7 @@ def run_coded(t: Tables, name: str):
     "i09_dead_letter_branch",
     f"""WITH {LOG}, good AS (SELECT * FROM chg WHERE value <= 100 QUALIFY row_number() OVER (PARTITION BY k ORDER BY event_id DESC) = 1)
     SELECT 'item' AS kind, k, CAST(value AS VARCHAR) AS detail FROM good WHERE op <> 'delete'
-    UNION ALL SELECT 'dead', k, 'Cannot convert ''' || props || ''' to number' FROM chg WHERE value > 100""",
+    UNION ALL SELECT 'dead', k, '''' || props || ''' is no number' FROM chg WHERE value > 100""",
 )
 def dead_letter_branch(t: Tables) -> DataFrame:
     target, letters, _ = run_coded(t, "branch")

@@ -90,7 +90,7 @@ def test_to_number(spark):
     got = [tuple(r) for r in rows.select(number, error).collect()]
     assert [g[0] for g in got] == [1.5, None, None, None, None, None, 0.5]
     assert [g[1] is None for g in got] == [True, False, False, False, False, False, True]
-    assert got[1][1] == "Cannot convert ' 1' to number" and got[5][1] == "Cannot convert value to number"
+    assert got[1][1] == "' 1' is no number" and got[5][1] == "This value is no number"
 
 
 def test_to_boolean(spark):
@@ -144,7 +144,7 @@ def test_sizes(spark):
 
 def test_error_text(spark):
     assert column(spark, ["a\nb", "", "\nb", "a\r\nb"], errors.error_label) == ["a", "Unknown", "", "a"]
-    kinds = ["Connection refused", "429 Too Many Requests", "Cannot convert 'x' to number", "boom", "access denied"]
+    kinds = ["Connection refused", "429 Too Many Requests", "'x' is no number", "boom", "access denied"]
     assert column(spark, kinds, errors.error_class) == ["network", "rate_limit", "data_validation", "unknown", "permission"]
 
 
