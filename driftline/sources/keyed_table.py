@@ -73,6 +73,10 @@ class KeyedTable:
     def last_batch(self) -> int:
         return max([self.version(), *map(_place, self._named("changes", "batch="))])
 
+    def batch_names(self) -> list[str]:
+        """Names of all finished batches."""
+        return sorted(self._named("changes", "batch="))
+
     def place_of(self, batch_id: int, writer: str | None = None) -> int:
         """Where a batch stands among all batches: its number, or for a named writer the place it has or gets."""
         if writer is None:

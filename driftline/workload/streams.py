@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftline.config import Condition, Convert, EventFilter, SoftDelete, SyncTask, Transforms
+from driftline.functions import pgtypes
 from driftline.operators import LSN, OP, dedup, merge
 from driftline.session import scratch_path
-from driftline.sources import changelog
+from driftline.sources import changelog, evolution
 from driftline.sources.bucketed_table import BucketedTable
 from driftline.sources.deadletter_table import DeadLetterTable
 from driftline.sources.keyed_table import KeyedTable
@@ -509,6 +511,53 @@ def backfill_handover(t: Tables) -> DataFrame:
     return target.current()
 
 
+@query(
+    "a15_schema_change",
+    f"""WITH {LOG}, m AS (SELECT max(event_id) AS last FROM events),
+    last AS (SELECT *, CASE WHEN event_id >= last * 2 // 3 THEN 3 WHEN event_id >= last // 3 THEN 2 ELSE 1 END AS version FROM chg, m
+      QUALIFY row_number() OVER (PARTITION BY k ORDER BY event_id DESC) = 1)
+    SELECT k AS id, CASE WHEN version < 3 THEN event_type END AS kind, CASE WHEN version > 1 THEN value END AS amount,
+      CASE WHEN version = 3 THEN props END AS note FROM last WHERE op <> 'delete'""",
+)
+def schema_change(t: Tables) -> DataFrame:
+    """While the log runs a column is added, another is dropped, and the key's type is widened; each part is merged as it lands."""
+    column = lambda name, kind: F.struct(F.lit(name).alias("name"), F.lit(pgtypes.OIDS[kind]).alias("type_id"))
+    shapes = [
+        [("id", "int4"), ("kind", "text")],
+        [("id", "int4"), ("kind", "text"), ("amount", "float8")],
+        [("id", "int8"), ("amount", "float8"), ("note", "text")],
+    ]
+    last = t.events.agg(F.max("event_id")).first()[0] or 0
+    cuts = [0, last // 3, last * 2 // 3, last + 1]
+    versions = [
+        t.spark.range(1).select(F.lit(1).alias("relation_id"), F.lit(a).cast("bigint").alias(LSN), F.array(*[column(*c) for c in shape]).alias("columns"))
+        for a, shape in zip(cuts[:-1], shapes, strict=True)
+    ]
+    texts = {"id": F.col("user_id").cast("string"), "kind": F.col("event_type"), "amount": F.col("value").cast("string"), "note": F.col("props")}
+    parts = [
+        t.events.where(f"event_id >= {a} AND event_id < {b}").select(
+            F.lit(1).alias("relation_id"), op_of_event().alias(OP), F.col("event_id").alias(LSN), F.col("ts").alias("__ts"),
+            F.array(*[texts[name] for name, _ in shape]).alias("tuple"),
+        )
+        for a, b, shape in zip(cuts[:-1], cuts[1:], shapes, strict=True)
+    ]
+    task = SyncTask("items", "public.items", "items", ("id",))
+    tables: list[KeyedTable] = []
+
+    def run(stream: DataFrame, home: str) -> None:
+        known = reduce(DataFrame.unionByName, versions[: len(tables) + 1])
+        rows = evolution.evolving_rows(stream, known, "relation_id", LSN).drop("relation_id")
+        schema = evolution.row_schema(rows, [c for c in rows.columns if not c.startswith("__")])
+        if tables:
+            tables.append(evolution.evolved(tables[-1], schema))
+        else:
+            tables.append(KeyedTable(t.spark, f"{home}/items", ["id"], schema))
+        jobs.apply_changes(rows, task, tables[-1], f"{home}/checkpoint").awaitTermination()
+
+    in_turn(t, "evolving", parts, run)
+    return tables[-1].current()
+
+
 @query("i08_copy_beside_log", MERGED)
 def copy_beside_log(t: Tables) -> DataFrame:
     """The log is applied from its start while the table is copied in ranges of keys, two after each part that has landed.
