@@ -64,17 +64,18 @@ def decode_lines(df: DataFrame, line: str = "data", keep_undecodable: bool = Fal
     between the tokens is no field, and the row says so in ``decode_error``. Lines that start like a
     row change but have no readable header are left out, or kept with that error alone.
     """
-    text = F.col(line)
-    part = lambda i: F.regexp_extract(text, HEADER, i)
+    # The header is cut off once; what follows looks at that short text.
+    text, head = F.col(line), F.col("__head")
+    part = lambda i: F.regexp_extract(head, HEADER, i)
     ops = F.create_map(*[F.lit(x) for pair in OPS.items() for x in pair])
     others = [F.col(f"`{c}`") for c in df.columns if c != line]
-    header = text.rlike(HEADER)
+    header = head != ""
     wanted = header | ~text.rlike(OTHER_OPERATION) if keep_undecodable else header
     pattern = "|".join([OLD_MARK, *NEW_MARKS, FIELD])
-    rows = df.where(text.startswith("table ") & wanted).select(
+    rows = df.where(text.startswith("table ")).withColumn("__head", F.regexp_extract(text, HEADER, 0)).where(wanted).select(
         *others,
         F.when(~header, F.lit(UNDECODABLE)).alias("__no_header"),
-        F.regexp_replace(text, HEADER, "").alias("__body"),
+        F.substring(text, F.length(head) + 1, F.length(text)).alias("__body"),
         F.try_element_at(ops, part(3)).alias("op"),
         F.when(header, F.coalesce(F.nullif(part(1), F.lit("")), F.lit("public"))).alias("schema_name"),
         F.when(header, part(2)).alias("table_name"),
