@@ -33,9 +33,6 @@ GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 CONTAINMENT = 0.8
 
-# Fixed value: one text in so many is counted for the order of the words, where that is estimated.
-COUNTED = 16
-
 # Base phrases and their labels.
 PHRASES = {
     "gnu general public license": "gpl",
@@ -210,12 +207,11 @@ def window_matches(
 
     A run has as many words as the notice, at every place of the text (shorter only where the text
     is), and holds the notice's ``variants``. A run that matches has one of the notice's prefix
-    words, so only the places around those are looked at. Words are split once, for both results;
-    which of them are rare is estimated from a part of the texts, which changes no result.
+    words, so only the places around those are looked at. Words are ordered by how often all texts have
+    them, which a pass of its own counts; then they are split once more, for both results.
     """
     spark = docs.sparkSession
-    part = docs.where(F.pmod(F.xxhash64(F.col(f"`{text}`")), F.lit(COUNTED)) == 0)
-    order, _, prefix, whole = _prefixes(_lowered(part, key, text), notices, containment)
+    order, _, prefix, whole = _prefixes(_lowered(docs, key, text), notices, containment)
     rare = sorted({order[r] for r, _, _ in prefix})
     lists = [words_of(t) for _, t in notices]
     wide = max(map(len, lists), default=1)
