@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from driftline.llm.common import remainder
+from driftline.llm.common import remainder, stored
 from driftline.llm.textbatch import Block, blocks
 
 # Training rows in all, shared out evenly over the languages, but so many of each at least: the sample
@@ -159,9 +159,13 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     if not number:
         return None
     each = max(EACH, sample // number)
-    # The hash at which each language's sample ends: hashes only, and each task keeps its smallest.
-    hashes = rows.select("__y", "__h").distinct()
-    smallest = hashes.withColumn("__n", F.row_number().over(W.partitionBy("__y").orderBy("__h"))).where(F.col("__n") <= each)
+    # The hash at which each language's sample ends. Counts of hashes by their leading bits tell which
+    # of them can be in it, so few are sorted, whatever the language's share of the rows.
+    hashes = stored(rows.select("__y", "__h", F.shiftright("__h", 52).alias("__b")).distinct(), "language-hashes")
+    before = F.coalesce(F.sum("count").over(W.partitionBy("__y").orderBy("__b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    cells = hashes.groupBy("__y", "__b").count().withColumn("__before", before).where(F.col("__before") < each)
+    low = hashes.join(cells.select("__y", "__b"), ["__y", "__b"])
+    smallest = low.withColumn("__n", F.row_number().over(W.partitionBy("__y").orderBy("__h"))).where(F.col("__n") <= each)
     ends = smallest.groupBy("__y").agg(F.max("__h").alias("__end")).collect()
     ends = docs.sparkSession.createDataFrame([tuple(r) for r in ends], "__y string, __end bigint")
     rows = rows.withColumn("__y", F.col("__y").cast("string")).join(F.broadcast(ends), "__y").where(F.col("__h") <= F.col("__end"))

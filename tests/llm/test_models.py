@@ -1,3 +1,4 @@
+import math
 import random
 import re
 
@@ -80,6 +81,44 @@ def test_held_out_language(spark):
     assert out.score.between(0, 1).all() and out.confident.mean() > 0.9
 
 
+def plain_grams(text):
+    """Buckets of the byte 3- and 4-grams of a text and the blank behind it, one by one."""
+    data = [b | 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in (text or "").encode() + b"\n"]
+    out = []
+    for n, factors in ((3, (31, 1009, 65599)), (4, (37, 2027, 40503, 104729))):
+        for i in range(len(data) - n + 1):
+            gram = data[i : i + n]
+            if set(gram) != {32}:
+                mixed = (n + sum(b * f for b, f in zip(gram, factors, strict=True))) % 2**32
+                out.append((mixed * 2654435761 % 2**32) >> 17)
+    return out
+
+
+def test_grams_and_scores_against_plain_code():
+    texts = ["The quick brown fox", "", None, "été à la forêt, où?", "A1b2 C3", "x", "Straße 12 ÄÖÜ", "  \t "]
+    rng = np.random.default_rng(1)
+    model = langid.Model(["a", "b", "c"], rng.normal(0, 1, (langid.BUCKETS, 3)), rng.normal(0, 1, 3), 1.7, 0.4)
+    for limit in (1, 30, 10**6):
+        at = 0
+        for block in textbatch.blocks(texts, limit):
+            bucket, owner = langid.grams(block)
+            p = model.probabilities(block)
+            for i in range(len(block)):
+                want = plain_grams(texts[at])
+                assert sorted(bucket[owner == i].tolist()) == sorted(want)
+                mean = [sum(model.table[b][k] for b in want) / max(1, len(want)) for k in range(3)]
+                e = [math.exp((m + c) / model.temperature) for m, c in zip(mean, model.bias, strict=True)]
+                assert np.allclose(p[i], [x / sum(e) for x in e])
+                at += 1
+
+
+def test_fit_descends_on_the_loss():
+    """Two languages with grams of their own: the learned table gives each of its grams to its language."""
+    texts = [(np.array([2 * k, 2 * k + 1, 100]), np.array([3.0, 1.0, 1.0])) for k in (0, 10)] * 40
+    model = langid.fit(texts, np.array([0, 1] * 40), ["a", "b"])
+    assert (model.table[[0, 1], 0] > model.table[[0, 1], 1]).all() and (model.table[[20, 21], 1] > model.table[[20, 21], 0]).all()
+
+
 def test_a_language_of_one_repeated_id_is_learned(spark):
     """5,000 rows of one id beside 60 of others; the equal ones count once, the others by their texts."""
     rows = [(4, f"le petit chat numero {i} mange une souris", "fr") for i in range(300)] + [(4, "la meme phrase", "fr")] * 4700
