@@ -82,7 +82,9 @@ def cut_by_time(
     # Structs are never null themselves, so a missing time compares and joins like any other.
     unit_of = F.struct(F.date_trunc(unit, created).alias("t"))
     place = F.struct(F.col(created).alias("t"), F.col(tiebreak).alias("b"))
-    rows = df.withColumns({"__key": F.struct(F.lit(0).alias("_"), *[F.col(f"`{k}`") for k in keys]), "__place": place})
+    # Without keys all rows have one, made from a column: joins by a constant would compare every pair of rows.
+    parts = [F.col(f"`{k}`") for k in keys] or [F.pmod(F.hash(tiebreak), F.lit(1)).alias("all")]
+    rows = df.withColumns({"__key": F.struct(*parts), "__place": place})
     side = (lambda c: F.col(c).desc()) if newest else (lambda c: F.col(c).asc())
     before = lambda column: W.partitionBy("__key").orderBy(side(column)).rowsBetween(W.unboundedPreceding, -1)
 

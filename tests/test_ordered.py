@@ -108,13 +108,15 @@ def test_order_violations(spark):
     assert sorted((r.k, r.n, r.previous) for r in got.collect()) == [("a", 2, 2), ("a", 4, 9), ("a", 7, 10), ("b", 40, 5)]
 
 
-def test_asof_join(case, spark):
+@pytest.mark.parametrize("index_rows", [0, 100_000])
+def test_asof_join(case, spark, index_rows):
+    """The broadcast index and the carried log find the same versions."""
     rows, df = case
     changes = df.where("NOT mark").select("k", "pos")
     versions = df.where("mark").select("k", "pos", F.col("v").alias("version"))
     place = next(r[1] for r in rows if r[0] == "hot" and not r[4])
     at_same_place = spark.createDataFrame([("hot", place, -1.0)], "k string, pos bigint, version double")
-    got = asof.asof_join(changes, versions.union(at_same_place), "k", "pos", ["version"], segment=16).collect()
+    got = asof.asof_join(changes, versions.union(at_same_place), "k", "pos", ["version"], segment=16, index_rows=index_rows).collect()
     got = {(r.k, r.pos): r.version for r in got}
     for key, group in by_key(rows).items():
         last = None
@@ -155,6 +157,29 @@ def test_many_rows_per_key(spark):
                 assert len(set(got[key])) == len(got[key])
 
 
+@pytest.mark.parametrize("ranked", [10, 10**6])
+def test_cuts_by_range_and_by_window_agree(spark, monkeypatch, ranked):
+    """Ties of time, missing times and rows that are equal in all: sorted in many tasks or ranked in one."""
+    monkeypatch.setattr(topk, "RANKED_ROWS", ranked)
+    rng = random.Random(5)
+    rows = [(rng.choice("ab"), i // 2 if i < 600 else i, rng.choice([None, 5, 5, 5, 6, 60])) for i in range(1500)]
+    df = spark.createDataFrame(rows, "k string, id int, s int").select(
+        "k", "id", F.when(F.col("s").isNotNull(), F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(secs=F.col("s"))).alias("at"), "s"
+    )
+    order = lambda r: (r[2] is not None, r[2] or 0, r[1])
+    for newest in (True, False):
+        for keys in ([], ["k"]):
+            for n in (333, 5000):
+                got = sorted((tuple(r) for r in topk.cut_by_time(df, keys, n, "at", "id", newest).select("k", "id", "s").collect()), key=str)
+                want = []
+                for key in ("a", "b") if keys else (None,):
+                    own = sorted((r for r in rows if key in (None, r[0])), key=order, reverse=newest)
+                    want += own[:n]
+                if keys:  # rows equal in time and id have the same key
+                    assert got == sorted(want, key=str)
+                assert sorted(map(order, got)) == sorted(map(order, want))
+
+
 def test_histogram_quantile(spark):
     bounds = (1.0, 2.0, 4.0)
     rows = spark.createDataFrame([("a", v) for v in (0.5, 0.5, 1.5, 3.0, 3.5, 9.0)] + [("b", 9.0), ("c", None)], "k string, v double")
