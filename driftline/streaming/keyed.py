@@ -2,6 +2,8 @@
 
 State lives in RocksDB beside the stream's checkpoint, so a micro-batch reads and writes the state
 of its own keys only, a restart goes on from the last finished batch, and no state table is read.
+Streaks keep their keys in buckets, one state and one Python call each: a call costs milliseconds, a
+key in it microseconds, and a micro-batch reads and writes the buckets of its keys.
 Each operator emits the new state of the keys a batch has touched; what follows keeps the newest.
 
 Rows of a key within a batch are sorted by position before they count, so their order in the files
@@ -12,14 +14,15 @@ reader's ``max_files`` or ``max_bytes`` bounds them.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -32,72 +35,107 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
-def _ends(ok: np.ndarray, at: np.ndarray, idle: int | None) -> np.ndarray:
-    """Places at which a run begins: the first row, another outcome, or a silence longer than ``idle``."""
-    begins = np.ones(len(ok), bool)
-    begins[1:] = ok[1:] != ok[:-1]
-    if idle is not None:
-        begins[1:] |= np.diff(at) > idle
-    return np.flatnonzero(begins)
-
-
-class Streaks(StatefulProcessor):
-    """Value state: the run a key is in. List state: its last outcomes. Timer: when its silence ends the run."""
-
-    def __init__(self, keys: T.StructType, recent: int, idle: int | None):
-        self.keys, self.recent, self.idle = keys.fieldNames(), recent, idle
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.run = handle.getValueState("run", "ok boolean, length bigint, position bigint, at bigint, repeated bigint")
-        self.last = handle.getListState("last", "value double")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        # By place: Spark renames columns that begin with an underscore here.
-        own = [[r.iloc[:, len(self.keys) + i].to_numpy() for i in range(4)] for r in rows]
-        position, ok, at, value = (np.concatenate([part[i] for part in own]) for i in range(4))
-        before = self.run.get() if self.run.exists() else None
-        order = np.argsort(position, kind="stable")
-        fresh = np.concatenate(([True], np.diff(position[order]) > 0))
-        if before is not None:
-            fresh &= position[order] > before[2]
-        repeated = (before[4] if before else 0) + int((~fresh).sum())
-        order = order[fresh]
-        position, ok, at, value = position[order], ok[order], at[order], value[order]
-        if not len(position):
-            self.run.update((*before[:4], repeated))
-            yield self._state(key, (*before[:4], repeated), [v for (v,) in self.last.get()], False)
-            return
-        start = int(_ends(ok, at, self.idle)[-1])
-        length = len(ok) - start
-        silent = before is not None and self.idle is not None and at[0] - before[3] > self.idle
-        if start == 0 and before is not None and before[0] == bool(ok[0]) and not silent:
-            length += before[1]
-        run = (bool(ok[-1]), length, int(position[-1]), int(at[-1]), repeated)
-        last = [v for (v,) in self.last.get()] if before is not None else []
-        last = [*last, *value.tolist()][-self.recent :]
-        if self.idle is not None:
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer(run[3] + self.idle)
-        self.run.update(run)
-        self.last.put([(v,) for v in last])
-        yield self._state(key, run, last, False)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        """The key has been silent: its run is over. Its position stays, so that repeated rows are still known."""
-        run = self.run.get()
-        run = (run[0], 0, *run[2:])
-        self.run.update(run)
-        yield self._state(key, run, [v for (v,) in self.last.get()], True)
-
-    def _state(self, key, run: tuple, last: list[float], silent: bool) -> pd.DataFrame:
-        row = {**dict(zip(self.keys, key, strict=True)), "ok": run[0], "length": run[1], "position": run[2]}
-        row |= {"recent_rows": len(last), "recent_sum": float(np.sum(last)), "repeated": run[4], "silent": silent}
-        return pd.DataFrame({k: [v] for k, v in row.items()})
-
-    def close(self) -> None:
-        pass
+# Buckets that keys are dealt to; the store holds one state per bucket.
+BUCKETS = 1024
+
+# What the store holds of a bucket: its keys with their runs, repeated rows and last outcomes, as an Arrow stream.
+BUCKET_STATE = "held binary"
+
+
+def _packed(held: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, held.schema) as out:
+        out.write_table(held)
+    return sink.getvalue().to_pybytes()
+
+
+def _sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Sum of each key's share of ``values``, which lie key by key."""
+    begin, sums = np.cumsum(counts) - counts, np.zeros(len(counts))
+    for n in np.unique(counts[counts > 0]):
+        of = np.flatnonzero(counts == n)
+        sums[of] = values[begin[of, None] + np.arange(n)].sum(axis=1)
+    return sums
+
+
+def streak_step(keys: Sequence[str], recent: int, idle: int | None) -> Callable[..., Iterator[pd.DataFrame]]:
+    """A batch's rows of one bucket of keys onto the bucket's state, all keys at once.
+
+    The bucket's timeout is the end of the earliest silence; whichever call sees the watermark past a
+    silence first, ends that run.
+    """
+
+    def step(_: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        found = [] if state.hasTimedOut else [r.iloc[:, 1 : len(keys) + 5] for r in parts if len(r)]
+        named = [r.set_axis([*keys, "position", "ok", "at", "value"], axis=1) for r in found]
+        held = pa.ipc.open_stream(state.get[0]).read_all() if state.exists else None
+        frames = [*([held.select(keys).to_pandas()] if held is not None else []), *[r[list(keys)] for r in named]]
+        known, old = pd.concat(frames, ignore_index=True), 0 if held is None else len(held)
+        # Numbers in order of appearance: the held keys have their places.
+        number = known.groupby(list(keys), sort=False, dropna=False).ngroup().to_numpy()
+        n = int(number.max()) + 1
+        known = known[~pd.Series(number).duplicated().to_numpy()]
+
+        def start(name: str, kind: type) -> np.ndarray:
+            before = held[name].to_numpy().astype(kind) if held is not None else np.zeros(0, kind)
+            return np.concatenate([before, np.zeros(n - old, kind)])
+
+        run_ok, length, reached = start("ok", bool), start("length", np.int64), start("position", np.int64)
+        until, repeated = start("at", np.int64), start("repeated", np.int64)
+        touched, renewed = np.zeros(n, bool), np.zeros(n, bool)
+        last = held["last"].combine_chunks() if held is not None else pa.array([], pa.list_(pa.float64()))
+        counts = np.concatenate([last.value_lengths().to_numpy().astype(np.int64), np.zeros(n - old, np.int64)])
+        values = last.flatten().to_numpy()
+        if named:
+            position, ok, at, value = (np.concatenate([r[c].to_numpy() for r in named]) for c in ("position", "ok", "at", "value"))
+            own = number[old:]
+            order = np.lexsort((position, own))
+            own, position, ok, at, value = own[order], position[order], ok[order].astype(bool), at[order], value[order]
+            touched[own] = True
+            fresh = np.concatenate(([True], (own[1:] != own[:-1]) | (np.diff(position) > 0)))
+            fresh &= (own >= old) | (position > reached[own])
+            repeated += np.bincount(own[~fresh], minlength=n)
+            own, position, ok, at, value = own[fresh], position[fresh], ok[fresh], at[fresh], value[fresh]
+        if named and len(own):
+            first = np.concatenate(([True], own[1:] != own[:-1]))
+            begins = first.copy()
+            begins[1:] |= ok[1:] != ok[:-1]
+            if idle is not None:
+                begins[1:] |= np.diff(at) > idle
+            ends = np.flatnonzero(np.concatenate((first[1:], [True])))
+            if np.isnan(position[ends]).any() or np.isnan(at[ends]).any():
+                raise ValueError("a row without position or time")
+            places, k = np.flatnonzero(first), own[ends]
+            began = np.maximum.accumulate(np.where(begins, np.arange(len(own)), 0))[ends]
+            # A run that began before this batch goes on unless it is over.
+            goes_on = (began == places) & (k < old) & (run_ok[k] == ok[places])
+            if idle is not None:
+                goes_on &= ~(at[places] - until[k] > idle)
+            length[k] = ends - began + 1 + np.where(goes_on, length[k], 0)
+            run_ok[k], reached[k], until[k], renewed[k] = ok[ends], position[ends], at[ends], True
+            owner = np.concatenate([np.repeat(np.arange(n), counts), own])
+            order = np.argsort(owner, kind="stable")
+            owner, values = owner[order], np.concatenate([values, value])[order]
+            counts = np.bincount(owner, minlength=n)
+            kept = np.cumsum(counts)[owner] - np.arange(len(owner)) <= recent
+            values, counts = values[kept], np.minimum(counts, recent)
+        silent = np.zeros(n, bool)
+        if idle is not None:
+            # Positions of silent keys stay, so that repeated rows are still known.
+            now = state.getCurrentWatermarkMs()
+            silent = ~renewed & (length > 0) & (until + idle <= now)
+            length[silent] = 0
+        runs = {"ok": run_ok, "length": length, "position": reached, "repeated": repeated}
+        offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
+        after = pa.Table.from_pandas(known.assign(**runs, at=until), preserve_index=False)
+        state.update((_packed(after.append_column("last", pa.ListArray.from_arrays(offsets, values))),))
+        if idle is not None and (length > 0).any():
+            # A timeout is over once the watermark is past it, a silence when the watermark reaches its end.
+            state.setTimeoutTimestamp(max(int(until[length > 0].min()) + idle - 1, now + 1))
+        shown = known.assign(**runs, recent_rows=counts, recent_sum=_sums(values, counts), silent=silent)
+        yield shown[touched | silent]
+
+    return step
 
 
 def streaks(
@@ -110,6 +148,7 @@ def streaks(
     ts: str | None = None,
     idle_seconds: int | None = None,
     delay: str = "0 seconds",
+    buckets: int = BUCKETS,
 ) -> DataFrame:
     """The run of equal outcomes each key is in, after every batch, in update mode.
 
@@ -117,7 +156,8 @@ def streaks(
     last ``recent`` values, the number of ``repeated`` rows (at or before the position reached), and whether the key
     is ``silent``. A success that is null counts as failure. With ``ts`` and ``idle_seconds`` a silence longer
     than that ends a run: a later row begins a new one, and when the watermark passes the end of the
-    silence a timer reports the key with length 0.
+    silence a timeout reports the key with length 0. The number of ``buckets`` belongs to the checkpoint, like
+    that of the shuffle partitions.
     """
     if idle_seconds is not None and ts is None:
         raise ValueError("idle_seconds needs a time column")
@@ -145,6 +185,7 @@ def streaks(
         ]
     )
     idle = None if idle_seconds is None else 1000 * idle_seconds
-    return rows.groupBy(*keys).transformWithStateInPandas(
-        Streaks(kinds, recent, idle), out, "update", "EventTime" if timed else "None"
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int").alias("__bucket")
+    return rows.select(bucket, "*").groupBy("__bucket").applyInPandasWithState(
+        streak_step(kinds.fieldNames(), recent, idle), out, BUCKET_STATE, "update", "EventTimeTimeout" if timed else "NoTimeout"
     )

@@ -235,6 +235,40 @@ def test_silence_ends_runs(spark, folder):
     assert seen[3] == {1: (1, False), 2: (0, True), 3: (1, False)}
 
 
+def test_many_keys_share_a_state(spark, folder):
+    """The store and Python see buckets, not keys: 6,000 keys of two columns in two batches, then silence and repeated rows."""
+    rng = random.Random(7)
+    names = [(f"k{i}", i % 5) for i in range(6000)]
+    found = [(*k, i, i, rng.random() < 0.7, rng.random()) for i, k in enumerate(rng.choices(names, k=9000) + names)]
+    schema, columns = "k string, j int, position bigint, at bigint, ok boolean, value double", ["k", "j"]
+    state = KeyedTable(spark, f"{folder}/s", columns, STREAKS.replace("k bigint", "k string, j int"))
+
+    def drain(part):
+        spark.createDataFrame(part, schema).write.mode("append").parquet(f"{folder}/l")
+        source = jobs.read_log(spark, f"{folder}/l", spark.createDataFrame([], schema).schema).withColumn("ts", F.timestamp_seconds("at"))
+        query = jobs.track_streaks(
+            source, columns, "position", F.col("ok"), state, f"{folder}/c", value=F.col("value"), recent=3, ts="ts", idle_seconds=5000
+        )
+        query.awaitTermination()
+        return query, {(r.k, r.j): r for r in state.current().collect()}
+
+    for part in (found[:8000], found[8000:]):
+        query, got = drain(part)
+        assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 1024
+    last = max(r[3] for r in found)
+    want = plain_streaks([((k, j), position, ok, at, value) for k, j, position, at, ok, value in found], idle=5000)
+    ends = {(r[0], r[1]): r[3] for r in found}
+    assert sorted((k, r.ok, r.length, r.position, round(r.recent_sum, 6)) for k, r in got.items()) == [
+        (k, ok, 0 if ends[k] + 5000 <= last else length, position, total) for k, ok, length, position, total in want
+    ]
+    assert {k for k, r in got.items() if r.silent} == {k for k, end in ends.items() if end + 5000 <= last}
+    # One key is one second short of its silence, its row repeated; all others' silences end.
+    first, second = names[-1], names[-2]
+    _, got = drain([(*first, ends[first], last + 4000, True, 0.0), ("new", 0, last + 1, ends[second] + 5000, True, 0.0)])
+    assert got[first].repeated == 1 and got[first].length > 0 and not got[first].silent
+    assert all(r.silent and r.length == 0 for k, r in got.items() if k not in (first, ("new", 0)))
+
+
 # ---- windows, rates and holds ----------------------------------------------------------------
 
 
