@@ -40,14 +40,22 @@ def read_log(
     glob: str | None = None,
     max_files: int | None = None,
     max_bytes: str | None = None,
+    spread: bool = False,
 ) -> DataFrame:
-    """Landed log files as a stream; ``max_files`` or ``max_bytes`` bound a micro-batch."""
+    """Landed log files as a stream; ``max_files`` or ``max_bytes`` bound a micro-batch.
+
+    A file of one row group is read in one task, however large. ``spread`` deals the rows of a
+    micro-batch out evenly, where what is done with each costs far more than to move it (decoding).
+    """
     reader = spark.readStream.format(fmt).schema(schema)
     limits = {"pathGlobFilter": glob, "maxFilesPerTrigger": max_files, "maxBytesPerTrigger": max_bytes}
     for key, value in limits.items():
         if value is not None:
             reader = reader.option(key, value)
-    return reader.load(path)
+    rows = reader.load(path)
+    if not spread:
+        return rows
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
 
 
 def trigger_options(once: bool, interval: str = BATCH_INTERVAL) -> Mapping[str, object]:

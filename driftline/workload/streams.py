@@ -125,7 +125,7 @@ def lines_to_table(t: Tables) -> DataFrame:
     home = scratch_path(t.spark, "lines")
     lsn = F.concat(F.lit("0/"), F.hex(F.monotonically_increasing_id()))
     document_lines(t).select(lsn.alias("lsn"), "data").write.parquet(f"{home}/landing")
-    landed = jobs.read_log(t.spark, f"{home}/landing", t.spark.read.parquet(f"{home}/landing").schema)
+    landed = jobs.read_log(t.spark, f"{home}/landing", t.spark.read.parquet(f"{home}/landing").schema, spread=True)
     types = {"doc_id": "int8", "text": "text", "source": "text", "n_chars": "int8"}
     target = KeyedTable(
         t.spark, f"{home}/items", ["doc_id"], "doc_id bigint, text string, source string, n_chars bigint", unchanged=True
@@ -137,11 +137,11 @@ def lines_to_table(t: Tables) -> DataFrame:
     return target.current().select("doc_id", F.md5("text").alias("text_md5"), "source", "n_chars")
 
 
-def landed(t: Tables, name: str, rows: DataFrame) -> tuple[str, DataFrame]:
+def landed(t: Tables, name: str, rows: DataFrame, spread: bool = False) -> tuple[str, DataFrame]:
     """A frame as landed files, and the stream over them."""
     home = scratch_path(t.spark, name)
     rows.write.mode("append").parquet(f"{home}/landing")
-    return home, jobs.read_log(t.spark, f"{home}/landing", rows.schema)
+    return home, jobs.read_log(t.spark, f"{home}/landing", rows.schema, spread=spread)
 
 
 def in_turn(t: Tables, name: str, parts: list[DataFrame], run: Callable[[DataFrame, str], None]) -> str:
@@ -292,7 +292,7 @@ def bad_lines(t: Tables) -> DataFrame:
     far = F.when(F.col("data").contains("'far'"), F.lit("FFFFFFFF/")).otherwise(F.lit("0/"))
     log = t.customer.select("c_custkey", F.posexplode(F.array(*lines)).alias("pos", "data"))
     log = log.select(F.concat(far, F.hex(F.col("c_custkey") * 16 + F.col("pos"))).alias("lsn"), "data")
-    home, stream = landed(t, "bad-lines", log)
+    home, stream = landed(t, "bad-lines", log, spread=True)
     rows = changelog.change_rows(stream, {"id": "int8", "name": "text", "gone": "bool"}, keys=("id",))
     task = SyncTask("u", "public.u", "u", ("id",), soft_delete=SoftDelete("gone", (True,)))
     target = KeyedTable(t.spark, f"{home}/u", ["id"], "id bigint, name string, gone boolean")

@@ -12,6 +12,7 @@ from driftline.config import Convert, Rename, SyncTask, Transforms
 from driftline.operators import LSN, OP, dedup, merge, metrics
 from driftline.operators.ordered import log_chunk, streaks
 from driftline.plans import alerts
+from driftline.sources import changelog
 from driftline.sources.deadletter_table import DeadLetterTable
 from driftline.sources.keyed_table import KeyedTable
 from driftline.streaming import jobs, windows
@@ -166,6 +167,25 @@ def test_window_counts(spark, landing, folder):
     assert rows(spark.read.parquet(f"{folder}/o")) == rows(want)
 
 
+def test_lines_of_one_file_are_spread(spark, folder):
+    """A log of one file and row group is decoded in many tasks of like size; without spreading, in one."""
+    log = spark.range(2000).select(F.hex("id").alias("lsn"), F.concat(F.lit("table public.u: INSERT: id[integer]:"), "id").alias("data"))
+    log.coalesce(1).write.parquet(f"{folder}/l")
+    seen = {}
+
+    def drain(spread):
+        def handle(batch, _):
+            seen[spread] = [r["count"] for r in batch.groupBy(F.spark_partition_id()).count().collect()]
+            batch.write.mode("append").parquet(f"{folder}/{spread}")
+
+        source = jobs.read_log(spark, f"{folder}/l", log.schema, spread=spread)
+        jobs.each_batch(changelog.change_rows(source, {"id": "int8"}), handle, f"{folder}/c{spread}").awaitTermination()
+        return rows(spark.read.parquet(f"{folder}/{spread}").select("id", OP))
+
+    assert drain(True) == drain(False) == rows(log.select(F.conv("lsn", 16, 10).cast("bigint").alias("id"), F.lit("create")))
+    assert len(seen[False]) == 1 and len(seen[True]) >= 4 and max(seen[True]) < 2 * min(seen[True])
+
+
 def plain_streaks(found, idle=None):
     """Runs from the sorted rows of each key: ``(k, ok, length, position, recent sum)``."""
     state = {}
